@@ -87,12 +87,13 @@ def answer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """REQUESTS from events: client = user, path = event type, body size = value."""
+    """REQUESTS from events: client = user (behind one of two gateways), path = event type, body size = value."""
     e = table(spark, sf_dir, "events")
     path = F.concat(F.lit("/"), F.when(F.col("event_type") == "purchase", "submit")
                     .when(F.col("event_type") == "click", "savedraft").otherwise(F.col("event_type")))
     ctype = F.when(F.col("event_id") % 3 == 0, "application/json").otherwise("application/x-www-form-urlencoded")
     return e.select(F.col("ts"), F.concat(F.lit("client"), F.col("user_id").cast("string")).alias("client"),
+                    F.concat(F.lit("gw"), (F.col("user_id") % 2).cast("string")).alias("gateway"),
                     path.alias("path"), ctype.alias("content_type"),
                     F.round(F.col("value") * 1000).cast("bigint").alias("content_length"),
                     F.col("event_id").alias("seq"))

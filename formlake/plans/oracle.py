@@ -27,6 +27,7 @@ log AS (
     CASE event_type WHEN 'signup' THEN 'Draft' WHEN 'view' THEN 'Submitted' WHEN 'click' THEN 'In Review'
                     WHEN 'purchase' THEN 'Approved' END AS app_status,
     'user' || CAST(user_id AS VARCHAR) AS user_name, ts AS "timestamp",
+    'app' || CAST(user_id % 17 AS VARCHAR) AS app_name,
     '{"' || event_type || '": "' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR) || '"}' AS answer,
     event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'save' END AS op, ts AS event_ts
   FROM events),
@@ -273,4 +274,55 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, replace(replace(replace(replace(text, '''', ''), ';', ''), '--', ''), '|', '') AS s
             FROM documents)""",
     }
+    q.update(_request_oracles())
     return q
+
+
+REQ = """
+r AS (SELECT ts, 'client' || CAST(user_id AS VARCHAR) AS client, 'gw' || CAST(user_id % 2 AS VARCHAR) AS gateway,
+    '/' || CASE event_type WHEN 'purchase' THEN 'submit' WHEN 'click' THEN 'savedraft' ELSE event_type END AS path,
+    CASE WHEN event_id % 3 = 0 THEN 'application/json' ELSE 'application/x-www-form-urlencoded' END AS content_type,
+    CAST(round(value * 1000) AS BIGINT) AS content_length, event_id AS seq FROM events)
+"""
+
+LIMITS = """
+lim(path, max_length) AS (VALUES ('/submit', CAST(1048576 AS BIGINT)), ('/savedraft', 1048576), ('/diff', 256),
+  ('/loadone', 256), ('/status', 256), ('/submissions', 256), ('/logout', 256), ('/login', 256))
+"""
+
+
+def _request_oracles() -> dict[str, str]:
+    return {
+        "rate_limit_violations": _with(REQ, """x AS (SELECT gateway, seq, ts,
+              row_number() OVER (PARTITION BY gateway, date_trunc('hour', ts) ORDER BY ts, seq) AS rank_hour,
+              row_number() OVER (PARTITION BY gateway, date_trunc('day', ts) ORDER BY ts, seq) AS rank_day FROM r)""")
+        + "SELECT gateway, seq, ts, rank_hour, rank_day FROM x WHERE rank_hour > 50 OR rank_day > 200",
+        "user_sessions": _with(REQ, """g AS (SELECT client, ts,
+              CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 300 SECOND THEN 1 ELSE 0 END AS new_s
+              FROM r WINDOW w AS (PARTITION BY client ORDER BY ts))""",
+                                """s AS (SELECT client, ts, sum(new_s) OVER (PARTITION BY client ORDER BY ts
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM g)""")
+        + """SELECT client, min(ts) AS session_start, max(ts) + INTERVAL 300 SECOND AS session_end,
+              count(*) AS n_requests FROM s GROUP BY client, sid""",
+        "oversized_requests": _with(REQ, LIMITS) + """SELECT r.ts, r.client, r.path, r.content_length,
+              coalesce(lim.max_length, 256) AS max_length FROM r LEFT JOIN lim ON r.path = lim.path
+            WHERE r.content_length > coalesce(lim.max_length, 256)
+              AND contains(r.content_type, 'application/x-www-form-urlencoded')""",
+        "error_digest": """WITH l AS (SELECT ts, CASE WHEN event_type = 'error' THEN 'ERROR'
+                WHEN event_type = 'purchase' THEN 'CRITICAL' ELSE 'INFO' END AS level,
+              event_type || ' by user ' || CAST(user_id AS VARCHAR) AS message, event_id AS seq FROM events),
+            b AS (SELECT *, row_number() OVER (ORDER BY ts, seq) - 1 AS rnk FROM l WHERE level IN ('ERROR', 'CRITICAL'))
+            SELECT CAST(rnk // 10 AS BIGINT) AS digest_id, min(seq) AS first_seq, max(seq) AS last_seq,
+              count(*) AS n_records, count(*) FILTER (WHERE level = 'ERROR') AS n_errors,
+              coalesce(string_agg(CASE WHEN level = 'ERROR' THEN message END, chr(13) || chr(10) ORDER BY rnk), '') AS body
+            FROM b GROUP BY rnk // 10 HAVING count(*) = 10""",
+        "autosave_batches": _with(CHANGES, """b AS (SELECT qid, make_timestamp(epoch_us(ts) // 2000000 * 2000000) AS batch_start,
+              key, value, seq, ts FROM ch0)""")
+        + """SELECT qid, batch_start, key, value, seq FROM (SELECT *, row_number() OVER
+              (PARTITION BY qid, batch_start, key ORDER BY ts DESC, seq DESC) AS rn FROM b) WHERE rn = 1""",
+        "review_notices": _with(LOG) + """SELECT qid, seq, app_status,
+              'QID: ' || qid || ' : Security Architecture Review for project: ' || app_name AS subject,
+              CASE app_status WHEN 'Draft' THEN 'MAIL_BODY_DRAFT' WHEN 'Submitted' THEN 'MAIL_BODY_SUBMITTED'
+                WHEN 'In Review' THEN 'MAIL_BODY_IN_REVIEW' WHEN 'Approved' THEN 'MAIL_BODY_APPROVED' END AS body_template
+            FROM log WHERE op <> 'delete' AND app_status IN ('Draft', 'Submitted', 'In Review', 'Approved')""",
+    }

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlake.functions.text import action_items, sanitize
-from formlake.operators import audit, diff, store
+from formlake.operators import audit, diff, requests, store
 from formlake.operators.evaluate import CompiledTemplate, load_items
 from formlake.operators.templates import flatten_templates, templates_from_texts
 from formlake.plans import adapters as ad
@@ -215,3 +215,36 @@ def sanitize_docs(spark, sf_dir):
     d = ad.table(spark, sf_dir, "documents")
     s = sanitize("text")
     return d.select("doc_id", F.length(s).alias("sanitized_len"), F.md5(s).alias("sanitized_md5"))
+
+
+# ---------------------------------------------------------------------------
+# Requests, sessions, limits, digests, notices
+# ---------------------------------------------------------------------------
+@query
+def rate_limit_violations(spark, sf_dir):
+    return requests.rate_limit_violations(ad.requests(spark, sf_dir), client="gateway")
+
+
+@query
+def user_sessions(spark, sf_dir):
+    return requests.user_sessions(ad.requests(spark, sf_dir))
+
+
+@query
+def oversized_requests(spark, sf_dir):
+    return requests.oversized_requests(ad.requests(spark, sf_dir))
+
+
+@query
+def error_digest(spark, sf_dir):
+    return requests.error_digests(ad.log_records(spark, sf_dir))
+
+
+@query
+def autosave_batches(spark, sf_dir):
+    return requests.autosave_batches(ad.answer_changes(spark, sf_dir))
+
+
+@query
+def review_notices(spark, sf_dir):
+    return requests.review_notices(ad.submission_log(spark, sf_dir))
