@@ -84,7 +84,7 @@ def condition_errors(items: DataFrame, cond_col: str = "cond",
     residual = (conds.where(F.trim(F.regexp_replace("cond", TOKEN_PATTERN, "")) != "")
                 .select(*keys, "cond", F.lit(None).cast("int").alias("pos"),
                         F.lit("unterminated string or stray character").alias("reason")))
-    toks = condition_tokens(conds, "cond", keys).join(conds, list(keys))
+    toks = condition_tokens(conds, "cond", (*keys, "cond"))
     w = Window.partitionBy(*keys).orderBy("pos")
     depth = F.sum(F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)).over(w)
     t = (toks.withColumn("depth", depth)

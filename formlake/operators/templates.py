@@ -68,7 +68,8 @@ def _item_id(x: Column, path: Column) -> Column:
     return F.coalesce(x["id"], F.concat(F.lit("_anon_"), F.array_join(path.cast("array<string>"), "_")))
 
 
-_NULL_FIELDS = ["auth", "className", "severity", "why", "name", "todo", "customTitle", "default", "required",
+_NULL_FIELDS = ["insertBefore", "insertAfter",
+                "auth", "className", "severity", "why", "name", "todo", "customTitle", "default", "required",
                 "inputType", "inputPattern", "maxlength", "yes", "no", "defaultChoice"]
 
 
@@ -98,7 +99,9 @@ def _row(path: Column, item_id: Column, parent_id: Column, parent_type: Column,
         g("no").cast("string").alias("no"), g("defaultChoice").cast("boolean").alias("default_choice"),
         over.get("is_choice", F.lit(False)).alias("is_choice"),
         (x["id"].isNotNull() if x is not None else F.lit(True)).alias("has_id"),
-        over.get("overflow", F.lit(False)).alias("overflow"))
+        over.get("overflow", F.lit(False)).alias("overflow"),
+        g("insertBefore").cast("string").alias("insert_before"),
+        g("insertAfter").cast("string").alias("insert_after"))
 
 
 def _rows_of_item(x: Column, path: Column, parent_id: Column, parent_type: Column, ancestors: Column,
@@ -129,6 +132,19 @@ def _rows_of_item(x: Column, path: Column, parent_id: Column, parent_type: Colum
     return F.concat(F.array(me), choices, default)
 
 
+def array_depth(templates: DataFrame) -> int:
+    """Deepest JSON array nesting over all templates (strings ignored): an upper bound on the
+    number of item levels. One aggregation job; only the maximum reaches the driver."""
+    brackets = F.regexp_replace("text", r'"(?:\\.|[^"\\])*"|[^\[\]]', "")
+    step = lambda c: F.when(c == "[", 1).when(c == "]", -1).otherwise(0)
+    acc0 = F.struct(F.lit(0).alias("d"), F.lit(0).alias("m"))
+    depth = F.aggregate(F.split(brackets, ""), acc0,
+                        lambda a, c: F.struct((a["d"] + step(c)).alias("d"),
+                                              F.greatest(a["m"], a["d"] + step(c)).alias("m")))["m"]
+    got = templates.select(F.max(depth).alias("m")).first()["m"]
+    return int(got or 0)
+
+
 def flatten_templates(templates: DataFrame, max_depth: int = MAX_DEPTH, field: str = "questionnaire") -> DataFrame:
     """F1 + F10: ITEM rows (see ``schemas.ITEM``) plus ``has_id``/``overflow`` checks.
 
@@ -143,7 +159,8 @@ def flatten_templates(templates: DataFrame, max_depth: int = MAX_DEPTH, field: s
                           F.lit(None).cast("string").alias("ptype"), F.array().cast("array<string>").alias("anc"),
                           F.col("t")[field].alias("raw"))
     levels = []
-    for depth in range(max_depth):
+    levels_needed = min(max_depth, max(1, array_depth(templates)))
+    for depth in range(levels_needed):
         lvl = (frontier.where(F.col("raw").isNotNull())
                .select("template_id", "version", "path", "pid", "ptype", "anc",
                        F.posexplode(F.from_json("raw", arr)).alias("pos", "x"))
@@ -156,14 +173,12 @@ def flatten_templates(templates: DataFrame, max_depth: int = MAX_DEPTH, field: s
         frontier = lvl.where(F.col("x.items").isNotNull()).select(
             "template_id", "version", "path", iid.alias("pid"), F.col("x.type").alias("ptype"),
             F.concat("anc", F.array(iid)).alias("anc"), F.col("x.items").alias("raw"))
-        if depth + 1 < max_depth and frontier.isEmpty():
-            break
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
     w = Window.partitionBy("template_id").orderBy("path")
     out = out.withColumn("ordinal", (F.row_number().over(w) - 1).cast("int"))
-    return out.select(*[c.name for c in ITEM.fields], "has_id", "overflow")
+    return out.select(*[c.name for c in ITEM.fields], "has_id", "overflow", "path", "insert_before", "insert_after")
 
 
 # ---------------------------------------------------------------------------

@@ -120,3 +120,64 @@ def conversation_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select(_qid("C", "conv_id").alias("qid"), F.col("role").alias("key"), F.col("text").alias("value"),
                     F.timestamp_seconds(F.col("turn")).alias("ts"), F.col("turn").alias("seq"))
+
+
+def order_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One template JSON text per order: a root block, one block per line item, one question each.
+
+    Question type by return flag (R yesno, A check, N line; quantity above 48 an unknown type),
+    yes/no labels only on open lines, and a condition per line block written from the line's
+    numbers. Only JSON text is produced here; parsing and flattening is the library's work.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    # Lines of an order in a total order (line numbers repeat in the test data).
+    key = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
+           "l_returnflag", "l_linestatus"]
+    per_order = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*key))).alias("lines"))
+    ok = F.col("l_orderkey").cast("string")
+
+    def block(x, i):
+        pk, sk, n = x["l_partkey"].cast("string"), x["l_suppkey"].cast("string"), (i + 1).cast("string")
+        qtype = (F.when(x["l_quantity"] > 48, "dropdown").when(x["l_returnflag"] == "R", "yesno")
+                 .when(x["l_returnflag"] == "A", "check").otherwise("line"))
+        open_line = x["l_linestatus"] == "O"
+        question = F.struct(qtype.alias("type"), F.concat(F.lit("q_"), pk).alias("id"),
+                            F.concat(F.lit("Part "), pk).alias("text"),
+                            F.when(open_line & (qtype == "yesno"), F.lit("Yes")).alias("yes"),
+                            F.when(open_line & (qtype == "yesno"), F.lit("No")).alias("no"))
+        cond = (F.when(i == 0, F.lit(None))
+                .when(x["l_discount"] >= 0.08, F.concat(F.lit("q_"), pk, F.lit("/yes && !(q_"), sk, F.lit(")")))
+                .when(x["l_tax"] >= 0.06, F.concat(F.lit('matches(q_'), pk, F.lit('/value, "^[0-9]+$")')))
+                .when(x["l_quantity"] < 3, F.concat(F.lit("q_"), pk, F.lit(" & q_"), sk))
+                .when(x["l_quantity"] < 5, F.concat(F.lit("(q_"), pk, F.lit(" q_"), sk, F.lit(")")))
+                .otherwise(F.concat(F.lit("q_"), pk, F.lit(" || ^o"), ok, F.lit("_l1"))))
+        return F.struct(F.lit("block").alias("type"), F.concat(F.lit("o"), ok, F.lit("_l"), n).alias("id"),
+                        F.concat(F.lit("Line "), n).alias("text"), cond.alias("cond"),
+                        F.array(question).alias("items"))
+
+    lines = F.transform("lines", block)
+    root = F.struct(F.lit("block").alias("type"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("id"),
+                    F.concat(F.lit("Order "), F.col("l_orderkey").cast("string")).alias("text"), lines.alias("items"))
+    doc = F.struct(F.lit(1).alias("version"), F.array(root).alias("questionnaire"))
+    return per_order.select(_qid("T", "l_orderkey").alias("template_id"), F.to_json(doc).alias("text"))
+
+
+def order_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One extension per order: a review block inserted after line 1 (odd orders) or before the
+    last line (even orders); every 7th order has another version, every 11th a missing target."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("last"))
+    j = o.join(li, o.o_orderkey == li.l_orderkey)
+    ok = F.col("o_orderkey").cast("string")
+    target_line = F.when(F.col("o_orderkey") % 11 == 0, F.lit(9)).when(F.col("o_orderkey") % 2 == 1, F.lit(1)) \
+        .otherwise(F.col("last"))
+    target = F.concat(F.lit("o"), ok, F.lit("_l"), target_line.cast("string"))
+    item = F.struct(F.lit("block").alias("type"), F.lit("review").alias("id"), F.lit("Review notes").alias("text"),
+                    F.when(F.col("o_orderkey") % 2 == 0, target).alias("insertBefore"),
+                    F.when(F.col("o_orderkey") % 2 == 1, target).alias("insertAfter"),
+                    F.array(F.struct(F.lit("line").alias("type"), F.lit("note").alias("id"),
+                                     F.lit("Reviewer note").alias("text"))).alias("items"))
+    doc = F.struct(F.when(F.col("o_orderkey") % 7 == 0, F.lit(2)).otherwise(F.lit(1)).alias("version"),
+                   F.lit("ext").alias("namespace"), F.array(item).alias("extensions"))
+    return j.select(_qid("T", "o_orderkey").alias("template_id"), F.lit(0).alias("apply_order"),
+                    F.to_json(doc).alias("text"))

@@ -275,9 +275,107 @@ def oracle_sql() -> dict[str, str]:
             FROM documents)""",
     }
     q.update(_request_oracles())
+    q.update(_template_oracles())
     return q
 
 
+TOKEN_RE = r'"(?:\\.|[^"\\])*"|&&|\|\||[!(),]|[^ ()!&|,"]+'
+
+LINES = """
+li AS (
+  SELECT 'T' || lpad(CAST(l_orderkey AS VARCHAR), 11, '0') AS tid, l_orderkey AS ok, l_partkey AS pk,
+    l_suppkey AS sk, CAST(row_number() OVER w AS INTEGER) AS ln,
+    CASE WHEN l_quantity > 48 THEN 'dropdown' WHEN l_returnflag = 'R' THEN 'yesno'
+         WHEN l_returnflag = 'A' THEN 'check' ELSE 'line' END AS qtype,
+    l_linestatus = 'O' AS open_line,
+    CASE WHEN row_number() OVER w = 1 THEN NULL
+         WHEN l_discount >= 0.08 THEN 'q_' || l_partkey || '/yes && !(q_' || l_suppkey || ')'
+         WHEN l_tax >= 0.06 THEN 'matches(q_' || l_partkey || '/value, "^[0-9]+$")'
+         WHEN l_quantity < 3 THEN 'q_' || l_partkey || ' & q_' || l_suppkey
+         WHEN l_quantity < 5 THEN '(q_' || l_partkey || ' q_' || l_suppkey || ')'
+         ELSE 'q_' || l_partkey || ' || ^o' || l_orderkey || '_l1' END AS cond,
+    CAST(row_number() OVER w AS INTEGER) AS r
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+                                                        l_quantity, l_discount, l_tax, l_returnflag, l_linestatus)),
+items AS (
+  SELECT DISTINCT tid, 'o' || ok AS item_id, 0 AS ordinal, 0 AS depth, CAST(NULL AS VARCHAR) AS parent_id,
+    'block' AS type, CAST(NULL AS VARCHAR) AS cond FROM li
+  UNION ALL SELECT tid, 'o' || ok || '_l' || ln, 2 * r - 1, 1, 'o' || ok, 'block', cond FROM li
+  UNION ALL SELECT tid, 'q_' || pk, 2 * r, 2, 'o' || ok || '_l' || ln, qtype, NULL FROM li)
+"""
+
+TOKENS = f"""
+tk AS (
+  SELECT tid, item_id, CAST(unnest(range(len(toks))) AS INTEGER) AS pos, unnest(toks) AS token
+  FROM (SELECT tid, item_id, regexp_extract_all(cond, '{TOKEN_RE}') AS toks FROM items
+        WHERE cond IS NOT NULL AND trim(cond) <> '')),
+tokens AS (
+  SELECT tid, item_id, pos, token,
+    CASE WHEN token IN ('&&', '||', ',') THEN 'binop' WHEN token = '!' THEN 'not' WHEN token = '(' THEN 'open'
+         WHEN token = ')' THEN 'close' WHEN starts_with(token, '"') THEN 'string'
+         WHEN token IN ('matches', 'contains') THEN 'func' ELSE 'name' END AS kind
+  FROM tk)
+"""
+
+EXT = """
+ext AS (
+  SELECT 'T' || lpad(CAST(o.o_orderkey AS VARCHAR), 11, '0') AS tid, o.o_orderkey AS ok,
+    o.o_orderkey % 7 = 0 AS bad_version, o.o_orderkey % 2 = 1 AS after,
+    CASE WHEN o.o_orderkey % 11 = 0 THEN 9 WHEN o.o_orderkey % 2 = 1 THEN 1 ELSE m.last END AS target_line
+  FROM orders o JOIN (SELECT l_orderkey, count(*) AS last FROM lineitem GROUP BY l_orderkey) m
+    ON o.o_orderkey = m.l_orderkey),
+tgt AS (SELECT e.*, li.r AS t FROM ext e LEFT JOIN li ON li.ok = e.ok AND li.ln = e.target_line),
+errs AS (
+  SELECT tid, 0 AS apply_order, 'extension version does not match the base template' AS error FROM tgt WHERE bad_version
+  UNION ALL
+  SELECT tid, 0, 'Target item id "o' || ok || '_l' || target_line || '" was not found' FROM tgt WHERE t IS NULL)
+"""
+
+
+def _template_oracles() -> dict[str, str]:
+    lint_sql = _with(LINES, TOKENS, """lagged_tokens AS (SELECT *, lag(kind) OVER (PARTITION BY tid, item_id ORDER BY pos) AS prev
+              FROM tokens)""") + f"""
+        SELECT tid AS template_id, 'q_' || pk AS item_id, 'unknown_type' AS rule, 'dropdown' AS detail FROM li WHERE qtype = 'dropdown'
+        UNION ALL
+        SELECT tid, item_id, 'duplicate_id', CAST(count(*) AS VARCHAR) FROM items GROUP BY tid, item_id HAVING count(*) > 1
+        UNION ALL
+        SELECT tid, 'q_' || pk, 'property', 'yes and no are mandatory' FROM li WHERE qtype = 'yesno' AND NOT open_line
+        UNION ALL
+        SELECT t.tid, t.item_id, 'unknown_reference', t.token FROM tokens t
+        WHERE t.kind = 'name' AND t.token <> 'false' AND NOT EXISTS (
+          SELECT 1 FROM items i WHERE i.tid = t.tid
+            AND i.item_id = regexp_replace(regexp_replace(t.token, '^\\^', ''), '(/yes|/no|/value)$', ''))
+        UNION ALL
+        SELECT tid, item_id, 'invalid_condition', 'unterminated string or stray character' FROM items
+        WHERE cond IS NOT NULL AND trim(cond) <> '' AND trim(regexp_replace(cond, '{TOKEN_RE}', '', 'g')) <> ''
+        UNION ALL
+        SELECT tid, item_id, 'invalid_condition', 'missing operator' FROM lagged_tokens
+        WHERE (kind IN ('name', 'string', 'func')) AND prev IN ('name', 'string', 'func', 'close')"""
+    merged = _with(LINES, EXT, """good AS (SELECT * FROM tgt WHERE NOT bad_version AND t IS NOT NULL)""") + """
+        SELECT i.tid AS template_id, i.item_id,
+          CAST(CASE WHEN i.depth = 0 THEN 0
+                    WHEN (g.after AND li.r <= g.t) OR (NOT g.after AND li.r < g.t) THEN i.ordinal
+                    ELSE i.ordinal + 2 END AS INTEGER) AS ordinal,
+          i.depth, i.parent_id, i.type, 'base' AS source
+        FROM items i JOIN good g ON i.tid = g.tid
+        LEFT JOIN li ON li.tid = i.tid AND ((i.depth = 1 AND i.item_id = 'o' || li.ok || '_l' || li.ln)
+                                         OR (i.depth = 2 AND i.parent_id = 'o' || li.ok || '_l' || li.ln))
+        UNION ALL
+        SELECT tid, 'ext:review', CAST(CASE WHEN after THEN 2 * t + 1 ELSE 2 * t - 1 END AS INTEGER), 1, 'o' || ok,
+          'block', 'extension' FROM good
+        UNION ALL
+        SELECT tid, 'ext:note', CAST(CASE WHEN after THEN 2 * t + 2 ELSE 2 * t END AS INTEGER), 2, 'ext:review',
+          'line', 'extension' FROM good"""
+    return {
+        "flatten_template": _with(LINES) + """SELECT tid AS template_id, item_id, CAST(ordinal AS INTEGER) AS ordinal,
+            CAST(depth AS INTEGER) AS depth, parent_id, type, cond FROM items""",
+        "condition_tokens": _with(LINES, TOKENS) + "SELECT tid AS template_id, item_id, pos, token, kind FROM tokens",
+        "template_lint": lint_sql,
+        "merge_templates": merged,
+        "merge_errors": _with(LINES, EXT) + "SELECT tid AS template_id, CAST(apply_order AS INTEGER) AS apply_order, error FROM errs",
+    }
+
+
 REQ = """
 r AS (SELECT ts, 'client' || CAST(user_id AS VARCHAR) AS client, 'gw' || CAST(user_id % 2 AS VARCHAR) AS gateway,
     '/' || CASE event_type WHEN 'purchase' THEN 'submit' WHEN 'click' THEN 'savedraft' ELSE event_type END AS path,

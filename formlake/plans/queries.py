@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlake.functions.text import action_items, sanitize
-from formlake.operators import audit, diff, requests, store
+from formlake.functions import conditions
+from formlake.operators import audit, diff, lint, merge, requests, store
 from formlake.operators.evaluate import CompiledTemplate, load_items
 from formlake.operators.templates import flatten_templates, templates_from_texts
 from formlake.plans import adapters as ad
@@ -248,3 +249,36 @@ def autosave_batches(spark, sf_dir):
 @query
 def review_notices(spark, sf_dir):
     return requests.review_notices(ad.submission_log(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Templates at scale: one generated template per order
+# ---------------------------------------------------------------------------
+@query
+def flatten_template(spark, sf_dir):
+    items = flatten_templates(ad.order_templates(spark, sf_dir))
+    return items.select("template_id", "item_id", "ordinal", "depth", "parent_id", "type", "cond")
+
+
+@query
+def template_lint(spark, sf_dir):
+    return lint.lint_templates(flatten_templates(ad.order_templates(spark, sf_dir)))
+
+
+@query
+def condition_tokens(spark, sf_dir):
+    items = flatten_templates(ad.order_templates(spark, sf_dir))
+    return conditions.condition_tokens(items).select("template_id", "item_id",
+                                                     F.col("pos").cast("int").alias("pos"), "token", "kind")
+
+
+@query
+def merge_templates(spark, sf_dir):
+    items, _ = merge.merge_templates(ad.order_templates(spark, sf_dir), ad.order_extensions(spark, sf_dir))
+    return items.select("template_id", "item_id", "ordinal", "depth", "parent_id", "type", "source")
+
+
+@query
+def merge_errors(spark, sf_dir):
+    _, errors = merge.merge_templates(ad.order_templates(spark, sf_dir), ad.order_extensions(spark, sf_dir))
+    return errors
