@@ -132,6 +132,20 @@ def _rows_of_item(x: Column, path: Column, parent_id: Column, parent_type: Colum
     return F.concat(F.array(me), choices, default)
 
 
+_LEVEL_ROWS: dict = {}
+
+
+def _level_rows(deepest: bool) -> Column:
+    """The per-level generator, built once per process (it only refers to column names)."""
+    from pyspark import SparkContext
+
+    key = (id(SparkContext._active_spark_context), deepest)
+    if key not in _LEVEL_ROWS:
+        _LEVEL_ROWS[key] = F.inline(_rows_of_item(F.col("x"), F.col("path"), F.col("pid"), F.col("ptype"),
+                                                  F.col("anc"), deepest=deepest))
+    return _LEVEL_ROWS[key]
+
+
 def array_depth(templates: DataFrame) -> int:
     """Deepest JSON array nesting over all templates (strings ignored): an upper bound on the
     number of item levels. One aggregation job; only the maximum reaches the driver."""
@@ -166,8 +180,7 @@ def flatten_templates(templates: DataFrame, max_depth: int = MAX_DEPTH, field: s
                        F.posexplode(F.from_json("raw", arr)).alias("pos", "x"))
                .select("template_id", "version", "anc", "pid", "ptype",
                        F.concat("path", F.array("pos")).alias("path"), "x"))
-        rows = lvl.select("template_id", "version", F.inline(_rows_of_item(
-            F.col("x"), F.col("path"), F.col("pid"), F.col("ptype"), F.col("anc"), deepest=depth == max_depth - 1)))
+        rows = lvl.select("template_id", "version", _level_rows(depth == max_depth - 1))
         levels.append(rows)
         iid = _item_id(F.col("x"), F.col("path"))
         frontier = lvl.where(F.col("x.items").isNotNull()).select(

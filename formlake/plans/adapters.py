@@ -44,9 +44,9 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(user, F.lit("@example.com")).alias("submitter_email"))
 
 
-def submission_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def submission_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """EVENT_LOG from events: every event saves a version of its user's submission; errors delete it."""
-    e = table(spark, sf_dir, "events")
+    e = events if events is not None else table(spark, sf_dir, "events")
     status = (F.when(F.col("event_type") == "signup", "Draft").when(F.col("event_type") == "view", "Submitted")
               .when(F.col("event_type") == "click", "In Review").when(F.col("event_type") == "purchase", "Approved"))
     answer = F.concat(F.lit('{"'), F.col("event_type"), F.lit('": "'), _k().cast("string"), F.lit('"}'))
@@ -62,9 +62,10 @@ def submission_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("event_ts"))
 
 
-def answer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answer_changes(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """CHANGES for the shipped vendor template: one answer change per event (rule by event type)."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", _k().alias("k"))
+    e = (events if events is not None else table(spark, sf_dir, "events")).select(
+        "user_id", "event_id", "ts", "event_type", _k().alias("k"))
     k = F.col("k")
     t = F.col("event_type")
     key = (F.when(t == "signup", "has_policy")
@@ -86,9 +87,9 @@ def answer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("ts").alias("ts"), F.col("event_id").alias("seq"))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """REQUESTS from events: client = user (behind one of two gateways), path = event type, body size = value."""
-    e = table(spark, sf_dir, "events")
+    e = events if events is not None else table(spark, sf_dir, "events")
     path = F.concat(F.lit("/"), F.when(F.col("event_type") == "purchase", "submit")
                     .when(F.col("event_type") == "click", "savedraft").otherwise(F.col("event_type")))
     ctype = F.when(F.col("event_id") % 3 == 0, "application/json").otherwise("application/x-www-form-urlencoded")

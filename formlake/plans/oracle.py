@@ -276,6 +276,14 @@ def oracle_sql() -> dict[str, str]:
     }
     q.update(_request_oracles())
     q.update(_template_oracles())
+    # Streaming twins must give the batch result.
+    for stream, batch in [("answers_stream", "merge_answers"), ("autosave_stream", "autosave_batches"),
+                          ("audit_stream", "audit_log"), ("sessions_stream", "user_sessions"),
+                          ("oversized_stream", "oversized_requests")]:
+        q[stream] = q[batch]
+    q["rate_limit_stream"] = _with(REQ) + """SELECT gateway, date_trunc('day', ts) AS window_start,
+            count(*) AS n_requests, count(*) - 200 AS rejected FROM r
+            GROUP BY gateway, date_trunc('day', ts) HAVING count(*) > 200"""
     return q
 
 

@@ -18,6 +18,7 @@ from formlake.operators import audit, diff, lint, merge, requests, store
 from formlake.operators.evaluate import CompiledTemplate, load_items
 from formlake.operators.templates import flatten_templates, templates_from_texts
 from formlake.plans import adapters as ad
+from formlake.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -278,6 +279,69 @@ def merge_templates(spark, sf_dir):
     return items.select("template_id", "item_id", "ordinal", "depth", "parent_id", "type", "source")
 
 
+@query
+def answers_stream(spark, sf_dir):
+    """M1/M9 on a stream of change events; same result as ``merge_answers``."""
+    ch = ad.answer_changes(spark, sf_dir, streams.read_stream(spark, sf_dir, "events.parquet"))
+    items = vendor_items(spark)
+    out = streams.run_to_table(spark, "answers", lambda base: streams.answers_stream(ch, items, base),
+                               streams.compact_latest)
+    return streams.to_ntz(_or_empty(spark, out, "qid string, key string, value string").select("qid", "key", "value"))
+
+
+@query
+def autosave_stream(spark, sf_dir):
+    """M2 on a stream; same result as ``autosave_batches``."""
+    ch = ad.answer_changes(spark, sf_dir, streams.read_stream(spark, sf_dir, "events.parquet"))
+    out = streams.run_to_table(spark, "autosave", lambda base: streams.autosave_stream(ch, base),
+                               streams.compact(["qid", "batch_start", "key"]))
+    return _or_empty(spark, out, "qid string, batch_start timestamp_ntz, key string, value string, seq bigint")
+
+
+@query
+def audit_stream(spark, sf_dir):
+    """M3: audit rows from a streamed log with per-qid state; same result as ``audit_log``."""
+    log = ad.submission_log(spark, sf_dir, streams.read_stream(spark, sf_dir, "events.parquet"))
+    out = streams.run_to_table(spark, "audit", lambda base: streams.audit_stream(log, base))
+    out = _or_empty(spark, out, streams.AUDIT_OUT)
+    return out.select("audit_id", "qid", "app_status", "user_name",
+                      F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "answer",
+                      F.col("audit_timestamp").cast("timestamp_ntz").alias("audit_timestamp"))
+
+
+@query
+def sessions_stream(spark, sf_dir):
+    """M7 on a stream; same result as ``user_sessions``."""
+    req = ad.requests(spark, sf_dir, streams.read_stream(spark, sf_dir, "events.parquet"))
+    out = streams.run_to_table(spark, "sessions", lambda base: streams.sessions_stream(req, base),
+                               streams.compact(["client", "session_start"]))
+    return _or_empty(spark, out, "client string, session_start timestamp_ntz, session_end timestamp_ntz, "
+                                 "n_requests bigint")
+
+
+@query
+def oversized_stream(spark, sf_dir):
+    """M8 on a stream; same result as ``oversized_requests``."""
+    req = ad.requests(spark, sf_dir, streams.read_stream(spark, sf_dir, "events.parquet"))
+    out = streams.run_to_table(spark, "oversized", lambda base: streams.oversized_stream(req, base))
+    return _or_empty(spark, out, "ts timestamp_ntz, client string, path string, content_length bigint, "
+                                 "max_length bigint")
+
+
+@query
+def rate_limit_stream(spark, sf_dir):
+    """M6 on a stream: gateway-days over the daily budget."""
+    req = ad.requests(spark, sf_dir, streams.read_stream(spark, sf_dir, "events.parquet"))
+    out = streams.run_to_table(spark, "ratelimit",
+                               lambda base: streams.rate_limit_stream(req, base, "day", client="gateway"),
+                               streams.compact(["gateway", "window_start"]))
+    return _or_empty(spark, out, "gateway string, window_start timestamp_ntz, n_requests bigint, rejected bigint")
+
+
+def _or_empty(spark, df, schema):
+    return streams.to_ntz(df) if df is not None else spark.createDataFrame([], schema)
+
+
 @query
 def merge_errors(spark, sf_dir):
     _, errors = merge.merge_templates(ad.order_templates(spark, sf_dir), ad.order_extensions(spark, sf_dir))
