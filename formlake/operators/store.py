@@ -64,8 +64,8 @@ def current_state(log: DataFrame) -> DataFrame:
 # Answers → submission columns, defaults
 # ---------------------------------------------------------------------------
 def submission_columns(df: DataFrame, answers: str = "answers", ts: Column | None = None,
-                       namespace: str = TRACKER_NAMESPACE) -> DataFrame:
-    """B1: the 13 stored columns from an answer map (tid/pid from namespaced keys)."""
+                       namespace: str = TRACKER_NAMESPACE, keep: list[Column] | tuple = ()) -> DataFrame:
+    """B1: the 13 stored columns from an answer map (tid/pid from namespaced keys), plus ``keep``."""
     a = F.col(answers)
     return df.select(
         sanitize(a["qid"]).alias("qid"),
@@ -81,6 +81,7 @@ def submission_columns(df: DataFrame, answers: str = "answers", ts: Column | Non
         F.lit(None).cast("string").alias("comments"),
         F.coalesce(action_items(a), F.lit("")).alias("action_items"),
         sanitize(a["login_userMail"]).alias("submitter_email"),
+        *keep,
     )
 
 

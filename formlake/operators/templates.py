@@ -159,13 +159,19 @@ def array_depth(templates: DataFrame) -> int:
     return int(got or 0)
 
 
-def flatten_templates(templates: DataFrame, max_depth: int = MAX_DEPTH, field: str = "questionnaire") -> DataFrame:
+def flatten_templates(templates: DataFrame, max_depth: int = MAX_DEPTH, field: str = "questionnaire",
+                      materialize: bool = True) -> DataFrame:
     """F1 + F10: ITEM rows (see ``schemas.ITEM``) plus ``has_id``/``overflow`` checks.
 
     ``templates`` has ``template_id`` and ``text`` (normalised JSON). Each level parses only
-    the raw ``items`` text of the level above; the loop stops at the first empty level (one
-    small job per level). Ordinals are the pre-order rank of the item path per template.
+    the raw ``items`` text of the level above. With ``materialize`` every parsed level is
+    checkpointed to the reliable checkpoint folder, so each JSON text is parsed once and the
+    loop stops at the first empty level; without it (a handful of small templates) the number
+    of levels comes from one bracket-depth scan and nothing is written. Ordinals are the
+    pre-order rank of the item path per template.
     """
+    from formlake.session import cut_lineage
+
     arr = ArrayType(_item_struct())
     top = templates.select("template_id", F.from_json("text", TOP_SCHEMA).alias("t"))
     frontier = top.select("template_id", F.col("t.version").alias("version"),
@@ -173,19 +179,23 @@ def flatten_templates(templates: DataFrame, max_depth: int = MAX_DEPTH, field: s
                           F.lit(None).cast("string").alias("ptype"), F.array().cast("array<string>").alias("anc"),
                           F.col("t")[field].alias("raw"))
     levels = []
-    levels_needed = min(max_depth, max(1, array_depth(templates)))
+    levels_needed = max_depth if materialize else min(max_depth, max(1, array_depth(templates)))
     for depth in range(levels_needed):
         lvl = (frontier.where(F.col("raw").isNotNull())
                .select("template_id", "version", "path", "pid", "ptype", "anc",
                        F.posexplode(F.from_json("raw", arr)).alias("pos", "x"))
                .select("template_id", "version", "anc", "pid", "ptype",
                        F.concat("path", F.array("pos")).alias("path"), "x"))
+        if materialize:
+            lvl = cut_lineage(lvl)
         rows = lvl.select("template_id", "version", _level_rows(depth == max_depth - 1))
         levels.append(rows)
         iid = _item_id(F.col("x"), F.col("path"))
         frontier = lvl.where(F.col("x.items").isNotNull()).select(
             "template_id", "version", "path", iid.alias("pid"), F.col("x.type").alias("ptype"),
             F.concat("anc", F.array(iid)).alias("anc"), F.col("x.items").alias("raw"))
+        if materialize and frontier.isEmpty():
+            break
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)

@@ -18,6 +18,7 @@ from formlake.operators import audit, diff, lint, merge, requests, store
 from formlake.operators.evaluate import CompiledTemplate, load_items
 from formlake.operators.templates import flatten_templates, templates_from_texts
 from formlake.plans import adapters as ad
+from formlake.session import cut_lineage
 from formlake.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +48,7 @@ def _vendor_item_rows(spark: SparkSession):
     """Flatten the shipped template once per process; it is configuration of bounded size."""
     text = vendor_template_text()
     if text not in _ITEMS:
-        df = flatten_templates(templates_from_texts(spark, {VENDOR_TEMPLATE: text}))
+        df = flatten_templates(templates_from_texts(spark, {VENDOR_TEMPLATE: text}), materialize=False)
         _ITEMS[text] = (df.schema, load_items(df))
     return _ITEMS[text]
 
@@ -263,7 +264,8 @@ def flatten_template(spark, sf_dir):
 
 @query
 def template_lint(spark, sf_dir):
-    return lint.lint_templates(flatten_templates(ad.order_templates(spark, sf_dir)))
+    items = cut_lineage(flatten_templates(ad.order_templates(spark, sf_dir)))  # read by every rule
+    return lint.lint_templates(items)
 
 
 @query
