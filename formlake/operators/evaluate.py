@@ -90,8 +90,17 @@ class CompiledTemplate(Resolver):
         self._levels = self._dependency_levels()
 
     # -- names of the helper columns ------------------------------------------------
+    prefix = ""
+
     def _cname(self, item_id: str) -> str:
-        return f"__cond_{self.items[item_id].idx}"
+        return f"__{self.prefix}cond_{self.items[item_id].idx}"
+
+    def over(self, answers: str, prefix: str) -> CompiledTemplate:
+        """The same template evaluated over another answers column (helper columns renamed)."""
+        other = CompiledTemplate.__new__(CompiledTemplate)
+        other.__dict__.update(self.__dict__)
+        other.answers, other.prefix = answers, prefix
+        return other
 
     # -- values (B13, B14) ------------------------------------------------------------
     def raw(self, item_id: str) -> Column:

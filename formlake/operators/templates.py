@@ -1,10 +1,10 @@
 """Template processing: normalise, flatten, check.
 
 A template is a recursive JSON tree. Spark has no recursive types, so ``flatten_templates``
-parses each template once with a nested schema of bounded depth and emits every item (and
-every group choice) with higher-order functions inside the template's own row. Sorting that
-row-local array by the item path gives the pre-order ordinal, so flattening is a narrow
-projection: no shuffle however many templates there are.
+works level by level: each level parses the raw JSON text of the ``items`` arrays of the
+level above (``from_json`` with the item schema, nested ``items`` kept as text) and emits
+every item and every group choice with one generator. Item paths (array of positions) give
+the pre-order ordinal with one window per template.
 """
 
 from __future__ import annotations

@@ -129,12 +129,63 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(p.strip() for p in parts) + "\n"
 
 
-def _visibility_union() -> str:
-    sel = [f"SELECT qid, '{i}' AS item_id, CAST({o} AS INTEGER) AS ordinal, ({s}) AS shown, ({v}) AS visible FROM a"
-           for i, o, s, v in VENDOR_ITEMS]
+def _visibility_union(src: str = "a", extra: str = "") -> str:
+    sel = [f"SELECT qid, {extra}'{i}' AS item_id, CAST({o} AS INTEGER) AS ordinal, ({s}) AS shown, ({v}) AS visible "
+           f"FROM {src}" for i, o, s, v in VENDOR_ITEMS]
     return "\nUNION ALL\n".join(sel)
 
 
+VALUE_ITEM_TYPES = [("vendor_code", "line"), ("has_policy", "yesno"), ("tip_policy", "tip"), ("uses_cloud", "check"),
+                    ("tier_shared", "radio"), ("tier_dedicated", "radio"), ("tier_onprem", "radio"),
+                    ("tip_shared", "tip"), ("isolation_notes", "box"), ("incident_log", "box"), ("tip_sev1", "tip"),
+                    ("tip_tracked", "tip"), ("ir_team", "radio"), ("ir_none", "radio"), ("tip_ir", "tip"),
+                    ("reviewer_comment", "box"), ("cert_iso", "check"), ("cert_soc", "check"),
+                    ("certs_none", "check"), ("evidence", "upload"), ("tip_nocert", "tip")]
+ALL_IDS = ", ".join(f"('{i}')" for i, *_ in VENDOR_ITEMS)
+
+VERSIONS = """
+pe AS (SELECT qid, ts, seq,
+    max(CASE WHEN key = 'vendor_code' THEN value END) AS k_vc, max(CASE WHEN key = 'has_policy' THEN value END) AS k_hp,
+    max(CASE WHEN key = 'uses_cloud' THEN value END) AS k_uc, max(CASE WHEN key = 'cert_iso' THEN value END) AS k_iso,
+    max(CASE WHEN key = 'tier_shared' THEN value END) AS k_sh, max(CASE WHEN key = 'tier_dedicated' THEN value END) AS k_de,
+    max(CASE WHEN key = 'incident_log' THEN value END) AS k_il
+  FROM ch GROUP BY qid, ts, seq),
+run AS (SELECT qid, ts, seq, last_value(k_vc IGNORE NULLS) OVER w AS r_vc, last_value(k_hp IGNORE NULLS) OVER w AS r_hp,
+    last_value(k_uc IGNORE NULLS) OVER w AS r_uc, last_value(k_iso IGNORE NULLS) OVER w AS r_iso,
+    last_value(k_sh IGNORE NULLS) OVER w AS r_sh, last_value(k_de IGNORE NULLS) OVER w AS r_de,
+    last_value(k_il IGNORE NULLS) OVER w AS r_il
+  FROM pe WINDOW w AS (PARTITION BY qid ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+av AS (SELECT qid, ts, seq, coalesce(r_vc, '') AS vc, CASE WHEN r_hp IN ('yes', 'no') THEN r_hp ELSE '' END AS hp,
+    coalesce(r_uc, '') = 'checked' AS uc, coalesce(r_iso, '') = 'checked' AS iso,
+    coalesce(r_sh, '') = 'checked' AS sh, coalesce(r_de, '') = 'checked' AS de, coalesce(r_il, '') AS il FROM run)
+"""
+
+
+def _answer_oracles() -> dict[str, str]:
+    types = ", ".join(f"('{i}', '{t}')" for i, t in VALUE_ITEM_TYPES)
+    diff_rows = """SELECT lv.qid, lv.key, lv.value AS current_value, sv.value AS saved_value
+            FROM lv LEFT JOIN sv ON lv.qid = sv.qid AND lv.key = sv.key
+            WHERE NOT starts_with(lv.key, 'q_version') AND lv.value IS DISTINCT FROM sv.value"""
+    sv = f"""sv AS (SELECT qid, key, value FROM (SELECT *, row_number() OVER
+              (PARTITION BY qid, key ORDER BY ts DESC, seq DESC) AS rn FROM ch WHERE ts < TIMESTAMP '{SAVED_CUTOFF}')
+              WHERE rn = 1)"""
+    return {
+        "answer_items": _with(CHANGES, f"it(key, type) AS (VALUES {types})")
+        + "SELECT lv.qid, lv.key, it.type, lv.value FROM lv JOIN it ON lv.key = it.key",
+        "unknown_answers": _with(LOG, f"ids(item_id) AS (VALUES {ALL_IDS})") + """SELECT l.qid, l.seq,
+              e.event_type AS key, CAST(CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS VARCHAR) AS value
+            FROM log l JOIN events e ON l.seq = e.event_id
+            WHERE e.event_type NOT IN (SELECT item_id FROM ids)""",
+        "diff_toc": _with(CHANGES, sv, f"vis AS ({_visibility_union()})", f"d AS ({diff_rows})")
+        + "SELECT d.* FROM d JOIN vis ON d.qid = vis.qid AND d.key = vis.item_id WHERE vis.visible",
+        "visibility_transitions": _with(CHANGES, VERSIONS, f"vis AS ({_visibility_union('av', 'ts, seq, ')})",
+                                        """lagged AS (SELECT qid, seq, item_id, visible,
+              lag(visible) OVER (PARTITION BY qid, item_id ORDER BY ts, seq) AS was FROM vis)""")
+        + """SELECT qid, seq, item_id, CASE WHEN visible THEN 'SHOWN' ELSE 'HIDDEN' END AS event
+            FROM lagged WHERE was IS NOT NULL AND visible <> was""",
+    }
+
+
 def _vis_of(item):
     for i, o, s, v in VENDOR_ITEMS:
         if i == item:
@@ -276,6 +327,7 @@ def oracle_sql() -> dict[str, str]:
     }
     q.update(_request_oracles())
     q.update(_template_oracles())
+    q.update(_answer_oracles())
     # Streaming twins must give the batch result.
     for stream, batch in [("answers_stream", "merge_answers"), ("autosave_stream", "autosave_batches"),
                           ("audit_stream", "audit_log"), ("sessions_stream", "user_sessions"),

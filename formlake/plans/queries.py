@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from formlake.functions.text import action_items, sanitize
 from formlake.functions import conditions
-from formlake.operators import audit, diff, lint, merge, requests, store
+from formlake.operators import answers, audit, diff, lint, merge, requests, store
+from formlake.schemas import VALUE_TYPES
 from formlake.operators.evaluate import CompiledTemplate, load_items
 from formlake.operators.templates import flatten_templates, templates_from_texts
 from formlake.plans import adapters as ad
@@ -344,6 +345,43 @@ def _or_empty(spark, df, schema):
     return streams.to_ntz(df) if df is not None else spark.createDataFrame([], schema)
 
 
+@query
+def answer_items(spark, sf_dir):
+    """Merged answers matched to the template's value items."""
+    items = vendor_items(spark)
+    latest = store.latest_values(store.radio_exclusive(ad.answer_changes(spark, sf_dir), items))
+    return answers.answer_items(latest.select("qid", "key", "value"), items).select("qid", "key", "type", "value")
+
+
+@query
+def unknown_answers(spark, sf_dir):
+    """Keys of every stored version's answer JSON that name no template item."""
+    log = ad.submission_log(spark, sf_dir)
+    long = log.select("qid", "seq", F.explode(F.from_json("answer", "map<string,string>")).alias("key", "value"))
+    return answers.unknown_answers(long, vendor_items(spark)).select("qid", "seq", "key", "value")
+
+
+@query
+def diff_toc(spark, sf_dir):
+    """K2: changed answers whose item is displayed for the current answers."""
+    changes = store.radio_exclusive(ad.answer_changes(spark, sf_dir), vendor_items(spark))
+    current = store.latest_values(changes).select("qid", "key", "value")
+    saved = store.latest_values(changes.where(F.col("ts") < F.lit(SAVED_CUTOFF).cast("timestamp")))
+    d = diff.answer_diff(current, saved.select("qid", "key", "value"))
+    amap, tpl = _vendor_answers(spark, sf_dir)
+    return answers.diff_toc(d, tpl.item_visibility(amap, ["qid"]))
+
+
+@query
+def visibility_transitions(spark, sf_dir):
+    """Items shown or hidden by each change event."""
+    _, rows = _vendor_item_rows(spark)
+    tpl = CompiledTemplate(rows)
+    changes = store.radio_exclusive(ad.answer_changes(spark, sf_dir), vendor_items(spark))
+    keys = [i for i in tpl.order if tpl.items[i].type in VALUE_TYPES]
+    return answers.visibility_transitions(answers.answer_versions(changes, keys), tpl)
+
+
 @query
 def merge_errors(spark, sf_dir):
     _, errors = merge.merge_templates(ad.order_templates(spark, sf_dir), ad.order_extensions(spark, sf_dir))
