@@ -6,10 +6,11 @@ long ``(qid, key, value)`` or a map column, partitioned by qid.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formlake.operators.evaluate import CompiledTemplate
+from formlake.operators.windows import carry_forward, time_bucket, with_previous
 from formlake.schemas import VALUE_TYPES
 
 NO_VALUE_TYPES = ["block", "info", "spacer", "checkgroup", "radiogroup"]
@@ -52,9 +53,8 @@ def answer_versions(changes: DataFrame, keys: list[str]) -> DataFrame:
     """
     per_event = changes.groupBy("qid", "ts", "seq").agg(
         *[F.max(F.when(F.col("key") == k, F.col("value"))).alias(f"_k{i}") for i, k in enumerate(keys)])
-    w = Window.partitionBy("qid").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = per_event.select("qid", "ts", "seq",
-                               *[F.last(f"_k{i}", ignorenulls=True).over(w).alias(f"_k{i}") for i in range(len(keys))])
+    carried = carry_forward(per_event, ["qid"], ["ts", "seq"], [f"_k{i}" for i in range(len(keys))],
+                            time_bucket("ts"))
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"_k{i}").alias("value")) for i, k in enumerate(keys)])
     return carried.select("qid", "ts", "seq",
                           F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("answers"))
@@ -66,8 +66,8 @@ def visibility_transitions(versions: DataFrame, tpl: CompiledTemplate) -> DataFr
     The previous version's answers are brought into the same row with ``lag`` over the qid's
     versions, both are evaluated in one projection, and only differences are exploded.
     """
-    w = Window.partitionBy("qid").orderBy("ts", "seq")
-    pairs = versions.withColumn("prev_answers", F.lag("answers").over(w)).where(F.col("prev_answers").isNotNull())
+    pairs = (with_previous(versions, ["qid"], ["ts", "seq"], ["answers"], time_bucket("ts"))
+             .withColumn("prev_answers", F.col("_prev.answers")).where(F.col("_prev").isNotNull()).drop("_prev"))
     before = tpl.over("prev_answers", "p")
     evaluated = before.with_conditions(tpl.over(tpl.answers, "").with_conditions(pairs))
     flips = [F.struct(F.lit(i).alias("item_id"), tpl.visible(i).alias("now"), before.visible(i).alias("was"))

@@ -8,9 +8,10 @@ becomes an audit row stamped with the time of that next event.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formlake.operators.windows import time_bucket, with_next, with_previous
 from formlake.schemas import SUBMISSION_COLUMNS
 
 # Allowed status transitions (from, to); None = new submission. Fixed values of the lifecycle.
@@ -27,10 +28,11 @@ _ORDER = ["event_ts", "seq"]
 
 
 def _with_previous(log: DataFrame) -> DataFrame:
-    """Attach the previous event of the same qid (``_prev`` struct) in log order."""
-    w = Window.partitionBy("qid").orderBy(*_ORDER)
-    prev = F.lag(F.struct(*[c for c in log.columns])).over(w)
-    return log.withColumn("_prev", prev)
+    """Attach the previous event of the same qid (``_prev`` struct) in log order.
+
+    Skew-safe: a busy qid is split into daily buckets (``windows.with_previous``).
+    """
+    return with_previous(log, ["qid"], _ORDER, log.columns, time_bucket("event_ts"))
 
 
 def audit_log(log: DataFrame) -> DataFrame:
@@ -78,8 +80,7 @@ def latest_saved(audit: DataFrame, current: DataFrame) -> DataFrame:
 
 def version_intervals(log: DataFrame) -> DataFrame:
     """Each saved version with ``valid_from`` and ``valid_to`` (next event of the qid, or null)."""
-    w = Window.partitionBy("qid").orderBy(*_ORDER)
-    return (log.withColumn("valid_to", F.lead("event_ts").over(w))
+    return (with_next(log, ["qid"], _ORDER, "event_ts", time_bucket("event_ts"), "valid_to")
             .where(F.col("op") != "delete")
             .withColumn("valid_from", F.col("event_ts")))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formlake.operators.windows import time_bucket, with_previous
+
 
 def answer_diff(current: DataFrame, saved: DataFrame, keys=("qid",)) -> DataFrame:
     """Keys of the *current* answers whose value differs from the saved one.
@@ -39,9 +41,10 @@ def revision_diff(changes: DataFrame) -> DataFrame:
 
     Events that re-write the same value are not differences.
     """
-    w = Window.partitionBy("qid", "key").orderBy("ts", "seq")
-    p = changes.withColumn("old_value", F.lag("value").over(w)).withColumn("_n", F.row_number().over(w))
-    kind = F.when(F.col("_n") == 1, F.lit("added")).when(~F.col("value").eqNullSafe(F.col("old_value")), F.lit("changed"))
+    p = with_previous(changes, ["qid", "key"], ["ts", "seq"], ["value"], time_bucket("ts"))
+    p = p.withColumn("old_value", F.col("_prev.value"))
+    kind = (F.when(F.col("_prev").isNull(), F.lit("added"))
+            .when(~F.col("value").eqNullSafe(F.col("old_value")), F.lit("changed")))
     return (p.withColumn("change", kind).where(F.col("change").isNotNull())
             .select("qid", "key", "seq", "ts", "old_value", F.col("value").alias("new_value"), "change"))
 

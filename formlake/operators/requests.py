@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formlake.functions.text import valid_username
+from formlake.operators.windows import with_row_number
 from formlake.session import cut_lineage
 
 # ---------------------------------------------------------------------------
@@ -41,9 +42,11 @@ def rate_limit_violations(requests: DataFrame, limits: dict[str, int] | None = N
     """
     lim = limits or RATE_LIMITS
     out = requests
-    for unit in ("hour", "day"):
-        w = Window.partitionBy(client, F.date_trunc(unit, "ts")).orderBy("ts", "seq")
-        out = out.withColumn(f"rank_{unit}", F.row_number().over(w).cast("long"))
+    # rank inside the window; a busy client's window is split further (hours of a day, minutes of an hour)
+    for unit, finer in (("hour", "minute"), ("day", "hour")):
+        out = (with_row_number(out.withColumn("_w", F.date_trunc(unit, "ts")), [client, "_w"], ["ts", "seq"],
+                               F.date_trunc(finer, "ts"), f"rank_{unit}")
+               .withColumn(f"rank_{unit}", F.col(f"rank_{unit}").cast("long")).drop("_w"))
     return (out.where((F.col("rank_hour") > lim["hour"]) | (F.col("rank_day") > lim["day"]))
             .select(client, "seq", "ts", "rank_hour", "rank_day"))
 
