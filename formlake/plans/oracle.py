@@ -328,6 +328,8 @@ def oracle_sql() -> dict[str, str]:
     q.update(_request_oracles())
     q.update(_template_oracles())
     q.update(_answer_oracles())
+    q["export_roundtrip"] = """SELECT CAST(NULL AS VARCHAR) AS template_id, CAST(NULL AS VARCHAR) AS item_id,
+            CAST(NULL AS VARCHAR) AS change, CAST(NULL AS VARCHAR) AS fields WHERE FALSE"""
     # Streaming twins must give the batch result.
     for stream, batch in [("answers_stream", "merge_answers"), ("autosave_stream", "autosave_batches"),
                           ("audit_stream", "audit_log"), ("sessions_stream", "user_sessions"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from formlake.functions.text import action_items, sanitize
 from formlake.functions import conditions
-from formlake.operators import answers, audit, diff, lint, merge, requests, store
+from formlake.operators import answers, audit, diff, export, lint, merge, requests, store
 from formlake.schemas import VALUE_TYPES
 from formlake.operators.evaluate import CompiledTemplate, load_items
 from formlake.operators.templates import flatten_templates, templates_from_texts
@@ -382,6 +382,16 @@ def visibility_transitions(spark, sf_dir):
     return answers.visibility_transitions(answers.answer_versions(changes, keys), tpl)
 
 
+@query
+def export_roundtrip(spark, sf_dir):
+    """Flatten, export back to JSON, flatten again; the template diff must be empty."""
+    items = cut_lineage(flatten_templates(ad.order_templates(spark, sf_dir)))
+    exported = export.export_templates(items).withColumnRenamed("json", "text")
+    again = flatten_templates(exported)
+    return export.template_diff(items, again).select("template_id", "item_id", "change",
+                                                     F.array_join("fields", ",").alias("fields"))
+
+
 @query
 def merge_errors(spark, sf_dir):
     _, errors = merge.merge_templates(ad.order_templates(spark, sf_dir), ad.order_extensions(spark, sf_dir))

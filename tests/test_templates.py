@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from formlake.operators.lint import lint_templates
 from formlake.operators.merge import merge_templates
 from formlake.operators.templates import flatten_templates, root_issues, templates_from_texts
@@ -109,3 +111,21 @@ def test_merge_errors(spark):
     assert errors == ["extension version does not match the base template"]
     ids, errors = _merge(spark, [_ext(1, [{"type": "line", "id": "x", "text": "X", "insertAfter": "nope"}])])
     assert ids == [] and "was not found" in errors[0]
+
+
+def test_export_round_trip_and_diff(spark):
+    from formlake.operators.export import export_templates, template_diff
+    from formlake.plans.queries import vendor_template_text
+
+    cols = ["item_id", "ordinal", "depth", "parent_id", "type", "text", "cond", "warn", "severity", "todo",
+            "required", "maxlength", "default_choice", "is_choice"]
+    items = flatten_templates(templates_from_texts(spark, {"small": SMALL_TEXT, "vendor": vendor_template_text()}),
+                              materialize=False)
+    exported = export_templates(items).withColumnRenamed("json", "text")
+    again = flatten_templates(exported, materialize=False)
+    key = lambda df: sorted(tuple(r) for r in df.select("template_id", *cols).collect())
+    assert key(again) == key(items)
+    assert template_diff(items, again).count() == 0
+    changed = items.withColumn("text", F.when(F.col("item_id") == "flag", "changed").otherwise(F.col("text")))
+    d = {(r.item_id, r.change) for r in template_diff(items, changed.where("item_id <> 'tip1'")).collect()}
+    assert d == {("flag", "changed"), ("tip1", "removed")}
