@@ -10,6 +10,7 @@ submissions: no shuffle, no Python UDF.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -22,6 +23,66 @@ from formlake.functions.text import tip_severity, truthy
 MAX_TEMPLATE_ITEMS = 20000  # a template is configuration, not data
 
 
+# ---------------------------------------------------------------------------
+# Value item types. Each kind says how a stored answer becomes the item's value, when a
+# reference to the item is "checked", and when the item counts as answered. Radios are
+# exclusive within their container and are counted together by the completeness rule.
+# ---------------------------------------------------------------------------
+@dataclass(frozen=True)
+class ItemKind:
+    value: Callable[[Column, object], Column]
+    checked: Callable[[Column, str], Column]
+    answered: Callable[[Column], Column]
+    exclusive: bool = False
+
+
+def _checked_value(raw, it):
+    return F.when(raw == "checked", F.lit("checked")).otherwise(F.lit(""))
+
+
+def _text_value(raw, it):
+    return F.coalesce(raw, F.lit(""))
+
+
+def _upload_value(raw, it):
+    parts = F.split(F.coalesce(raw, F.lit("")), r"\|")
+    return F.when((F.size(parts) == 2) & (parts[0] != "") & (parts[1] != ""), raw).otherwise(F.lit(""))
+
+
+def _never(v, ref):
+    return F.lit(False)
+
+
+def _always(v):
+    return F.lit(True)
+
+
+def _non_empty(v):
+    return v != ""
+
+
+ITEM_KINDS: dict[str, ItemKind] = {
+    "check": ItemKind(_checked_value, lambda v, ref: v == "checked", _always),
+    "radio": ItemKind(_checked_value, lambda v, ref: v == "checked", _always, exclusive=True),
+    "yesno": ItemKind(lambda raw, it: F.when(raw.isin("yes", "no"), raw).otherwise(F.lit("")),
+                      lambda v, ref: v == ref.rsplit("/", 1)[-1], _non_empty),
+    "line": ItemKind(_text_value, _never, _non_empty),
+    "box": ItemKind(_text_value, _never, _non_empty),
+    "upload": ItemKind(_upload_value, _never, lambda v: F.split(v, r"\|")[0] != ""),
+    "tip": ItemKind(lambda raw, it: raw if it.why else F.lit(None).cast("string"), _never, _always),
+}
+
+
+def register_item_type(name: str, kind: ItemKind) -> None:
+    """Add a value item type (the template lint then accepts it as known)."""
+    from formlake import schemas
+
+    ITEM_KINDS[name] = kind
+    for lst in (schemas.KNOWN_TYPES, schemas.VALUE_TYPES):
+        if name not in lst:
+            lst.append(name)
+
+
 class TemplateError(ValueError):
     """The template cannot be evaluated (unknown reference, cycle, illegal operand)."""
 
@@ -121,20 +182,9 @@ class CompiledTemplate(Resolver):
 
     def item_value(self, item_id: str) -> Column:
         it = self.items[item_id]
-        raw = self.raw(item_id)
-        t = it.type
-        if t in ("check", "radio"):
-            return F.when(raw == "checked", F.lit("checked")).otherwise(F.lit(""))
-        if t == "yesno":
-            return F.when(raw.isin("yes", "no"), raw).otherwise(F.lit(""))
-        if t in ("line", "box"):
-            return F.coalesce(raw, F.lit(""))
-        if t == "upload":
-            parts = F.split(F.coalesce(raw, F.lit("")), r"\|")
-            return F.when((F.size(parts) == 2) & (parts[0] != "") & (parts[1] != ""), raw).otherwise(F.lit(""))
-        if t == "tip":
-            return raw if it.why else F.lit(None).cast("string")
-        raise TemplateError(f"item {item_id} of type {t} has no value")
+        if it.type not in ITEM_KINDS:
+            raise TemplateError(f"item {item_id} of type {it.type} has no value")
+        return ITEM_KINDS[it.type].value(self.raw(item_id), it)
 
     def group_value(self, item_id: str) -> Column:
         """A group counts as answered when any of its choices has a value."""
@@ -148,12 +198,7 @@ class CompiledTemplate(Resolver):
         return out
 
     def is_checked(self, item_id: str, ref: str) -> Column:
-        it = self.items[item_id]
-        if it.type in ("check", "radio"):
-            return self.item_value(item_id) == "checked"
-        if it.type == "yesno":
-            return self.item_value(item_id) == ref.rsplit("/", 1)[-1]
-        return F.lit(False)
+        return ITEM_KINDS[self.items[item_id].type].checked(self.item_value(item_id), ref)
 
     # -- references (D6, D7) --------------------------------------------------------------
     def _item(self, tid: str) -> _Item:
@@ -185,7 +230,7 @@ class CompiledTemplate(Resolver):
             return F.lit(False)
         tid = reference_target(name)
         it = self._item(tid)
-        is_value_item = it.type in ("box", "check", "line", "radio", "tip", "upload", "yesno")
+        is_value_item = it.type in ITEM_KINDS
         if is_value_item and "/value" in name:
             return truthy(self.item_value(tid))
         if name.startswith("^"):
@@ -262,12 +307,7 @@ class CompiledTemplate(Resolver):
         return [self._cname(i) for lv in self._levels for i in lv]
 
     def answered(self, item_id: str) -> Column:
-        it = self.items[item_id]
-        if it.type in ("line", "box", "yesno"):
-            return self.item_value(item_id) != ""
-        if it.type == "upload":
-            return F.split(self.item_value(item_id), r"\|")[0] != ""
-        return F.lit(True)  # check, tip
+        return ITEM_KINDS[self.items[item_id].type].answered(self.item_value(item_id))
 
     def unanswered(self, block_id: str) -> Column:
         """Visible unanswered value items, recursively; direct radios count once if none checked."""
@@ -275,9 +315,9 @@ class CompiledTemplate(Resolver):
         radios = []
         for k in self.children.get(block_id, []):
             it = self.items[k]
-            if it.type == "radio":
+            if it.type in ITEM_KINDS and ITEM_KINDS[it.type].exclusive:
                 radios.append(k)
-            elif it.type in ("box", "check", "line", "tip", "upload", "yesno"):
+            elif it.type in ITEM_KINDS:
                 total = total + F.when(self.visible(k) & ~self.answered(k), 1).otherwise(0)
             elif it.type == "block":
                 total = total + self.unanswered(k)

@@ -87,3 +87,22 @@ def test_field_issues(spark):
     got = {(r.qid, r.rule) for r in tpl.field_issues(df, ["qid"]).collect()}
     assert got == {(1, "required_missing"), (2, "input_type_violation"), (4, "maxlength_violation"),
                    (4, "input_type_violation")}
+
+
+def test_registered_item_type(spark):
+    from pyspark.sql import functions as F
+
+    from formlake.operators.evaluate import ItemKind, register_item_type
+
+    register_item_type("rating", ItemKind(value=lambda raw, it: F.coalesce(raw, F.lit("")),
+                                          checked=lambda v, ref: v.try_cast("int") >= 3,
+                                          answered=lambda v: v != ""))
+    t = {"questionnaire": [{"type": "block", "text": "r", "items": [
+        {"type": "rating", "id": "stars", "text": "How good?"},
+        {"type": "tip", "id": "praise", "text": "Thanks", "cond": "stars"}]}]}
+    tpl = _compiled(spark, t)
+    df = spark.createDataFrame([(1, {"stars": "4"}), (2, {"stars": "1"}), (3, {})], "qid int, answers map<string,string>")
+    vis = {r.qid for r in tpl.active_tips(df, ["qid"]).collect()}
+    assert vis == {1}
+    got = {r.qid: r.unanswered for r in tpl.unanswered_counts(df, ["qid"]).collect()}
+    assert got == {1: 0, 2: 0, 3: 1}
