@@ -411,3 +411,27 @@ def _input_type_invalid(v: Column, input_type: str) -> Column | None:
 
 def compile_template(items: DataFrame, template_id: str | None = None, **kw) -> CompiledTemplate:
     return CompiledTemplate(load_items(items, template_id), **kw)
+
+
+MAX_TEMPLATES = 1000  # distinct templates evaluated in one plan
+
+
+def evaluate_per_template(submissions: DataFrame, items: DataFrame, operator: str, keys: list[str],
+                          template_col: str = "template_id", **kw) -> DataFrame:
+    """Apply one ``CompiledTemplate`` operator (e.g. ``"active_tips"``) to submissions of several templates.
+
+    Each template's items are collected and compiled (bounded by ``MAX_TEMPLATES`` x
+    ``MAX_TEMPLATE_ITEMS``); its submissions are selected by ``template_col`` (store
+    submissions partitioned by template so that each branch reads only its own files) and the
+    per-template results are unioned.
+    """
+    ids = [r[0] for r in items.select("template_id").distinct().limit(MAX_TEMPLATES + 1).collect()]
+    if len(ids) > MAX_TEMPLATES:
+        raise TemplateError(f"more than {MAX_TEMPLATES} templates in one evaluation")
+    out = None
+    for tid in sorted(ids):
+        tpl = compile_template(items, tid, **kw)
+        part = getattr(tpl, operator)(submissions.where(F.col(template_col) == tid), keys)
+        part = part.withColumn(template_col, F.lit(tid)) if template_col not in part.columns else part
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out

@@ -129,7 +129,8 @@ def _rows_of_item(x: Column, path: Column, parent_id: Column, parent_type: Colum
                     type=choice_type, text=F.lit(DEFAULT_CHOICE_TEXT), cond=F.lit(None), is_choice=F.lit(True),
                     warn_bool=F.lit(False), **nulls)
     default = F.filter(F.array(none_row), lambda r: is_group & F.coalesce(x["defaultChoice"], F.lit(False)))
-    return F.concat(F.array(me), choices, default)
+    # choice rows are only built for groups (CASE evaluates just the taken branch)
+    return F.when(is_group, F.concat(F.array(me), choices, default)).otherwise(F.array(me))
 
 
 _LEVEL_ROWS: dict = {}

@@ -106,3 +106,18 @@ def test_registered_item_type(spark):
     assert vis == {1}
     got = {r.qid: r.unanswered for r in tpl.unanswered_counts(df, ["qid"]).collect()}
     assert got == {1: 0, 2: 0, 3: 1}
+
+
+def test_evaluate_per_template(spark):
+    from formlake.operators.evaluate import evaluate_per_template
+
+    a = {"questionnaire": [{"type": "block", "text": "r", "items": [
+        {"type": "check", "id": "x", "text": "x"}, {"type": "tip", "id": "tx", "text": "t", "cond": "x", "warn": "yes"}]}]}
+    b = {"questionnaire": [{"type": "block", "text": "r", "items": [
+        {"type": "yesno", "id": "y", "text": "y", "yes": "Y", "no": "N"},
+        {"type": "tip", "id": "ty", "text": "t", "cond": "y/no"}]}]}
+    items = flatten_templates(templates_from_texts(spark, {"a": json.dumps(a), "b": json.dumps(b)}), materialize=False)
+    subs = spark.createDataFrame([(1, "a", {"x": "checked"}), (2, "a", {}), (3, "b", {"y": "no"}), (4, "b", {"y": "yes"})],
+                                 "qid int, template_id string, answers map<string,string>")
+    got = {(r.qid, r.item_id) for r in evaluate_per_template(subs, items, "active_tips", ["qid"]).collect()}
+    assert got == {(1, "tx"), (3, "ty")}
