@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formlake.operators.broadcast import small
 from formlake.operators.evaluate import CompiledTemplate
 from formlake.operators.windows import carry_forward, time_bucket, with_previous
 from formlake.schemas import VALUE_TYPES
@@ -24,18 +25,18 @@ def long_answers(df: DataFrame, keys=("qid",), answers: str = "answers") -> Data
 def answer_items(answers: DataFrame, items: DataFrame) -> DataFrame:
     """Answers matched to their value item (type attached)."""
     it = items.where(F.col("type").isin(*VALUE_TYPES)).select(F.col("item_id").alias("key"), F.col("type"))
-    return answers.join(F.broadcast(it), "key")
+    return answers.join(small(it), "key")
 
 
 def unknown_answers(answers: DataFrame, items: DataFrame) -> DataFrame:
     """Answers whose key names no item of the template."""
-    return answers.join(F.broadcast(items.select(F.col("item_id").alias("key"))), "key", "left_anti")
+    return answers.join(small(items.select(F.col("item_id").alias("key"))), "key", "left_anti")
 
 
 def valueless_answers(answers: DataFrame, items: DataFrame) -> DataFrame:
     """Answers addressed to blocks, groups, infos or spacers."""
     it = items.where(F.col("type").isin(*NO_VALUE_TYPES)).select(F.col("item_id").alias("key"))
-    return answers.join(F.broadcast(it), "key", "left_semi")
+    return answers.join(small(it), "key", "left_semi")
 
 
 def diff_toc(diff: DataFrame, visibility: DataFrame) -> DataFrame:

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from formlake.functions.text import (TRACKER_NAMESPACE, action_items, like_contains_pattern,
                                      sanitize, truthy)
+from formlake.operators.broadcast import small
 from formlake.schemas import SUBMISSION_COLUMNS
 
 STATUS_FLAGS = {"a": "Approved", "r": "In Review", "s": "Submitted", "d": "Draft"}  # fixed values
+MAX_SEARCH_TERMS = 10000
 
 
 # ---------------------------------------------------------------------------
@@ -36,12 +38,12 @@ def answers_map(latest: DataFrame, key: str = "qid") -> DataFrame:
 def radio_exclusive(changes: DataFrame, items: DataFrame) -> DataFrame:
     """Picking a radio writes ``checked`` for it and ``''`` for the other radios of its container.
 
-    ``items`` is a flattened template (bounded size), so both joins are broadcast.
+    ``items`` is a flattened template (bounded size), so both joins are broadcast after a size check.
     """
     radios = items.where(F.col("type") == "radio").select(F.col("item_id").alias("key"), "parent_id")
     mates = radios.select(F.col("key").alias("mate"), F.col("parent_id"))
-    picks = changes.join(F.broadcast(radios), "key", "left")
-    expanded = (picks.join(F.broadcast(mates), "parent_id", "left")
+    picks = changes.join(small(radios), "key", "left")
+    expanded = (picks.join(small(mates), "parent_id", "left")
                 .where(F.col("mate").isNull() | (F.col("value") == "checked") | (F.col("mate") == F.col("key"))))
     new_key = F.coalesce(F.col("mate"), F.col("key"))
     new_val = (F.when(F.col("mate").isNull() | (F.col("mate") == F.col("key")), F.col("value"))
@@ -220,7 +222,13 @@ def search_dispatch(current: DataFrame, audit: DataFrame, terms: DataFrame) -> D
     for c in SEARCH_COLUMNS:
         hit = F.coalesce(F.ilike(F.col(c), pat), F.lit(False))
         cond = hit if cond is None else (cond | hit)
-    word_hits = (words.join(current.select("qid", "app_status", "app_name", *[c for c in SEARCH_COLUMNS if c not in ("qid", "app_name")]), cond, "inner")
+    # A LIKE search cannot be an equi-join: every keyword is tested against every row. The
+    # keywords are broadcast, so only after checking that they are a small batch.
+    n_words = words.limit(MAX_SEARCH_TERMS + 1).count()
+    if n_words > MAX_SEARCH_TERMS:
+        raise ValueError(f"more than {MAX_SEARCH_TERMS} keyword searches in one batch")
+    stored = current.select("qid", "app_status", "app_name", *[c for c in SEARCH_COLUMNS if c not in ("qid", "app_name")])
+    word_hits = (stored.join(F.broadcast(words), cond, "inner")
                  .select("term_id", F.lit("search").alias("kind"), "qid", "app_status", "app_name",
                          F.lit(None).cast("long").alias("audit_id"), F.lit(None).cast("string").alias("error")))
     bad = (t.where((F.col("_n") > 2) | ((F.col("_n") == 2) & ~(F.col("_p")[0].rlike("^[0-9A-Za-z]+$")
