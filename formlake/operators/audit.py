@@ -86,10 +86,19 @@ def version_intervals(log: DataFrame) -> DataFrame:
 
 
 def revision_as_of(log: DataFrame, at) -> DataFrame:
-    """H6: the version of every qid valid at time ``at``."""
-    t = F.lit(at).cast("timestamp")
-    v = version_intervals(log)
-    return v.where((F.col("valid_from") <= t) & (F.col("valid_to").isNull() | (F.col("valid_to") > t)))
+    """H6: the version of every qid valid at time ``at``.
+
+    No window is needed: the valid version is the latest event at or before ``at`` (partial
+    ``max_by`` per qid over a filter that reaches the Parquet scan), and it stays valid until
+    the qid's first event after ``at`` (``min`` per qid). A delete as latest event means none.
+    """
+    t = F.lit(at).cast(log.schema["event_ts"].dataType)
+    cols = [c for c in log.columns if c != "qid"]
+    upto = (log.where(F.col("event_ts") <= t).groupBy("qid")
+            .agg(F.max_by(F.struct(*cols), F.struct("event_ts", "seq")).alias("_v")).select("qid", "_v.*"))
+    after = log.where(F.col("event_ts") > t).groupBy("qid").agg(F.min("event_ts").alias("valid_to"))
+    return (upto.join(after, "qid", "left").where(F.col("op") != "delete")
+            .withColumn("valid_from", F.col("event_ts")))
 
 
 def status_durations(log: DataFrame) -> DataFrame:
