@@ -1,10 +1,10 @@
 """Template processing: normalise, flatten, check.
 
 A template is a recursive JSON tree. Spark has no recursive types, so ``flatten_templates``
-works level by level: each level parses the raw JSON text of the ``items`` arrays of the
-level above (``from_json`` with the item schema, nested ``items`` kept as text) and emits
-every item and every group choice with one generator. Item paths (array of positions) give
-the pre-order ordinal with one window per template.
+parses each text once with an item schema nested a bounded number of levels deep, then
+explodes one level at a time and emits every item and every group choice with one
+generator. Item paths (array of positions) give the pre-order ordinal with one window per
+template.
 """
 
 from __future__ import annotations
@@ -147,55 +147,49 @@ def _level_rows(deepest: bool) -> Column:
     return _LEVEL_ROWS[key]
 
 
-def array_depth(templates: DataFrame) -> int:
-    """Deepest JSON array nesting over all templates (strings ignored): an upper bound on the
-    number of item levels. One aggregation job; only the maximum reaches the driver."""
-    brackets = F.regexp_replace("text", r'"(?:\\.|[^"\\])*"|[^\[\]]', "")
-    step = lambda c: F.when(c == "[", 1).when(c == "]", -1).otherwise(0)
-    acc0 = F.struct(F.lit(0).alias("d"), F.lit(0).alias("m"))
-    depth = F.aggregate(F.split(brackets, ""), acc0,
-                        lambda a, c: F.struct((a["d"] + step(c)).alias("d"),
-                                              F.greatest(a["m"], a["d"] + step(c)).alias("m")))["m"]
-    got = templates.select(F.max(depth).alias("m")).first()["m"]
-    return int(got or 0)
+def _nested_item_struct(levels_left: int) -> StructType:
+    """Item schema with ``items`` nested ``levels_left`` deep; below that the raw JSON text."""
+    fields = [StructField(n, t) for n, t in ITEM_JSON_FIELDS]
+    fields.append(StructField("items", ArrayType(_nested_item_struct(levels_left - 1)) if levels_left > 1
+                              else StringType()))
+    return StructType(fields)
 
 
 def flatten_templates(templates: DataFrame, max_depth: int = MAX_DEPTH, field: str = "questionnaire",
                       materialize: bool = True) -> DataFrame:
-    """F1 + F10: ITEM rows (see ``schemas.ITEM``) plus ``has_id``/``overflow`` checks.
-
-    ``templates`` has ``template_id`` and ``text`` (normalised JSON). Each level parses only
-    the raw ``items`` text of the level above. With ``materialize`` every parsed level is
-    checkpointed to the reliable checkpoint folder, so each JSON text is parsed once and the
-    loop stops at the first empty level; without it (a handful of small templates) the number
-    of levels comes from one bracket-depth scan and nothing is written. Ordinals are the
-    pre-order rank of the item path per template.
+    """F1 + F10: ITEM rows (see ``schemas.ITEM``) plus ``has_id``/``overflow``/``path`` columns.
+
+    ``templates`` has ``template_id`` and ``text`` (normalised JSON). Each text is parsed once
+    with a schema nested ``max_depth`` levels deep (anything deeper stays raw text and is
+    reported as ``overflow``). With ``materialize`` the parsed templates are checkpointed to the
+    reliable checkpoint folder, so the level loop only explodes already parsed arrays; it stops
+    at the first empty level. Ordinals are the pre-order rank of the item path per template.
     """
     from formlake.session import cut_lineage
 
-    arr = ArrayType(_item_struct())
-    top = templates.select("template_id", F.from_json("text", TOP_SCHEMA).alias("t"))
-    frontier = top.select("template_id", F.col("t.version").alias("version"),
-                          F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("pid"),
-                          F.lit(None).cast("string").alias("ptype"), F.array().cast("array<string>").alias("anc"),
-                          F.col("t")[field].alias("raw"))
+    schema = StructType([StructField("version", IntegerType()), StructField(field, ArrayType(_nested_item_struct(max_depth)))])
+    parsed = (templates.select("template_id", F.from_json("text", schema).alias("t"))
+              .select("template_id", F.col("t.version").alias("version"), F.col("t")[field].alias("items")))
+    if materialize:
+        parsed = cut_lineage(parsed)
+    frontier = parsed.select("template_id", "version", F.array().cast("array<int>").alias("path"),
+                             F.lit(None).cast("string").alias("pid"), F.lit(None).cast("string").alias("ptype"),
+                             F.array().cast("array<string>").alias("anc"), "items")
     levels = []
-    levels_needed = max_depth if materialize else min(max_depth, max(1, array_depth(templates)))
-    for depth in range(levels_needed):
-        lvl = (frontier.where(F.col("raw").isNotNull())
+    for depth in range(max_depth):
+        lvl = (frontier.where(F.col("items").isNotNull())
                .select("template_id", "version", "path", "pid", "ptype", "anc",
-                       F.posexplode(F.from_json("raw", arr)).alias("pos", "x"))
+                       F.posexplode("items").alias("pos", "x"))
                .select("template_id", "version", "anc", "pid", "ptype",
                        F.concat("path", F.array("pos")).alias("path"), "x"))
-        if materialize:
-            lvl = cut_lineage(lvl)
-        rows = lvl.select("template_id", "version", _level_rows(depth == max_depth - 1))
-        levels.append(rows)
+        levels.append(lvl.select("template_id", "version", _level_rows(depth == max_depth - 1)))
+        if depth == max_depth - 1:
+            break
         iid = _item_id(F.col("x"), F.col("path"))
-        frontier = lvl.where(F.col("x.items").isNotNull()).select(
+        frontier = lvl.where(F.col("x.items").isNotNull() & (F.size("x.items") > 0)).select(
             "template_id", "version", "path", iid.alias("pid"), F.col("x.type").alias("ptype"),
-            F.concat("anc", F.array(iid)).alias("anc"), F.col("x.items").alias("raw"))
-        if materialize and frontier.isEmpty():
+            F.concat("anc", F.array(iid)).alias("anc"), F.col("x.items").alias("items"))
+        if frontier.isEmpty():
             break
     out = levels[0]
     for lv in levels[1:]:
