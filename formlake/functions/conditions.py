@@ -16,6 +16,7 @@ to right; ``!`` negates the next single operand or group; an empty condition is
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -118,8 +119,6 @@ def condition_errors(items: DataFrame, cond_col: str = "cond",
 # ---------------------------------------------------------------------------
 def tokenize(expr: str | None) -> list[str]:
     """Flat token list of one condition (the same regex as the Spark job)."""
-    import re
-
     expr = expr or ""
     tokens = re.findall(TOKEN_PATTERN, expr)
     if re.sub(TOKEN_PATTERN, "", expr).strip():
@@ -147,8 +146,6 @@ def _nest(tokens: list[str], expr: str):
 
 def unescape_string(token: str) -> str:
     """Strip the outer quotes and backslash escapes of a string literal."""
-    import re
-
     return re.sub(r'\\(.)|^"|"$', lambda m: m.group(1) or "", token)
 
 
@@ -257,6 +254,4 @@ def references(expr: str | None) -> list[str]:
 
 def reference_target(name: str) -> str:
     """Item id behind a reference: leading ``^`` and trailing /yes, /no, /value removed."""
-    import re
-
     return re.sub(r"(/yes|/no|/value)$", "", re.sub(r"^\^", "", name))

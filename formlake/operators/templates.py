@@ -221,16 +221,12 @@ def root_issues(templates: DataFrame) -> DataFrame:
 def item_issues(items: DataFrame) -> DataFrame:
     """F3 unknown type, F4 duplicate ids, F5 missing id, F12 property rules, depth overflow."""
     it = items
-    unknown = _issue(it.where(~F.coalesce(F.col("type"), F.lit("")).isin(*KNOWN_TYPES)), "unknown_type", F.col("type"))
-    missing = _issue(it.where(F.col("type").isin(*VALUE_TYPES) & ~F.col("has_id") & ~F.col("is_choice")),
-                     "missing_id", F.col("type"))
     dups = (it.where(F.col("has_id")).groupBy("template_id", "item_id")
             .agg(F.count("*").alias("n"), F.max(F.col("is_choice").cast("int")).alias("choice"))
             .where(F.col("n") > 1))
     dup = dups.select("template_id", "item_id",
                       F.when(F.col("choice") == 1, "duplicate_choice_id").otherwise("duplicate_id").alias("rule"),
                       F.col("n").cast("string").alias("detail"))
-    overflow = _issue(it.where(F.col("overflow")), "too_deep", F.lit(f"nesting deeper than {MAX_DEPTH}"))
     t = F.col("type")
     prop = (F.when(t.isin("line", "box", "check", "radio", "yesno", "upload") & ~F.col("is_choice")
                    & F.coalesce(F.col("text"), F.lit("")).eqNullSafe(""), "text is mandatory")
@@ -243,9 +239,18 @@ def item_issues(items: DataFrame) -> DataFrame:
             .when(F.col("severity").isNotNull() & ~F.col("severity").isin("medium", "high", "critical"),
                   "severity must be medium, high or critical")
             .when(F.col("severity").isNotNull() & ~F.col("warn"), "severity needs warn=yes"))
-    props = it.select("template_id", "item_id", F.lit("property").alias("rule"), prop.alias("detail")) \
-        .where(F.col("detail").isNotNull())
-    return unknown.unionByName(missing).unionByName(dup).unionByName(overflow).unionByName(props)
+    # the row-local rules in one pass: (rule, detail) pairs, nulls dropped
+    checks = F.array(
+        F.when(~F.coalesce(t, F.lit("")).isin(*KNOWN_TYPES), F.struct(F.lit("unknown_type").alias("rule"),
+                                                                      t.alias("detail"))),
+        F.when(t.isin(*VALUE_TYPES) & ~F.col("has_id") & ~F.col("is_choice"),
+               F.struct(F.lit("missing_id").alias("rule"), t.alias("detail"))),
+        F.when(F.col("overflow"), F.struct(F.lit("too_deep").alias("rule"),
+                                           F.lit(f"nesting deeper than {MAX_DEPTH}").alias("detail"))),
+        F.when(prop.isNotNull(), F.struct(F.lit("property").alias("rule"), prop.alias("detail"))))
+    row_rules = (it.select("template_id", "item_id", F.explode(F.filter(checks, lambda c: c.isNotNull())).alias("c"))
+                 .select("template_id", "item_id", "c.rule", F.col("c.detail").cast("string").alias("detail")))
+    return row_rules.unionByName(dup)
 
 
 def siblings(items: DataFrame) -> DataFrame:

@@ -210,13 +210,10 @@ def _session_group(gap_seconds: int):
             new.iloc[0] = False
         sid = new.cumsum()
         s = pd.DataFrame({"sid": sid, "ts": ts}).groupby("sid")["ts"].agg(["min", "max", "count"])
-        if carry is not None:
-            if not new.iloc[0]:  # first session continues the open one
-                first = s.index[0]
-                s.loc[first, "min"] = pd.Timestamp(carry[0])
-                s.loc[first, "count"] += carry[2]
-            else:  # the open session ended before this batch: nothing new to report for it
-                pass
+        if carry is not None and not new.iloc[0]:  # the first session continues the open one
+            first = s.index[0]
+            s.loc[first, "min"] = pd.Timestamp(carry[0])
+            s.loc[first, "count"] += carry[2]
         last = s.iloc[-1]
         state.update((last["min"], last["max"], int(last["count"])))
         state.setTimeoutTimestamp(int((last["max"] + gap).timestamp() * 1000))
