@@ -291,15 +291,16 @@ class CompiledTemplate(Resolver):
         return out
 
     # -- evaluation -------------------------------------------------------------------------
-    def with_conditions(self, df: DataFrame) -> DataFrame:
-        """Add one boolean column per item condition, level by level."""
+    def with_conditions(self, df: DataFrame, gate: Column | None = None) -> DataFrame:
+        """Add one boolean column per item condition, level by level (only where ``gate`` holds)."""
         for items in self._levels:
             cols = {}
             for i in items:
                 try:
-                    cols[self._cname(i)] = F.coalesce(compile_condition(self.items[i].cond, self), F.lit(False))
+                    c = F.coalesce(compile_condition(self.items[i].cond, self), F.lit(False))
                 except InvalidExpressionError as e:
                     raise TemplateError(f"item {i}: {e}") from None
+                cols[self._cname(i)] = c if gate is None else F.when(gate, c)
             df = df.withColumns(cols)
         return df
 
@@ -330,47 +331,66 @@ class CompiledTemplate(Resolver):
         return total
 
     # -- long-form outputs ----------------------------------------------------------------
-    def _long(self, df: DataFrame, keys: list[str], structs: list[Column]) -> DataFrame:
+    # output -> (struct builder, flag column: rows kept only where it is true, then dropped)
+    OUTPUTS = {"item_visibility": ("_visibility_structs", None), "active_tips": ("_tip_structs", "visible"),
+               "todo_list": ("_todo_structs", "visible"), "unanswered_counts": ("_unanswered_structs", None),
+               "field_issues": ("_field_structs", "hit")}
+
+    def _emit(self, df: DataFrame, keys: list[str], output: str, **kw) -> DataFrame:
+        builder, flag = self.OUTPUTS[output]
+        structs = getattr(self, builder)(**kw)
         if not structs:
             return df.limit(0).select(*keys)
-        return self.with_conditions(df).select(*keys, F.inline(F.array(*structs)))
+        out = self.with_conditions(df).select(*keys, F.inline(F.array(*structs)))
+        return out.where(flag).drop(flag) if flag else out
 
     def item_visibility(self, df: DataFrame, keys: list[str]) -> DataFrame:
         """(keys…, item_id, ordinal, shown, visible) for every item."""
-        structs = [F.struct(F.lit(i).alias("item_id"), F.lit(self.items[i].idx).alias("ordinal"),
-                            self.shown(i).alias("shown"), self.visible(i).alias("visible"))
-                   for i in self.order]
-        return self._long(df, keys, structs)
+        return self._emit(df, keys, "item_visibility")
 
     def active_tips(self, df: DataFrame, keys: list[str]) -> DataFrame:
         """Visible tips with warn flag, severity and name."""
-        tips = [i for i in self.order if self.items[i].type == "tip"]
-        structs = [F.struct(F.lit(i).alias("item_id"), self.visible(i).alias("visible"),
-                            F.lit(self.items[i].warn).alias("warn"),
-                            tip_severity(F.lit(self.items[i].warn), F.lit(self.items[i].severity)).alias("severity"),
-                            F.lit(self.items[i].name).cast("string").alias("name"))
-                   for i in tips]
-        return self._long(df, keys, structs).where("visible").drop("visible")
+        return self._emit(df, keys, "active_tips")
 
     def todo_list(self, df: DataFrame, keys: list[str]) -> DataFrame:
         """Visible tips with a to-do: key, description and the status stored under the key."""
-        tips = [i for i in self.order if self.items[i].type == "tip" and (self.items[i].todo or "")]
-        structs = [F.struct(F.lit(f"vsaq_todo_{i}").alias("todo_key"), F.lit(self.items[i].idx).alias("ordinal"),
-                            F.lit(self.items[i].todo).alias("description"),
-                            F.col(self.answers)[f"vsaq_todo_{i}"].alias("todo_status"),
-                            self.visible(i).alias("visible"))
-                   for i in tips]
-        return self._long(df, keys, structs).where("visible").drop("visible")
+        return self._emit(df, keys, "todo_list")
 
     def unanswered_counts(self, df: DataFrame, keys: list[str]) -> DataFrame:
         """I2 per block: (keys…, block_id, unanswered)."""
-        blocks = [i for i in self.order if self.items[i].type == "block"]
-        structs = [F.struct(F.lit(b).alias("block_id"), self.unanswered(b).cast("int").alias("unanswered"))
-                   for b in blocks]
-        return self._long(df, keys, structs)
+        return self._emit(df, keys, "unanswered_counts")
 
     def field_issues(self, df: DataFrame, keys: list[str], visible_only: bool = False) -> DataFrame:
         """C11-C14: (keys…, item_id, rule) for required, pattern, maxlength and input-type violations."""
+        return self._emit(df, keys, "field_issues", visible_only=visible_only)
+
+    def _visibility_structs(self) -> list[Column]:
+        return [F.struct(F.lit(i).alias("item_id"), F.lit(self.items[i].idx).alias("ordinal"),
+                         self.shown(i).alias("shown"), self.visible(i).alias("visible"))
+                for i in self.order]
+
+    def _tip_structs(self) -> list[Column]:
+        tips = [i for i in self.order if self.items[i].type == "tip"]
+        return [F.struct(F.lit(i).alias("item_id"), self.visible(i).alias("visible"),
+                         F.lit(self.items[i].warn).alias("warn"),
+                         tip_severity(F.lit(self.items[i].warn), F.lit(self.items[i].severity)).alias("severity"),
+                         F.lit(self.items[i].name).cast("string").alias("name"))
+                for i in tips]
+
+    def _todo_structs(self) -> list[Column]:
+        tips = [i for i in self.order if self.items[i].type == "tip" and (self.items[i].todo or "")]
+        return [F.struct(F.lit(f"vsaq_todo_{i}").alias("todo_key"), F.lit(self.items[i].idx).alias("ordinal"),
+                         F.lit(self.items[i].todo).alias("description"),
+                         F.col(self.answers)[f"vsaq_todo_{i}"].alias("todo_status"),
+                         self.visible(i).alias("visible"))
+                for i in tips]
+
+    def _unanswered_structs(self) -> list[Column]:
+        blocks = [i for i in self.order if self.items[i].type == "block"]
+        return [F.struct(F.lit(b).alias("block_id"), self.unanswered(b).cast("int").alias("unanswered"))
+                for b in blocks]
+
+    def _field_structs(self, visible_only: bool = False) -> list[Column]:
         structs = []
         for i in self.order:
             it = self.items[i]
@@ -393,7 +413,7 @@ class CompiledTemplate(Resolver):
                 if bad is not None:
                     structs.append(F.struct(F.lit(i).alias("item_id"), F.lit("input_type_violation").alias("rule"),
                                             (gate & (v != "") & bad).alias("hit")))
-        return self._long(df, keys, structs).where("hit").drop("hit")
+        return structs
 
 
 def _input_type_invalid(v: Column, input_type: str) -> Column | None:
@@ -418,20 +438,29 @@ MAX_TEMPLATES = 1000  # distinct templates evaluated in one plan
 
 def evaluate_per_template(submissions: DataFrame, items: DataFrame, operator: str, keys: list[str],
                           template_col: str = "template_id", **kw) -> DataFrame:
-    """Apply one ``CompiledTemplate`` operator (e.g. ``"active_tips"``) to submissions of several templates.
+    """D1 over many templates: apply one output (e.g. ``"active_tips"``) to submissions of
+    several templates in a single pass over the submissions.
 
     Each template's items are collected and compiled (bounded by ``MAX_TEMPLATES`` x
-    ``MAX_TEMPLATE_ITEMS``); its submissions are selected by ``template_col`` (store
-    submissions partitioned by template so that each branch reads only its own files) and the
-    per-template results are unioned.
+    ``MAX_TEMPLATE_ITEMS``). Every template's condition columns are computed only for its
+    own rows (``CASE WHEN template_col = t``), and one ``CASE`` picks the template's output
+    array per row before ``inline``: one scan, one narrow stage, no union of per-template scans.
     """
     ids = [r[0] for r in items.select("template_id").distinct().limit(MAX_TEMPLATES + 1).collect()]
     if len(ids) > MAX_TEMPLATES:
         raise TemplateError(f"more than {MAX_TEMPLATES} templates in one evaluation")
-    out = None
-    for tid in sorted(ids):
+    builder, flag = CompiledTemplate.OUTPUTS[operator]
+    opts = {k: kw.pop(k) for k in list(kw) if k == "visible_only"}
+    df, chosen = submissions, None
+    for n, tid in enumerate(sorted(ids)):
         tpl = compile_template(items, tid, **kw)
-        part = getattr(tpl, operator)(submissions.where(F.col(template_col) == tid), keys)
-        part = part.withColumn(template_col, F.lit(tid)) if template_col not in part.columns else part
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+        tpl = tpl.over(tpl.answers, f"t{n}_")
+        gate = F.col(template_col) == F.lit(tid)
+        df = tpl.with_conditions(df, gate)
+        structs = getattr(tpl, builder)(**opts)
+        if structs:
+            chosen = F.when(gate, F.array(*structs)) if chosen is None else chosen.when(gate, F.array(*structs))
+    if chosen is None:
+        return submissions.limit(0).select(*keys, template_col)
+    out = df.select(*keys, template_col, F.inline(chosen))
+    return out.where(flag).drop(flag) if flag else out

@@ -202,10 +202,6 @@ def flatten_templates(templates: DataFrame, max_depth: int = MAX_DEPTH, field: s
 # ---------------------------------------------------------------------------
 # Checks → (template_id, item_id, rule, detail)
 # ---------------------------------------------------------------------------
-def _issue(df: DataFrame, rule: str, detail: Column) -> DataFrame:
-    return df.select("template_id", "item_id", F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
-
-
 def root_issues(templates: DataFrame) -> DataFrame:
     """exactly one root, a block with items; also unparseable templates."""
     t = templates.select("template_id", F.from_json("text", TOP_SCHEMA).alias("t"))
