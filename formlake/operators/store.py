@@ -31,7 +31,8 @@ def latest_values(changes: DataFrame, keys=("qid", "key"), order=("ts", "seq"))
 
 
 def answers_map(latest: DataFrame, key: str = "qid") -> DataFrame:
-    """One row per submission with ``answers map<string,string>`` (size bounded by the template)."""
+    """One row per submission with ``answers map<string,string>`` (one entry per distinct key of
+    that submission, i.e. bounded by the questions it answers, not by its number of edits)."""
     return latest.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("answers"))
 
 

@@ -156,7 +156,7 @@ def _nested_item_struct(levels_left: int) -> StructType:
 
 
 def flatten_templates(templates: DataFrame, max_depth: int = MAX_DEPTH, field: str = "questionnaire",
-                      materialize: bool = True) -> DataFrame:
+                      materialize: bool = True, ordinals: bool = True) -> DataFrame:
     """F1 + F10: ITEM rows (see ``schemas.ITEM``) plus ``has_id``/``overflow``/``path`` columns.
 
     ``templates`` has ``template_id`` and ``text`` (normalised JSON). Each text is parsed once
@@ -194,8 +194,11 @@ def flatten_templates(templates: DataFrame, max_depth: int = MAX_DEPTH, field: s
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
-    w = Window.partitionBy("template_id").orderBy("path")
-    out = out.withColumn("ordinal", (F.row_number().over(w) - 1).cast("int"))
+    if ordinals:
+        w = Window.partitionBy("template_id").orderBy("path")
+        out = out.withColumn("ordinal", (F.row_number().over(w) - 1).cast("int"))
+    else:  # callers that order by ``path`` themselves skip the shuffle
+        out = out.withColumn("ordinal", F.lit(None).cast("int"))
     return out.select(*[c.name for c in ITEM.fields], "has_id", "overflow", "path", "insert_before", "insert_after")
 
 

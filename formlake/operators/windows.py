@@ -4,8 +4,8 @@ A plain ``Window.partitionBy(key).orderBy(t)`` sends every row of a key to one t
 holding a third of the log would make that task hold a third of the data. Here every key is
 split into time buckets: the window runs per (key, bucket), and only one boundary row per
 (key, bucket) — its last or first row — is windowed per key to stitch neighbouring buckets
-together. The boundary rows are taken from the already windowed data (the shuffle is reused,
-the input is scanned once), and the stitched result is small enough for AQE to broadcast.
+together. The boundary rows are taken from the windowed data (one row per key and bucket),
+so the stitching side is small and AQE broadcasts it into the join back.
 """
 
 from __future__ import annotations
