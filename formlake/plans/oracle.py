@@ -328,7 +328,15 @@ def oracle_sql() -> dict[str, str]:
     q.update(_request_oracles())
     q.update(_template_oracles())
     q.update(_answer_oracles())
-    q["export_roundtrip"] = """SELECT CAST(NULL AS VARCHAR) AS template_id, CAST(NULL AS VARCHAR) AS item_id,
+    cols = ["app_tid", "app_name", "app_champion", "qid", "app_pid"]
+    hit = " OR ".join(f"s.{c} ILIKE '%' || t.term || '%'" for c in cols)
+    q["search_batch"] = _with(SUBS, "terms AS (SELECT n_nationkey AS term_id, n_name AS term FROM nation)") + f"""
+        SELECT t.term_id, 'search' AS kind, s.qid, s.app_status, s.app_name, CAST(NULL AS BIGINT) AS audit_id,
+          CAST(NULL AS VARCHAR) AS error FROM terms t JOIN subs s ON ({hit})"""
+    q["template_siblings"] = _with(LINES) + """SELECT tid AS template_id, item_id, parent_id,
+          lag(item_id) OVER w AS previous_id, lead(item_id) OVER w AS next_id
+        FROM items WINDOW w AS (PARTITION BY tid, parent_id ORDER BY ordinal)"""
+    q["export_roundtrip"] ="""SELECT CAST(NULL AS VARCHAR) AS template_id, CAST(NULL AS VARCHAR) AS item_id,
             CAST(NULL AS VARCHAR) AS change, CAST(NULL AS VARCHAR) AS fields WHERE FALSE"""
     # Streaming twins must give the batch result.
     for stream, batch in [("answers_stream", "merge_answers"), ("autosave_stream", "autosave_batches"),

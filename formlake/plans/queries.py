@@ -392,6 +392,23 @@ def export_roundtrip(spark, sf_dir):
                                                      F.array_join("fields", ",").alias("fields"))
 
 
+@query
+def search_batch(spark, sf_dir):
+    """A batch of search terms (the nation names) dispatched against all submissions."""
+    terms = ad.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("term_id"),
+                                                     F.col("n_name").alias("term"))
+    audit_rows = spark.createDataFrame([], "qid string, audit_id long, app_status string, app_name string")
+    return store.search_dispatch(ad.submissions(spark, sf_dir), audit_rows, terms)
+
+
+@query
+def template_siblings(spark, sf_dir):
+    """Previous and next item of every item of the generated templates."""
+    from formlake.operators.templates import siblings
+
+    return siblings(flatten_templates(ad.order_templates(spark, sf_dir)))
+
+
 @query
 def merge_errors(spark, sf_dir):
     _, errors = merge.merge_templates(ad.order_templates(spark, sf_dir), ad.order_extensions(spark, sf_dir))
