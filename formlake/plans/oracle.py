@@ -336,6 +336,17 @@ def oracle_sql() -> dict[str, str]:
     q["template_siblings"] = _with(LINES) + """SELECT tid AS template_id, item_id, parent_id,
           lag(item_id) OVER w AS previous_id, lead(item_id) OVER w AS next_id
         FROM items WINDOW w AS (PARTITION BY tid, parent_id ORDER BY ordinal)"""
+    q["status_changes"] = _with(LOG, """cmd AS (SELECT 'U' || lpad(CAST(user_id AS VARCHAR), 11, '0') AS qid,
+          CASE WHEN event_type = 'purchase' THEN 'a' ELSE 'r' END AS flag,
+          'reviewer' || CAST(user_id % 3 AS VARCHAR) AS usr, ts FROM events WHERE event_type IN ('click', 'purchase'))""") + """
+        SELECT c.qid,
+          CASE WHEN cur.qid IS NOT NULL THEN CASE WHEN c.flag = 'a' THEN 'Approved' ELSE 'In Review' END END AS app_status,
+          CASE WHEN cur.qid IS NOT NULL THEN c.usr END AS user_name,
+          CASE WHEN cur.qid IS NOT NULL THEN c.ts END AS "timestamp",
+          CASE WHEN cur.qid IS NULL THEN 500 END AS error
+        FROM cmd c LEFT JOIN cur ON c.qid = cur.qid"""
+    q["audit_append_only"] = """SELECT CAST(NULL AS BIGINT) AS audit_id, CAST(NULL AS VARCHAR) AS qid,
+          CAST(NULL AS VARCHAR) AS app_status, CAST(NULL AS TIMESTAMP) AS audit_timestamp WHERE FALSE"""
     q["export_roundtrip"] ="""SELECT CAST(NULL AS VARCHAR) AS template_id, CAST(NULL AS VARCHAR) AS item_id,
             CAST(NULL AS VARCHAR) AS change, CAST(NULL AS VARCHAR) AS fields WHERE FALSE"""
     # Streaming twins must give the batch result.

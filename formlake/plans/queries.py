@@ -392,6 +392,26 @@ def export_roundtrip(spark, sf_dir):
                                                      F.array_join("fields", ",").alias("fields"))
 
 
+@query
+def status_changes(spark, sf_dir):
+    """Reviewer commands (clicks → review, purchases → approve) applied to the current state."""
+    e = ad.table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase"))
+    cmds = e.select(F.concat(F.lit("U"), F.lpad(F.col("user_id").cast("string"), 11, "0")).alias("qid"),
+                    F.when(F.col("event_type") == "purchase", "a").otherwise("r").alias("status"),
+                    F.concat(F.lit("reviewer"), (F.col("user_id") % 3).cast("string")).alias("user"), "ts")
+    cur = store.current_state(ad.submission_log(spark, sf_dir))
+    return store.set_status(cur, cmds).select("qid", "app_status", "user_name", "timestamp", "error")
+
+
+@query
+def audit_append_only(spark, sf_dir):
+    """H2: the audit derived from an earlier prefix of the log must be contained in today's audit."""
+    log = ad.submission_log(spark, sf_dir)
+    earlier = audit.audit_log(log.where(F.col("event_ts") < F.lit(SAVED_CUTOFF).cast("timestamp")))
+    return audit.audit_is_append_only(earlier, audit.audit_log(log)).select(
+        "audit_id", "qid", "app_status", "audit_timestamp")
+
+
 @query
 def search_batch(spark, sf_dir):
     """A batch of search terms (the nation names) dispatched against all submissions."""
