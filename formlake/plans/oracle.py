@@ -345,7 +345,20 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN cur.qid IS NOT NULL THEN c.ts END AS "timestamp",
           CASE WHEN cur.qid IS NULL THEN 500 END AS error
         FROM cmd c LEFT JOIN cur ON c.qid = cur.qid"""
-    q["audit_append_only"] = """SELECT CAST(NULL AS BIGINT) AS audit_id, CAST(NULL AS VARCHAR) AS qid,
+    q["modified_submissions"] = _with(CHANGES, f"""sv AS (SELECT qid, key, value FROM (SELECT *, row_number() OVER
+              (PARTITION BY qid, key ORDER BY ts DESC, seq DESC) AS rn FROM ch WHERE ts < TIMESTAMP '{SAVED_CUTOFF}')
+              WHERE rn = 1)""") + """SELECT lv.qid, count(*) AS n_changed
+            FROM lv LEFT JOIN sv ON lv.qid = sv.qid AND lv.key = sv.key
+            WHERE NOT starts_with(lv.key, 'q_version') AND lv.value IS DISTINCT FROM sv.value GROUP BY lv.qid"""
+    q["pending_changes"] = _with(LOG, CHANGES, f"""sv AS (SELECT qid, max(event_ts) AS saved_ts FROM log
+              WHERE op = 'save' AND event_ts < TIMESTAMP '{SAVED_CUTOFF}' GROUP BY qid)""") + """
+        SELECT c.qid, count(DISTINCT c.key) AS pending FROM ch0 c LEFT JOIN sv ON c.qid = sv.qid
+        WHERE sv.saved_ts IS NULL OR c.ts > sv.saved_ts GROUP BY c.qid"""
+    q["submission_rows"] = _with(CHANGES) + r"""SELECT qid, CAST(NULL AS VARCHAR) AS app_status, '' AS app_tid,
+          '' AS app_pid, CAST(NULL AS VARCHAR) AS user_name,
+          coalesce(nullif(array_to_string(regexp_extract_all(il, '[A-Z]{2,}-\d+'), ','), ''), '') AS action_items
+        FROM a"""
+    q["audit_append_only"] ="""SELECT CAST(NULL AS BIGINT) AS audit_id, CAST(NULL AS VARCHAR) AS qid,
           CAST(NULL AS VARCHAR) AS app_status, CAST(NULL AS TIMESTAMP) AS audit_timestamp WHERE FALSE"""
     q["export_roundtrip"] ="""SELECT CAST(NULL AS VARCHAR) AS template_id, CAST(NULL AS VARCHAR) AS item_id,
             CAST(NULL AS VARCHAR) AS change, CAST(NULL AS VARCHAR) AS fields WHERE FALSE"""

@@ -412,6 +412,30 @@ def audit_append_only(spark, sf_dir):
         "audit_id", "qid", "app_status", "audit_timestamp")
 
 
+@query
+def modified_submissions(spark, sf_dir):
+    """I4: submissions with changed answers since the saved state, and how many keys changed."""
+    return diff.any_modified(answer_diff(spark, sf_dir))
+
+
+@query
+def pending_changes(spark, sf_dir):
+    """Distinct keys changed after each submission's last save before the cut-off."""
+    log = ad.submission_log(spark, sf_dir)
+    saves = (log.where((F.col("op") == "save") & (F.col("event_ts") < F.lit(SAVED_CUTOFF).cast("timestamp")))
+             .groupBy("qid").agg(F.max("event_ts").alias("saved_ts")))
+    return diff.pending_changes(ad.answer_changes(spark, sf_dir), saves)
+
+
+@query
+def submission_rows(spark, sf_dir):
+    """Stored columns (incl. ticket keys found in the answers) from each merged answer map."""
+    amap, _ = _vendor_answers(spark, sf_dir)
+    with_qid = amap.withColumn("answers", F.map_concat("answers", F.create_map(F.lit("qid"), F.col("qid"))))
+    rows = store.submission_columns(with_qid, ts=F.lit(None).cast("timestamp"))
+    return rows.select("qid", "app_status", "app_tid", "app_pid", "user_name", "action_items")
+
+
 @query
 def search_batch(spark, sf_dir):
     """A batch of search terms (the nation names) dispatched against all submissions."""
