@@ -358,6 +358,14 @@ def oracle_sql() -> dict[str, str]:
           '' AS app_pid, CAST(NULL AS VARCHAR) AS user_name,
           coalesce(nullif(array_to_string(regexp_extract_all(il, '[A-Z]{2,}-\d+'), ','), ''), '') AS action_items
         FROM a"""
+    headings = {"tip_policy": "Warning — possible high-risk issue", "tip_shared": "Warning",
+                "tip_sev1": "Warning — possible critical-risk issue", "tip_tracked": "Tip",
+                "tip_ir": "Warning — possible medium-risk issue", "tip_nocert": "Certification missing"}
+    sel = []
+    for tid, heading in headings.items():
+        v, _o = _vis_of(tid)
+        sel.append(f"SELECT qid, '{tid}' AS item_id, '{heading}' AS heading FROM a WHERE {v}")
+    q["tip_headings"] = _with(CHANGES) + "\nUNION ALL\n".join(sel)
     q["audit_append_only"] ="""SELECT CAST(NULL AS BIGINT) AS audit_id, CAST(NULL AS VARCHAR) AS qid,
           CAST(NULL AS VARCHAR) AS app_status, CAST(NULL AS TIMESTAMP) AS audit_timestamp WHERE FALSE"""
     q["export_roundtrip"] ="""SELECT CAST(NULL AS VARCHAR) AS template_id, CAST(NULL AS VARCHAR) AS item_id,
@@ -365,7 +373,7 @@ def oracle_sql() -> dict[str, str]:
     # Streaming twins must give the batch result.
     for stream, batch in [("answers_stream", "merge_answers"), ("autosave_stream", "autosave_batches"),
                           ("audit_stream", "audit_log"), ("sessions_stream", "user_sessions"),
-                          ("oversized_stream", "oversized_requests")]:
+                          ("oversized_stream", "oversized_requests"), ("notices_stream", "review_notices")]:
         q[stream] = q[batch]
     q["rate_limit_stream"] = _with(REQ) + """SELECT gateway, date_trunc('day', ts) AS window_start,
             count(*) AS n_requests, count(*) - 200 AS rejected FROM r

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from formlake.functions.text import action_items, sanitize
 from formlake.functions import conditions
 from formlake.operators import answers, audit, diff, export, lint, merge, requests, store
+from formlake.operators.broadcast import small
 from formlake.schemas import VALUE_TYPES
 from formlake.operators.evaluate import CompiledTemplate, load_items
 from formlake.operators.templates import flatten_templates, templates_from_texts
@@ -436,6 +437,26 @@ def submission_rows(spark, sf_dir):
     return rows.select("qid", "app_status", "app_tid", "app_pid", "user_name", "action_items")
 
 
+@query
+def tip_headings(spark, sf_dir):
+    """The heading shown for every active tip (custom title, warning with risk level, or tip)."""
+    from formlake.functions.text import tip_label
+
+    amap, tpl = _vendor_answers(spark, sf_dir)
+    tips = tpl.active_tips(amap, ["qid"])
+    meta = vendor_items(spark).select("item_id", "custom_title", F.col("severity").alias("raw_severity"))
+    return (tips.join(small(meta), "item_id")
+            .select("qid", "item_id", tip_label("custom_title", "warn", "raw_severity").alias("heading")))
+
+
+@query
+def notices_stream(spark, sf_dir):
+    """M4 on a stream of log events; same result as ``review_notices``."""
+    log = ad.submission_log(spark, sf_dir, streams.read_stream(spark, sf_dir, "events.parquet"))
+    out = streams.run_to_table(spark, "notices", lambda base: streams.notices_stream(log, base))
+    return _or_empty(spark, out, "qid string, seq bigint, app_status string, subject string, body_template string")
+
+
 @query
 def search_batch(spark, sf_dir):
     """A batch of search terms (the nation names) dispatched against all submissions."""

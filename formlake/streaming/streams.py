@@ -236,5 +236,10 @@ def sessions_stream(requests: DataFrame, base: str, client: str = "client",
     return _batches(out, base, "update")
 
 
+def notices_stream(log: DataFrame, base: str) -> StreamingQuery:
+    """M4: a notice row per saved version as the log streams in (stateless)."""
+    return _append(rq.review_notices(log), base)
+
+
 def oversized_stream(requests: DataFrame, base: str) -> StreamingQuery:
     return _append(rq.oversized_requests(requests), base)
