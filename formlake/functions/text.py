@@ -23,8 +23,9 @@ USERNAME_PATTERN = r"^[a-zA-Z0-9@\\/.]+"
 USERNAME_MAX_LENGTH = 40
 # Accepted upload file extensions.
 UPLOAD_EXTENSIONS = ["pdf", "odt", "doc", "docx"]
-# Namespace of the two tracker keys in the answers.
-TRACKER_NAMESPACE = "Morningstar:"
+# Namespace of the two tracker keys in the answers (``<namespace>app_tid``/``app_pid``); a
+# setting: use the prefix your stored answers carry.
+TRACKER_NAMESPACE = "tracker:"
 # Text of the generated "none" choice of groups.
 DEFAULT_CHOICE_TEXT = "None of the above."
 # Project summary layout.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from formlake.functions.text import DEFAULT_CHOICE_TEXT
-from formlake.schemas import GROUP_TYPES, ITEM, ITEM_JSON_FIELDS, KNOWN_TYPES, VALUE_TYPES
+from formlake.schemas import GROUP_TYPES, INVISIBLE_CLASS, ITEM, ITEM_JSON_FIELDS, KNOWN_TYPES, VALUE_TYPES
 
 MAX_DEPTH = 16
 
@@ -233,8 +233,8 @@ def item_issues(items: DataFrame) -> DataFrame:
             .when((t == "yesno") & (F.col("yes").isNull() | F.col("no").isNull()), "yes and no are mandatory")
             .when(t.isin(*GROUP_TYPES.keys()) & F.col("default_choice").isNull(), "defaultChoice is mandatory")
             .when(F.col("auth").isNotNull() & (F.col("auth") != "admin"), "auth must be admin")
-            .when(F.col("class_name").isNotNull() & (F.col("class_name") != "vsaq-invisible"),
-                  "className must be vsaq-invisible")
+            .when(F.col("class_name").isNotNull() & (F.col("class_name") != INVISIBLE_CLASS),
+                  f"className must be {INVISIBLE_CLASS}")
             .when(F.col("severity").isNotNull() & ~F.col("severity").isin("medium", "high", "critical"),
                   "severity must be medium, high or critical")
             .when(F.col("severity").isNotNull() & ~F.col("warn"), "severity needs warn=yes"))

@@ -57,6 +57,12 @@ ITEM = StructType([StructField(n, t) for n, t in [
     ("required", B), ("input_type", S), ("input_pattern", S), ("maxlength", I), ("yes", S),
     ("no", S), ("default_choice", B), ("is_choice", B)]])
 
+# Format settings of stored templates and answers: the class that hides an item and the
+# answer-key prefix under which a to-do's status is stored. Set them to the values your
+# stored templates and answers use.
+INVISIBLE_CLASS = "invisible"
+TODO_KEY_PREFIX = "todo_"
+
 # Item types known to the questionnaire (fixed values).
 KNOWN_TYPES = ["block", "box", "check", "checkgroup", "info", "line", "radio", "radiogroup",
                "spacer", "tip", "upload", "yesno"]

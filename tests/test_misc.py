@@ -12,7 +12,7 @@ from formlake.sources import files
 
 
 def test_submission_columns_and_defaults(spark):
-    df = spark.createDataFrame([({"qid": "Q'1", "app_name": "N;ame", "Morningstar:app_tid": "T1", "login_user": "u",
+    df = spark.createDataFrame([({"qid": "Q'1", "app_name": "N;ame", text.TRACKER_NAMESPACE + "app_tid": "T1", "login_user": "u",
                                   "login_userMail": "u@x", "note": "see AB-12"},)], "answers map<string,string>")
     r = store.submission_columns(df, ts=F.lit(dt.datetime(2024, 1, 1))).first()
     assert (r.qid, r.app_name, r.app_tid, r.app_pid, r.user_name, r.action_items, r.comments) == \
