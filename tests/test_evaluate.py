@@ -5,6 +5,8 @@ import json
 from formlake.operators.evaluate import CompiledTemplate, load_items
 from formlake.operators.templates import flatten_templates, templates_from_texts
 
+# The nested questionnaire, answer states and expected counts of the reference's
+# completeness test, and its conditions-against-items cases below.
 NESTED = {"questionnaire": [{"type": "block", "text": "root", "items": [
     {"id": "box_id", "type": "box", "text": "b"},
     {"id": "line_id", "type": "line", "text": "l"},
