@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from formlake.functions.conditions import (InvalidExpressionError, Resolver, compile_condition,
                                            condition_errors, tokenize)
 
+# The condition cases of the reference's own test-suite (valid expressions with
+# their tokens in our flat form, invalid expressions, false and true evaluations).
 VALID = [
     ("a&&b", ["a", "&&", "b"]),
     ("a &&b", ["a", "&&", "b"]),
