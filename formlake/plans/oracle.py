@@ -334,7 +334,10 @@ def oracle_sql() -> dict[str, str]:
     q["search_batch"] = _with(SUBS, "terms AS (SELECT n_nationkey AS term_id, n_name AS term FROM nation)") + f"""
         SELECT t.term_id, 'search' AS kind, s.qid, s.app_status, s.app_name, CAST(NULL AS BIGINT) AS audit_id,
           CAST(NULL AS VARCHAR) AS error FROM terms t JOIN subs s ON ({hit})"""
-    q["template_siblings"] = _with(LINES) + """SELECT tid AS template_id, item_id, parent_id,
+    q["revision_lookup"] = _with(LOG) + """SELECT audit_id AS term_id, 'revision' AS kind, qid, 'Revision' AS app_status,
+          app_name, audit_id, CAST(NULL AS VARCHAR) AS error
+        FROM (SELECT a.*, l.app_name FROM audit a JOIN (SELECT DISTINCT qid, app_name FROM log) l ON a.qid = l.qid)"""
+    q["template_siblings"] =_with(LINES) + """SELECT tid AS template_id, item_id, parent_id,
           lag(item_id) OVER w AS previous_id, lead(item_id) OVER w AS next_id
         FROM items WINDOW w AS (PARTITION BY tid, parent_id ORDER BY ordinal)"""
     q["status_changes"] = _with(LOG, """cmd AS (SELECT 'U' || lpad(CAST(user_id AS VARCHAR), 11, '0') AS qid,

@@ -457,6 +457,17 @@ def notices_stream(spark, sf_dir):
     return _or_empty(spark, out, "qid string, seq bigint, app_status string, subject string, body_template string")
 
 
+@query
+def revision_lookup(spark, sf_dir):
+    """Every audit row looked up again through its ``qid-audit_id`` search term."""
+    log = ad.submission_log(spark, sf_dir)
+    aud = audit.audit_log(log)
+    terms = aud.select(F.col("audit_id").alias("term_id"),
+                       F.concat_ws("-", "qid", F.col("audit_id").cast("string")).alias("term"))
+    empty = log.limit(0).select(*[F.col(c) for c in log.columns])
+    return store.search_dispatch(empty, aud, terms)
+
+
 @query
 def search_batch(spark, sf_dir):
     """A batch of search terms (the nation names) dispatched against all submissions."""
