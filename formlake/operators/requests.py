@@ -121,22 +121,33 @@ def global_rank(df: DataFrame, order: list[str], partitions: int | None = None)
 # ---------------------------------------------------------------------------
 # M5: error digests
 # ---------------------------------------------------------------------------
-def error_digests(logs: DataFrame, capacity: int = ERROR_DIGEST_CAPACITY) -> DataFrame:
+def error_digests(logs: DataFrame, capacity: int = ERROR_DIGEST_CAPACITY, source: str | None = None) -> DataFrame:
     """Every ``capacity`` buffered records (ERROR and CRITICAL) make one digest; the body keeps
     only the ERROR records. An incomplete last buffer is not sent.
 
-    Returns ``(digest_id, first_seq, last_seq, n_records, n_errors, body)``.
+    Without ``source`` all records share one buffer (one server process) and are numbered with
+    the distributed ``global_rank``. With ``source`` (e.g. the process or host column) every
+    source has its own buffer, numbered with a bucketed per-source row number, so a busy
+    source is split by hour. Returns ``([source,] digest_id, first_seq, last_seq, n_records,
+    n_errors, body)``.
     """
     buffered = logs.where(F.col("level").isin("ERROR", "CRITICAL"))
-    ranked = global_rank(buffered, ["ts", "seq"]).withColumn("digest_id", F.floor(F.col("rank") / capacity))
+    if source is None:
+        keys = []
+        ranked = global_rank(buffered, ["ts", "seq"])
+    else:
+        keys = [source]
+        ranked = with_row_number(buffered, [source], ["ts", "seq"], F.date_trunc("hour", "ts"), "rank") \
+            .withColumn("rank", F.col("rank") - 1)
+    ranked = ranked.withColumn("digest_id", F.floor(F.col("rank") / capacity))
     line = F.when(F.col("level") == "ERROR", F.struct("rank", "message"))
-    g = (ranked.groupBy("digest_id")  # groups hold at most ``capacity`` rows
+    g = (ranked.groupBy(*keys, "digest_id")  # groups hold at most ``capacity`` rows
          .agg(F.count("*").alias("n_records"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
               F.count(line).alias("n_errors"), F.collect_list(line).alias("_lines")))
     body = F.array_join(F.transform(F.array_sort("_lines"), lambda x: x["message"]), "\r\n")
     return (g.where(F.col("n_records") == capacity)
-            .select(F.col("digest_id").cast("long").alias("digest_id"), "first_seq", "last_seq", "n_records",
-                    "n_errors", body.alias("body")))
+            .select(*keys, F.col("digest_id").cast("long").alias("digest_id"), "first_seq", "last_seq",
+                    "n_records", "n_errors", body.alias("body")))
 
 
 # ---------------------------------------------------------------------------

@@ -115,3 +115,19 @@ def test_file_names_and_allow_list(spark, tmp_path):
                                "path string, modificationTime timestamp, length long, content binary")
     r = files.latest_file_per_dir(bf).first()
     assert r.path == "/d/2.txt" and r.target.endswith("_new_a b_null.json")
+
+
+def test_error_digests_global_and_per_source(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(45):
+        level = ["ERROR", "CRITICAL", "INFO"][i % 3]
+        rows.append((base + dt.timedelta(minutes=i), level, f"m{i}", i, f"host{i % 2}"))
+    logs = spark.createDataFrame(rows, "ts timestamp, level string, message string, seq long, host string")
+    # 30 buffered records → 3 full digests of 10; the body keeps only the ERROR lines
+    g = requests.error_digests(logs).orderBy("digest_id").collect()
+    assert [(r.digest_id, r.n_records, r.n_errors) for r in g] == [(0, 10, 5), (1, 10, 5), (2, 10, 5)]
+    assert g[0].body.split("\r\n") == ["m0", "m3", "m6", "m9", "m12"]
+    # per host: 15 buffered records each → one full digest per host
+    p = {r.host: (r.digest_id, r.n_records) for r in requests.error_digests(logs, source="host").collect()}
+    assert p == {"host0": (0, 10), "host1": (0, 10)}
