@@ -100,13 +100,16 @@ def requests(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
                     F.col("event_id").alias("seq"))
 
 
-def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LOG records from events: errors are ERROR, purchases CRITICAL, the rest INFO."""
-    e = table(spark, sf_dir, "events")
+def log_records(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """LOG records from events: errors are ERROR, purchases CRITICAL, the rest INFO; the record's
+    source (the server process that logged it) is one of four hosts, by user."""
+    e = events if events is not None else table(spark, sf_dir, "events")
     level = (F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "purchase", "CRITICAL")
              .otherwise("INFO"))
     msg = F.concat(F.col("event_type"), F.lit(" by user "), F.col("user_id").cast("string"))
-    return e.select("ts", level.alias("level"), msg.alias("message"), F.col("event_id").alias("seq"))
+    host = F.concat(F.lit("host"), (F.col("user_id") % 4).cast("string"))
+    return e.select("ts", level.alias("level"), msg.alias("message"), F.col("event_id").alias("seq"),
+                    host.alias("source"))
 
 
 def answer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -334,7 +334,18 @@ def oracle_sql() -> dict[str, str]:
     q["search_batch"] = _with(SUBS, "terms AS (SELECT n_nationkey AS term_id, n_name AS term FROM nation)") + f"""
         SELECT t.term_id, 'search' AS kind, s.qid, s.app_status, s.app_name, CAST(NULL AS BIGINT) AS audit_id,
           CAST(NULL AS VARCHAR) AS error FROM terms t JOIN subs s ON ({hit})"""
-    q["revision_lookup"] = _with(LOG) + """SELECT audit_id AS term_id, 'revision' AS kind, qid, 'Revision' AS app_status,
+    q["error_digest_by_source"] = """WITH l AS (SELECT ts, CASE WHEN event_type = 'error' THEN 'ERROR'
+                WHEN event_type = 'purchase' THEN 'CRITICAL' ELSE 'INFO' END AS level,
+              event_type || ' by user ' || CAST(user_id AS VARCHAR) AS message, event_id AS seq,
+              'host' || CAST(user_id % 4 AS VARCHAR) AS source FROM events),
+            b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts, seq) - 1 AS rnk
+                  FROM l WHERE level IN ('ERROR', 'CRITICAL'))
+            SELECT source, CAST(rnk // 10 AS BIGINT) AS digest_id, min(seq) AS first_seq, max(seq) AS last_seq,
+              count(*) AS n_records, count(*) FILTER (WHERE level = 'ERROR') AS n_errors,
+              coalesce(string_agg(CASE WHEN level = 'ERROR' THEN message END, chr(13) || chr(10) ORDER BY rnk), '') AS body
+            FROM b GROUP BY source, rnk // 10 HAVING count(*) = 10"""
+    q["error_digest_stream"] = q["error_digest_by_source"]
+    q["revision_lookup"] =_with(LOG) + """SELECT audit_id AS term_id, 'revision' AS kind, qid, 'Revision' AS app_status,
           app_name, audit_id, CAST(NULL AS VARCHAR) AS error
         FROM (SELECT a.*, l.app_name FROM audit a JOIN (SELECT DISTINCT qid, app_name FROM log) l ON a.qid = l.qid)"""
     q["template_siblings"] =_with(LINES) + """SELECT tid AS template_id, item_id, parent_id,

@@ -449,6 +449,20 @@ def tip_headings(spark, sf_dir):
             .select("qid", "item_id", tip_label("custom_title", "warn", "raw_severity").alias("heading")))
 
 
+@query
+def error_digest_by_source(spark, sf_dir):
+    """M5 with one buffer per logging process (source)."""
+    return requests.error_digests(ad.log_records(spark, sf_dir), source="source")
+
+
+@query
+def error_digest_stream(spark, sf_dir):
+    """M5 on a stream, one buffer per source; same result as ``error_digest_by_source``."""
+    logs = ad.log_records(spark, sf_dir, streams.read_stream(spark, sf_dir, "events.parquet"))
+    out = streams.run_to_table(spark, "digests", lambda base: streams.error_digest_stream(logs, base))
+    return _or_empty(spark, out, streams.DIGEST_OUT)
+
+
 @query
 def notices_stream(spark, sf_dir):
     """M4 on a stream of log events; same result as ``review_notices``."""

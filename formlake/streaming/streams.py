@@ -11,6 +11,9 @@ resumes from its offsets and state after executor or driver loss.
 * M2 autosave: 2-second tumbling windows per (qid, key) with a watermark (update mode).
 * M3 audit: ``applyInPandasWithState`` keyed by qid keeps the last version and emits the
   audit rows of every later update/delete (the triggers' behaviour).
+* M4 notices: stateless, one notice per saved version.
+* M5 error digests: ``applyInPandasWithState`` keyed by the logging source; the state is the
+  digest counter and at most ``capacity - 1`` waiting records.
 * M6 rate limits: per-client hour/day window counts above the limit (update mode).
 * M7 sessions: ``session_window`` of the session lifetime per client (update mode).
 * M8 oversized bodies: stateless filter after a broadcast join with the path limits.
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType, TimestampType
 
 from formlake.operators import requests as rq
 from formlake.operators import store
@@ -236,6 +239,52 @@ def sessions_stream(requests: DataFrame, base: str, client: str = "client",
     return _batches(out, base, "update")
 
 
+DIGEST_OUT = StructType([StructField("source", StringType()), StructField("digest_id", LongType()),
+                         StructField("first_seq", LongType()), StructField("last_seq", LongType()),
+                         StructField("n_records", LongType()), StructField("n_errors", LongType()),
+                         StructField("body", StringType())])
+DIGEST_STATE = StructType([StructField("next_id", LongType()), StructField("ts_us", ArrayType(LongType())),
+                           StructField("seq", ArrayType(LongType())), StructField("level", ArrayType(StringType())),
+                           StructField("message", ArrayType(StringType()))])
+
+
+def _digest_group(capacity: int):
+    cols = ["ts", "seq", "level", "message"]
+
+    def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        next_id, ts_us, seqs, levels, msgs = state.get if state.exists else (0, [], [], [], [])
+        parts = [p[cols] for p in pdfs]
+        if ts_us:
+            parts.insert(0, pd.DataFrame({"ts": pd.to_datetime(list(ts_us), unit="us"), "seq": list(seqs),
+                                          "level": list(levels), "message": list(msgs)}))
+        buf = pd.concat(parts, ignore_index=True).sort_values(["ts", "seq"]).reset_index(drop=True)
+        full = (len(buf) // capacity) * capacity
+        out = []
+        for start in range(0, full, capacity):
+            chunk = buf.iloc[start:start + capacity]
+            errors = chunk[chunk["level"] == "ERROR"]
+            out.append((key[0], next_id, int(chunk["seq"].min()), int(chunk["seq"].max()), capacity,
+                        len(errors), "\r\n".join(errors["message"])))
+            next_id += 1
+        rest = buf.iloc[full:]  # fewer than ``capacity`` records wait for the next batch
+        state.update((next_id, [int(t.value // 1000) for t in rest["ts"]], [int(s) for s in rest["seq"]],
+                      list(rest["level"]), list(rest["message"])))
+        yield pd.DataFrame(out, columns=[f.name for f in DIGEST_OUT.fields])
+
+    return fn
+
+
+def error_digest_stream(logs: DataFrame, base: str, source: str = "source",
+                        capacity: int = rq.ERROR_DIGEST_CAPACITY) -> StreamingQuery:
+    """M5: every ``capacity`` ERROR/CRITICAL records of a source make a digest. The state per
+    source is the digest counter and at most ``capacity - 1`` waiting records."""
+    buffered = (logs.where(F.col("level").isin("ERROR", "CRITICAL"))
+                .select(F.col(source).alias("source"), "ts", "seq", "level", "message"))
+    out = buffered.groupBy("source").applyInPandasWithState(
+        _digest_group(capacity), DIGEST_OUT, DIGEST_STATE, "append", GroupStateTimeout.NoTimeout)
+    return _append(out, base)
+
+
 def notices_stream(log: DataFrame, base: str) -> StreamingQuery:
     """M4: a notice row per saved version as the log streams in (stateless)."""
     return _append(rq.review_notices(log), base)

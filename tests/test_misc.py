@@ -131,3 +131,41 @@ def test_error_digests_global_and_per_source(spark):
     # per host: 15 buffered records each → one full digest per host
     p = {r.host: (r.digest_id, r.n_records) for r in requests.error_digests(logs, source="host").collect()}
     assert p == {"host0": (0, 10), "host1": (0, 10)}
+
+
+class _State:
+    """Stand-in for the streaming group state (exists / get / update)."""
+
+    def __init__(self):
+        self.value = None
+
+    @property
+    def exists(self):
+        return self.value is not None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
+
+
+def test_digest_state_carries_records_between_batches():
+    import pandas as pd
+
+    from formlake.streaming.streams import _digest_group
+
+    fn = _digest_group(10)
+    rows = [(pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i), i, "ERROR" if i % 2 else "CRITICAL", f"m{i}")
+            for i in range(25)]
+    frame = pd.DataFrame(rows, columns=["ts", "seq", "level", "message"])
+    st = _State()
+    out1 = next(fn(("h",), iter([frame.iloc[:7]]), st))   # 7 waiting
+    out2 = next(fn(("h",), iter([frame.iloc[7:18]]), st))  # 18 → one digest, 8 waiting
+    out3 = next(fn(("h",), iter([frame.iloc[18:]]), st))   # 15 → one digest, 5 waiting
+    assert len(out1) == 0 and list(out2["digest_id"]) == [0] and list(out3["digest_id"]) == [1]
+    assert (out2.iloc[0]["first_seq"], out2.iloc[0]["last_seq"]) == (0, 9)
+    assert (out3.iloc[0]["first_seq"], out3.iloc[0]["last_seq"]) == (10, 19)
+    assert out3.iloc[0]["body"].split("\r\n") == ["m11", "m13", "m15", "m17", "m19"]
+    assert st.value[0] == 2 and st.value[2] == [20, 21, 22, 23, 24]
