@@ -8,6 +8,8 @@ shuffling: a key with a third of all events still ships one row per map task.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -218,20 +220,27 @@ def search_dispatch(current: DataFrame, audit: DataFrame, terms: DataFrame) -> D
                 .select("term_id", F.lit("revision").alias("kind"), "qid", F.lit("Revision").alias("app_status"),
                         "app_name", "audit_id", F.lit(None).cast("string").alias("error")))
     words = t.where(F.col("_n") == 1).select("term_id", sanitize("term").alias("kw"))
-    pat = like_contains_pattern(F.col("kw"))
-    cond = None
-    for c in SEARCH_COLUMNS:
-        hit = F.coalesce(F.ilike(F.col(c), pat), F.lit(False))
-        cond = hit if cond is None else (cond | hit)
     # A LIKE search cannot be an equi-join: every keyword is tested against every row. The
     # keywords are broadcast, so only after checking that they are a small batch.
     n_words = words.limit(MAX_SEARCH_TERMS + 1).count()
     if n_words > MAX_SEARCH_TERMS:
         raise ValueError(f"more than {MAX_SEARCH_TERMS} keyword searches in one batch")
-    stored = current.select("qid", "app_status", "app_name", *[c for c in SEARCH_COLUMNS if c not in ("qid", "app_name")])
-    word_hits = (stored.join(F.broadcast(words), cond, "inner")
-                 .select("term_id", F.lit("search").alias("kind"), "qid", "app_status", "app_name",
-                         F.lit(None).cast("long").alias("audit_id"), F.lit(None).cast("string").alias("error")))
+    # Stored columns are lower-cased once per row; keywords without % or _ are plain
+    # substrings of that text (same result as ILIKE '%kw%'), the others go through ILIKE.
+    stored = current.select("qid", "app_status", "app_name",
+                            *[F.col(c).alias(f"_c{i}") for i, c in enumerate(SEARCH_COLUMNS)],
+                            *[F.lower(c).alias(f"_l{i}") for i, c in enumerate(SEARCH_COLUMNS)])
+    wild = F.col("kw").rlike("[%_]")
+    plain = words.where(~wild).select("term_id", F.lower("kw").alias("_kw"))
+    patterns = words.where(wild).select("term_id", like_contains_pattern(F.col("kw")).alias("_pat"))
+    plain_cond = functools.reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.col(f"_l{i}"), F.col("_kw")),
+                                                                  F.lit(False)) for i in range(len(SEARCH_COLUMNS))])
+    wild_cond = functools.reduce(lambda a, b: a | b, [F.coalesce(F.ilike(F.col(f"_c{i}"), F.col("_pat")),
+                                                                 F.lit(False)) for i in range(len(SEARCH_COLUMNS))])
+    out_cols = ["term_id", F.lit("search").alias("kind"), "qid", "app_status", "app_name",
+                F.lit(None).cast("long").alias("audit_id"), F.lit(None).cast("string").alias("error")]
+    word_hits = (stored.join(F.broadcast(plain), plain_cond, "inner").select(*out_cols)
+                 .unionByName(stored.join(F.broadcast(patterns), wild_cond, "inner").select(*out_cols)))
     bad = (t.where((F.col("_n") > 2) | ((F.col("_n") == 2) & ~(F.col("_p")[0].rlike("^[0-9A-Za-z]+$")
                                                                & F.col("_p")[1].try_cast("int").isNotNull())))
            .select("term_id", F.lit("rejected").alias("kind"), F.lit(None).cast("string").alias("qid"),
