@@ -25,6 +25,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(_t(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from .html_text import extract_main_text
+
+    return extract_main_text(_t(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     from .toxicity import score_toxicity
@@ -39,5 +46,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op9_toxicity, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op6_main_text, op9_toxicity, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
