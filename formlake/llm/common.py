@@ -130,7 +130,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state is not None:
             drop_table(state)
         e = state = new
-        if tuple(seen) == mark:
+        if not seen[0] or tuple(seen) == mark:
             break
         mark = tuple(seen)
     stars = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")

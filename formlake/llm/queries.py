@@ -18,6 +18,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents among all documents."""
+    from .minhash_forest import near_duplicates
+
+    return near_duplicates(_t(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as Simple-8b shards and read back."""
     from .token_files import token_digest
@@ -25,6 +32,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(_t(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors among all embeddings."""
+    from .vectors import near_vectors
+
+    return near_vectors(_t(spark, sf_dir, "embeddings"))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     from .html_text import extract_main_text
@@ -46,5 +60,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op6_main_text, op9_toxicity, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_token_files, op5_near_vectors, op6_main_text, op9_toxicity, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
