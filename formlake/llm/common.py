@@ -113,9 +113,9 @@ def components(edges: DataFrame) -> DataFrame:
     the shuffle) joined back to the edges, so that a node with very many links is split by AQE
     and never gathered. Only isolated nodes have no row.
     """
-    state, mark = None, None
-    e = edges.where("a is not null and b is not null and a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    mark = None
+    e = state = table(edges.where("a is not null and b is not null and a <> b").select(
+        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -127,8 +127,7 @@ def components(edges: DataFrame) -> DataFrame:
             small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = table(small, "components")
         seen = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state is not None:
-            drop_table(state)
+        drop_table(state)
         e = state = new
         if not seen[0] or tuple(seen) == mark:
             break

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_column, components, drop_table, lower_words, shingles, table
+from .common import WordHashes, binary_column, components, lower_words, shingles, table
 
 POOL = 64
 TREES = 24
@@ -271,7 +271,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         dense = sized.where("not small").select(F.col("id").alias("rep"), "sig", "n_shingles")
         groups = groups.unionByName(regions(dense, CLUSTER_ROWS, CLUSTER_SHINGLES))
     texts = rows.select(F.col("doc_id").alias("rep"), "text")
-    links = (groups.join(texts, "rep").select("key", "rep", "text").repartition("key").sortWithinPartitions("key")
+    # a sort-merge join at every size: the representatives grow with the corpus
+    links = (groups.hint("merge").join(texts, "rep").select("key", "rep", "text").repartition("key").sortWithinPartitions("key")
              .mapInArrow(_decide(percent), "a long, b long"))
     # one id may stand for several sets: its sets' representatives are tied
     ties = usable.join(classes.select("set_id", "rep"), "set_id").where("doc_id <> rep").select(

@@ -18,8 +18,12 @@ decoding run over all blocks, or all words of a selector, at once.
 from __future__ import annotations
 
 import os
+import re
+import sys
+import types
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +37,7 @@ from .common import binary_column, shared_path, table
 MAGIC = b"S8BSHRD1"
 BLOCK_IDS = 1024
 SHARD_IDS = 4_000_000  # a shard is closed when it holds this many ids
-CACHE_WORDS = 300_000  # entries of one generation of the chunk memo
+CACHE_WORDS = 400_000  # entries of each generation of a worker's chunk memo
 END_ID = 1
 NULL_ID = -2**63
 # Ids per word and bits per id of each selector (60 payload bits); 0 is the escape.
@@ -165,49 +169,82 @@ def unpack_shard(blob: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
 
 # --- the tokenizer ---------------------------------------------------------------------------
 
+# Letters for which NFC and lower-casing work letter by letter: ASCII and Latin-1.
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table = {b: chr(b) for b in own}
+    for b in range(256):
+        if b not in table:
+            table[b] = chr(256 + len(table) - len(own))
+    return table
+
+
 class Chunks:
     """Encodes texts with a ``tokenizers`` file whose pre-tokenizer drops white space.
 
     No token then spans a space or line feed, so a text's ids are those of its chunks between
     spaces, one after the other; chunks are memoised in two generations of bounded size. A chunk
-    of ASCII letters with trailing full stops and commas is lower-cased, cut before the
-    punctuation (a pre-token boundary) and given to the model itself, which skips the costly
-    normaliser; every other chunk goes through the whole pipeline.
+    of ASCII and Latin-1 letters with trailing full stops and commas is lower-cased, cut before the
+    punctuation (a pre-token boundary) and given to the model itself in the byte-level alphabet,
+    which skips the costly normaliser; every other chunk goes through the whole pipeline.
+    ``plain`` says that the file is of that kind.
     """
 
-    def __init__(self, path: str, plain_ascii: bool = True):
+    def __init__(self, path: str, plain: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.plain_ascii = plain_ascii
+        self.plain = plain
+        letters = _byte_letters()
+        self.letters = "".join(letters[b] for b in range(256))
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.bodies: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
 
+    @staticmethod
+    def of_worker(path: str) -> Chunks:
+        """The encoder that this Python worker keeps from task to task."""
+        kept = sys.modules.setdefault("_token_chunks", types.ModuleType("_token_chunks")).__dict__
+        if path not in kept:
+            kept[path] = Chunks(path)
+        return kept[path]
+
     def _whole(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         body = chunk.rstrip(".,")
-        if self.plain_ascii and body.isascii() and body.isalpha():
-            mark = chunk[len(body):]
-            if mark not in self.marks:
-                if len(self.marks) > 1000:
-                    self.marks = {"": b""}
-                self.marks[mark] = self._whole(mark)
-            return np.array([t.id for t in self.model.tokenize(body.lower())], "<u4").tobytes() + self.marks[mark]
-        return self._whole(chunk)
+        if not self.plain or _PLAIN.fullmatch(body) is None:
+            return self._whole(chunk)
+        mark = chunk[len(body):]
+        if mark not in self.marks:
+            if len(self.marks) > 1000:
+                self.marks = {"": b""}
+            self.marks[mark] = self._whole(mark)
+        body = body.lower()
+        known = self.bodies.get(body)
+        if known is None:
+            if len(self.bodies) > CACHE_WORDS:
+                self.bodies = {}
+            spelled = body if body.isascii() else "".join(map(self.letters.__getitem__, body.encode()))
+            known = self.bodies[body] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return known + self.marks[mark]
 
     def encode(self, text: str) -> np.ndarray:
         chunks = text.replace("\n", " ").split(" ")
         now = self.now
-        missing = [c for c in set(chunks) if c not in now]
+        missing = set(chunks).difference(now)
         if missing:
             if len(now) + len(missing) > CACHE_WORDS:
                 self.old, self.now = now, {}
-                now, missing = self.now, list(set(chunks))
+                now, missing = self.now, set(chunks)
             for c in missing:
                 known = self.old.get(c)
                 now[c] = self._chunk(c) if known is None else known
@@ -239,7 +276,7 @@ def write_token_shards(docs: DataFrame, directory: str, tokenizer_path: str, *,
                .withColumn("part", F.spark_partition_id()))
 
     def write(batches):
-        chunks = Chunks(tokenizer_path)
+        chunks = Chunks.of_worker(tokenizer_path)
         filesystem, root = _open(directory)
         filesystem.create_dir(root, recursive=True)
         doc_ids, arrays, held, shard, rows = [], [], 0, 0, 0

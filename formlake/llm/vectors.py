@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_table, table
+from .common import components, table
 
 THRESHOLD = 0.93
 AXES = 4          # leading principal dimensions of the grid and the boxes
