@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlake.llm import common, decontaminate, minhash_forest, token_files, toxicity
+from formlake.llm import common, decontaminate, minhash_forest, mixture, token_files, toxicity
 from formlake.llm.queries import tokenizer_path
 
+REPETITION = 2.0  # no source is used more than twice
+
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id is not among ``ids``; rows without an id stay."""
@@ -38,6 +40,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _without(docs, decontaminate.decontaminate(docs, benchmark).where("contaminated and doc_id is not null"))
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture uses them; every document stays at least once."""
+    copies = mixture.mix_sources(docs, repetition=REPETITION).where("doc_id is not null").groupBy("doc_id").agg(
+        F.max("copies").alias("copies"))
+    return (docs.join(copies, "doc_id", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)).cast("int"))))
+            .select(docs.columns))
+
+
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards of all that is left, in id order, and each document's digest read back from them."""
     return token_files.token_digest(docs, tokenizer_path())
@@ -47,6 +57,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_duplicates),
     ("decontamination", drop_contaminated),
+    ("mixture", mix),
     ("tokens", write_tokens),
 ]
 

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .line_templates import LINES_SQL
+from .mixture import mix_sql
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -25,6 +29,14 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_t(spark, sf_dir, "documents"))
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that a smaller document holds."""
+    from .passages import drop_repeated_passages
+
+    return drop_repeated_passages(_t(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as Simple-8b shards and read back."""
     from .token_files import token_digest
@@ -32,6 +44,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(_t(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document."""
+    from .katz import score_texts
+
+    return score_texts(_t(spark, sf_dir, "documents"))
+
+
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors among all embeddings."""
     from .vectors import near_vectors
@@ -46,6 +65,21 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_t(spark, sf_dir, "pages"))
 
 
+def op7_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs across documents."""
+    from .line_templates import drop_template_lines
+
+    return drop_template_lines(_t(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used so that no source is repeated more than four times."""
+    from .mixture import mix_sources
+
+    return mix_sources(_t(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     from .toxicity import score_toxicity
@@ -60,5 +94,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_token_files, op5_near_vectors, op6_main_text, op9_toxicity, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_near_duplicates, op2_repeated_passages, op3_token_files, op4_katz_scores, op5_near_vectors, op6_main_text,
+    op7_template_lines, op8_mixture, op9_toxicity, op10_decontamination)}
+
+# The others hash, tokenize, fit models or follow links without end; tests compare them with brute force.
+ORACLE_SQL: dict[str, str] = {"op7_template_lines": LINES_SQL, "op8_mixture": mix_sql()}
