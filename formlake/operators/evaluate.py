@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from formlake.functions.conditions import (InvalidExpressionError, Resolver, compile_condition,
                                            reference_target, references)
 from formlake.functions.text import tip_severity, truthy
-from formlake.schemas import INVISIBLE_CLASS, TODO_KEY_PREFIX
+from formlake import schemas
 
 MAX_TEMPLATE_ITEMS = 20000  # a template is configuration, not data
 
@@ -215,7 +215,7 @@ class CompiledTemplate(Resolver):
 
     def shown(self, item_id: str) -> Column:
         it = self.items[item_id]
-        if (it.auth == "admin" and not self.admin_mode) or it.class_name == INVISIBLE_CLASS:
+        if (it.auth == "admin" and not self.admin_mode) or it.class_name == schemas.INVISIBLE_CLASS:
             return F.lit(False)
         return F.lit(True) if self.unrolled else self._cond_ref(item_id)
 
@@ -380,9 +380,9 @@ class CompiledTemplate(Resolver):
 
     def _todo_structs(self) -> list[Column]:
         tips = [i for i in self.order if self.items[i].type == "tip" and (self.items[i].todo or "")]
-        return [F.struct(F.lit(f"{TODO_KEY_PREFIX}{i}").alias("todo_key"), F.lit(self.items[i].idx).alias("ordinal"),
+        return [F.struct(F.lit(f"{schemas.TODO_KEY_PREFIX}{i}").alias("todo_key"), F.lit(self.items[i].idx).alias("ordinal"),
                          F.lit(self.items[i].todo).alias("description"),
-                         F.col(self.answers)[f"{TODO_KEY_PREFIX}{i}"].alias("todo_status"),
+                         F.col(self.answers)[f"{schemas.TODO_KEY_PREFIX}{i}"].alias("todo_status"),
                          self.visible(i).alias("visible"))
                 for i in tips]
 

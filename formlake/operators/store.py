@@ -13,13 +13,13 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formlake.functions.text import (TRACKER_NAMESPACE, action_items, like_contains_pattern,
-                                     sanitize, truthy)
+from formlake.functions import text
+from formlake.functions.text import action_items, like_contains_pattern, sanitize, truthy
 from formlake.operators.broadcast import small
 from formlake.schemas import SUBMISSION_COLUMNS
 
 STATUS_FLAGS = {"a": "Approved", "r": "In Review", "s": "Submitted", "d": "Draft"}  # fixed values
-MAX_SEARCH_TERMS = 10000
+BROADCAST_TERMS = 10000  # a larger batch of search terms is not broadcast
 
 
 # ---------------------------------------------------------------------------
@@ -69,9 +69,13 @@ def current_state(log: DataFrame) -> DataFrame:
 # Answers → submission columns, defaults
 # ---------------------------------------------------------------------------
 def submission_columns(df: DataFrame, answers: str = "answers", ts: Column | None = None,
-                       namespace: str = TRACKER_NAMESPACE, keep: list[Column] | tuple = ()) -> DataFrame:
-    """B1: the 13 stored columns from an answer map (tid/pid from namespaced keys), plus ``keep``."""
+                       namespace: str | None = None, keep: list[Column] | tuple = ()) -> DataFrame:
+    """B1: the 13 stored columns from an answer map (tid/pid from namespaced keys), plus ``keep``.
+
+    ``namespace`` is the prefix of the tracker id keys, ``text.TRACKER_NAMESPACE`` unless given.
+    """
     a = F.col(answers)
+    namespace = text.TRACKER_NAMESPACE if namespace is None else namespace
     return df.select(
         sanitize(a["qid"]).alias("qid"),
         sanitize(a["app_status"]).alias("app_status"),
@@ -90,12 +94,15 @@ def submission_columns(df: DataFrame, answers: str = "answers", ts: Column | Non
     )
 
 
-def apply_save_defaults(answers: Column, path: Column, user: Column, mail: Column, new_qid: Column) -> Column:
-    """Qid filled when missing, q_version flag, status from the action, login fields."""
+def apply_save_defaults(answers: Column, path: Column, user: Column, mail: Column, new_qid: Column,
+                        ts: Column | None = None) -> Column:
+    """Qid filled when missing, q_version flag (an empty flag is a missing one), status from the action,
+    login fields and the save time (``ts``, now unless given)."""
     status = F.when(path.endswith("/submit"), F.lit("Submitted")).otherwise(F.lit("Draft"))
-    extra = F.create_map(F.lit("app_status"), status, F.lit("login_user"), user, F.lit("login_userMail"), mail)
+    extra = F.create_map(F.lit("app_status"), status, F.lit("login_user"), user, F.lit("login_userMail"), mail,
+                         F.lit("timestamp"), F.date_format(ts if ts is not None else F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
     with_qid = F.when(truthy(answers["qid"]), answers).otherwise(F.map_concat(answers, F.create_map(F.lit("qid"), new_qid)))
-    ver = F.when(answers["q_version_0_1"].isNull(),
+    ver = F.when(F.coalesce(answers["q_version_0_1"], F.lit("")) == "",
                  F.create_map(F.lit("q_version_0_2"), F.lit("checked"))).otherwise(F.create_map().cast("map<string,string>"))
     return F.map_concat(with_qid, ver, extra)
 
@@ -103,7 +110,7 @@ def apply_save_defaults(answers: Column, path: Column, user: Column, mail: Colum
 def apply_load_defaults(answers: Column, new_qid: Column) -> Column:
     """Qid generated when missing; q_version_0_1 set when absent."""
     with_qid = F.when(truthy(answers["qid"]), answers).otherwise(F.map_concat(answers, F.create_map(F.lit("qid"), new_qid)))
-    ver = F.when(answers["q_version_0_1"].isNull(),
+    ver = F.when(F.coalesce(answers["q_version_0_1"], F.lit("")) == "",
                  F.create_map(F.lit("q_version_0_1"), F.lit("checked"))).otherwise(F.create_map().cast("map<string,string>"))
     return F.map_concat(with_qid, ver)
 
@@ -214,17 +221,16 @@ def search_dispatch(current: DataFrame, audit: DataFrame, terms: DataFrame) -> D
     """
     parts = F.split("term", "-")
     t = terms.select("term_id", "term", parts.alias("_p"), F.size(parts).alias("_n"))
-    rev = t.where((F.col("_n") == 2) & F.col("_p")[0].rlike("^[0-9A-Za-z]+$") & F.col("_p")[1].try_cast("int").isNotNull())
+    rev = t.where((F.col("_n") == 2) & F.col("_p")[0].rlike("^[0-9A-Za-z]+$") & F.col("_p")[1].try_cast("bigint").isNotNull())
     rev = rev.select("term_id", sanitize(F.col("_p")[0]).alias("qid"), F.col("_p")[1].try_cast("long").alias("audit_id"))
     rev_hits = (rev.join(audit.select("qid", "audit_id", "app_status", "app_name"), ["qid", "audit_id"], "inner")
                 .select("term_id", F.lit("revision").alias("kind"), "qid", F.lit("Revision").alias("app_status"),
                         "app_name", "audit_id", F.lit(None).cast("string").alias("error")))
     words = t.where(F.col("_n") == 1).select("term_id", sanitize("term").alias("kw"))
     # A LIKE search cannot be an equi-join: every keyword is tested against every row. The
-    # keywords are broadcast, so only after checking that they are a small batch.
-    n_words = words.limit(MAX_SEARCH_TERMS + 1).count()
-    if n_words > MAX_SEARCH_TERMS:
-        raise ValueError(f"more than {MAX_SEARCH_TERMS} keyword searches in one batch")
+    # keywords are broadcast if they are a small batch; any other batch is joined as Spark sees fit.
+    few = words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    sent = F.broadcast if few else (lambda df: df)
     # Stored columns are lower-cased once per row; keywords without % or _ are plain
     # substrings of that text (same result as ILIKE '%kw%'), the others go through ILIKE.
     stored = current.select("qid", "app_status", "app_name",
@@ -239,10 +245,10 @@ def search_dispatch(current: DataFrame, audit: DataFrame, terms: DataFrame) -> D
                                                                  F.lit(False)) for i in range(len(SEARCH_COLUMNS))])
     out_cols = ["term_id", F.lit("search").alias("kind"), "qid", "app_status", "app_name",
                 F.lit(None).cast("long").alias("audit_id"), F.lit(None).cast("string").alias("error")]
-    word_hits = (stored.join(F.broadcast(plain), plain_cond, "inner").select(*out_cols)
-                 .unionByName(stored.join(F.broadcast(patterns), wild_cond, "inner").select(*out_cols)))
+    word_hits = (stored.join(sent(plain), plain_cond, "inner").select(*out_cols)
+                 .unionByName(stored.join(sent(patterns), wild_cond, "inner").select(*out_cols)))
     bad = (t.where((F.col("_n") > 2) | ((F.col("_n") == 2) & ~(F.col("_p")[0].rlike("^[0-9A-Za-z]+$")
-                                                               & F.col("_p")[1].try_cast("int").isNotNull())))
+                                                               & F.col("_p")[1].try_cast("bigint").isNotNull())))
            .select("term_id", F.lit("rejected").alias("kind"), F.lit(None).cast("string").alias("qid"),
                    F.lit(None).cast("string").alias("app_status"), F.lit(None).cast("string").alias("app_name"),
                    F.lit(None).cast("long").alias("audit_id"), F.lit("invalid search term").alias("error")))

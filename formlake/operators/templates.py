@@ -1,9 +1,9 @@
 """Template processing: normalise, flatten, check.
 
 A template is a recursive JSON tree. Spark has no recursive types, so ``flatten_templates``
-parses each text once with an item schema nested a bounded number of levels deep, then
-explodes one level at a time and emits every item and every group choice with one
-generator. Item paths (array of positions) give the pre-order ordinal with one window per
+parses each text with an item schema nested ``PARSED_LEVELS`` deep, explodes one level at a
+time, and parses what lies deeper (kept as raw text) with the same schema again, so nesting
+has no limit. Every item and every group choice is emitted with one generator. Item paths (array of positions) give the pre-order ordinal with one window per
 template.
 """
 
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from formlake.functions.text import DEFAULT_CHOICE_TEXT
-from formlake.schemas import GROUP_TYPES, INVISIBLE_CLASS, ITEM, ITEM_JSON_FIELDS, KNOWN_TYPES, VALUE_TYPES
+from formlake import schemas
+from formlake.schemas import GROUP_TYPES, ITEM, ITEM_JSON_FIELDS, KNOWN_TYPES, VALUE_TYPES
 
-MAX_DEPTH = 16
+PARSED_LEVELS = 16  # levels parsed at once; deeper ones are parsed in further rounds
 
 
 # ---------------------------------------------------------------------------
@@ -70,7 +71,7 @@ def _item_id(x: Column, path: Column) -> Column:
 
 _NULL_FIELDS = ["insertBefore", "insertAfter",
                 "auth", "className", "severity", "why", "name", "todo", "customTitle", "default", "required",
-                "inputType", "inputPattern", "maxlength", "yes", "no", "defaultChoice"]
+                "inputType", "inputPattern", "inputTitle", "placeholder", "maxlength", "yes", "no", "defaultChoice"]
 
 
 def _row(path: Column, item_id: Column, parent_id: Column, parent_type: Column, ancestors: Column,
@@ -95,21 +96,19 @@ def _row(path: Column, item_id: Column, parent_id: Column, parent_type: Column,
         g("todo").cast("string").alias("todo"), g("customTitle").cast("string").alias("custom_title"),
         g("default").cast("string").alias("default_value"), g("required").cast("boolean").alias("required"),
         g("inputType").cast("string").alias("input_type"), g("inputPattern").cast("string").alias("input_pattern"),
+        g("inputTitle").cast("string").alias("input_title"), g("placeholder").cast("string").alias("placeholder"),
         g("maxlength").cast("int").alias("maxlength"), g("yes").cast("string").alias("yes"),
         g("no").cast("string").alias("no"), g("defaultChoice").cast("boolean").alias("default_choice"),
         over.get("is_choice", F.lit(False)).alias("is_choice"),
         (x["id"].isNotNull() if x is not None else F.lit(True)).alias("has_id"),
-        over.get("overflow", F.lit(False)).alias("overflow"),
         g("insertBefore").cast("string").alias("insert_before"),
         g("insertAfter").cast("string").alias("insert_after"))
 
 
-def _rows_of_item(x: Column, path: Column, parent_id: Column, parent_type: Column, ancestors: Column,
-                  deepest: bool) -> Column:
+def _rows_of_item(x: Column, path: Column, parent_id: Column, parent_type: Column, ancestors: Column) -> Column:
     """The item itself, then (for groups) one row per choice and the optional default choice."""
     iid = _item_id(x, path)
-    overflow = (x["items"].isNotNull() & (F.regexp_replace(x["items"], r"\s", "") != "[]")) if deepest else F.lit(False)
-    me = _row(path, iid, parent_id, parent_type, ancestors, x, overflow=overflow)
+    me = _row(path, iid, parent_id, parent_type, ancestors, x)
     child_anc = F.concat(ancestors, F.array(iid))
     choice_type = F.when(x["type"] == "checkgroup", "check").when(x["type"] == "radiogroup", "radio")
     no_maps = F.array().cast("array<map<string,string>>")
@@ -136,15 +135,15 @@ def _rows_of_item(x: Column, path: Column, parent_id: Column, parent_type: Colum
 _LEVEL_ROWS: dict = {}
 
 
-def _level_rows(deepest: bool) -> Column:
-    """The per-level generator, built once per process (it only refers to column names)."""
+def _level_rows() -> Column:
+    """The per-level generator, built once per session (it only refers to column names)."""
     from pyspark import SparkContext
 
-    key = (id(SparkContext._active_spark_context), deepest)
-    if key not in _LEVEL_ROWS:
-        _LEVEL_ROWS[key] = F.inline(_rows_of_item(F.col("x"), F.col("path"), F.col("pid"), F.col("ptype"),
-                                                  F.col("anc"), deepest=deepest))
-    return _LEVEL_ROWS[key]
+    context = SparkContext._active_spark_context
+    if context not in _LEVEL_ROWS:
+        _LEVEL_ROWS.clear()
+        _LEVEL_ROWS[context] = F.inline(_rows_of_item(F.col("x"), F.col("path"), F.col("pid"), F.col("ptype"), F.col("anc")))
+    return _LEVEL_ROWS[context]
 
 
 def _nested_item_struct(levels_left: int) -> StructType:
@@ -155,42 +154,45 @@ def _nested_item_struct(levels_left: int) -> StructType:
     return StructType(fields)
 
 
-def flatten_templates(templates: DataFrame, max_depth: int = MAX_DEPTH, field: str = "questionnaire",
+def flatten_templates(templates: DataFrame, parsed_levels: int = PARSED_LEVELS, field: str = "questionnaire",
                       materialize: bool = True, ordinals: bool = True) -> DataFrame:
-    """F1 + F10: ITEM rows (see ``schemas.ITEM``) plus ``has_id``/``overflow``/``path`` columns.
+    """F1 + F10: ITEM rows (see ``schemas.ITEM``) plus ``has_id``/``path`` columns, for any nesting.
 
-    ``templates`` has ``template_id`` and ``text`` (normalised JSON). Each text is parsed once
-    with a schema nested ``max_depth`` levels deep (anything deeper stays raw text and is
-    reported as ``overflow``). With ``materialize`` the parsed templates are checkpointed to the
-    reliable checkpoint folder, so the level loop only explodes already parsed arrays; it stops
+    ``templates`` has ``template_id`` and ``text`` (normalised JSON). Each text is parsed with a
+    schema nested ``parsed_levels`` deep; deeper items stay raw text and are parsed the same way
+    when the level loop reaches them. With ``materialize`` the parsed rows are checkpointed to the
+    reliable checkpoint folder, so the loop only explodes already parsed arrays; it stops
     at the first empty level. Ordinals are the pre-order rank of the item path per template.
     """
     from formlake.session import cut_lineage
 
-    schema = StructType([StructField("version", IntegerType()), StructField(field, ArrayType(_nested_item_struct(max_depth)))])
-    parsed = (templates.select("template_id", F.from_json("text", schema).alias("t"))
-              .select("template_id", F.col("t.version").alias("version"), F.col("t")[field].alias("items")))
+    nested = ArrayType(_nested_item_struct(parsed_levels))
+    schema = StructType([StructField("version", IntegerType()), StructField(field, nested)])
+    frontier = (templates.select("template_id", F.from_json("text", schema).alias("t"))
+                .select("template_id", F.col("t.version").alias("version"), F.array().cast("array<int>").alias("path"),
+                        F.lit(None).cast("string").alias("pid"), F.lit(None).cast("string").alias("ptype"),
+                        F.array().cast("array<string>").alias("anc"), F.col("t")[field].alias("items")))
     if materialize:
-        parsed = cut_lineage(parsed)
-    frontier = parsed.select("template_id", "version", F.array().cast("array<int>").alias("path"),
-                             F.lit(None).cast("string").alias("pid"), F.lit(None).cast("string").alias("ptype"),
-                             F.array().cast("array<string>").alias("anc"), "items")
-    levels = []
-    for depth in range(max_depth):
+        frontier = cut_lineage(frontier)
+    levels, below = [], 0  # below: levels exploded since the last parse
+    while True:
         lvl = (frontier.where(F.col("items").isNotNull())
                .select("template_id", "version", "path", "pid", "ptype", "anc",
                        F.posexplode("items").alias("pos", "x"))
                .select("template_id", "version", "anc", "pid", "ptype",
                        F.concat("path", F.array("pos")).alias("path"), "x"))
-        levels.append(lvl.select("template_id", "version", _level_rows(depth == max_depth - 1)))
-        if depth == max_depth - 1:
-            break
+        levels.append(lvl.select("template_id", "version", _level_rows()))
         iid = _item_id(F.col("x"), F.col("path"))
-        frontier = lvl.where(F.col("x.items").isNotNull() & (F.size("x.items") > 0)).select(
+        raw = below == parsed_levels - 1
+        kids = F.from_json("x.items", nested) if raw else F.col("x.items")
+        frontier = lvl.where(F.col("x.items").isNotNull()).select(
             "template_id", "version", "path", iid.alias("pid"), F.col("x.type").alias("ptype"),
-            F.concat("anc", F.array(iid)).alias("anc"), F.col("x.items").alias("items"))
+            F.concat("anc", F.array(iid)).alias("anc"), kids.alias("items")).where(F.size("items") > 0)
         if frontier.isEmpty():
             break
+        if raw and materialize:
+            frontier = cut_lineage(frontier)
+        below = 0 if raw else below + 1
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
@@ -199,7 +201,7 @@ def flatten_templates(templates: DataFrame, max_depth: int = MAX_DEPTH, field: s
         out = out.withColumn("ordinal", (F.row_number().over(w) - 1).cast("int"))
     else:  # callers that order by ``path`` themselves skip the shuffle
         out = out.withColumn("ordinal", F.lit(None).cast("int"))
-    return out.select(*[c.name for c in ITEM.fields], "has_id", "overflow", "path", "insert_before", "insert_after")
+    return out.select(*[c.name for c in ITEM.fields], "has_id", "path", "insert_before", "insert_after")
 
 
 # ---------------------------------------------------------------------------
@@ -218,7 +220,7 @@ def root_issues(templates: DataFrame) -> DataFrame:
 
 
 def item_issues(items: DataFrame) -> DataFrame:
-    """F3 unknown type, F4 duplicate ids, F5 missing id, F12 property rules, depth overflow."""
+    """F3 unknown type, F4 duplicate ids, F5 missing id, F12 property rules (every broken one)."""
     it = items
     dups = (it.where(F.col("has_id")).groupBy("template_id", "item_id")
             .agg(F.count("*").alias("n"), F.max(F.col("is_choice").cast("int")).alias("choice"))
@@ -227,28 +229,28 @@ def item_issues(items: DataFrame) -> DataFrame:
                       F.when(F.col("choice") == 1, "duplicate_choice_id").otherwise("duplicate_id").alias("rule"),
                       F.col("n").cast("string").alias("detail"))
     t = F.col("type")
-    prop = (F.when(t.isin("line", "box", "check", "radio", "yesno", "upload") & ~F.col("is_choice")
-                   & F.coalesce(F.col("text"), F.lit("")).eqNullSafe(""), "text is mandatory")
-            .when(t.isin("block", "info") & F.col("text").isNull(), "text is mandatory")
-            .when((t == "yesno") & (F.col("yes").isNull() | F.col("no").isNull()), "yes and no are mandatory")
-            .when(t.isin(*GROUP_TYPES.keys()) & F.col("default_choice").isNull(), "defaultChoice is mandatory")
-            .when(F.col("auth").isNotNull() & (F.col("auth") != "admin"), "auth must be admin")
-            .when(F.col("class_name").isNotNull() & (F.col("class_name") != INVISIBLE_CLASS),
-                  f"className must be {INVISIBLE_CLASS}")
-            .when(F.col("severity").isNotNull() & ~F.col("severity").isin("medium", "high", "critical"),
-                  "severity must be medium, high or critical")
-            .when(F.col("severity").isNotNull() & ~F.col("warn"), "severity needs warn=yes"))
+    no_text = (t.isin(*VALUE_TYPES) & ~F.col("is_choice") & (F.coalesce(F.col("text"), F.lit("")) == "")
+               | t.isin("block", "info") & F.col("text").isNull())
+    hidden = schemas.INVISIBLE_CLASS
+    broken = [
+        (no_text, "text is mandatory"),
+        ((t == "yesno") & (F.col("yes").isNull() | F.col("no").isNull()), "yes and no are mandatory"),
+        (t.isin(*GROUP_TYPES.keys()) & F.col("default_choice").isNull(), "defaultChoice is mandatory"),
+        (F.col("auth") != "admin", "auth must be admin"),
+        (F.col("class_name") != hidden, f"className must be {hidden}"),
+        (~F.col("severity").isin("medium", "high", "critical"), "severity must be medium, high or critical"),
+        (F.col("severity").isNotNull() & ~F.col("warn"), "severity needs warn=yes")]
+
+    def finding(rule: str, detail) -> Column:
+        return F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
+
     # the row-local rules in one pass: (rule, detail) pairs, nulls dropped
     checks = F.array(
-        F.when(~F.coalesce(t, F.lit("")).isin(*KNOWN_TYPES), F.struct(F.lit("unknown_type").alias("rule"),
-                                                                      t.alias("detail"))),
-        F.when(t.isin(*VALUE_TYPES) & ~F.col("has_id") & ~F.col("is_choice"),
-               F.struct(F.lit("missing_id").alias("rule"), t.alias("detail"))),
-        F.when(F.col("overflow"), F.struct(F.lit("too_deep").alias("rule"),
-                                           F.lit(f"nesting deeper than {MAX_DEPTH}").alias("detail"))),
-        F.when(prop.isNotNull(), F.struct(F.lit("property").alias("rule"), prop.alias("detail"))))
+        F.when(~F.coalesce(t, F.lit("")).isin(*KNOWN_TYPES), finding("unknown_type", t)),
+        F.when(t.isin(*VALUE_TYPES) & ~F.col("has_id") & ~F.col("is_choice"), finding("missing_id", t)),
+        *[F.when(cond, finding("property", F.lit(detail))) for cond, detail in broken])
     row_rules = (it.select("template_id", "item_id", F.explode(F.filter(checks, lambda c: c.isNotNull())).alias("c"))
-                 .select("template_id", "item_id", "c.rule", F.col("c.detail").cast("string").alias("detail")))
+                 .select("template_id", "item_id", "c.rule", "c.detail"))
     return row_rules.unionByName(dup)
 
 

@@ -7,7 +7,7 @@ SQL expressions over pivoted answers.
 from __future__ import annotations
 
 from formlake.plans.queries import AS_OF, GRID_FILTER, SAVED_CUTOFF
-from formlake.schemas import TODO_KEY_PREFIX
+from formlake import schemas
 
 SUBS = """
 subs AS (
@@ -209,7 +209,7 @@ def _todos() -> str:
         if not todo:
             continue
         v, o = _vis_of(tid)
-        sel.append(f"SELECT qid, '{TODO_KEY_PREFIX}{tid}' AS todo_key, CAST({o} AS INTEGER) AS ordinal, {_q(todo)} AS description, "
+        sel.append(f"SELECT qid, '{schemas.TODO_KEY_PREFIX}{tid}' AS todo_key, CAST({o} AS INTEGER) AS ordinal, {_q(todo)} AS description, "
                    f"CAST(NULL AS VARCHAR) AS todo_status FROM a WHERE {v}")
     return "\nUNION ALL\n".join(sel)
 

@@ -54,7 +54,8 @@ ITEM = StructType([StructField(n, t) for n, t in [
     ("parent_id", S), ("parent_type", S), ("ancestors", ArrayType(S)), ("type", S),
     ("text", S), ("cond", S), ("auth", S), ("class_name", S), ("warn", B), ("severity", S),
     ("why", S), ("name", S), ("todo", S), ("custom_title", S), ("default_value", S),
-    ("required", B), ("input_type", S), ("input_pattern", S), ("maxlength", I), ("yes", S),
+    ("required", B), ("input_type", S), ("input_pattern", S), ("input_title", S),
+    ("placeholder", S), ("maxlength", I), ("yes", S),
     ("no", S), ("default_choice", B), ("is_choice", B)]])
 
 # Format settings of stored templates and answers: the class that hides an item and the

@@ -8,6 +8,8 @@ partitioned by directory.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def import_revisions(spark: SparkSession, path: str, admin_user: str = ADMIN_USE
 
     The qid of the directory's first readable file (or a token derived from the directory) is
     forced on all its files; status, login user/mail and the version flag get defaults; the
-    file time becomes the version time. Returns ``(log, rejected)`` where ``log`` has the
+    file time becomes the version time, ``seq`` numbers the versions by time and path. Returns ``(log, rejected)`` where ``log`` has the
     EVENT_LOG schema (``op='import'``) and ``rejected`` lists unreadable files.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -63,12 +65,12 @@ def import_revisions(spark: SparkSession, path: str, admin_user: str = ADMIN_USE
                         F.lit("app_status"), F.coalesce(a["app_status"], F.lit("Submitted")),
                         F.lit("login_user"), F.coalesce(a["login_user"], F.lit(admin_user)),
                         F.lit("login_userMail"), F.coalesce(a["login_userMail"], F.lit(admin_mail))))
-    versioned = good.select("path", "modificationTime",
+    versioned = good.select("path", "modificationTime", F.row_number().over(w).cast("long").alias("seq"),
                             F.when(F.coalesce(a["q_version_0_2"], F.lit("")) == "",
                                    F.map_concat(defaults, F.create_map(F.lit("q_version_0_1"), F.lit("checked"))))
                             .otherwise(defaults).alias("answers"))
     cols = submission_columns(versioned, "answers", ts=F.col("modificationTime"),
-                              keep=[F.xxhash64("path").alias("seq"), F.lit("import").alias("op"),
+                              keep=[F.col("seq"), F.lit("import").alias("op"),
                                     F.col("modificationTime").alias("event_ts")])
     return cols, rejected
 
@@ -95,16 +97,21 @@ def latest_file_per_dir(files: DataFrame) -> DataFrame:
                                                                  m["app_champion"], m["app_team_email"]).alias("target"))
 
 
-def export_snapshot(tables: dict[str, DataFrame], path: str) -> None:
-    """A5: every table as JSON lines under ``path/<table>``."""
+def export_snapshot(tables: dict[str, DataFrame], path: str, stamp: str | None = None) -> str:
+    """A5: every table as JSON lines under ``path/<stamp>/<table>``, one backup per run; its stamp.
+
+    ``stamp`` is the UTC time in sortable form unless given. An existing backup is never replaced.
+    """
+    stamp = stamp or datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%fZ")
     for name, df in tables.items():
-        df.write.mode("overwrite").json(f"{path}/{name}")
+        df.write.mode("errorifexists").json(f"{path}/{stamp}/{name}")
+    return stamp
 
 
-def restore_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Read back the two store tables written by ``export_snapshot``."""
-    return {"Answers": spark.read.schema(SUBMISSION).json(f"{path}/Answers"),
-            "Audit": spark.read.schema(AUDIT).json(f"{path}/Audit")}
+def restore_snapshot(spark: SparkSession, path: str, stamp: str) -> dict[str, DataFrame]:
+    """Read back the two store tables of the backup ``stamp``."""
+    return {"Answers": spark.read.schema(SUBMISSION).json(f"{path}/{stamp}/Answers"),
+            "Audit": spark.read.schema(AUDIT).json(f"{path}/{stamp}/Audit")}
 
 
 def find_answer_file(files: DataFrame, term: str) -> DataFrame:

@@ -46,6 +46,16 @@ def stream_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def read_stream(spark: SparkSession, directory: str, glob: str = "*.parquet",
                 max_files: int | None = None) -> DataFrame:
     """Stream the parquet files of ``directory`` matching ``glob`` (schema from the files).
@@ -53,6 +63,9 @@ def read_stream(spark: SparkSession, directory: str, glob: str = "*.parquet",
     Event-time columns stored without time zone are read as UTC timestamps, which is what
     watermarks require.
     """
+    table = f"{directory}/{glob}"
+    if "*" not in glob and _is_folder(spark, table):  # a table of part files is read as it is
+        directory, glob = table, "*.parquet"
     schema = spark.read.option("pathGlobFilter", glob).parquet(directory).schema
     r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if max_files:
@@ -90,10 +103,10 @@ def run_to_table(spark: SparkSession, name: str, start: Callable[[str], Streamin
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    try:
-        out = spark.read.parquet(f"{base}/out")
-    except Exception:  # noqa: BLE001 - nothing written: empty result
+    fs, p = _file_system(spark, f"{base}/out")
+    if not fs.exists(p):  # no batch ran: nothing was written
         return None
+    out = spark.read.parquet(f"{base}/out")
     return read(out) if read else out
 
 

@@ -52,6 +52,8 @@ def test_snapshot_round_trip(spark, tmp_path):
 
     answers = spark.createDataFrame([("Q", "Draft", "", "", "n", "c", "m", "u", None, "{}", None, "", None)], SUBMISSION)
     audit = spark.createDataFrame([], AUDIT)
-    files.export_snapshot({"Answers": answers, "Audit": audit}, str(tmp_path))
-    back = files.restore_snapshot(spark, str(tmp_path))
+    first = files.export_snapshot({"Answers": answers, "Audit": audit}, str(tmp_path))
+    second = files.export_snapshot({"Answers": answers.limit(0), "Audit": audit.limit(0)}, str(tmp_path))
+    assert second > first and files.restore_snapshot(spark, str(tmp_path), second)["Answers"].count() == 0
+    back = files.restore_snapshot(spark, str(tmp_path), first)
     assert back["Answers"].collect() == answers.collect() and back["Audit"].count() == 0
