@@ -21,7 +21,7 @@ FIELD = "<*>"
 
 
 def _tokens(line: F.Column) -> F.Column:
-    return F.filter(F.split(line, "[ \\t\\x0B\\f\\r]+"), lambda t: t != "")
+    return F.filter(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), lambda t: t != "")
 
 
 def _general(token: F.Column) -> F.Column:
@@ -29,11 +29,11 @@ def _general(token: F.Column) -> F.Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, pos, tokens, leaf) of every line with a token; (doc_id, row) names a row's text."""
-    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(
-        "doc_id", "row", "pos", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+    """(doc_id, row, pos, line, leaf) of every line with a token; (doc_id, row) names a row's text."""
+    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn(
+        "tokens", _tokens(F.col("line"))).where(F.size("tokens") > 0)
     lead = F.transform(F.slice("tokens", 1, LEAD), _general)
-    return lines.withColumn("leaf", F.concat_ws(" ", F.size("tokens").cast("string"), F.array_join(lead, " ")))
+    return lines.select("doc_id", "row", "pos", "line", F.concat_ws(" ", F.size("tokens").cast("string"), F.array_join(lead, " ")).alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -42,7 +42,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     leaves = (lines.select("leaf", "doc_id", "row").distinct().groupBy("leaf").count()
               .where(F.col("count") >= min_docs).select("leaf"))
     busy = table(lines.join(leaves, "leaf"), "busy-lines")
-    tokens = busy.select("leaf", "doc_id", "row", "pos", F.posexplode("tokens").alias("i", "token"))
+    tokens = busy.select("leaf", "doc_id", "row", "pos", F.posexplode(_tokens(F.col("line"))).alias("i", "token"))
     constants = (tokens.select("leaf", "i", "token", "doc_id", "row").distinct().groupBy("leaf", "i", "token").count()
                  .where(F.col("count") >= min_docs).select("leaf", "i", "token", F.lit(True).alias("constant")))
     fields = tokens.join(constants, ["leaf", "i", "token"], "left").groupBy("doc_id", "row", "pos", "leaf").agg(
