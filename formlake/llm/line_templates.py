@@ -46,7 +46,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     constants = (tokens.select("leaf", "i", "token", "doc_id", "row").distinct().groupBy("leaf", "i", "token").count()
                  .where(F.col("count") >= min_docs).select("leaf", "i", "token", F.lit(True).alias("constant")))
     fields = tokens.join(constants, ["leaf", "i", "token"], "left").groupBy("doc_id", "row", "pos", "leaf").agg(
-        F.sort_array(F.collect_list(F.struct("i", F.when(F.col("constant"), F.col("token")).otherwise(FIELD).alias("t")))).alias("f"),
+        F.sort_array(F.collect_set(F.struct("i", F.when(F.col("constant"), F.col("token")).otherwise(FIELD).alias("t")))).alias("f"),
         F.avg(F.coalesce("constant", F.lit(False)).cast("double")).alias("share"))
     templates = fields.where(F.col("share") >= MIN_CONSTANT).select(
         "doc_id", "row", "pos", F.concat_ws(" ", F.size("f").cast("string"), F.array_join("f.t", " ")).alias("template"), "leaf")

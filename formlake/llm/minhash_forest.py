@@ -10,7 +10,9 @@ with similar whole signatures are tied into a spanning forest; the forests of al
 clusters of candidates. In a cluster the links are decided on the full shingle sets.
 
 Texts with equal sets are one class from the start (a group of exact copies is one row). A cluster
-too large for a task is again cut into regions of adaptive depth, in every tree, and decided there.
+too large for a task is again cut into regions of adaptive depth, in every tree, and decided there;
+besides, all its rows are compared with its centres, the rows nearest to the cluster's most
+frequent signature values, as the copies of one text may be like that text alone.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, binary_column, components, lower_words, shingles, table
@@ -29,6 +31,7 @@ TREES = 24
 LADDER = (3, 5, 8, 12, 18, 26)   # prefix lengths at which a region may be cut
 REGION_ROWS = 1024               # rows of a region compared with one another
 CLUSTER_ROWS = 4096              # rows and
+CENTRES = 4                      # rows of a larger cluster that all its rows are compared with
 CLUSTER_SHINGLES = 2_000_000     # shingles of a cluster decided in one task
 PERCENT = 85                     # links: 100 * intersection >= PERCENT * union
 SLACK = 5.0                      # standard deviations below the threshold at which signatures still count as similar
@@ -94,23 +97,25 @@ def regions(members: DataFrame, rows_limit: int, shingles_limit: int | None = No
     A region that is too large at the greatest depth holds signatures that agree in all leading
     values; it is dealt into parts by hash, each with the region's smallest rep as a common neighbour.
     """
-    spark = members.sparkSession
-    done, tables, live = [], [], None
+    done, live = [], None
     for depth in LADDER:
         keyed = _prefix_keys(members, depth)
-        if live is not None:
-            keyed = keyed.join(live, ["tree", "rep"], "left_semi")
-        size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("total"),
-                                        F.min("rep").alias("first")).where("rows > 1")
+        keyed = keyed.withColumn("parent", F.lit(None).cast("long")) if live is None else keyed.join(live, ["tree", "rep"])
+        size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("total"), F.min("rep").alias("first"))
         fits = F.col("rows") <= rows_limit
         if shingles_limit is not None:
             fits &= (F.col("total") <= shingles_limit) | (F.col("rows") == 2)
+        if live is None:
+            size = size.where("rows > 1")
         marked = table(keyed.join(size.withColumn("fits", fits), "key"), "regions")
-        done.append(marked.where("fits").select("key", "rep"))
+        done.append(marked.where("fits and rows > 1").select("key", "rep"))
+        if live is not None:  # a row alone at this depth stays with the first row of the region it comes from
+            alone = F.explode(F.array("rep", "parent")).alias("rep")
+            done.append(marked.where("rows = 1 and rep <> parent").select(F.xxhash64(F.lit("alone"), "tree", F.lit(depth), "rep").alias("key"), alone))
         rest = marked.where("not fits")
         if rest.isEmpty():
             break
-        live = rest.select("tree", "rep")
+        live = rest.select("tree", "rep", F.col("first").alias("parent"))
         last = rest
     else:
         parts = F.greatest(F.ceil(F.col("rows") / F.lit(rows_limit / 2)),
@@ -127,6 +132,23 @@ def regions(members: DataFrame, rows_limit: int, shingles_limit: int | None = No
     return out
 
 
+def around_centres(dense: DataFrame) -> DataFrame:
+    """(key, rep): the rows of each cluster dealt by hash into parts, each with all centres of the cluster."""
+    place = F.transform(F.sequence(F.lit(0), F.lit(POOL - 1)), lambda i: F.substring(F.hex("sig"), i * 8 + 1, F.lit(8)))
+    values = dense.select("component", "rep", F.posexplode(place).alias("i", "v"))
+    usual = values.groupBy("component", "i", "v").count().groupBy("component", "i").agg(
+        F.max_by("v", F.struct("count", "v")).alias("v"))
+    likeness = values.join(usual, ["component", "i", "v"]).groupBy("component", "rep").count()
+    best = Window.partitionBy("component").orderBy(F.desc("count"), "rep")
+    centres = likeness.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= CENTRES).select("component", "rep")
+    size = dense.groupBy("component").agg(F.greatest(
+        F.ceil(2 * F.count(F.lit(1)) / F.lit(CLUSTER_ROWS)), F.ceil(2 * F.sum("n_shingles") / F.lit(CLUSTER_SHINGLES))).cast("long").alias("parts"))
+    key = F.xxhash64(F.lit("centres"), "component", "part").alias("key")
+    dealt = dense.join(size, "component").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    shown = centres.join(size, "component").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return dealt.select(key, "rep").unionByName(shown.select(key, "rep")).distinct()
+
+
 def _groups(batches, columns: list[str]):
     """Rows of sorted Arrow batches as (key, {column: list}) per run of equal keys."""
     key, held = None, None
@@ -268,8 +290,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sized = table(members.join(size.select("component", small.alias("small")), "component"), "cluster-members")
     groups = sized.where("small").select(F.col("component").alias("key"), F.col("id").alias("rep"))
     if not sized.where("not small").isEmpty():
-        dense = sized.where("not small").select(F.col("id").alias("rep"), "sig", "n_shingles")
-        groups = groups.unionByName(regions(dense, CLUSTER_ROWS, CLUSTER_SHINGLES))
+        dense = sized.where("not small").select("component", F.col("id").alias("rep"), "sig", "n_shingles")
+        groups = groups.unionByName(regions(dense, CLUSTER_ROWS, CLUSTER_SHINGLES)).unionByName(around_centres(dense))
     texts = rows.select(F.col("doc_id").alias("rep"), "text")
     # a sort-merge join at every size: the representatives grow with the corpus
     links = (groups.hint("merge").join(texts, "rep").select("key", "rep", "text").repartition("key").sortWithinPartitions("key")

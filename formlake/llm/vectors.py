@@ -238,6 +238,6 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
         "label", "dim", "vec", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
         F.coalesce("component", "rep").alias("component_id"))
     out = points.join(known, ["label", "dim", "vec"], "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
         F.when(F.col("vec_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").isNull() | (F.col("vec_id") == F.col("component_id")))
