@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import types
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,9 @@ MIN_LOG_ODDS = 2.5
 STEM_LENGTHS = range(4, 9)
 WINDOW = 8             # words looked at on either side of a hit
 THRESHOLD = 0.7
-STATES = 100_000       # determinised states kept by a task
-MEMO = 300_000         # words remembered by a task
+STATES = 100_000       # determinised states kept by a worker
+MEMO = 300_000         # words remembered by a worker
+COUNTED_TERMS = 400_000  # terms counted by a task before they are handed on
 _TOKEN = re.compile(r"[^\W_]+|[\"“”«»„]")
 _QUOTES = frozenset("\"“”«»„")
 FEATURES = ("exact", "near", "distinct", "density", "quoted", "clustered")
@@ -66,7 +70,9 @@ class LexiconAutomaton:
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.steps: list[dict[str, int]] = []
-        self.memo: dict[str, tuple[int, str] | None] = {}
+        self.known: set[str] = set()
+        self.hits: dict[str, tuple[int, str]] = {}
+        self.dead = self._number({}, None)
         self.start = self._number(self._closure({0: 0}), None)
 
     def _closure(self, nodes: dict[int, int]) -> dict[int, int]:
@@ -113,35 +119,47 @@ class LexiconAutomaton:
 
     def find(self, word: str) -> tuple[int, str] | None:
         """(edits, term) of the nearest term within its granted edits, or None."""
-        if word in self.memo:
-            return self.memo[word]
-        if len(self.states) > STATES or len(self.memo) > MEMO:
-            self.reset()
-        state = self.start
+        state, steps, dead = self.start, self.steps, self.dead
         for c in word:
-            nxt = self.steps[state].get(c)
+            nxt = steps[state].get(c)
             state = self._step(state, c) if nxt is None else nxt
-            if not self.states[state][0] and self.states[state][1] is None:
-                break
+            if state == dead:
+                return None
         nodes, stem = self.states[state]
         best = None if stem is None else (0, stem)
         for node, edits in nodes:
             end = self.ends[node]
             if end and edits <= end[0] and (best is None or (edits, self.names[node]) < best):
                 best = (edits, self.names[node])
-        self.memo[word] = best
         return best
 
+    def hits_among(self, words: set[str]) -> dict[str, tuple[int, str]]:
+        """What ``find`` gives for those of ``words`` that hit; words are remembered within a bound."""
+        if len(self.states) > STATES or len(self.known) > MEMO:
+            self.reset()
+        for word in words.difference(self.known):
+            found = self.find(word)
+            if found is not None:
+                self.hits[word] = found
+        self.known |= words
+        return {w: self.hits[w] for w in words & self.hits.keys()}
+
+    @staticmethod
+    def of_worker(terms: list[tuple[str, bool]]) -> LexiconAutomaton:
+        """The automaton of ``terms`` that this Python worker keeps from task to task (the last one only)."""
+        kept = sys.modules.setdefault("_lexicon_automaton", types.ModuleType("_lexicon_automaton")).__dict__
+        if kept.get("terms") != terms:
+            kept["terms"], kept["automaton"] = terms, LexiconAutomaton(terms)
+        return kept["automaton"]
+
 
 def features(text: str, lexicon: LexiconAutomaton) -> list[float]:
     """Features of a whole text, see FEATURES; zeros for an empty one."""
     tokens = _TOKEN.findall(text.lower())
-    find, memo = lexicon.find, lexicon.memo
-    hits = []
-    for i, token in enumerate(tokens):
-        found = memo[token] if token in memo else find(token)
-        if found is not None:
-            hits.append((i, *found))
+    found = lexicon.hits_among(set(tokens))
+    if not found:
+        return [0.0] * len(FEATURES)
+    hits = [(i, *found[token]) for i, token in enumerate(tokens) if token in found]
     exact = near = quoted = clustered = 0.0
     for j, (i, edits, _) in enumerate(hits):
         before = sum(t in _QUOTES for t in tokens[max(0, i - WINDOW):i])
@@ -177,22 +195,33 @@ def learn_lexicon(labelled: DataFrame) -> list[tuple[str, bool]]:
     """Terms and stems from rows (text, toxic 0/1); at most LEXICON_TERMS come to the driver."""
 
     def run(batches):
+        counts: tuple[Counter, Counter] = (Counter(), Counter())  # documents by term, of label 0 and 1
+
+        def flush():
+            out = [pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([label] * len(c), pa.int32()),
+                                               pa.array(list(c.values()), pa.int64())], names=["term", "toxic", "n"])
+                   for label, c in enumerate(counts)]
+            for c in counts:
+                c.clear()
+            return out
+
         for batch in batches:
-            names, toxic = [], []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = set(_TOKEN.findall((text or "").lower())) - _QUOTES
                 terms = {w + "$" for w in words if len(w) <= 40}
-                terms.update(w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n)
-                names += terms
-                toxic += [label] * len(terms)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(toxic, pa.int32())], names=["term", "toxic"])
+                for n in STEM_LENGTHS:
+                    terms.update([w[:n] for w in words if len(w) >= n])
+                counts[1 if label else 0].update(terms)
+                if len(counts[0]) + len(counts[1]) > COUNTED_TERMS:
+                    yield from flush()
+        yield from flush()
 
     total = labelled.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     bad, good = total[0] or 0, (total[1] or 0) - (total[0] or 0)
     if not bad or not good:
         return []
-    counted = labelled.select("text", F.col("toxic").cast("int")).mapInArrow(run, "term string, toxic int").groupBy("term").agg(
-        F.sum("toxic").alias("bad"), (F.count(F.lit(1)) - F.sum("toxic")).alias("good"))
+    counted = labelled.select("text", F.col("toxic").cast("int")).mapInArrow(run, "term string, toxic int, n long").groupBy("term").agg(
+        F.sum(F.col("toxic") * F.col("n")).alias("bad"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     best = (counted.where(F.col("bad") + F.col("good") >= MIN_DOCS).withColumn("odds", odds)
             .where(F.col("odds") >= MIN_LOG_ODDS)
@@ -245,7 +274,7 @@ def _scan(rows: DataFrame, lexicon: list[tuple[str, bool]], weights: np.ndarray
     """Features (``weights`` None) or scores of whole texts, in one narrow pass."""
 
     def run(batches):
-        automaton = LexiconAutomaton(lexicon)
+        automaton = LexiconAutomaton.of_worker(lexicon)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             ids = batch.column(batch.schema.get_field_index("doc_id"))
