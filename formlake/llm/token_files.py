@@ -70,13 +70,15 @@ def _encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     width = np.searchsorted(LIMITS, ids, side="right").astype(np.uint8)  # narrowest sufficient entry of BITS
     take = np.zeros(n, np.int64)  # ids that a word starting here holds; 0: escape
     sel = np.zeros(n, np.uint8)
-    least = int(width.min())
+    least, most = int(width.min()), int(width.max())
     for s in range(len(PACK) - 1, -1, -1):  # from few wide ids to many narrow ones: the last fit wins
         if s < least:
             break
         count = PACK[s][0]
-        wide = np.concatenate((np.zeros(1, np.int32), np.cumsum(width > s, dtype=np.int32)))
-        ok = (wide[np.minimum(at + count, n)] == wide[:-1]) & (at + count <= last)
+        ok = at + count <= last
+        if s < most:
+            wide = np.concatenate((np.zeros(1, np.int32), np.cumsum(width > s, dtype=np.int32)))
+            ok &= wide[np.minimum(at + count, n)] == wide[:-1]
         take[ok], sel[ok] = count, s + 1
     step = np.maximum(take, 1)
     starts = []
@@ -221,7 +223,7 @@ class Chunks:
 
     def _chunk(self, chunk: str) -> bytes:
         body = chunk.rstrip(".,")
-        if not self.plain or _PLAIN.fullmatch(body) is None:
+        if not self.plain or not (body.isascii() and body.isalpha() or _PLAIN.fullmatch(body)):
             return self._whole(chunk)
         mark = chunk[len(body):]
         if mark not in self.marks:
