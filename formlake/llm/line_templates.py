@@ -21,7 +21,7 @@ FIELD = "<*>"
 
 
 def _tokens(line: F.Column) -> F.Column:
-    return F.filter(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), lambda t: t != "")
+    return F.array_remove(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), "")
 
 
 def _general(token: F.Column) -> F.Column:
@@ -30,10 +30,10 @@ def _general(token: F.Column) -> F.Column:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, row, pos, line, leaf) of every line with a token; (doc_id, row) names a row's text."""
-    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn(
-        "tokens", _tokens(F.col("line"))).where(F.size("tokens") > 0)
-    lead = F.transform(F.slice("tokens", 1, LEAD), _general)
-    return lines.select("doc_id", "row", "pos", "line", F.concat_ws(" ", F.size("tokens").cast("string"), F.array_join(lead, " ")).alias("leaf"))
+    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(
+        F.translate("line", " \t\x0b\f\r", "") != "").withColumn("tokens", _tokens(F.col("line")))
+    lead = [_general(F.get("tokens", F.lit(i))) for i in range(LEAD)]  # null where a line is shorter
+    return lines.select("doc_id", "row", "pos", "line", F.concat_ws(" ", F.size("tokens").cast("string"), *lead).alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -66,10 +66,10 @@ def drop_template_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
     gone = recurring_lines(rows, min_docs).groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(
         F.collect_set("pos").alias("gone"))
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
     return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left").select(
         "doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("text"))
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"))
 
 
 LINES_SQL = f"""
