@@ -9,6 +9,8 @@ Leaves that cannot hold such a template are left before any token is looked at.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,11 @@ MIN_CONSTANT = 0.5  # share of a template's tokens that must be constants
 FIELD = "<*>"
 
 
-def _tokens(line: F.Column) -> F.Column:
-    return F.array_remove(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), "")
+def _spaced(line: F.Column) -> F.Column:
+    """The line's tokens joined by one space; what costs a look at every character runs only where it changes something."""
+    odd = reduce(F.Column.__or__, [line.contains(c) for c in "\t\x0b\f\r"])
+    plain = F.when(odd, F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line)
+    return F.trim(F.when(plain.contains("  "), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain))
 
 
 def _general(token: F.Column) -> F.Column:
@@ -29,11 +34,13 @@ def _general(token: F.Column) -> F.Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, pos, line, leaf) of every line with a token; (doc_id, row) names a row's text."""
-    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(
-        F.translate("line", " \t\x0b\f\r", "") != "").withColumn("tokens", _tokens(F.col("line")))
-    lead = [_general(F.get("tokens", F.lit(i))) for i in range(LEAD)]  # null where a line is shorter
-    return lines.select("doc_id", "row", "pos", "line", F.concat_ws(" ", F.size("tokens").cast("string"), *lead).alias("leaf"))
+    """(doc_id, row, pos, line, leaf) of every line with a token, spaced evenly; (doc_id, row) names a row's text."""
+    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(
+        "doc_id", "row", "pos", _spaced(F.col("line")).alias("line")).where("line <> ''")
+    lines = lines.select("*", (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("n"),
+                         F.split(F.substring_index("line", " ", LEAD), " ").alias("lead"))
+    lead = [_general(F.get("lead", F.lit(i))) for i in range(LEAD)]  # null where a line is shorter
+    return lines.select("doc_id", "row", "pos", "line", F.concat_ws(" ", F.col("n").cast("string"), *lead).alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -42,14 +49,14 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     leaves = (lines.select("leaf", "doc_id", "row").distinct().groupBy("leaf").count()
               .where(F.col("count") >= min_docs).select("leaf"))
     busy = table(lines.join(leaves, "leaf"), "busy-lines")
-    tokens = busy.select("leaf", "doc_id", "row", "pos", F.posexplode(_tokens(F.col("line"))).alias("i", "token"))
+    tokens = busy.select("leaf", "doc_id", "row", "pos", F.posexplode(F.split("line", " ")).alias("i", "token"))
     constants = (tokens.select("leaf", "i", "token", "doc_id", "row").distinct().groupBy("leaf", "i", "token").count()
                  .where(F.col("count") >= min_docs).select("leaf", "i", "token", F.lit(True).alias("constant")))
     fields = tokens.join(constants, ["leaf", "i", "token"], "left").groupBy("doc_id", "row", "pos", "leaf").agg(
         F.sort_array(F.collect_set(F.struct("i", F.when(F.col("constant"), F.col("token")).otherwise(FIELD).alias("t")))).alias("f"),
         F.avg(F.coalesce("constant", F.lit(False)).cast("double")).alias("share"))
-    templates = fields.where(F.col("share") >= MIN_CONSTANT).select(
-        "doc_id", "row", "pos", F.concat_ws(" ", F.size("f").cast("string"), F.array_join("f.t", " ")).alias("template"), "leaf")
+    templates = table(fields.where(F.col("share") >= MIN_CONSTANT).select(
+        "doc_id", "row", "pos", F.concat_ws(" ", F.size("f").cast("string"), F.array_join("f.t", " ")).alias("template"), "leaf"), "templates")
     recurring = (templates.select("leaf", "template", "doc_id", "row").distinct().groupBy("leaf", "template").count()
                  .where(F.col("count") >= min_docs).select("leaf", "template"))
     return templates.join(recurring, ["leaf", "template"], "left_semi").select("doc_id", "row", "pos")
