@@ -6,7 +6,7 @@ super-k-mer): their words travel as one packed string to the minimiser's bucket,
 always meet there. Minimisers that occur in one document only are left out first, so only stretches
 that may repeat travel at all. Equal strings are one before anything is expanded; in a bucket the
 windows of its distinct strings are sorted and each finds the smallest document that holds it. A
-bucket with very many distinct strings is cut further by the hash of single windows.
+bucket with very many windows is cut further by the hash of single windows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from .minhash_forest import _groups
 
 WINDOW = 50
 GRAM = 16
-BUCKET_STRINGS = 4096  # distinct strings of a bucket expanded in one task
+BUCKET_WINDOWS = 131_072  # windows of a bucket's distinct strings that are expanded in one task
 
 
 def stretches(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,12 +137,13 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     listed = found.join(shared, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("listed"))
     packed = table(rows.join(listed.hint("merge"), "doc_id").select("doc_id", "text", "listed").mapInArrow(
         _pack(window), "key long, sid binary, packed binary, doc_id long, start int, n int"), "packed-stretches")
-    strings = table(packed.groupBy("key", "sid").agg(F.first("packed").alias("packed"), F.min("doc_id").alias("first_doc")), "strings")
-    size = strings.groupBy("key").agg(F.count(F.lit(1)).alias("strings")).where("strings > 1")
+    strings = table(packed.groupBy("key", "sid").agg(F.first("packed").alias("packed"), F.min("doc_id").alias("first_doc"),
+                                                  F.first("n").alias("n")), "strings")
+    size = strings.groupBy("key").agg(F.count(F.lit(1)).alias("strings"), F.sum("n").alias("windows")).where("strings > 1")
     sized = strings.join(size, "key")
-    hits = (sized.where(F.col("strings") <= BUCKET_STRINGS).select("key", "sid", "packed", "first_doc")
+    hits = (sized.where(F.col("windows") <= BUCKET_WINDOWS).select("key", "sid", "packed", "first_doc")
             .repartition("key").sortWithinPartitions("key").mapInArrow(_count_bucket(window), "sid binary, hits array<int>"))
-    hot = sized.where(F.col("strings") > BUCKET_STRINGS)
+    hot = sized.where(F.col("windows") > BUCKET_WINDOWS)
     if not hot.isEmpty():
         hits = hits.unionByName(_hot_hits(hot, window))
     # in the smallest document of a string only the hits count, in any other all its windows

@@ -133,7 +133,7 @@ def test_repeated_passages(spark, docs, none, corpus, monkeypatch):
     assert got(docs) == passage_truth(corpus)  # with repeated ids
     single = [r for k, r in enumerate(corpus) if r[0] not in [x[0] for x in corpus[:k]]]
     one = spark.createDataFrame(single, "doc_id long, text string")
-    monkeypatch.setattr(passages, "BUCKET_STRINGS", 2)  # large buckets go window by window
+    monkeypatch.setattr(passages, "BUCKET_WINDOWS", 2)  # large buckets go window by window
     assert got(one) == passage_truth(single)
     assert got(none) == []
 
