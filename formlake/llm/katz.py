@@ -5,7 +5,8 @@ N-gram counts of the training documents are discounted after Good and Turing (co
 normalised exactly over the words it was seen with. Probabilities and weights are tables hashed by
 context; a text is scored level by level: a token's n-gram is looked up at the highest order, and
 tokens that are not found take the context's weight and go on one order below. The lowest order
-holds one symbol for all unseen words.
+holds one symbol for all unseen words. Bigrams, the order registered, are kept in packed blocks
+(``katz_blocks``); ``Model`` holds any other order as plain tables.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, binary_column, gram_hashes, lower_words, table
+from .katz_blocks import END, PairModel
 
 ORDER = 2
 GT_MAX = 5
-END = xxhash.xxh3_64_intdigest(b"\x00 end")
 START = xxhash.xxh3_64_intdigest(b"\x00 start")
 LEAST = 1e-12
 
@@ -129,13 +130,22 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     and each get the same scores. With nothing to learn from all tokens are unseen.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    events = _events(rows, order)
-    model = Model(events, order)
-    summed = model.score(events).select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "tokens", "known", "base", "score")
-    ids = rows.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
     held = F.when(F.col("doc_id").isNotNull(), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
-    out = ids.join(summed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select(
+    if order == 2:
+        # a row's key: its id with a 32-bit hash of the text, for null ids a 64-bit one
+        rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), "text", F.coalesce(~held, F.lit(False)).alias("train"),
+                           F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.hash("text").cast("long")).alias("row"))
+        model = PairModel(rows, discounts, GT_MAX)
+        summed = model.score(rows).withColumnsRenamed({"id": "d", "row": "r"})
+        same = (F.coalesce("doc_id", F.lit(0)) == F.col("d")) & (F.col("row") == F.col("r"))
+    else:
+        rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+        events = _events(rows, order)
+        model = Model(events, order)
+        summed = model.score(events).withColumnsRenamed({"doc_id": "d", "row": "r"})
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))
+    ids = rows.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
+    out = ids.join(summed, same).select(
         "doc_id", held.alias("held_out"), (F.col("tokens") / F.col("copies")).cast("long").alias("n_tokens"),
         (F.col("known") / F.col("copies")).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"), "copies")
