@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, binary_column, drop_table, lower_words, mix64, table
 
-CHUNK_TOKENS = 2_000_000  # tokens of one piece of text in a task
+CHUNK_TOKENS = 1_000_000  # tokens of one piece of text in a task
 BUCKET_TOKENS = 4_000_000  # tokens of a bucket, about
 HEAVY_SHARE = 1 / 50_000  # only words with this share of all tokens can be sliced, so at most 50,000 of them
 END = xxhash.xxh3_64_intdigest(b"\x00 end")
@@ -44,7 +44,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         a = np.ascontiguousarray(a, np.min_scalar_type(int(a.max())) if len(a) else np.uint8)
         parts += [a.itemsize.to_bytes(1, "little"), len(a).to_bytes(8, "little"), a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def unpack(block: bytes) -> list[np.ndarray]:
@@ -60,8 +60,29 @@ def unpack(block: bytes) -> list[np.ndarray]:
     return out
 
 
-def _steps(ascending: np.ndarray) -> np.ndarray:
-    return np.diff(ascending, prepend=np.uint64(0))
+class Codes:
+    """Numbers for words: frequent ones (at most 1 / HEAVY_SHARE) by rank, so that blocks hold whole hashes of rare words only."""
+
+    def __init__(self, ranked: np.ndarray):
+        self.ranked = ranked.astype(np.uint64)
+        self.rank = np.argsort(self.ranked)
+        self.ascending = self.ranked[self.rank]
+
+    def order(self, words: np.ndarray) -> tuple[np.ndarray, int]:
+        """How to put ascending distinct ``words`` in code order (frequent ones by rank, then the rest), and how many are frequent."""
+        if not len(self.ranked):
+            return np.arange(len(words)), 0
+        i = np.minimum(np.searchsorted(self.ascending, words), len(self.ranked) - 1)
+        often = self.ascending[i] == words
+        return np.concatenate((np.flatnonzero(often)[np.argsort(self.rank[i[often]])], np.flatnonzero(~often))), int(often.sum())
+
+    def coded(self, words: np.ndarray, often: int) -> tuple[np.ndarray, np.ndarray]:
+        """Steps of ranks and of hashes for distinct words in code order."""
+        ranks = self.rank[np.searchsorted(self.ascending, words[:often])]
+        return np.diff(ranks, prepend=0), np.diff(words[often:], prepend=np.uint64(0))
+
+    def words(self, ranks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        return np.concatenate((self.ranked[np.cumsum(ranks).astype(np.int64)], np.cumsum(hashes, dtype=np.uint64)))
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -69,16 +90,40 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
 
 
-def pack_pairs(u: np.ndarray, w: np.ndarray, *more: np.ndarray) -> bytes:
-    """A block of bigrams sorted by (u, w); ``more`` goes along as it is."""
+def _dense(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of ``numbers`` (below ``size``), ascending, and each number's place among them."""
+    mark = np.zeros(size, bool)
+    mark[numbers] = True
+    return np.flatnonzero(mark), (np.cumsum(mark, dtype=np.int32) - 1)[numbers]
+
+
+def _stepped(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Steps within the runs that start at ``at``, each run's first value whole."""
+    step = np.diff(values, prepend=0)
+    step[at] = values[at]
+    return step
+
+
+def _absolute(step: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """The values of ``_stepped``, from the runs' lengths."""
+    total = np.cumsum(step)
+    start = np.cumsum(per) - per
+    return total - np.repeat(total[start] - step[start], per)
+
+
+def pack_pairs(codes: Codes, words: np.ndarray, often: int, u: np.ndarray, w: np.ndarray, *more: np.ndarray) -> bytes:
+    """A block of bigrams given as numbers into ``words`` (in code order) and sorted by (u, w); ``more`` goes along as it is."""
     at = _runs(u)
-    words, place = np.unique(w, return_inverse=True)
-    return pack(_steps(u[at]), np.diff(at, append=len(u)), _steps(words), place, *more)
+    used, place = _dense(w, len(words))
+    return pack(*codes.coded(words[u[at]], int(np.searchsorted(u[at], often))), np.diff(at, append=len(u)),
+                *codes.coded(words[used], int(np.searchsorted(used, often))), _stepped(place, at), *more)
 
 
-def unpack_pairs(block: bytes) -> list[np.ndarray]:
-    du, run, dw, place, *more = unpack(block)
-    return [np.repeat(np.cumsum(du, dtype=np.uint64), run.astype(np.int64)), np.cumsum(dw, dtype=np.uint64)[place.astype(np.int64)], *more]
+def unpack_pairs(codes: Codes, block: bytes) -> list[np.ndarray]:
+    """Hashes of first and second words, grouped by first word, and what went along."""
+    ur, uh, run, wr, wh, step, *more = unpack(block)
+    run = run.astype(np.int64)
+    return [np.repeat(codes.words(ur, uh), run), codes.words(wr, wh)[_absolute(step.astype(np.int64), run)], *more]
 
 
 def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -149,52 +194,62 @@ def frequent_words(rows: DataFrame) -> tuple[int, dict[int, int]]:
     return tokens, {r["w"]: r["n"] for r in often}
 
 
-def _training_blocks(rows: DataFrame, heavy, buckets: int) -> DataFrame:
+def _numbered(words: list[np.ndarray], codes: Codes):
+    """A piece's distinct words in code order, how many are frequent, each token's number and the number of the token before it."""
+    ascending, place = np.unique(np.concatenate(words), return_inverse=True)
+    order, often = codes.order(ascending)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    place = number[place]
+    # every text ends with the end symbol, so the next one starts after it
+    return ascending[order], often, place, np.concatenate((place[-1:], place[:-1]))
+
+
+def _cuts(bucket: np.ndarray, buckets: int):
+    """(bucket, positions in order) for every bucket that occurs."""
+    small = bucket.astype(np.min_scalar_type(buckets))
+    order = np.argsort(small, kind="stable")
+    at = np.concatenate(([0], np.cumsum(np.bincount(small, minlength=buckets))))
+    return {b: order[at[b]:at[b + 1]] for b in np.flatnonzero(np.diff(at)).tolist()}
+
+
+def _block_rows(out: dict[int, bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(list(out.values()), pa.binary())], names=["bucket", "block"])
+
+
+def _training_blocks(rows: DataFrame, heavy, buckets: int, codes: Codes) -> DataFrame:
     def run(batches):
         for _, _, words in _pieces(batches):
-            w, place = np.unique(np.concatenate(words), return_inverse=True)
-            end, size = np.searchsorted(w, np.uint64(END)), np.int64(len(w))
-            before = np.concatenate(([end], place[:-1]))  # every text ends with the end symbol, so the next one starts after it
-            key, n = np.unique(before * size + place, return_counts=True)
-            u, v = w[key // size], w[key % size]
-            bucket = buckets_of(u, v, heavy, buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = [(b, pack_pairs(u[s], v[s], n[s])) for b in range(buckets) if len(s := order[cut[b]:cut[b + 1]])]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "block"])
+            w, often, place, before = _numbered(words, codes)
+            key, n = np.unique(before * len(w) + place, return_counts=True)
+            u, v = np.divmod(key, len(w))
+            yield _block_rows({b: pack_pairs(codes, w, often, u[s], v[s], n[s]) for b, s in _cuts(buckets_of(w[u], w[v], heavy, buckets), buckets).items()})
 
     return rows.where("train").select("id", "row", "text").mapInArrow(run, "bucket int, block binary")
 
 
-def _text_blocks(rows: DataFrame, heavy, buckets: int) -> DataFrame:
+def _text_blocks(rows: DataFrame, heavy, buckets: int, codes: Codes) -> DataFrame:
     """Per piece and bucket: its bigrams with, for each, the texts it occurs in and how often."""
     def run(batches):
         for ids, tags, words in _pieces(batches):
-            w, place = np.unique(np.concatenate(words), return_inverse=True)
-            docs = np.repeat(np.arange(len(ids)), [len(x) for x in words])
-            end, size, many = np.searchsorted(w, np.uint64(END)), np.int64(len(w)), np.int64(len(ids))
-            _, pair = np.unique(np.concatenate(([end], place[:-1])) * size + place, return_inverse=True)
-            first = np.zeros(int(pair.max()) + 1, np.int64)
-            first[pair] = np.arange(len(pair))
-            u, v = w[np.concatenate(([end], place[:-1]))[first]], w[place[first]]
-            event, n = np.unique(pair.astype(np.int64) * many + docs, return_counts=True)
-            pair, doc = event // many, event % many
-            bucket = buckets_of(u, v, heavy, buckets)
-            spread = bucket[pair]
-            order, by = np.argsort(bucket, kind="stable"), np.argsort(spread, kind="stable")
-            cut, at = np.searchsorted(bucket[order], np.arange(buckets + 1)), np.searchsorted(spread[by], np.arange(buckets + 1))
-            per = np.bincount(pair, minlength=len(u))
+            w, often, place, before = _numbered(words, codes)
+            many = len(ids)
+            docs = np.repeat(np.arange(many), [len(x) for x in words])
+            # at most CHUNK_TOKENS tokens, or one text alone: three numbers fit into 63 bits
+            event, n = np.unique((before * len(w) + place) * many + docs, return_counts=True)
+            key, doc = np.divmod(event, many)
+            at = _runs(key)
+            u, v = np.divmod(key[at], len(w))
+            per = np.diff(at, append=len(key))
+            bucket = buckets_of(w[u], w[v], heavy, buckets)
+            pairs, events = _cuts(bucket, buckets), _cuts(np.repeat(bucket, per), buckets)
             id_of, tag_of = np.array(ids, np.int64).view(np.uint64), np.array(tags, np.int64).view(np.uint64)
-            keys, out = [], []
-            for b in range(buckets):
-                s, e = order[cut[b]:cut[b + 1]], by[at[b]:at[b + 1]]
-                if len(s):
-                    here, number = np.unique(doc[e], return_inverse=True)
-                    start = np.concatenate(([True], pair[e][1:] != pair[e][:-1]))
-                    step = np.where(start, number, np.diff(number, prepend=0))
-                    keys.append(b)
-                    out.append(pack_pairs(u[s], v[s], per[s], step, n[e], id_of[here], tag_of[here]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "block"])
+            out = {}
+            for b, s in pairs.items():
+                e = events[b]
+                here, number = _dense(doc[e], many)
+                out[b] = pack_pairs(codes, w, often, u[s], v[s], per[s], _stepped(number, np.cumsum(per[s]) - per[s]), n[e], id_of[here], tag_of[here])
+            yield _block_rows(out)
 
     return rows.select("id", "row", "text").mapInArrow(run, "bucket int, block binary")
 
@@ -214,29 +269,42 @@ def _meet(df: DataFrame, buckets: int, *order: str) -> DataFrame:
 # --- counts ----------------------------------------------------------------------------------
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One entry per bigram."""
     u, w, n = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((w, u))
-    u, w, n = u[order], w[order], n[order]
-    at = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
-    return u[at], w[at], np.add.reduceat(n, at)
+    key = pair_keys(u, w)
+    order = np.argsort(key)
+    at = _runs(key[order])
+    return u[order[at]], w[order[at]], np.add.reduceat(n[order], at)
+
 
+def _in_code_order(codes: Codes, u: np.ndarray, w: np.ndarray):
+    """Distinct words in code order, how many are frequent, and the bigrams' sorted numbers with the order that sorts them."""
+    ascending, place = np.unique(np.concatenate((u, w)), return_inverse=True)
+    order, often = codes.order(ascending)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    key = number[place[:len(u)]] * len(order) + number[place[len(u):]]
+    sort = np.argsort(key)
+    return ascending[order], often, *np.divmod(key[sort], len(order)), sort
 
-def _count(blocks: DataFrame, buckets: int, gt_max: int) -> DataFrame:
+
+def _count(blocks: DataFrame, buckets: int, gt_max: int, codes: Codes) -> DataFrame:
     """Items: 'block' per bucket, 'word' (first word, occurrences, bigrams that are discounted), 'seen' second words, 'stat' counts of counts."""
     def run(batches):
         for bucket, rows in _by_bucket(batches, ["bucket", "block"]):
             parts, held = [], 0
             for _, block in rows:
-                parts.append(tuple(unpack_pairs(block)))
+                parts.append(tuple(unpack_pairs(codes, block)))
                 held += len(parts[-1][0])
                 if held > 2 * len(parts[0][0]) + BUCKET_TOKENS:
                     parts = [_merged(parts)]
                     held = len(parts[0][0])
             u, w, n = _merged(parts)
-            at, seen = _runs(u), np.unique(w)
+            words, often, u, w, sort = _in_code_order(codes, u, w)
+            n, at, seen = n[sort], _runs(u), words[_dense(w, len(words))[0]]
             r, many = np.unique(n[n <= gt_max + 1], return_counts=True)
             few = np.add.reduceat((n <= gt_max).astype(np.int64), at)
-            for kind, key, number, less in (("word", u[at], np.add.reduceat(n, at), few), ("seen", seen, np.zeros(len(seen)), np.zeros(len(seen))),
+            for kind, key, number, less in (("word", words[u[at]], np.add.reduceat(n, at), few), ("seen", seen, np.zeros(len(seen)), np.zeros(len(seen))),
                                             ("stat", r, many, np.zeros(len(r)))):
                 for i in range(0, len(key), 100_000):
                     k = np.ascontiguousarray(key[i:i + 100_000], np.uint64).view(np.int64)
@@ -244,7 +312,7 @@ def _count(blocks: DataFrame, buckets: int, gt_max: int) -> DataFrame:
                                                       pa.array(number[i:i + 100_000].astype(np.int64)), pa.array(less[i:i + 100_000].astype(np.int64)),
                                                       pa.nulls(len(k), pa.binary())], names=["kind", "bucket", "key", "n", "few", "block"])
             yield pa.RecordBatch.from_arrays([pa.array(["block"]), pa.array([bucket], pa.int32()), *[pa.array([0], pa.int64())] * 3,
-                                              pa.array([pack_pairs(u, w, n)], pa.binary())], names=["kind", "bucket", "key", "n", "few", "block"])
+                                              pa.array([pack_pairs(codes, words, often, u, w, n)], pa.binary())], names=["kind", "bucket", "key", "n", "few", "block"])
 
     return _meet(blocks, buckets).mapInArrow(run, _ITEMS)
 
@@ -258,7 +326,8 @@ class PairModel:
         slices = {w: -(-n * 2 * b // tokens) for w, n in often.items() if n * 2 * b > tokens}
         heavy = np.array(sorted(np.uint64(w & (2**64 - 1)) for w in slices), np.uint64)
         self.heavy = heavy, np.array([min(slices[int(w)], b) for w in heavy.view(np.int64)], np.uint64)
-        items = table(_count(_training_blocks(rows, self.heavy, b), b, gt_max), "katz-counts")
+        codes = self.codes = Codes(np.array(sorted(often, key=lambda w: (-often[w], w)), np.int64).view(np.uint64))
+        items = table(_count(_training_blocks(rows, self.heavy, b, codes), b, gt_max, codes), "katz-counts")
         self.blocks = items.where("kind = 'block'").select("bucket", "block")
         counted = table(items.where("kind = 'word'").groupBy(F.col("key").alias("w")).agg(F.sum("n").alias("c"), F.sum("few").alias("few")), "katz-words")
         ones = discounts({r["c"]: r["count"] for r in counted.where(F.col("c") <= gt_max + 1).groupBy("c").count().collect()})
@@ -286,7 +355,7 @@ class PairModel:
         none = F.lit(None)
         both = below.select("bucket", F.lit(0).alias("kind"), "w", "p", none.cast("binary").alias("block")).unionByName(
             self.blocks.select("bucket", F.lit(1).alias("kind"), none.cast("long").alias("w"), none.cast("double").alias("p"), "block"))
-        discounted = self._discounted()
+        discounted, codes = self._discounted(), self.codes
 
         def run(batches):
             words, probs, now = [], [], None
@@ -301,7 +370,7 @@ class PairModel:
                     for block in batch.column(4).slice(split, end - split).to_pylist():
                         known, p = np.concatenate(words), np.concatenate(probs)
                         order = np.argsort(known)
-                        u, w, n = unpack_pairs(block)
+                        u, w, n = unpack_pairs(codes, block)
                         first = _runs(u)
                         lower = p[order][np.searchsorted(known[order], w)]
                         yield pa.RecordBatch.from_arrays([
@@ -316,8 +385,8 @@ class PairModel:
     def score(self, rows: DataFrame) -> DataFrame:
         """(id, row, tokens, known, base, score) summed over each text's tokens."""
         both = self.blocks.select("bucket", F.lit(0).alias("kind"), "block").unionByName(
-            _text_blocks(rows, self.heavy, self.buckets).select("bucket", F.lit(1).alias("kind"), "block"))
-        discounted, (big, big_c, big_few), lost = self._discounted(), self.whole, self.ratio
+            _text_blocks(rows, self.heavy, self.buckets, self.codes).select("bucket", F.lit(1).alias("kind"), "block"))
+        discounted, codes, (big, big_c, big_few), lost = self._discounted(), self.codes, self.whole, self.ratio
 
         def run(batches):
             for _, group in _by_bucket(batches, ["bucket", "kind", "block"]):
@@ -325,29 +394,36 @@ class PairModel:
                 ctx, total, full, logs = key, np.zeros(0), np.zeros(0), np.zeros(0)
                 for _, kind, block in group:
                     if kind == 0:
-                        u, w, n = unpack_pairs(block)
+                        u, w, n = unpack_pairs(codes, block)
                         at = _runs(u)
-                        ctx, total = u[at], np.add.reduceat(n, at).astype(np.float64)
-                        full = total + (np.add.reduceat((n < len(lost) - 1).astype(np.int64), at) == 0)
+                        up = np.argsort(u[at])
+                        ctx, total = u[at][up], np.add.reduceat(n, at).astype(np.float64)[up]
+                        full = total + (np.add.reduceat((n < len(lost) - 1).astype(np.int64), at) == 0)[up]
                         key = pair_keys(u, w)
                         order = np.argsort(key)
                         key, logs = key[order], np.log10(discounted(n.astype(np.float64)))[order]
                         continue
-                    u, w, per, step, n, ids, tags = unpack_pairs(block)
+                    u, w, per, step, n, ids, tags = unpack_pairs(codes, block)
                     per, n = per.astype(np.int64), n.astype(np.float64)
-                    c, f = _looked_up(ctx, total, u), _looked_up(ctx, full, u)
+                    first = _runs(u)
+                    run = np.diff(first, append=len(u))
+                    c, f = _looked_up(ctx, total, u[first]), _looked_up(ctx, full, u[first])
                     if len(big):
-                        sliced = np.isin(u, big)
-                        c = np.where(sliced, _looked_up(big, big_c, u), c)
-                        f = np.where(sliced, _looked_up(big, big_c + (big_few == 0), u), f)
+                        sliced = np.isin(u[first], big)
+                        c = np.where(sliced, _looked_up(big, big_c, u[first]), c)
+                        f = np.where(sliced, _looked_up(big, big_c + (big_few == 0), u[first]), f)
                     g = pair_keys(u, w)
-                    hit = key[np.minimum(np.searchsorted(key, g), len(key) - 1)] == g if len(key) else np.zeros(len(g), bool)
-                    logp = np.where(hit, _looked_up(key, logs, g) - np.log10(np.maximum(f, 1)), 0.0)
+                    order = np.argsort(g)  # ascending, so that the search walks the keys once
+                    logp = np.full(len(g), np.nan)
+                    logp[order] = _looked_up(key, logs, g[order], np.nan)
+                    hit = ~np.isnan(logp)
+                    logp = np.where(hit, logp - np.repeat(np.log10(np.maximum(f, 1)), run), 0.0)
+                    base, seen = np.repeat(np.log10(c + 0.1), run), np.repeat(c > 0, run)
                     pair = np.repeat(np.arange(len(u)), per)
                     doc = _absolute(step.astype(np.int64), per)
                     size = len(ids)
                     gone = ~hit[pair]
-                    sums = [np.bincount(doc, n, size), np.bincount(doc, n * (c > 0)[pair], size), np.bincount(doc, n * np.log10(c + 0.1)[pair], size),
+                    sums = [np.bincount(doc, n, size), np.bincount(doc, n * seen[pair], size), np.bincount(doc, n * base[pair], size),
                             np.bincount(doc, n * logp[pair], size)]
                     blank = pa.nulls(size, pa.int64())
                     yield _part(ids, tags, sums, blank, blank)
@@ -365,19 +441,12 @@ class PairModel:
             (F.sum("base") - F.sum("n") * F.lit(float(np.log10(self.tokens + 0.1 * (self.types + 1))))).alias("base"), F.sum("score").alias("score"))
 
 
-def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Values at ``wanted`` among ascending ``keys``, 0 where there is none."""
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, none: float = 0.0) -> np.ndarray:
+    """Values at ``wanted`` among ascending ``keys``, ``none`` where there is none."""
     if not len(keys):
-        return np.zeros(len(wanted))
+        return np.full(len(wanted), none)
     i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[i] == wanted, values[i], 0.0)
-
-
-def _absolute(step: np.ndarray, per: np.ndarray) -> np.ndarray:
-    """Text numbers from each bigram's first one and the steps after it."""
-    total = np.cumsum(step)
-    start = np.cumsum(per) - per
-    return total - np.repeat(total[start] - step[start], per)
+    return np.where(keys[i] == wanted, values[i], none)
 
 
 def _part(ids, tags, sums, u, w) -> pa.RecordBatch:
