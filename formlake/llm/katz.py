@@ -136,7 +136,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), "text", F.coalesce(~held, F.lit(False)).alias("train"),
                            F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.hash("text").cast("long")).alias("row"))
         model = PairModel(rows, discounts, GT_MAX)
-        summed = model.score(rows).withColumnsRenamed({"id": "d", "row": "r"})
+        summed = model.score().withColumnsRenamed({"id": "d", "row": "r"})
         same = (F.coalesce("doc_id", F.lit(0)) == F.col("d")) & (F.col("row") == F.col("r"))
     else:
         rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))

@@ -4,14 +4,14 @@ A bigram goes to the bucket of its first word, so that a context's counts and to
 place; a frequent first word is sliced over several buckets by its second word. What travels is one
 compressed block per piece of text and bucket, not one row per bigram:
 
-1. training blocks (first word, second word, count) are merged into one count block per bucket, with
-   the counts of counts, the unigram counts (every word but the end is a first word, and the end
-   symbol stands before every text) and the second words that occur in the bucket;
+1. blocks of all texts meet in their buckets, and each bucket's training counts are written next to
+   its texts' blocks, with the counts of counts, the unigram counts (every word but the end is a
+   first word, and the end symbol stands before every text) and the second words of the bucket;
 2. the second words' unigram probabilities come back to the buckets, which gives each context's
    left-over mass above and below, hence the table of backoff weights;
-3. blocks of all texts meet the count blocks: bigrams found add their discounted probability to
-   their texts, those not found leave as rows and are joined with the backoff weights and the
-   unigram table.
+3. texts' blocks are read with their bucket's counts, without a further shuffle: bigrams found add
+   their discounted probability to their texts, those not found leave as rows and are joined with
+   the backoff weights and the unigram table.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ CHUNK_TOKENS = 1_000_000  # tokens of one piece of text in a task
 BUCKET_TOKENS = 4_000_000  # tokens of a bucket, about
 HEAVY_SHARE = 1 / 50_000  # only words with this share of all tokens can be sliced, so at most 50,000 of them
 END = xxhash.xxh3_64_intdigest(b"\x00 end")
-_ITEMS = "kind string, bucket int, key long, n long, few long, block binary"
+HELD_BYTES = 64 << 20  # texts' blocks that a bucket keeps at hand while it counts; what exceeds them is joined later
+_ITEMS = "kind string, bucket int, key long, n long, few long, counts binary, texts array<binary>"
 
 
 # --- blocks ----------------------------------------------------------------------------------
@@ -143,20 +144,21 @@ def buckets_of(u: np.ndarray, w: np.ndarray, heavy: tuple[np.ndarray, np.ndarray
 # --- from texts to blocks --------------------------------------------------------------------
 
 def _pieces(batches):
-    """(ids, tags, token counts, word hashes with the end symbol after each text) of pieces of at most about CHUNK_TOKENS."""
-    hashes, ids, tags, words, held = WordHashes(), [], [], [], 0
+    """(ids, tags, training flags, word hashes with the end symbol after each text) of pieces of at most about CHUNK_TOKENS."""
+    hashes, ids, tags, train, words, held = WordHashes(), [], [], [], [], 0
     for batch in batches:
-        for doc, tag, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_column(batch, "text")):
+        for doc, tag, learn, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), binary_column(batch, "text")):
             w = np.append(hashes.of(lower_words(blob)), np.uint64(END))
             if held and held + len(w) > CHUNK_TOKENS:
-                yield ids, tags, words
-                ids, tags, words, held = [], [], [], 0
+                yield ids, tags, train, words
+                ids, tags, train, words, held = [], [], [], [], 0
             ids.append(doc)
             tags.append(tag)
+            train.append(learn)
             words.append(w)
             held += len(w)
     if held:
-        yield ids, tags, words
+        yield ids, tags, train, words
 
 
 def frequent_words(rows: DataFrame) -> tuple[int, dict[int, int]]:
@@ -217,21 +219,10 @@ def _block_rows(out: dict[int, bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(list(out.values()), pa.binary())], names=["bucket", "block"])
 
 
-def _training_blocks(rows: DataFrame, heavy, buckets: int, codes: Codes) -> DataFrame:
-    def run(batches):
-        for _, _, words in _pieces(batches):
-            w, often, place, before = _numbered(words, codes)
-            key, n = np.unique(before * len(w) + place, return_counts=True)
-            u, v = np.divmod(key, len(w))
-            yield _block_rows({b: pack_pairs(codes, w, often, u[s], v[s], n[s]) for b, s in _cuts(buckets_of(w[u], w[v], heavy, buckets), buckets).items()})
-
-    return rows.where("train").select("id", "row", "text").mapInArrow(run, "bucket int, block binary")
-
-
 def _text_blocks(rows: DataFrame, heavy, buckets: int, codes: Codes) -> DataFrame:
-    """Per piece and bucket: its bigrams with, for each, the texts it occurs in and how often."""
+    """Per piece and bucket: its bigrams with, for each, the texts it occurs in and how often, and the texts' keys and whether they are learned from."""
     def run(batches):
-        for ids, tags, words in _pieces(batches):
+        for ids, tags, train, words in _pieces(batches):
             w, often, place, before = _numbered(words, codes)
             many = len(ids)
             docs = np.repeat(np.arange(many), [len(x) for x in words])
@@ -244,14 +235,15 @@ def _text_blocks(rows: DataFrame, heavy, buckets: int, codes: Codes) -> DataFram
             bucket = buckets_of(w[u], w[v], heavy, buckets)
             pairs, events = _cuts(bucket, buckets), _cuts(np.repeat(bucket, per), buckets)
             id_of, tag_of = np.array(ids, np.int64).view(np.uint64), np.array(tags, np.int64).view(np.uint64)
+            train_of = np.array(train, np.uint8)
             out = {}
             for b, s in pairs.items():
                 e = events[b]
                 here, number = _dense(doc[e], many)
-                out[b] = pack_pairs(codes, w, often, u[s], v[s], per[s], _stepped(number, np.cumsum(per[s]) - per[s]), n[e], id_of[here], tag_of[here])
+                out[b] = pack_pairs(codes, w, often, u[s], v[s], per[s], _stepped(number, np.cumsum(per[s]) - per[s]), n[e], id_of[here], tag_of[here], train_of[here])
             yield _block_rows(out)
 
-    return rows.select("id", "row", "text").mapInArrow(run, "bucket int, block binary")
+    return rows.select("id", "row", "train", "text").mapInArrow(run, "bucket int, block binary")
 
 
 def _by_bucket(batches, columns: list[str]):
@@ -288,37 +280,57 @@ def _in_code_order(codes: Codes, u: np.ndarray, w: np.ndarray):
     return ascending[order], often, *np.divmod(key[sort], len(order)), sort
 
 
+def _items(kind: str, bucket: int, key, n, few, counts=None, texts=None) -> pa.RecordBatch:
+    key = np.ascontiguousarray(key, np.uint64).view(np.int64)
+    blank = len(key)
+    return pa.RecordBatch.from_arrays([
+        pa.array([kind] * blank), pa.array(np.full(blank, bucket, np.int32)), pa.array(key), pa.array(np.asarray(n, np.int64)), pa.array(np.asarray(few, np.int64)),
+        pa.nulls(blank, pa.binary()) if counts is None else pa.array([counts], pa.binary()),
+        pa.nulls(blank, pa.list_(pa.binary())) if texts is None else pa.array([texts], pa.list_(pa.binary()))],
+        names=["kind", "bucket", "key", "n", "few", "counts", "texts"])
+
+
 def _count(blocks: DataFrame, buckets: int, gt_max: int, codes: Codes) -> DataFrame:
-    """Items: 'block' per bucket, 'word' (first word, occurrences, bigrams that are discounted), 'seen' second words, 'stat' counts of counts."""
+    """Items: 'block' (a bucket's counts and texts), 'late' (further texts of a bucket), 'word' (first word, occurrences, bigrams that
+    are discounted), 'seen' (second words), 'stat' (counts of counts)."""
     def run(batches):
         for bucket, rows in _by_bucket(batches, ["bucket", "block"]):
-            parts, held = [], 0
+            parts, held, texts, size = [], 0, [], 0
             for _, block in rows:
-                parts.append(tuple(unpack_pairs(codes, block)))
-                held += len(parts[-1][0])
+                if texts and size + len(block) > HELD_BYTES:
+                    yield _items("late", bucket, [0], [0], [0], None, texts)
+                    texts, size = [], 0
+                texts.append(block)
+                size += len(block)
+                u, w, per, step, n, _, _, train = unpack_pairs(codes, block)
+                per = per.astype(np.int64)
+                n = np.add.reduceat(n * train[_absolute(step.astype(np.int64), per)], np.cumsum(per) - per)
+                learned = n > 0
+                parts.append((u[learned], w[learned], n[learned]))
+                held += int(learned.sum())
                 if held > 2 * len(parts[0][0]) + BUCKET_TOKENS:
                     parts = [_merged(parts)]
                     held = len(parts[0][0])
+            if not held:
+                yield _items("block", bucket, [0], [0], [0], None, texts)
+                continue
             u, w, n = _merged(parts)
             words, often, u, w, sort = _in_code_order(codes, u, w)
             n, at, seen = n[sort], _runs(u), words[_dense(w, len(words))[0]]
             r, many = np.unique(n[n <= gt_max + 1], return_counts=True)
             few = np.add.reduceat((n <= gt_max).astype(np.int64), at)
+            yield _items("block", bucket, [0], [0], [0], pack_pairs(codes, words, often, u, w, n), texts)
             for kind, key, number, less in (("word", words[u[at]], np.add.reduceat(n, at), few), ("seen", seen, np.zeros(len(seen)), np.zeros(len(seen))),
                                             ("stat", r, many, np.zeros(len(r)))):
                 for i in range(0, len(key), 100_000):
-                    k = np.ascontiguousarray(key[i:i + 100_000], np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(k)), pa.array(np.full(len(k), bucket, np.int32)), pa.array(k),
-                                                      pa.array(number[i:i + 100_000].astype(np.int64)), pa.array(less[i:i + 100_000].astype(np.int64)),
-                                                      pa.nulls(len(k), pa.binary())], names=["kind", "bucket", "key", "n", "few", "block"])
-            yield pa.RecordBatch.from_arrays([pa.array(["block"]), pa.array([bucket], pa.int32()), *[pa.array([0], pa.int64())] * 3,
-                                              pa.array([pack_pairs(codes, words, often, u, w, n)], pa.binary())], names=["kind", "bucket", "key", "n", "few", "block"])
+                    s = slice(i, i + 100_000)
+                    yield _items(kind, bucket, key[s], number[s], less[s])
 
     return _meet(blocks, buckets).mapInArrow(run, _ITEMS)
 
 
 class PairModel:
-    """``words`` (w, c, few, p), count blocks (bucket, block) and ``weights`` (u, alpha) of a fitted bigram model."""
+    """``words`` (w, c, few, p), count blocks with the texts to score (``items``) and ``weights`` (u, alpha) of a bigram model of ``rows``."""
 
     def __init__(self, rows: DataFrame, discounts, gt_max: int):
         tokens, often = frequent_words(rows)
@@ -327,8 +339,7 @@ class PairModel:
         heavy = np.array(sorted(np.uint64(w & (2**64 - 1)) for w in slices), np.uint64)
         self.heavy = heavy, np.array([min(slices[int(w)], b) for w in heavy.view(np.int64)], np.uint64)
         codes = self.codes = Codes(np.array(sorted(often, key=lambda w: (-often[w], w)), np.int64).view(np.uint64))
-        items = table(_count(_training_blocks(rows, self.heavy, b, codes), b, gt_max, codes), "katz-counts")
-        self.blocks = items.where("kind = 'block'").select("bucket", "block")
+        items = self.items = table(_count(_text_blocks(rows, self.heavy, b, codes), b, gt_max, codes), "katz-counts")
         counted = table(items.where("kind = 'word'").groupBy(F.col("key").alias("w")).agg(F.sum("n").alias("c"), F.sum("few").alias("few")), "katz-words")
         ones = discounts({r["c"]: r["count"] for r in counted.where(F.col("c") <= gt_max + 1).groupBy("c").count().collect()})
         twos = discounts({r["key"]: r["n"] for r in items.where("kind = 'stat'").groupBy("key").agg(F.sum("n").alias("n")).collect()})
@@ -354,7 +365,8 @@ class PairModel:
         below = items.where("kind = 'seen'").select("bucket", F.col("key").alias("w")).join(self.words.select("w", "p"), "w")
         none = F.lit(None)
         both = below.select("bucket", F.lit(0).alias("kind"), "w", "p", none.cast("binary").alias("block")).unionByName(
-            self.blocks.select("bucket", F.lit(1).alias("kind"), none.cast("long").alias("w"), none.cast("double").alias("p"), "block"))
+            items.where("kind = 'block' and counts is not null").select(
+                "bucket", F.lit(1).alias("kind"), none.cast("long").alias("w"), none.cast("double").alias("p"), F.col("counts").alias("block")))
         discounted, codes = self._discounted(), self.codes
 
         def run(batches):
@@ -382,28 +394,28 @@ class PairModel:
         full = F.when(F.col("kept") < F.col("c") - 1e-9, F.col("c")).otherwise(F.col("c") + 1)
         return total.select("u", (F.greatest(1 - F.col("kept") / full, F.lit(1e-12)) / F.greatest(1 - F.col("below"), F.lit(1e-12))).alias("alpha"))
 
-    def score(self, rows: DataFrame) -> DataFrame:
-        """(id, row, tokens, known, base, score) summed over each text's tokens."""
-        both = self.blocks.select("bucket", F.lit(0).alias("kind"), "block").unionByName(
-            _text_blocks(rows, self.heavy, self.buckets, self.codes).select("bucket", F.lit(1).alias("kind"), "block"))
+    def score(self) -> DataFrame:
+        """(id, row, tokens, known, base, score) summed over each text's tokens; once, for the texts' blocks go then."""
+        late = self.items.where("kind = 'late'").select("bucket", "texts").join(
+            self.items.where("kind = 'block'").select("bucket", "counts"), "bucket").select("counts", "texts")
+        both = self.items.where("kind = 'block'").select("counts", "texts").unionByName(late)
         discounted, codes, (big, big_c, big_few), lost = self._discounted(), self.codes, self.whole, self.ratio
 
         def run(batches):
-            for _, group in _by_bucket(batches, ["bucket", "kind", "block"]):
+            for counts, texts in ((c.as_py(), t.as_py()) for batch in batches for c, t in zip(batch.column(0), batch.column(1))):
                 key = np.zeros(0, np.uint64)
                 ctx, total, full, logs = key, np.zeros(0), np.zeros(0), np.zeros(0)
-                for _, kind, block in group:
-                    if kind == 0:
-                        u, w, n = unpack_pairs(codes, block)
-                        at = _runs(u)
-                        up = np.argsort(u[at])
-                        ctx, total = u[at][up], np.add.reduceat(n, at).astype(np.float64)[up]
-                        full = total + (np.add.reduceat((n < len(lost) - 1).astype(np.int64), at) == 0)[up]
-                        key = pair_keys(u, w)
-                        order = np.argsort(key)
-                        key, logs = key[order], np.log10(discounted(n.astype(np.float64)))[order]
-                        continue
-                    u, w, per, step, n, ids, tags = unpack_pairs(codes, block)
+                if counts is not None:
+                    u, w, n = unpack_pairs(codes, counts)
+                    at = _runs(u)
+                    up = np.argsort(u[at])
+                    ctx, total = u[at][up], np.add.reduceat(n, at).astype(np.float64)[up]
+                    full = total + (np.add.reduceat((n < len(lost) - 1).astype(np.int64), at) == 0)[up]
+                    key = pair_keys(u, w)
+                    order = np.argsort(key)
+                    key, logs = key[order], np.log10(discounted(n.astype(np.float64)))[order]
+                for block in texts:
+                    u, w, per, step, n, ids, tags, _ = unpack_pairs(codes, block)
                     per, n = per.astype(np.int64), n.astype(np.float64)
                     first = _runs(u)
                     run = np.diff(first, append=len(u))
@@ -431,8 +443,9 @@ class PairModel:
                         d, zero = doc[gone], np.zeros(int(gone.sum()))
                         yield _part(ids[d], tags[d], [n[gone], zero, zero, zero], pa.array(u[pair[gone]].view(np.int64)), pa.array(w[pair[gone]].view(np.int64)))
 
-        parts = table(_meet(both, self.buckets, "kind").mapInArrow(
+        parts = table(both.mapInArrow(
             run, "id long, row long, n long, known long, base double, score double, u long, w long"), "katz-parts")
+        drop_table(self.items)
         backed = parts.where("u is not null").join(self.weights, "u", "left").join(self.words.select("w", "p"), "w", "left").select(
             "id", "row", F.lit(0).cast("long").alias("n"), "known", "base",
             (F.col("n") * (F.log10(F.coalesce("alpha", F.lit(1.0))) + F.log10(F.coalesce("p", F.lit(max(self.unseen, 1e-12)))))).alias("score"))
