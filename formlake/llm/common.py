@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from formlake.session import ensure_checkpoint_dir
 
 SHINGLE_WORDS = 5
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD_CACHE = 200_000  # entries of a task's word-hash memo; it is emptied when full
 _MULTIPLIERS = np.random.default_rng(20250101).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -25,10 +26,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Nothing reads the write's own shuffle files once it is done, so Spark is told to delete them then.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
