@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 from .common import WordHashes, binary_column, drop_table, lower_words, mix64, table
 
 CHUNK_TOKENS = 1_000_000  # tokens of one piece of text in a task
-BUCKET_TOKENS = 4_000_000  # tokens of a bucket, about
+BUCKET_TOKENS = 3_000_000  # tokens of a bucket, about
 HEAVY_SHARE = 1 / 50_000  # only words with this share of all tokens can be sliced, so at most 50,000 of them
 END = xxhash.xxh3_64_intdigest(b"\x00 end")
+MERGE_PAIRS = 1_000_000  # bigrams that wait for a merge beyond twice the merged ones
 HELD_BYTES = 64 << 20  # texts' blocks that a bucket keeps at hand while it counts; what exceeds them is joined later
 _ITEMS = "kind string, bucket int, key long, n long, few long, counts binary, texts array<binary>"
 
@@ -122,9 +123,26 @@ def pack_pairs(codes: Codes, words: np.ndarray, often: int, u: np.ndarray, w: np
 
 def unpack_pairs(codes: Codes, block: bytes) -> list[np.ndarray]:
     """Hashes of first and second words, grouped by first word, and what went along."""
+    u, w, run, step, more = _opened(codes, block)
+    return [np.repeat(u, run), w[_absolute(step, run)], *more]
+
+
+def _opened(codes: Codes, block: bytes):
     ur, uh, run, wr, wh, step, *more = unpack(block)
-    run = run.astype(np.int64)
-    return [np.repeat(codes.words(ur, uh), run), codes.words(wr, wh)[_absolute(step.astype(np.int64), run)], *more]
+    return codes.words(ur, uh), codes.words(wr, wh), run.astype(np.int64), step.astype(np.int64), more
+
+
+def share_words(codes: Codes, blocks: list[bytes], used: list[np.ndarray]) -> list[bytes]:
+    """``blocks``, whose words are ``used``, with one list of words before them instead of one in each; their order stays."""
+    words = np.unique(np.concatenate(used))
+    order, often = codes.order(words)
+    words = words[order]
+    own, none = Codes(words), np.zeros(0, np.uint64)
+    out = [pack(*codes.coded(words, often))]
+    for block in blocks:
+        u, w, run, step, more = _opened(codes, block)
+        out.append(pack(own.coded(u, len(u))[0], none, run, own.coded(w, len(w))[0], none, step, *more))
+    return out
 
 
 def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -247,7 +265,7 @@ def _text_blocks(rows: DataFrame, heavy, buckets: int, codes: Codes) -> DataFram
 
 
 def _by_bucket(batches, columns: list[str]):
-    """(bucket, rows) for every run of equal buckets in a sorted partition; rows are read as they come."""
+    """(bucket, rows) for every run of equal buckets in a partition, which holds one bucket; rows are read as they come."""
     def rows():
         for batch in batches:
             yield from zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns))
@@ -255,7 +273,9 @@ def _by_bucket(batches, columns: list[str]):
 
 
 def _meet(df: DataFrame, buckets: int, *order: str) -> DataFrame:
-    return df.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", *order)
+    """One partition per bucket."""
+    df = df.repartitionById(buckets, F.col("bucket"))
+    return df.sortWithinPartitions("bucket", *order) if order else df
 
 
 # --- counts ----------------------------------------------------------------------------------
@@ -271,11 +291,11 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
 
 def _in_code_order(codes: Codes, u: np.ndarray, w: np.ndarray):
     """Distinct words in code order, how many are frequent, and the bigrams' sorted numbers with the order that sorts them."""
-    ascending, place = np.unique(np.concatenate((u, w)), return_inverse=True)
+    ascending = np.union1d(np.unique(u), np.unique(w))
     order, often = codes.order(ascending)
     number = np.empty(len(order), np.int64)
     number[order] = np.arange(len(order))
-    key = number[place[:len(u)]] * len(order) + number[place[len(u):]]
+    key = number[np.searchsorted(ascending, u)] * len(order) + number[np.searchsorted(ascending, w)]
     sort = np.argsort(key)
     return ascending[order], often, *np.divmod(key[sort], len(order)), sort
 
@@ -295,26 +315,29 @@ def _count(blocks: DataFrame, buckets: int, gt_max: int, codes: Codes) -> DataFr
     are discounted), 'seen' (second words), 'stat' (counts of counts)."""
     def run(batches):
         for bucket, rows in _by_bucket(batches, ["bucket", "block"]):
-            parts, held, texts, size = [], 0, [], 0
+            parts, held, texts, used, size = [], 0, [], [], 0
             for _, block in rows:
                 if texts and size + len(block) > HELD_BYTES:
-                    yield _items("late", bucket, [0], [0], [0], None, texts)
-                    texts, size = [], 0
+                    yield _items("late", bucket, [0], [0], [0], None, share_words(codes, texts, used))
+                    texts, used, size = [], [], 0
                 texts.append(block)
                 size += len(block)
-                u, w, per, step, n, _, _, train = unpack_pairs(codes, block)
-                per = per.astype(np.int64)
+                u, w, run, place, (per, step, n, _, _, train) = _opened(codes, block)
+                used.append(np.unique(np.concatenate((u, w))))
+                u, w, per = np.repeat(u, run), w[_absolute(place, run)], per.astype(np.int64)
                 n = np.add.reduceat(n * train[_absolute(step.astype(np.int64), per)], np.cumsum(per) - per)
                 learned = n > 0
-                parts.append((u[learned], w[learned], n[learned]))
+                parts.append((u[learned], w[learned], n[learned].astype(np.int64)))
                 held += int(learned.sum())
-                if held > 2 * len(parts[0][0]) + BUCKET_TOKENS:
+                if held > 2 * len(parts[0][0]) + MERGE_PAIRS:
                     parts = [_merged(parts)]
                     held = len(parts[0][0])
+            texts = share_words(codes, texts, used)
             if not held:
                 yield _items("block", bucket, [0], [0], [0], None, texts)
                 continue
             u, w, n = _merged(parts)
+            del parts, used
             words, often, u, w, sort = _in_code_order(codes, u, w)
             n, at, seen = n[sort], _runs(u), words[_dense(w, len(words))[0]]
             r, many = np.unique(n[n <= gt_max + 1], return_counts=True)
@@ -414,8 +437,9 @@ class PairModel:
                     key = pair_keys(u, w)
                     order = np.argsort(key)
                     key, logs = key[order], np.log10(discounted(n.astype(np.float64)))[order]
-                for block in texts:
-                    u, w, per, step, n, ids, tags, _ = unpack_pairs(codes, block)
+                own = Codes(codes.words(*unpack(texts[0])))
+                for block in texts[1:]:
+                    u, w, per, step, n, ids, tags, _ = unpack_pairs(own, block)
                     per, n = per.astype(np.int64), n.astype(np.float64)
                     first = _runs(u)
                     run = np.diff(first, append=len(u))
