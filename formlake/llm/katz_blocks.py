@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, binary_column, drop_table, lower_words, mix64, table
 
 CHUNK_TOKENS = 1_000_000  # tokens of one piece of text in a task
-BUCKET_TOKENS = 3_000_000  # tokens of a bucket, about
+BUCKET_TOKENS = 2_500_000  # tokens of a bucket, about
 HEAVY_SHARE = 1 / 50_000  # only words with this share of all tokens can be sliced, so at most 50,000 of them
 END = xxhash.xxh3_64_intdigest(b"\x00 end")
 MERGE_PAIRS = 1_000_000  # bigrams that wait for a merge beyond twice the merged ones
@@ -323,7 +323,7 @@ def _count(blocks: DataFrame, buckets: int, gt_max: int, codes: Codes) -> DataFr
                 texts.append(block)
                 size += len(block)
                 u, w, run, place, (per, step, n, _, _, train) = _opened(codes, block)
-                used.append(np.unique(np.concatenate((u, w))))
+                used += (u, w)
                 u, w, per = np.repeat(u, run), w[_absolute(place, run)], per.astype(np.int64)
                 n = np.add.reduceat(n * train[_absolute(step.astype(np.int64), per)], np.cumsum(per) - per)
                 learned = n > 0
@@ -426,17 +426,7 @@ class PairModel:
 
         def run(batches):
             for counts, texts in ((c.as_py(), t.as_py()) for batch in batches for c, t in zip(batch.column(0), batch.column(1))):
-                key = np.zeros(0, np.uint64)
-                ctx, total, full, logs = key, np.zeros(0), np.zeros(0), np.zeros(0)
-                if counts is not None:
-                    u, w, n = unpack_pairs(codes, counts)
-                    at = _runs(u)
-                    up = np.argsort(u[at])
-                    ctx, total = u[at][up], np.add.reduceat(n, at).astype(np.float64)[up]
-                    full = total + (np.add.reduceat((n < len(lost) - 1).astype(np.int64), at) == 0)[up]
-                    key = pair_keys(u, w)
-                    order = np.argsort(key)
-                    key, logs = key[order], np.log10(discounted(n.astype(np.float64)))[order]
+                key, logs, ctx, total, full = _tables(codes, counts, discounted, len(lost) - 2)
                 own = Codes(codes.words(*unpack(texts[0])))
                 for block in texts[1:]:
                     u, w, per, step, n, ids, tags, _ = unpack_pairs(own, block)
@@ -478,6 +468,23 @@ class PairModel:
             (F.sum("base") - F.sum("n") * F.lit(float(np.log10(self.tokens + 0.1 * (self.types + 1))))).alias("base"), F.sum("score").alias("score"))
 
 
+def _tables(codes: Codes, counts: bytes | None, discounted, gt_max: int):
+    """Of a bucket's counts: bigram keys, logs of their discounted counts, contexts, their totals and what they are divided by."""
+    if counts is None:
+        none = np.zeros(0)
+        return none.astype(np.uint64), none, none.astype(np.uint64), none, none
+    u, w, n = unpack_pairs(codes, counts)
+    at = _runs(u)
+    up = np.argsort(u[at])
+    total = np.add.reduceat(n, at).astype(np.float64)[up]
+    full = total + (np.add.reduceat((n <= gt_max).astype(np.int64), at) == 0)[up]
+    key = pair_keys(u, w)
+    ctx = u[at][up]
+    del u, w, at
+    order = np.argsort(key)
+    return key[order], np.log10(discounted(n[order].astype(np.float64))), ctx, total, full
+
+
 def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, none: float = 0.0) -> np.ndarray:
     """Values at ``wanted`` among ascending ``keys``, ``none`` where there is none."""
     if not len(keys):
