@@ -161,10 +161,17 @@ def buckets_of(u: np.ndarray, w: np.ndarray, heavy: tuple[np.ndarray, np.ndarray
 
 # --- from texts to blocks --------------------------------------------------------------------
 
+def _slices(batches, rows: int = 500):
+    """A few rows at a time, so that a batch's texts are not all copied at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _pieces(batches):
     """(ids, tags, training flags, word hashes with the end symbol after each text) of pieces of at most about CHUNK_TOKENS."""
     hashes, ids, tags, train, words, held = WordHashes(), [], [], [], [], 0
-    for batch in batches:
+    for batch in _slices(batches):
         for doc, tag, learn, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), binary_column(batch, "text")):
             w = np.append(hashes.of(lower_words(blob)), np.uint64(END))
             if held and held + len(w) > CHUNK_TOKENS:
@@ -195,7 +202,7 @@ def frequent_words(rows: DataFrame) -> tuple[int, dict[int, int]]:
                                                pa.array([True] * (len(often) + 1) + [False])], names=["w", "n", "word"])
 
         texts = 0
-        for batch in batches:
+        for batch in _slices(batches):
             for blob in binary_column(batch, "text"):
                 words = lower_words(blob)
                 seen.update(words)
@@ -268,7 +275,9 @@ def _by_bucket(batches, columns: list[str]):
     """(bucket, rows) for every run of equal buckets in a partition, which holds one bucket; rows are read as they come."""
     def rows():
         for batch in batches:
-            yield from zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns))
+            of = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+            for i in range(batch.num_rows):
+                yield tuple(c[i].as_py() for c in of)
     yield from groupby(rows(), key=lambda r: r[0])
 
 
