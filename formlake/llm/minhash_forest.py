@@ -13,6 +13,11 @@ Texts with equal sets are one class from the start (a group of exact copies is o
 too large for a task is again cut into regions of adaptive depth, in every tree, and decided there;
 besides, all its rows are compared with its centres, the rows nearest to the cluster's most
 frequent signature values, as the copies of one text may be like that text alone.
+
+Rows of a region too large for its limits at the shallowest depth are crowded: a linked pair of them may
+agree in no deeper prefix. What the regions and centres left apart among them is settled exactly:
+linked sets share one of their rarest shingles, and rows of different components that do are
+compared on their full sets in blocks.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ CLUSTER_ROWS = 4096              # rows and
 CENTRES = 4                      # rows of a larger cluster that all its rows are compared with
 CLUSTER_SHINGLES = 2_000_000     # shingles of a cluster decided in one task
 PERCENT = 85                     # links: 100 * intersection >= PERCENT * union
+BLOCK_ROWS = 1024                # rows of a block of crowded rows compared with one another
+RARITY_BITS = 20                 # shingles are ordered by the count of their hash bucket, of so many bits
 SLACK = 5.0                      # standard deviations below the threshold at which signatures still count as similar
 
 _RNG = np.random.default_rng(7)
@@ -91,13 +98,15 @@ def _prefix_keys(rows: DataFrame, depth: int) -> DataFrame:
     return rows.select("rep", "sig", "n_shingles").mapInArrow(run, "key long, tree int, rep long, n_shingles long")
 
 
-def regions(members: DataFrame, rows_limit: int, shingles_limit: int | None = None) -> DataFrame:
+def regions(members: DataFrame, rows_limit: int, shingles_limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(key, rep): regions of every tree within the limits, each at the depth that its density asks for.
 
+    Also (rep) of the crowded rows, those of regions that the least depth leaves too large (None if none is).
+
     A region that is too large at the greatest depth holds signatures that agree in all leading
     values; it is dealt into parts by hash, each with the region's smallest rep as a common neighbour.
     """
-    done, live = [], None
+    done, live, crowded = [], None, None
     for depth in LADDER:
         keyed = _prefix_keys(members, depth)
         keyed = keyed.withColumn("parent", F.lit(None).cast("long")) if live is None else keyed.join(live, ["tree", "rep"])
@@ -115,6 +124,8 @@ def regions(members: DataFrame, rows_limit: int, shingles_limit: int | None = No
         rest = marked.where("not fits")
         if rest.isEmpty():
             break
+        if live is None:
+            crowded = rest.select("rep").distinct()
         live = rest.select("tree", "rep", F.col("first").alias("parent"))
         last = rest
     else:
@@ -129,7 +140,7 @@ def regions(members: DataFrame, rows_limit: int, shingles_limit: int | None = No
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out, crowded
 
 
 def around_centres(dense: DataFrame) -> DataFrame:
@@ -265,6 +276,80 @@ def linked(reps: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> t
     return a_out, b_out
 
 
+def crowded_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, rep): groups in which all linked rows (rep, component, text) of different components meet.
+
+    Sets of at least ``percent`` likeness share one of the first |s| - ceil(|s| * percent / 100) + 1 shingles
+    of any fixed order (here rare ones first) and differ in size by one band at most. Rows of one
+    such shingle and band make a group; a larger one is dealt into blocks that meet in pairs, but
+    for two blocks of its largest component.
+    """
+    buckets = 1 << RARITY_BITS
+
+    def sets(batch):
+        hashes = WordHashes()
+        return [shingles(hashes.of(lower_words(t))) for t in binary_column(batch, "text")]
+
+    def count(batches):
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for s in sets(batch):
+                total += 0 if not len(s) else np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["bucket", "n"])
+
+    counted = rows.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(buckets, np.int64)
+    often[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+
+    def prefixes(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = []
+            for s in sets(batch):
+                first = np.lexsort((s, often[(s & np.uint64(buckets - 1)).astype(np.int64)]))
+                found.append((len(s), s[first[:len(s) + 1 + -percent * len(s) // 100]] if len(s) else s))
+            each = np.array([len(f) for _, f in found])
+            n = np.array([n for n, _ in found])
+            band = np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64) if percent < 100 else n
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([f for _, f in found]).view(np.int64)), pa.array(np.repeat(band, each)),
+                 *(pa.array(np.repeat(batch.column(i).to_numpy(), each)) for i in (0, 1)), pa.array(np.repeat(n, each))],
+                names=["shingle", "own", "rep", "component", "n"])
+
+    listed = table(rows.select("rep", "component", "text").mapInArrow(prefixes, "shingle long, own long, rep long, component long, n long")
+                   .withColumn("band", F.explode(F.array("own", F.col("own") + 1))), "prefixes")
+    rank = F.struct("rows", "component")
+    held = listed.groupBy("shingle", "band", "component").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"), F.max("own").alias("own"))
+    held = held.groupBy("shingle", "band").agg(
+        F.count(F.lit(1)).alias("components"), F.max("own").alias("own"), F.max_by("component", rank).alias("major"),
+        F.max("rows").alias("major_rows"), F.max_by("total", rank).alias("major_total"), F.sum("rows").alias("rows"), F.sum("total").alias("total"))
+    held = held.where("components > 1 and own = band")  # rows of the lower band alone meet there
+
+    def parts(rows: str, total: str):
+        need = F.greatest(F.ceil(2 * F.expr(rows) / F.lit(BLOCK_ROWS)), F.ceil(2 * F.expr(total) / F.lit(CLUSTER_SHINGLES)))
+        whole = (F.col("rows") <= BLOCK_ROWS) & (F.col("total") <= CLUSTER_SHINGLES)
+        return F.when(whole, F.lit(1)).otherwise(need).cast("long")
+
+    held = held.select("shingle", "band", "major", parts("major_rows", "major_total").alias("majors"),
+                       parts("rows - major_rows", "total - major_total").alias("minors"))
+    met = listed.join(held, ["shingle", "band"])
+    is_major = F.col("component") == F.col("major")
+    met = met.withColumn("part", F.pmod(F.xxhash64("rep"), F.when(is_major, F.col("majors")).otherwise(F.col("minors"))))
+
+    def key(kind: str, a, b):
+        return F.xxhash64("shingle", "band", F.lit(kind), a, b)
+
+    minors, majors = (F.sequence(F.lit(0).cast("long"), F.col(c) - 1) for c in ("minors", "majors"))
+    across = F.when(is_major, F.transform(minors, lambda i: key("across", i, F.col("part")))).otherwise(
+        F.transform(majors, lambda j: key("across", F.col("part"), j)))
+    among = F.when(~is_major, F.transform(F.filter(minors, lambda i: i != F.col("part")), lambda i: key(
+        "among", F.least(i, F.col("part")), F.greatest(i, F.col("part"))))).otherwise(F.array().cast("array<bigint>"))
+    return met.select(F.explode(F.concat(across, among)).alias("key"), "rep").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -277,7 +362,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     usable = sketches.where("set_id is not null and doc_id is not null")
     classes = table(usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"),
                                                  F.first("n_shingles").alias("n_shingles")), "classes")
-    found = regions(classes, REGION_ROWS)
+    found, crowded = regions(classes, REGION_ROWS)
     signed = found.join(classes.select("rep", "sig").groupBy("rep").agg(F.first("sig").alias("sig")), "rep")
     forest = table(signed.select("key", "rep", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(
         _candidate_forest(similar_floor(percent)), "a long, b long").distinct(), "candidates")
@@ -291,15 +376,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     groups = sized.where("small").select(F.col("component").alias("key"), F.col("id").alias("rep"))
     if not sized.where("not small").isEmpty():
         dense = sized.where("not small").select("component", F.col("id").alias("rep"), "sig", "n_shingles")
-        groups = groups.unionByName(regions(dense, CLUSTER_ROWS, CLUSTER_SHINGLES)).unionByName(around_centres(dense))
+        cut, more = regions(dense, CLUSTER_ROWS, CLUSTER_SHINGLES)
+        groups = groups.unionByName(cut).unionByName(around_centres(dense))
+        if more is not None:
+            crowded = more if crowded is None else crowded.unionByName(more).distinct()
     texts = rows.select(F.col("doc_id").alias("rep"), "text")
     # a sort-merge join at every size: the representatives grow with the corpus
-    links = (groups.hint("merge").join(texts, "rep").select("key", "rep", "text").repartition("key").sortWithinPartitions("key")
-             .mapInArrow(_decide(percent), "a long, b long"))
+    links = _links(groups, texts, percent)
     # one id may stand for several sets: its sets' representatives are tied
     ties = usable.join(classes.select("set_id", "rep"), "set_id").where("doc_id <> rep").select(
         F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    return _answer(sketches, links.unionByName(_repeated(usable, ties)), classes)
+    links = links.unionByName(_repeated(usable, ties))
+    if crowded is not None:
+        links = table(links, "links")
+        apart = crowded.join(components(links), F.col("rep") == F.col("id"), "left").select(
+            "rep", F.coalesce("component", "rep").alias("component"))
+        full = table(apart.hint("merge").join(texts, "rep"), "crowded")
+        links = links.unionByName(_links(crowded_groups(full, percent), full.select("rep", "text"), percent))
+    return _answer(sketches, links, classes)
+
+
+def _links(groups: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): spanning links of each group of ``groups`` (key, rep), decided on its full texts."""
+    return (groups.hint("merge").join(texts, "rep").select("key", "rep", "text").repartition("key").sortWithinPartitions("key")
+            .mapInArrow(_decide(percent), "a long, b long"))
 
 
 def _repeated(usable: DataFrame, ties: DataFrame) -> DataFrame:

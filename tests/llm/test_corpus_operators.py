@@ -94,6 +94,33 @@ def test_near_duplicates(spark, docs, none, corpus, monkeypatch):
     assert got(none) == []
 
 
+def test_near_duplicates_of_a_crowded_template(spark, monkeypatch):
+    """Many pairs, and a chain, that share one template and have no centre: links agree in few leading values."""
+    from formlake.llm import minhash_forest
+
+    rng = random.Random(21)
+    base, rows = prose(rng, 100, 5000).split(), []
+
+    def edited(words, at, n):
+        return [*words[:at], *(f"x{rng.randrange(10**9)}" for _ in range(n)), *words[at + n:]]
+
+    for i in range(150):
+        first = edited(base, rng.randrange(5, 45), 2)
+        rows += [(2 * i, " ".join(first)), (2 * i + 1, " ".join(edited(first, rng.randrange(55, 92), 3)))]
+    link = edited(base, 50, 2)
+    for i in range(60):
+        rows.append((1000 + i, " ".join(link)))
+        link = edited(link, rng.randrange(5, 92), 3)
+    sets, root = near_truth(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash_forest, "REGION_ROWS", 8)
+    monkeypatch.setattr(minhash_forest, "CLUSTER_ROWS", 12)
+    for block in (1024, 16):  # blocks that hold a shingle's rows, and blocks that meet in pairs
+        monkeypatch.setattr(minhash_forest, "BLOCK_ROWS", block, raising=False)
+        got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(df).collect()}
+        assert sum(got[i] != root[i] for i in got) == 0
+
+
 def test_linked_is_exact_on_random_sets():
     from formlake.llm.minhash_forest import linked
 
