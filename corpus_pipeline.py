@@ -15,6 +15,7 @@ from formlake.llm import common, decontaminate, minhash_forest, mixture, token_f
 from formlake.llm.queries import tokenizer_path
 
 REPETITION = 2.0  # no source is used more than twice
+NEAR_PERCENT = 80  # likeness of word shingles from which documents are near duplicates
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
-    return _without(docs, minhash_forest.near_duplicates(docs).where("not kept"))
+    return _without(docs, minhash_forest.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -433,3 +433,17 @@ def test_pipeline(spark, tmp_path):
     starts = sorted((r.start, r.n_tokens) for r in out)
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_drops_pairs_from_80_percent(spark, tmp_path):
+    import corpus_pipeline
+
+    rng, rows = random.Random(12), []
+    for i, n in ((0, 6), (2, 8)):  # n words replaced inside: n + 4 of 100 shingles differ
+        words = prose(rng, 104, 10**6).split()
+        rows += [(i, " ".join(words)), (i + 1, " ".join([*words[:50], *(f"y{j}" for j in range(n)), *words[50 + n:]]))]
+    sets = {i: shingle_set(t) for i, t in rows}
+    like = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in (0, 2)]
+    assert 0.80 <= like[0] < 0.85 and like[1] < 0.80
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, str(tmp_path)).collect()) == [0, 2, 3]
