@@ -3,7 +3,8 @@
 A lexicon (whole words, and stems that stand for all words they begin) is learned from labelled
 training rows by smoothed log-odds of document frequency. The trie of its terms is intersected
 with the Levenshtein automata of bounded edit distance; the product is determinised lazily, so a
-text word costs one table step per character and most die after a few. For each hit the words
+text word costs one table step per character and most die after a few. A stem is granted the edits of
+its length as a word is; a word's beginning within them is a hit, whatever ending follows. For each hit the words
 around it decide whether it stands in quotation or is abuse. A logistic model over hit counts by
 edit distance and context gives the score.
 """
@@ -52,7 +53,7 @@ class LexiconAutomaton:
         self.ends: list[tuple[int, bool] | None] = [None]
         self.names: list[str] = [""]
         for term, stem in terms:
-            node, grant = 0, 0 if stem else allowed_edits(term)
+            node, grant = 0, allowed_edits(term)
             self.grant[0] = max(self.grant[0], grant)
             for c in term:
                 if c not in self.children[node]:
@@ -87,7 +88,7 @@ class LexiconAutomaton:
                     todo.append(child)
         return nodes
 
-    def _number(self, nodes: dict[int, int], stem: str | None) -> int:
+    def _number(self, nodes: dict[int, int], stem: tuple[int, str] | None) -> int:
         key = (tuple(sorted(nodes.items())), stem)
         n = self.numbers.get(key)
         if n is None:
@@ -111,10 +112,14 @@ class LexiconAutomaton:
             reach(node, edits + 1)
             for other in self.children[node].values():
                 reach(other, edits + 1)
+        after = self._closure(after)
         for node, edits in after.items():
-            if stem is None and edits == 0 and self.ends[node] and self.ends[node][1]:
-                stem = self.names[node]
-        n = self.steps[state][c] = self._number(self._closure(after), stem)
+            end = self.ends[node]
+            if end and end[1] and edits <= end[0] and (stem is None or (edits, self.names[node]) < stem):
+                stem = (edits, self.names[node])
+        if stem is not None:  # terms of more edits are no nearer; without an edit the stem is the nearest
+            after = {node: edits for node, edits in after.items() if edits <= stem[0]} if stem[0] else {}
+        n = self.steps[state][c] = self._number(after, stem)
         return n
 
     def find(self, word: str) -> tuple[int, str] | None:
@@ -126,7 +131,7 @@ class LexiconAutomaton:
             if state == dead:
                 return None
         nodes, stem = self.states[state]
-        best = None if stem is None else (0, stem)
+        best = stem
         for node, edits in nodes:
             end = self.ends[node]
             if end and edits <= end[0] and (best is None or (edits, self.names[node]) < best):

@@ -379,6 +379,36 @@ def test_toxicity(spark, none):
     assert score_toxicity(none, labels).count() == 0
 
 
+def test_toxicity_of_misspelled_inflected_terms():
+    from formlake.llm.toxicity import LexiconAutomaton, allowed_edits
+
+    lex = LexiconAutomaton([("idiot", True), ("scum", True), ("worthles", True), ("moron", False)])
+    assert [lex.find(w) for w in ("idiots", "ideot", "ideots", "idioot", "idjotic", "idoitic")] == [
+        (0, "idiot"), (1, "idiot"), (1, "idiot"), (1, "idiot"), (1, "idiot"), None]
+    assert lex.find("wortlessness") == (1, "worthles") and lex.find("scams") is None and lex.find("ideas") is None
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a):
+            new = [i + 1]
+            for j, d in enumerate(b):
+                new.append(min(row[j] + (c != d), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    rng = random.Random(9)
+    for _ in range(2000):
+        w = list(rng.choice(["idiot", "scum", "worthles", "moron"]) + rng.choice(["", "s", "ic", "sness"]))
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = rng.choice("idotworhlesmn")
+            if rng.random() < .5:
+                w.insert(rng.randrange(len(w)), rng.choice("idot"))
+        word = "".join(w)
+        near = [(min(distance(word[:k], t) for k in range(len(word) + 1)), t) for t in ("idiot", "scum", "worthles")]
+        near = [(d, t) for d, t in [*near, (distance(word, "moron"), "moron")] if d <= allowed_edits(t)]
+        assert lex.find(word) == min(near, default=None)
+
+
 def test_decontamination(spark, none):
     from formlake.llm import decontaminate
 
