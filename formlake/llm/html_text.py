@@ -39,24 +39,33 @@ BOILERPLATE = re.compile(r"\b(?:nav|menu|header|masthead|footer|aside|sidebar|si
                          r"|newsletter|subscribe|login|search|title)\b", re.I)
 
 
-class Boilerplate(dict):
-    """signature -> whether its names mark boilerplate, memoised within a bound."""
+MARK = " !"           # ends the signature of a tag that any of its names marks; no name holds a space
 
-    def __missing__(self, sig: str) -> bool:
+
+class Signatures(dict):
+    """all names of a tag, joined -> its signature, memoised within a bound: the first names, and the mark."""
+
+    def __missing__(self, full: str) -> str:
         if len(self) > MAX_KEYS:
             self.clear()
-        value = self[sig] = BOILERPLATE.search(sig) is not None
+        value = self[full] = ".".join(full.split(" ")[:5])[:80] + (MARK if BOILERPLATE.search(full) else "")
         return value
 
 
-_marked = Boilerplate()
+_signatures = Signatures()
+
+
+def _marked(sig: str) -> bool:
+    return sig.endswith(MARK)
 
 
 def _signature(tag: str, attributes: str) -> str:
-    if tag in INLINE or "=" not in attributes:
+    if tag in INLINE:
         return tag
+    if "=" not in attributes:
+        return _signatures[tag]
     names = sorted({w.lower() for m in _CLASS.finditer(attributes) for g in m.groups() if g for w in g.split()})
-    return ".".join([tag, *names[:4]])[:80]
+    return _signatures[" ".join([tag, *names])]
 
 
 def tokens(page: str):
@@ -65,7 +74,7 @@ def tokens(page: str):
 
     def holder() -> str:
         for _, sig in reversed(stack):
-            if _marked[sig]:
+            if _marked(sig):
                 return sig
         return stack[-1][1] if stack else ""
 
@@ -177,8 +186,8 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     for kind, value, container, _ in found:
         if kind == 0:
             w = weights.get("w:" + container)
-            if w is None or _marked[container]:
-                prior = WORD_RANGE[0] if _marked[container] else UNSEEN_WORD
+            if w is None or _marked(container):
+                prior = WORD_RANGE[0] if _marked(container) else UNSEEN_WORD
                 w = prior if w is None else min(w, prior) if abs(w) < 0.5 else w
             scores.append(w * len(value.split()))
             keep.append(w > 0)

@@ -299,6 +299,21 @@ def test_main_text(spark):
     assert extract_main_text(df).count() == len(rows) and extract_main_text(df.limit(0)).count() == 0
 
 
+def test_main_text_sees_every_name_of_a_tag():
+    from formlake.llm.html_text import counts, main_text
+
+    words = " ".join(["word"] * 80)
+    page = f"<article><p>{words} first</p><div {{}}><p>Buy now and save</p></div><p>{words} second</p></article>"
+    text = f"{words} first\n{words} second"
+    for attributes in ('class="col-12 col-lg-4 d-lg-block d-none sidebar"', f'class="{"a" * 90} sponsor"', 'class="sidebar"', 'class="a b c d" id="newsletter"'):
+        assert main_text(page.format(attributes), {}) == text
+        assert main_text(page.format(attributes), {"w:p": 1.0, "w:div.col-12.col-lg-4.d-lg-block.d-none": 1.0}) == text
+    plain = 'class="col-12 col-lg-4 d-lg-block d-none wide"'
+    assert "Buy now" in main_text(page.format(plain), {})
+    # what is learned of the unmarked tag is not taken for the marked one
+    assert not set(counts(f"<div {plain}>x</div>")) & set(counts('<div class="col-12 col-lg-4 d-lg-block d-none sidebar">x</div>'))
+
+
 def test_template_lines(spark, none):
     from formlake.llm.line_templates import drop_template_lines
 
