@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .divergence import DIVERGENCE_SQL
 from .line_templates import LINES_SQL
+from .merkle import MERKLE_SQL
 from .mixture import mix_sql
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,9 +97,38 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and proof of every document; documents whose id has an even CRC-32 are shown without line feeds."""
+    from .merkle import merkle_manifest, proof_digests
+
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle_manifest(_t(spark, sf_dir, "documents"), shown={"text": text}).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(proof_digests(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each language's sources differ in their words."""
+    from .divergence import source_divergences
+
+    return source_divergences(_t(spark, sf_dir, "documents"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, and what they decode to."""
+    from .pieces import decode_ids, encode_texts
+
+    model = tokenizer_path(PIECES)
+    decoded = decode_ids(encode_texts(_t(spark, sf_dir, "documents"), model), model)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                          F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                          F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_repeated_passages, op3_token_files, op4_katz_scores, op5_near_vectors, op6_main_text,
-    op7_template_lines, op8_mixture, op9_toxicity, op10_decontamination)}
+    op7_template_lines, op8_mixture, op9_toxicity, op10_decontamination, op11_merkle_manifest, op12_source_divergence, op13_pieces)}
 
 # The others hash, tokenize, fit models or follow links without end; tests compare them with brute force.
-ORACLE_SQL: dict[str, str] = {"op7_template_lines": LINES_SQL, "op8_mixture": mix_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_template_lines": LINES_SQL, "op8_mixture": mix_sql(),
+                              "op11_merkle_manifest": MERKLE_SQL, "op12_source_divergence": DIVERGENCE_SQL}
