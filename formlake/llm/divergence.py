@@ -17,6 +17,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ TOP_TERMS = 50
 SMOOTHING = 5
 UNIT = 1_000_000_000     # probabilities are whole numbers of this unit
 STRIPE_CELLS = 400_000   # cells of a task's stripes before they are spilled
-BUCKET_STRIPES = 50_000  # merged stripes in a bucket, about
+BUCKET_STRIPES = 4_000   # merged stripes in a bucket, about
 TILE = 512
 BLOCK_CELLS = 1_000_000  # cells of the matrix that a task fills at once
 
@@ -56,24 +57,25 @@ def _fold(batches):
     cells = 0
 
     def spill():
-        stripes: dict[str, dict[bytes, tuple[list, list]]] = defaultdict(dict)
-        for (lang, source), found in counts.items():
-            of = stripes[lang]
-            for term, n in found.items():
-                stripe = of.get(term)
-                if stripe is None:
-                    stripe = of[term] = ([], [])
-                stripe[0].append(source)
-                stripe[1].append(n)
-        rows = []
-        for lang, of in stripes.items():
-            seen = docs[lang]
-            for term, (sources, ns) in of.items():
-                rows.append((lang, term.decode(), seen[term], sources, ns))
-                if len(rows) >= 20_000:
-                    yield _stripe_batch(rows)
-                    rows = []
-        yield _stripe_batch(rows)
+        sources_of = defaultdict(list)
+        for lang, source in counts:
+            sources_of[lang].append(source)
+        for lang, seen in docs.items():
+            # cells in order of their source; a stable sort by term makes them stripes
+            place = dict(zip(seen, range(len(seen))))
+            stripes = [counts[lang, source] for source in sources_of[lang]]
+            term = np.fromiter((i for stripe in stripes for i in map(place.__getitem__, stripe)), np.int64)
+            order = np.argsort(term, kind="stable")
+            source = np.repeat(np.arange(len(stripes)), [len(s) for s in stripes])[order]
+            n = np.fromiter((c for stripe in stripes for c in stripe.values()), np.int64)[order]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(seen))))).astype(np.int32)
+            rows = pa.RecordBatch.from_arrays(
+                [pa.repeat(pa.scalar(lang, pa.string()), len(seen)), pa.array(list(seen), pa.binary()).cast(pa.string()),
+                 pa.array(np.fromiter(seen.values(), np.int64, len(seen))),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(sources_of[lang], pa.string()).take(pa.array(source))),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(n))], names=["lang", "term", "docs", "sources", "counts"])
+            for k in range(0, len(seen), 20_000):
+                yield rows.slice(k, 20_000)
         docs.clear()
         counts.clear()
 
@@ -95,27 +97,35 @@ def _merge(min_docs: int):
     """Stripes sorted by (language, term) to one stripe a term, kept if it is in enough documents."""
 
     def run(batches):
-        here, docs, total, out = None, 0, {}, []
-
-        def close():
-            if here is not None and docs >= min_docs:
-                out.append((*here, docs, list(total), list(total.values())))
-
+        here, docs, total, out = None, 0, {}, []  # the last term of a batch may go on in the next one
         for batch in batches:
-            lists, counts = batch.column(3), batch.column(4)
-            ends = lists.offsets.to_numpy().tolist()
-            flat = list(zip(lists.values.to_pylist(), counts.values.to_pylist()))
-            for k, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if not batch.num_rows:
+                continue
+            lang, term, lists = batch.column(0), batch.column(1), batch.column(3)
+            new = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in (lang, term)]
+            starts = np.flatnonzero(np.concatenate(([True], new[0] | new[1])))
+            stops = np.append(starts[1:], batch.num_rows)
+            seen = np.add.reduceat(batch.column(2).to_numpy(), starts)
+            # only terms in enough documents, and those at the batch's ends, are opened
+            opened = seen >= min_docs
+            opened[[0, -1]] = True
+            cells = lists.offsets.to_numpy()
+            sources, counts = lists.values, batch.column(4).values
+            for k in np.flatnonzero(opened).tolist():
+                key = lang[int(starts[k])].as_py(), term[int(starts[k])].as_py()
                 if key != here:
-                    close()
+                    if here and docs >= min_docs:
+                        out.append((*here, docs, list(total), list(total.values())))
                     here, docs, total = key, 0, {}
-                docs += batch.column(2)[k].as_py()
-                for source, n in flat[ends[k]:ends[k + 1]]:
+                docs += int(seen[k])
+                at, size = int(cells[starts[k]]), int(cells[stops[k]] - cells[starts[k]])
+                for source, n in zip(sources.slice(at, size).to_pylist(), counts.slice(at, size).to_pylist()):
                     total[source] = total.get(source, 0) + n
             if len(out) >= 5_000:
                 yield _stripe_batch(out)
                 out = []
-        close()
+        if here and docs >= min_docs:
+            out.append((*here, docs, list(total), list(total.values())))
         yield _stripe_batch(out)
 
     return run
