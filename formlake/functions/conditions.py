@@ -16,6 +16,7 @@ to right; ``!`` negates the next single operand or group; an empty condition is
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable
 
@@ -78,10 +79,15 @@ def condition_errors(items: DataFrame, cond_col: str = "cond",
                      keys: tuple[str, ...] = ("template_id", "item_id")) -> DataFrame:
     """Invalid conditions with a reason: ``(*keys, cond, pos, reason)``.
 
-    Residual characters not covered by a token, unbalanced brackets and illegal neighbours
-    are found with window functions over each condition's tokens (partitioned by key).
+    ``programs.condition_program`` decides what is invalid. Window functions over the tokens of the
+    rejected conditions say where: residual characters not covered by a token, unbalanced brackets and
+    illegal neighbours; what they don't explain is reported with the program's own reason.
     """
+    from formlake.functions.programs import condition_program
+
     conds = items.where(F.coalesce(F.trim(F.col(cond_col)), F.lit("")) != "").select(*keys, F.col(cond_col).alias("cond"))
+    rejected = conds.withColumn("why", condition_program(F.col("cond"))["reason"]).where(F.col("why").isNotNull())
+    conds = rejected.drop("why")
     residual = (conds.where(F.trim(F.regexp_replace("cond", TOKEN_PATTERN, "")) != "")
                 .select(*keys, "cond", F.lit(None).cast("int").alias("pos"),
                         F.lit("unterminated string or stray character").alias("reason")))
@@ -111,7 +117,9 @@ def condition_errors(items: DataFrame, cond_col: str = "cond",
                     "function without arguments"))
     bad = (t.withColumn("reason", reason).where(F.col("reason").isNotNull())
            .select(*keys, "cond", F.col("pos").cast("int"), "reason"))
-    return bad.unionByName(residual)
+    found = bad.unionByName(residual)
+    rest = rejected.join(found.select(*keys).distinct(), list(keys), "left_anti")
+    return found.unionByName(rest.select(*keys, "cond", F.lit(None).cast("int").alias("pos"), F.col("why").alias("reason")))
 
 
 # ---------------------------------------------------------------------------
@@ -217,7 +225,12 @@ def _compile_group(group: list, resolver: Resolver, expr: str) -> Column:
                     raw_args[-1].append(a)
             if any(len(a) != 1 for a in raw_args):
                 raise InvalidExpressionError(f"Invalid expression (bad arguments): {expr!r}")
-            terms.append(FUNCTIONS[el](*[_argument(a[0], resolver, expr) for a in raw_args]))
+            given = [_argument(a[0], resolver, expr) for a in raw_args]
+            try:
+                inspect.signature(FUNCTIONS[el]).bind(*given)
+            except TypeError:
+                raise InvalidExpressionError(f"Invalid expression (number of arguments): {expr!r}") from None
+            terms.append(FUNCTIONS[el](*given))
             i += 2
         elif isinstance(el, str) and el in BINARY_OPS:
             terms.append(el)

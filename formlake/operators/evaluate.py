@@ -434,34 +434,11 @@ def compile_template(items: DataFrame, template_id: str | None = None, **kw) ->
     return CompiledTemplate(load_items(items, template_id), **kw)
 
 
-MAX_TEMPLATES = 1000  # distinct templates evaluated in one plan
-
-
 def evaluate_per_template(submissions: DataFrame, items: DataFrame, operator: str, keys: list[str],
                           template_col: str = "template_id", **kw) -> DataFrame:
-    """D1 over many templates: apply one output (e.g. ``"active_tips"``) to submissions of
-    several templates in a single pass over the submissions.
+    """D1 over many templates: one output (e.g. ``"active_tips"``) for submissions of any number of
+    templates, each against its own (see ``bulk.evaluate_many``)."""
+    from formlake.operators.bulk import evaluate_many
 
-    Each template's items are collected and compiled (bounded by ``MAX_TEMPLATES`` x
-    ``MAX_TEMPLATE_ITEMS``). Every template's condition columns are computed only for its
-    own rows (``CASE WHEN template_col = t``), and one ``CASE`` picks the template's output
-    array per row before ``inline``: one scan, one narrow stage, no union of per-template scans.
-    """
-    ids = [r[0] for r in items.select("template_id").distinct().limit(MAX_TEMPLATES + 1).collect()]
-    if len(ids) > MAX_TEMPLATES:
-        raise TemplateError(f"more than {MAX_TEMPLATES} templates in one evaluation")
-    builder, flag = CompiledTemplate.OUTPUTS[operator]
-    opts = {k: kw.pop(k) for k in list(kw) if k == "visible_only"}
-    df, chosen = submissions, None
-    for n, tid in enumerate(sorted(ids)):
-        tpl = compile_template(items, tid, **kw)
-        tpl = tpl.over(tpl.answers, f"t{n}_")
-        gate = F.col(template_col) == F.lit(tid)
-        df = tpl.with_conditions(df, gate)
-        structs = getattr(tpl, builder)(**opts)
-        if structs:
-            chosen = F.when(gate, F.array(*structs)) if chosen is None else chosen.when(gate, F.array(*structs))
-    if chosen is None:
-        return submissions.limit(0).select(*keys, template_col)
-    out = df.select(*keys, template_col, F.inline(chosen))
-    return out.where(flag).drop(flag) if flag else out
+    out = evaluate_many(submissions.withColumnRenamed(template_col, "template_id"), items, operator, keys, **kw)
+    return out.withColumnRenamed("template_id", template_col)

@@ -185,3 +185,60 @@ def order_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.lit("ext").alias("namespace"), F.array(item).alias("extensions"))
     return j.select(_qid("T", "o_orderkey").alias("template_id"), F.lit(0).alias("apply_order"),
                     F.to_json(doc).alias("text"))
+
+
+def _review_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(l_orderkey, lines)``: an order's lines in a total order, each with its question's type and answer."""
+    li = table(spark, sf_dir, "lineitem")
+    key = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    quantity = F.col("l_quantity").cast("bigint")
+    kind = F.when(F.col("l_returnflag") == "R", "yesno").when(F.col("l_returnflag") == "A", "check").otherwise("line")
+    answer = (F.when(F.col("l_returnflag") == "R", F.when(quantity % 3 == 0, "yes").when(quantity % 3 == 1, "no").otherwise(""))
+              .when(F.col("l_returnflag") == "A", F.when(quantity % 2 == 0, "checked").otherwise(""))
+              .otherwise(F.when(F.col("l_linestatus") == "O", F.col("l_partkey").cast("string")).otherwise("")))
+    return li.select("l_orderkey", F.struct(*key, kind.alias("kind"), answer.alias("answer")).alias("x")).groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list("x")).alias("lines"))
+
+
+def order_reviews(spark: SparkSession, sf_dir: str, flawed: bool = False) -> DataFrame:
+    """One questionnaire per order whose conditions depend on the line before: a root ``o``, a block
+    ``l<n>`` per line with a question ``q<n>`` and a tip ``t<n>``.
+
+    ``flawed`` puts mistakes in: lines 2 and 3 wait for each other (every 5th order), a second root
+    (every 7th), a call with one argument too few on line 1 (every 9th).
+    """
+    def block(x, i):
+        n, before = (i + 1).cast("string"), i.cast("string")
+        q, b = F.concat(F.lit("q"), before), F.concat(F.lit("^l"), before)
+        cond = (F.when(i == 0, F.lit(None))
+                .when(x["l_tax"] >= 0.06, F.concat(F.lit("matches("), q, F.lit('/value, "^[0-9]{4}") || '), b))
+                .when(x["l_discount"] >= 0.05, F.concat(q, F.lit(" && !("), b, F.lit(" && q1/value)")))
+                .when(x["l_quantity"] < 10, F.concat(F.lit("!"), q, F.lit(' || contains(q1/value, "7") && '), b))
+                .otherwise(F.concat(F.lit("("), q, F.lit("/yes || "), q, F.lit("/value) && ^o"))))
+        if flawed:
+            pair = (F.col("l_orderkey") % 5 == 0) & (F.size("lines") >= 3)
+            cond = (F.when(pair & (i == 1), "q3").when(pair & (i == 2), "q2")
+                    .when((F.col("l_orderkey") % 9 == 0) & (i == 0), "contains(q1/value)").otherwise(cond))
+        question = F.struct(x["kind"].alias("type"), F.concat(F.lit("q"), n).alias("id"), F.concat(F.lit("Line "), n).alias("text"),
+                            F.when(x["kind"] == "yesno", "Yes").alias("yes"), F.when(x["kind"] == "yesno", "No").alias("no"),
+                            F.lit(None).cast("string").alias("cond"), F.lit(None).cast("string").alias("warn"))
+        tip = F.struct(F.lit("tip").alias("type"), F.concat(F.lit("t"), n).alias("id"), F.lit("Check the line").alias("text"),
+                       F.lit(None).cast("string").alias("yes"), F.lit(None).cast("string").alias("no"),
+                       F.concat(F.lit("q"), n, F.lit("/yes || q"), n, F.lit("/value")).alias("cond"), F.lit("yes").alias("warn"))
+        return F.struct(F.lit("block").alias("type"), F.concat(F.lit("l"), n).alias("id"), F.concat(F.lit("Line "), n).alias("text"),
+                        cond.alias("cond"), F.array(question, tip).alias("items"))
+
+    lines = F.transform("lines", block)
+    root = F.array(F.struct(F.lit("block").alias("type"), F.lit("o").alias("id"), F.lit("Order").alias("text"), lines.alias("items")))
+    if flawed:
+        extra = F.array(F.struct(F.lit("block").alias("type"), F.lit("extra").alias("id"), F.lit("Extra").alias("text"), F.slice(lines, 1, 0).alias("items")))
+        root = F.when(F.col("l_orderkey") % 7 == 0, F.concat(root, extra)).otherwise(root)
+    doc = F.struct(F.lit(1).alias("version"), root.alias("questionnaire"))
+    return _review_lines(spark, sf_dir).select(_qid("T", "l_orderkey").alias("template_id"), F.to_json(doc).alias("text"))
+
+
+def order_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(qid, template_id, answers)``: every order's answers to its own questionnaire."""
+    entries = F.transform("lines", lambda x, i: F.struct(F.concat(F.lit("q"), (i + 1).cast("string")), x["answer"]))
+    return _review_lines(spark, sf_dir).select(_qid("Q", "l_orderkey").alias("qid"), _qid("T", "l_orderkey").alias("template_id"),
+                                               F.map_from_entries(entries).alias("answers"))

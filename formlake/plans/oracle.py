@@ -328,6 +328,7 @@ def oracle_sql() -> dict[str, str]:
     }
     q.update(_request_oracles())
     q.update(_template_oracles())
+    q.update(_review_oracles())
     q.update(_answer_oracles())
     cols = ["app_tid", "app_name", "app_champion", "qid", "app_pid"]
     hit = " OR ".join(f"s.{c} ILIKE '%' || t.term || '%'" for c in cols)
@@ -449,6 +450,49 @@ errs AS (
 """
 
 
+REVIEWS = """
+rl AS (
+  SELECT l_orderkey AS ok, 'Q' || lpad(CAST(l_orderkey AS VARCHAR), 11, '0') AS qid, 'T' || lpad(CAST(l_orderkey AS VARCHAR), 11, '0') AS tid,
+    CAST(row_number() OVER w AS INTEGER) AS n, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INTEGER) AS m,
+    l_tax AS tax, l_discount AS disc, l_quantity AS qty,
+    CASE l_returnflag WHEN 'R' THEN 'yesno' WHEN 'A' THEN 'check' ELSE 'line' END AS t,
+    CASE l_returnflag WHEN 'R' THEN CASE CAST(l_quantity AS BIGINT) % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE '' END
+         WHEN 'A' THEN CASE WHEN CAST(l_quantity AS BIGINT) % 2 = 0 THEN 'checked' ELSE '' END
+         ELSE CASE WHEN l_linestatus = 'O' THEN CAST(l_partkey AS VARCHAR) ELSE '' END END AS v
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+                                                        l_quantity, l_discount, l_tax, l_returnflag, l_linestatus)),
+rc AS (
+  SELECT *, TRUE AS c FROM rl WHERE n = 1
+  UNION ALL
+  SELECT x.*, CASE WHEN x.tax >= 0.06 THEN regexp_matches(p.v, '^[0-9]{4}') OR p.c
+                   WHEN x.disc >= 0.05 THEN (p.c AND p.t = 'check' AND p.v = 'checked') AND NOT (p.c AND f.v <> '')
+                   WHEN x.qty < 10 THEN (NOT (p.c AND p.t = 'check' AND p.v = 'checked') OR contains(f.v, '7')) AND p.c
+                   ELSE (p.c AND (p.v = 'checked' AND p.t = 'check' OR p.v = 'yes' AND p.t = 'yesno')) OR p.v <> '' END
+  FROM rc p JOIN rl x ON x.ok = p.ok AND x.n = p.n + 1 JOIN rl f ON f.ok = p.ok AND f.n = 1),
+rt AS (SELECT *, (c AND (v = 'checked' AND t = 'check' OR v = 'yes' AND t = 'yesno')) OR v <> '' AS tip FROM rc)
+"""
+
+
+def _review_oracles() -> dict[str, str]:
+    head = "WITH RECURSIVE " + REVIEWS.strip() + "\n"
+    return {
+        "visibility_many_templates": head + """SELECT DISTINCT qid, tid AS template_id, 'o' AS item_id, 0 AS ordinal, TRUE AS shown, TRUE AS visible FROM rt
+            UNION ALL SELECT qid, tid, 'l' || n, 3 * n - 2, c, c FROM rt
+            UNION ALL SELECT qid, tid, 'q' || n, 3 * n - 1, TRUE, c FROM rt
+            UNION ALL SELECT qid, tid, 't' || n, 3 * n, tip, c AND tip FROM rt""",
+        "tips_many_templates": head + """SELECT qid, tid AS template_id, 't' || n AS item_id, TRUE AS warn, 'medium' AS severity, CAST(NULL AS VARCHAR) AS name
+            FROM rt WHERE c AND tip""",
+        "unanswered_many_templates": head + """, u AS (SELECT *, CAST(c AND t <> 'check' AND v = '' AS INTEGER) AS missing FROM rt)
+            SELECT qid, tid AS template_id, 'l' || n AS block_id, missing AS unanswered FROM u
+            UNION ALL SELECT qid, tid, 'o', CAST(sum(missing) AS INTEGER) FROM u GROUP BY ALL""",
+        "template_lint_order": head + """, o AS (SELECT DISTINCT ok, tid, m FROM rl)
+            SELECT tid AS template_id, 'l' || unnest([2, 3]) AS item_id, 'cycle' AS rule, 'condition depends on itself' AS detail FROM o WHERE ok % 5 = 0 AND m >= 3
+            UNION ALL SELECT tid, 'l2', 'forward_reference', 'q3' FROM o WHERE ok % 5 = 0 AND m >= 3
+            UNION ALL SELECT tid, 'l1', 'forward_reference', 'q1/value' FROM o WHERE ok % 9 = 0
+            UNION ALL SELECT tid, 'l1', 'invalid_condition', 'wrong number of arguments' FROM o WHERE ok % 9 = 0
+            UNION ALL SELECT tid, NULL, 'root', 'expected one root item, found 2' FROM o WHERE ok % 7 = 0"""}
+
+
 def _template_oracles() -> dict[str, str]:
     lint_sql = _with(LINES, TOKENS, """lagged_tokens AS (SELECT *, lag(kind) OVER (PARTITION BY tid, item_id ORDER BY pos) AS prev
               FROM tokens)""") + f"""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from formlake.functions.text import action_items, sanitize
 from formlake.functions import conditions
-from formlake.operators import answers, audit, diff, export, lint, merge, requests, store
+from formlake.operators import answers, audit, bulk, diff, export, lint, merge, requests, store
 from formlake.operators.broadcast import small
 from formlake.schemas import VALUE_TYPES
 from formlake.operators.evaluate import CompiledTemplate, load_items
@@ -503,3 +503,31 @@ def template_siblings(spark, sf_dir):
 def merge_errors(spark, sf_dir):
     _, errors = merge.merge_templates(ad.order_templates(spark, sf_dir), ad.order_extensions(spark, sf_dir))
     return errors
+
+
+@query
+def visibility_many_templates(spark, sf_dir):
+    """D1(b), D8: every order's answers against its own generated questionnaire."""
+    items = flatten_templates(ad.order_reviews(spark, sf_dir))
+    return bulk.evaluate_many(ad.order_answers(spark, sf_dir), items, "item_visibility", ["qid"])
+
+
+@query
+def tips_many_templates(spark, sf_dir):
+    """D1(b), D9: the active tips of every order's questionnaire."""
+    items = flatten_templates(ad.order_reviews(spark, sf_dir))
+    return bulk.evaluate_many(ad.order_answers(spark, sf_dir), items, "active_tips", ["qid"])
+
+
+@query
+def unanswered_many_templates(spark, sf_dir):
+    """D1(b), I2: unanswered questions per block of every order's questionnaire."""
+    items = flatten_templates(ad.order_reviews(spark, sf_dir))
+    return bulk.evaluate_many(ad.order_answers(spark, sf_dir), items, "unanswered_counts", ["qid"])
+
+
+@query
+def template_lint_order(spark, sf_dir):
+    """Root findings, rejected conditions, cycles and forward references of flawed questionnaires."""
+    templates = ad.order_reviews(spark, sf_dir, flawed=True)
+    return lint.lint_templates(cut_lineage(flatten_templates(templates)), templates, order=True)
