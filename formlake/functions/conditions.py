@@ -79,19 +79,16 @@ def condition_errors(items: DataFrame, cond_col: str = "cond",
                      keys: tuple[str, ...] = ("template_id", "item_id")) -> DataFrame:
     """Invalid conditions with a reason: ``(*keys, cond, pos, reason)``.
 
-    ``programs.condition_program`` decides what is invalid. Window functions over the tokens of the
-    rejected conditions say where: residual characters not covered by a token, unbalanced brackets and
-    illegal neighbours; what they don't explain is reported with the program's own reason.
+    Residual characters not covered by a token, unbalanced brackets and illegal neighbours are found
+    with window functions over each condition's tokens (partitioned by key). What is invalid is
+    decided by ``programs.condition_program``: whatever else it rejects is reported with its reason.
     """
-    from formlake.functions.programs import condition_program
+    from formlake.functions.programs import STRAY, condition_program
 
     conds = items.where(F.coalesce(F.trim(F.col(cond_col)), F.lit("")) != "").select(*keys, F.col(cond_col).alias("cond"))
-    rejected = conds.withColumn("why", condition_program(F.col("cond"))["reason"]).where(F.col("why").isNotNull())
-    conds = rejected.drop("why")
     residual = (conds.where(F.trim(F.regexp_replace("cond", TOKEN_PATTERN, "")) != "")
-                .select(*keys, "cond", F.lit(None).cast("int").alias("pos"),
-                        F.lit("unterminated string or stray character").alias("reason")))
-    toks = condition_tokens(conds, "cond", (*keys, "cond"))
+                .select(*keys, "cond", F.lit(None).cast("int").alias("pos"), F.lit(STRAY).alias("reason")))
+    toks = condition_tokens(conds.withColumn("why", condition_program(F.col("cond"))["reason"]), "cond", (*keys, "cond", "why"))
     w = Window.partitionBy(*keys).orderBy("pos")
     depth = F.sum(F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)).over(w)
     t = (toks.withColumn("depth", depth)
@@ -115,11 +112,13 @@ def condition_errors(items: DataFrame, cond_col: str = "cond",
               .when((F.col("kind") == "not") & F.col("next").isNull(), "'!' must precede an operand or a group")
               .when((F.col("kind") == "func") & ~F.coalesce(F.col("next") == "open", F.lit(False)),
                     "function without arguments"))
-    bad = (t.withColumn("reason", reason).where(F.col("reason").isNotNull())
-           .select(*keys, "cond", F.col("pos").cast("int"), "reason"))
-    found = bad.unionByName(residual)
-    rest = rejected.join(found.select(*keys).distinct(), list(keys), "left_anti")
-    return found.unionByName(rest.select(*keys, "cond", F.lit(None).cast("int").alias("pos"), F.col("why").alias("reason")))
+    # rejected without a finding at a token: the program's reason, once
+    explained = F.max(F.col("at_token").isNotNull()).over(Window.partitionBy(*keys))
+    whole = F.when((F.col("pos") == 0) & ~F.col("explained") & (F.col("why") != STRAY), F.col("why"))
+    bad = (t.withColumn("at_token", reason).withColumn("explained", explained)
+           .select(*keys, "cond", F.when(F.col("at_token").isNotNull(), F.col("pos")).cast("int").alias("pos"),
+                   F.coalesce("at_token", whole).alias("reason")).where(F.col("reason").isNotNull()))
+    return bad.unionByName(residual)
 
 
 # ---------------------------------------------------------------------------
