@@ -21,7 +21,7 @@ from formlake.operators.evaluate import CompiledTemplate, load_items
 from formlake.operators.templates import flatten_templates, templates_from_texts
 from formlake.plans import adapters as ad
 from formlake.session import cut_lineage
-from formlake.streaming import streams
+from formlake.streaming import ordered, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -306,8 +306,8 @@ def autosave_stream(spark, sf_dir):
 def audit_stream(spark, sf_dir):
     """M3: audit rows from a streamed log with per-qid state; same result as ``audit_log``."""
     log = ad.submission_log(spark, sf_dir, streams.read_stream(spark, sf_dir, "events.parquet"))
-    out = streams.run_to_table(spark, "audit", lambda base: streams.audit_stream(log, base))
-    out = _or_empty(spark, out, streams.AUDIT_OUT)
+    out = streams.run_to_table(spark, "audit", lambda base: streams.audit_stream(log, base), ordered.latest_audit)
+    out = _or_empty(spark, out, "audit_id long, qid string, app_status string, user_name string, timestamp timestamp_ntz, answer string, audit_timestamp timestamp_ntz")
     return out.select("audit_id", "qid", "app_status", "user_name",
                       F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "answer",
                       F.col("audit_timestamp").cast("timestamp_ntz").alias("audit_timestamp"))
@@ -318,7 +318,7 @@ def sessions_stream(spark, sf_dir):
     """M7 on a stream; same result as ``user_sessions``."""
     req = ad.requests(spark, sf_dir, streams.read_stream(spark, sf_dir, "events.parquet"))
     out = streams.run_to_table(spark, "sessions", lambda base: streams.sessions_stream(req, base),
-                               streams.compact(["client", "session_start"]))
+                               lambda rows: ordered.latest_sessions(rows, requests.SESSION_LIFETIME_SECONDS))
     return _or_empty(spark, out, "client string, session_start timestamp_ntz, session_end timestamp_ntz, "
                                  "n_requests bigint")
 

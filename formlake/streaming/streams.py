@@ -9,13 +9,13 @@ resumes from its offsets and state after executor or driver loss.
 * M1/M9 answers: change events, radio picks made exclusive by a stream-static join with the
   template, latest value per (qid, key) kept in state (update mode, ``foreachBatch`` append).
 * M2 autosave: 2-second tumbling windows per (qid, key) with a watermark (update mode).
-* M3 audit: ``applyInPandasWithState`` keyed by qid keeps the last version and emits the
-  audit rows of every later update/delete (the triggers' behaviour).
+* M3 audit: ``ordered.AuditProcessor`` keyed by qid holds events to the watermark and puts out the
+  audit rows of every later update/delete (the triggers' behaviour), replaced when an event arrives late.
 * M4 notices: stateless, one notice per saved version.
 * M5 error digests: ``applyInPandasWithState`` keyed by the logging source; the state is the
   digest counter and at most ``capacity - 1`` waiting records.
 * M6 rate limits: per-client hour/day window counts above the limit (update mode).
-* M7 sessions: ``session_window`` of the session lifetime per client (update mode).
+* M7 sessions: ``ordered.SessionProcessor`` extends, opens and joins sessions per client.
 * M8 oversized bodies: stateless filter after a broadcast join with the path limits.
 
 Update-mode results are appended per micro-batch with the batch id and compacted on read
@@ -32,10 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from formlake.operators import requests as rq
 from formlake.operators import store
+from formlake.streaming import ordered
 from formlake.session import ensure_checkpoint_dir
 
 WATERMARK = "10 minutes"
@@ -152,42 +153,9 @@ def autosave_stream(changes: DataFrame, base: str, interval: str = rq.AUTOSAVE_I
 # ---------------------------------------------------------------------------
 # M3
 # ---------------------------------------------------------------------------
-AUDIT_OUT = StructType([StructField("audit_id", LongType()), StructField("qid", StringType()),
-                        StructField("app_status", StringType()), StructField("user_name", StringType()),
-                        StructField("timestamp", TimestampType()), StructField("answer", StringType()),
-                        StructField("audit_timestamp", TimestampType())])
-AUDIT_STATE = StructType([StructField("op", StringType()), StructField("app_status", StringType()),
-                          StructField("user_name", StringType()), StructField("timestamp", TimestampType()),
-                          StructField("answer", StringType())])
-
-
-def _audit_group(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per qid: order this batch's events, emit the audit rows, keep the last version as state."""
-    cols = ["op", "app_status", "user_name", "timestamp", "answer"]
-    ev = pd.concat(list(pdfs)).sort_values(["event_ts", "seq"]).reset_index(drop=True)
-    # previous version of every event: shifted within the batch, the state for the first one
-    first = pd.DataFrame([state.get], columns=cols) if state.exists else pd.DataFrame([[None] * 5], columns=cols)
-    prev = pd.concat([first, ev[cols].iloc[:-1]], ignore_index=True)
-    moved = prev["op"].notna() & (prev["op"] != "delete")
-    full = pd.DataFrame({"audit_id": ev["seq"].astype("int64") * 2, "qid": key[0],
-                         "app_status": prev["app_status"], "user_name": prev["user_name"],
-                         "timestamp": pd.to_datetime(prev["timestamp"]), "answer": prev["answer"],
-                         "audit_timestamp": ev["event_ts"]})
-    old = full[moved]
-    tomb = full[moved & (ev["op"] == "delete")]
-    tomb = tomb.assign(audit_id=tomb["audit_id"] + 1, app_status="DELETED", user_name="ADMIN", answer=None)
-    last = ev.iloc[-1]
-    state.update(tuple(last[c] for c in cols))
-    parts = [x for x in (old, tomb) if len(x)]
-    yield pd.concat(parts, ignore_index=True) if parts else full.iloc[0:0]
-
-
-def audit_stream(log: DataFrame, base: str) -> StreamingQuery:
-    """Audit rows as the log streams in (state: the last version per qid)."""
-    cols = ["qid", "op", "app_status", "user_name", "timestamp", "answer", "seq", "event_ts"]
-    out = (log.select(*cols).groupBy("qid")
-           .applyInPandasWithState(_audit_group, AUDIT_OUT, AUDIT_STATE, "append", GroupStateTimeout.NoTimeout))
-    return _append(out, base)
+def audit_stream(log: DataFrame, base: str, watermark: str = WATERMARK) -> StreamingQuery:
+    """Audit rows as the log streams in, in whatever order within the watermark; read with ``ordered.latest_audit``."""
+    return ordered.with_rocksdb(log.sparkSession, lambda: _batches(ordered.audit_rows(log, watermark), base, "update"))
 
 
 # ---------------------------------------------------------------------------
@@ -206,50 +174,12 @@ def rate_limit_stream(requests: DataFrame, base: str, unit: str = "day", client:
     return _batches(out, base, "update")
 
 
-SESSION_OUT = StructType([StructField("client", StringType()), StructField("session_start", TimestampType()),
-                          StructField("session_end", TimestampType()), StructField("n_requests", LongType())])
-SESSION_STATE = StructType([StructField("start", TimestampType()), StructField("last", TimestampType()),
-                            StructField("n", LongType())])
-
-
-def _session_group(gap_seconds: int):
-    gap = pd.Timedelta(seconds=gap_seconds)
-
-    def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:  # the open session was already reported; forget it
-            state.remove()
-            return
-        ts = pd.concat(list(pdfs))["ts"].sort_values().reset_index(drop=True)
-        new = ts.diff().isna() | (ts.diff() >= gap)
-        carry = state.get if state.exists else None
-        if carry is not None and ts.iloc[0] - pd.Timestamp(carry[1]) < gap:
-            new.iloc[0] = False
-        sid = new.cumsum()
-        s = pd.DataFrame({"sid": sid, "ts": ts}).groupby("sid")["ts"].agg(["min", "max", "count"])
-        if carry is not None and not new.iloc[0]:  # the first session continues the open one
-            first = s.index[0]
-            s.loc[first, "min"] = pd.Timestamp(carry[0])
-            s.loc[first, "count"] += carry[2]
-        last = s.iloc[-1]
-        state.update((last["min"], last["max"], int(last["count"])))
-        state.setTimeoutTimestamp(int((last["max"] + gap).timestamp() * 1000))
-        yield pd.DataFrame({"client": key[0], "session_start": s["min"].values,
-                            "session_end": (s["max"] + gap).values, "n_requests": s["count"].astype("int64").values})
-
-    return fn
-
-
 def sessions_stream(requests: DataFrame, base: str, client: str = "client",
-                    gap_seconds: int = rq.SESSION_LIFETIME_SECONDS) -> StreamingQuery:
-    """Sessions per client kept in state: closed sessions and the open one are reported each
-    micro-batch (update mode), state is dropped once the watermark passes the session end."""
-    out = (requests.withWatermark("ts", WATERMARK).select(F.col(client).alias("client"), "ts")
-           .groupBy("client")
-           .applyInPandasWithState(_session_group(gap_seconds), SESSION_OUT, SESSION_STATE, "update",
-                                   GroupStateTimeout.EventTimeTimeout))
-    if client != "client":
-        out = out.withColumnRenamed("client", client)
-    return _batches(out, base, "update")
+                    gap_seconds: int = rq.SESSION_LIFETIME_SECONDS, watermark: str = WATERMARK) -> StreamingQuery:
+    """Sessions per client, open ones included, in whatever order requests arrive within the watermark;
+    read with ``ordered.latest_sessions``."""
+    rows = ordered.session_rows(requests, client, gap_seconds, watermark)
+    return ordered.with_rocksdb(requests.sparkSession, lambda: _batches(rows, base, "update"))
 
 
 DIGEST_OUT = StructType([StructField("source", StringType()), StructField("digest_id", LongType()),
