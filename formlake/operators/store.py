@@ -19,7 +19,6 @@ from formlake.operators.broadcast import small
 from formlake.schemas import SUBMISSION_COLUMNS
 
 STATUS_FLAGS = {"a": "Approved", "r": "In Review", "s": "Submitted", "d": "Draft"}  # fixed values
-BROADCAST_TERMS = 10000  # a larger batch of search terms is not broadcast
 
 
 # ---------------------------------------------------------------------------
@@ -213,6 +212,50 @@ def grid_text_filter(grid: DataFrame, text: str, columns: list[str] | None = Non
     return grid.where(cond)
 
 
+GRAM = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    """All distinct pieces of ``n`` characters; of none the empty piece."""
+    if n == 0:
+        return F.array(F.lit(""))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(F.length(text) >= n, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
+def keyword_hits(rows: DataFrame, words: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``rows`` with the ``term_id`` of every keyword (term_id, kw) that one of ``columns`` contains.
+
+    Case does not matter; ``%`` and ``_`` in a keyword are wildcards. A keyword's literal parts give
+    its trigrams, and its rarest one is looked up among the rows' trigrams with an equi-join; only rows
+    that hold it are compared with the keyword. Of a keyword whose literal parts are all shorter, the
+    longest part takes the trigram's place, and of one without any literal part the empty piece, which
+    every row holds: then all rows are compared, as the result asks for.
+    """
+    parts = F.filter(F.split(F.lower("kw"), "[%_]"), lambda p: p != "")
+    longest = F.array_max(F.transform(parts, F.length))
+    terms = words.where(F.col("kw").isNotNull()).select(
+        "term_id", "kw", F.lower("kw").alias("_kw"), F.lower(like_contains_pattern(F.col("kw"))).alias("_pat"), F.col("kw").rlike("[%_]").alias("_wild"),
+        F.when(longest >= GRAM, F.array_distinct(F.flatten(F.transform(parts, lambda p: _grams(p, GRAM)))))
+        .when(longest > 0, F.slice(F.filter(parts, lambda p: F.length(p) == longest), 1, 1)).otherwise(F.array(F.lit(""))).alias("_grams"))
+    lowered = [F.coalesce(F.lower(c), F.lit("")) for c in columns]
+    lengths = sorted(r[0] for r in terms.select(F.length(F.get("_grams", F.lit(0))).alias("n")).distinct().collect())  # of 0 to GRAM
+
+    def held(lengths: list[int]) -> Column:
+        pieces = [_grams(text, n) for n in lengths for text in (lowered if n else lowered[:1])]
+        return F.array_distinct(F.concat(F.array().cast("array<string>"), *pieces))
+
+    candidates = terms.select("kw", F.explode("_grams").alias("_gram")).distinct()
+    trigrams = candidates.where(F.length("_gram") == GRAM).select("_gram").distinct()
+    counts = rows.select(F.explode(held([n for n in lengths if n == GRAM])).alias("_gram")).join(trigrams, "_gram", "left_semi").groupBy("_gram").agg(
+        F.count(F.lit(1)).alias("_rows"))
+    rarest = candidates.join(counts, "_gram", "left").groupBy("kw").agg(F.min_by("_gram", F.struct(F.coalesce("_rows", F.lit(0)), F.col("_gram"))).alias("_gram"))
+    asked = terms.drop("_grams").join(rarest, "kw").drop("kw")
+    hit = functools.reduce(lambda a, b: a | b, [F.coalesce(F.when(F.col("_wild"), F.like(F.lower(c), F.col("_pat"))).otherwise(
+        F.contains(F.lower(c), F.col("_kw"))), F.lit(False)) for c in columns])
+    return rows.withColumn("_gram", F.explode(held(lengths))).join(asked, "_gram").where(hit).select("term_id", *rows.columns)
+
+
 def search_dispatch(current: DataFrame, audit: DataFrame, terms: DataFrame) -> DataFrame:
     """C4 for a table of terms ``(term_id, term)``: ``qid-audit_id`` → revision lookup (C3), a
     single word → wildcard search (C1), anything else → rejected.
@@ -227,26 +270,10 @@ def search_dispatch(current: DataFrame, audit: DataFrame, terms: DataFrame) -> D
                 .select("term_id", F.lit("revision").alias("kind"), "qid", F.lit("Revision").alias("app_status"),
                         "app_name", "audit_id", F.lit(None).cast("string").alias("error")))
     words = t.where(F.col("_n") == 1).select("term_id", sanitize("term").alias("kw"))
-    # A LIKE search cannot be an equi-join: every keyword is tested against every row. The
-    # keywords are broadcast if they are a small batch; any other batch is joined as Spark sees fit.
-    few = words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    sent = F.broadcast if few else (lambda df: df)
-    # Stored columns are lower-cased once per row; keywords without % or _ are plain
-    # substrings of that text (same result as ILIKE '%kw%'), the others go through ILIKE.
-    stored = current.select("qid", "app_status", "app_name",
-                            *[F.col(c).alias(f"_c{i}") for i, c in enumerate(SEARCH_COLUMNS)],
-                            *[F.lower(c).alias(f"_l{i}") for i, c in enumerate(SEARCH_COLUMNS)])
-    wild = F.col("kw").rlike("[%_]")
-    plain = words.where(~wild).select("term_id", F.lower("kw").alias("_kw"))
-    patterns = words.where(wild).select("term_id", like_contains_pattern(F.col("kw")).alias("_pat"))
-    plain_cond = functools.reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.col(f"_l{i}"), F.col("_kw")),
-                                                                  F.lit(False)) for i in range(len(SEARCH_COLUMNS))])
-    wild_cond = functools.reduce(lambda a, b: a | b, [F.coalesce(F.ilike(F.col(f"_c{i}"), F.col("_pat")),
-                                                                 F.lit(False)) for i in range(len(SEARCH_COLUMNS))])
-    out_cols = ["term_id", F.lit("search").alias("kind"), "qid", "app_status", "app_name",
-                F.lit(None).cast("long").alias("audit_id"), F.lit(None).cast("string").alias("error")]
-    word_hits = (stored.join(sent(plain), plain_cond, "inner").select(*out_cols)
-                 .unionByName(stored.join(sent(patterns), wild_cond, "inner").select(*out_cols)))
+    word_hits = keyword_hits(current.select("qid", "app_status", "app_name", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(SEARCH_COLUMNS)]),
+                             words, [f"_c{i}" for i in range(len(SEARCH_COLUMNS))]).select(
+        "term_id", F.lit("search").alias("kind"), "qid", "app_status", "app_name",
+        F.lit(None).cast("long").alias("audit_id"), F.lit(None).cast("string").alias("error"))
     bad = (t.where((F.col("_n") > 2) | ((F.col("_n") == 2) & ~(F.col("_p")[0].rlike("^[0-9A-Za-z]+$")
                                                                & F.col("_p")[1].try_cast("bigint").isNotNull())))
            .select("term_id", F.lit("rejected").alias("kind"), F.lit(None).cast("string").alias("qid"),

@@ -242,3 +242,16 @@ def order_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = F.transform("lines", lambda x, i: F.struct(F.concat(F.lit("q"), (i + 1).cast("string")), x["answer"]))
     return _review_lines(spark, sf_dir).select(_qid("Q", "l_orderkey").alias("qid"), _qid("T", "l_orderkey").alias("template_id"),
                                                F.map_from_entries(entries).alias("answers"))
+
+
+def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(term_id, term)``: for every nation its name, the name with a ``_``, its ends with a ``%`` between, two
+    pairs of its letters, only wildcards, and two spellings that are rejected."""
+    n = table(spark, sf_dir, "nation")
+    name, size = F.col("n_name"), F.length("n_name")
+    kinds = [F.lower(name), F.concat(F.substring(name, 1, 2), F.lit("_"), F.expr("substring(n_name, 4)")),
+             F.concat(F.substring(name, 1, 2), F.lit("%"), F.expr("right(n_name, 2)")), F.substring(name, 1, 2), F.lower(F.substring(name, 2, 2)),
+             F.repeat(F.lit("_"), F.col("n_nationkey") + 16), F.concat(name, F.lit("-x-1")), F.concat(F.lit("no word-"), size.cast("string")),
+             F.concat(F.lit("#0000"), F.col("n_nationkey").cast("string"), F.lit("%")), F.concat(F.lit("back\\"), name)]
+    terms = F.array(*[F.struct((F.lit(100 * i) + F.col("n_nationkey")).alias("term_id"), k.alias("term")) for i, k in enumerate(kinds)])
+    return n.select(F.inline(terms))

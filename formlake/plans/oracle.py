@@ -335,6 +335,17 @@ def oracle_sql() -> dict[str, str]:
     q["search_batch"] = _with(SUBS, "terms AS (SELECT n_nationkey AS term_id, n_name AS term FROM nation)") + f"""
         SELECT t.term_id, 'search' AS kind, s.qid, s.app_status, s.app_name, CAST(NULL AS BIGINT) AS audit_id,
           CAST(NULL AS VARCHAR) AS error FROM terms t JOIN subs s ON ({hit})"""
+    q["search_terms"] = _with(SUBS, """kinds AS (SELECT n_nationkey AS k, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS i,
+          unnest([lower(n_name), substr(n_name, 1, 2) || '_' || substr(n_name, 4), substr(n_name, 1, 2) || '%' || right(n_name, 2), substr(n_name, 1, 2),
+                  lower(substr(n_name, 2, 2)), repeat('_', n_nationkey + 16), n_name || '-x-1', 'no word-' || length(n_name), '#0000' || n_nationkey || '%',
+                  'back' || chr(92) || n_name]) AS term FROM nation),
+        terms AS (SELECT 100 * i + k AS term_id, i, replace(term, chr(92), chr(92) || chr(92)) AS term FROM kinds)""") + """
+        SELECT term_id, 'search' AS kind, qid, app_status, app_name, CAST(NULL AS VARCHAR) AS error FROM terms JOIN subs
+          ON app_tid ILIKE '%' || term || '%' ESCAPE chr(92) OR app_name ILIKE '%' || term || '%' ESCAPE chr(92) OR app_champion ILIKE '%' || term || '%' ESCAPE chr(92)
+          OR qid ILIKE '%' || term || '%' ESCAPE chr(92) OR app_pid ILIKE '%' || term || '%' ESCAPE chr(92)
+        WHERE i NOT IN (6, 7)
+        UNION ALL SELECT term_id, 'rejected', NULL, NULL, NULL, 'invalid search term' FROM terms WHERE i IN (6, 7)"""
+    q["search_customers"] = _with(SUBS) + """SELECT c_custkey AS term_id, qid, app_name FROM subs JOIN customer ON app_name = c_name"""
     q["error_digest_by_source"] = """WITH l AS (SELECT ts, CASE WHEN event_type = 'error' THEN 'ERROR'
                 WHEN event_type = 'purchase' THEN 'CRITICAL' ELSE 'INFO' END AS level,
               event_type || ' by user ' || CAST(user_id AS VARCHAR) AS message, event_id AS seq,

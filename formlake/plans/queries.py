@@ -531,3 +531,18 @@ def template_lint_order(spark, sf_dir):
     """Root findings, rejected conditions, cycles and forward references of flawed questionnaires."""
     templates = ad.order_reviews(spark, sf_dir, flawed=True)
     return lint.lint_templates(cut_lineage(flatten_templates(templates)), templates, order=True)
+
+
+@query
+def search_terms(spark, sf_dir):
+    """Terms with and without wildcards, short, empty and rejected ones against all submissions."""
+    audit_rows = spark.createDataFrame([], "qid string, audit_id long, app_status string, app_name string")
+    found = store.search_dispatch(ad.submissions(spark, sf_dir), audit_rows, ad.search_terms(spark, sf_dir))
+    return found.select("term_id", "kind", "qid", "app_status", "app_name", "error")
+
+
+@query
+def search_customers(spark, sf_dir):
+    """C1 for a batch that grows with the data: every customer's name, a wildcard in it, against all submissions."""
+    words = ad.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("term_id"), F.lower(F.replace("c_name", F.lit("#"), F.lit("_"))).alias("kw"))
+    return store.keyword_hits(ad.submissions(spark, sf_dir), words, store.SEARCH_COLUMNS).select("term_id", "qid", "app_name")

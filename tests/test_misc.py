@@ -169,3 +169,25 @@ def test_digest_state_carries_records_between_batches():
     assert (out3.iloc[0]["first_seq"], out3.iloc[0]["last_seq"]) == (10, 19)
     assert out3.iloc[0]["body"].split("\r\n") == ["m11", "m13", "m15", "m17", "m19"]
     assert st.value[0] == 2 and st.value[2] == [20, 21, 22, 23, 24]
+
+
+def test_keyword_hits_use_the_rarest_trigram(spark):
+    """Against every keyword compared with every row, and without a nested loop in the plan."""
+    import itertools
+    import random
+    import re
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abAB%_\\é ") for _ in range(rng.randrange(9))) for _ in range(120)] + [None, "", "aaa", "Straße", "x" * 5000 + "needle"]
+    rows = spark.createDataFrame([(str(i), a, b) for i, (a, b) in enumerate(itertools.product(rng.sample(texts, 12), texts))], "qid string, a string, b string")
+    words = ["a", "AB", "aba", "abab", "%", "", "_", "a_b", "a%b", "___", "é", "ab\\", "\\a", "STRASSE", "straße", "b %", "needle", "ab_ab%a", None]
+    terms = spark.createDataFrame(list(enumerate(words)), "term_id int, kw string")
+    hits = store.keyword_hits(rows, terms, ["a", "b"])
+    assert not re.search("NestedLoop|Cartesian", hits._jdf.queryExecution().executedPlan().toString())
+
+    def matches(word, text):
+        pattern = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in word.lower())
+        return text is not None and re.search(pattern, text.lower(), re.S) is not None
+
+    want = sorted((i, r.qid) for i, w in enumerate(words) if w is not None for r in rows.collect() if matches(w, r.a) or matches(w, r.b))
+    assert sorted((r.term_id, r.qid) for r in hits.collect()) == want
