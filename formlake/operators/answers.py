@@ -6,6 +6,8 @@ long ``(qid, key, value)`` or a map column, partitioned by qid.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,14 +67,31 @@ def visibility_transitions(versions: DataFrame, tpl: CompiledTemplate) -> DataFr
     """Items that become shown or hidden from one version of a submission to the next.
 
     The previous version's answers are brought into the same row with ``lag`` over the qid's
-    versions, both are evaluated in one projection, and only differences are exploded.
+    versions. An index from answer keys to the items they can show or hide says what to look at: a
+    condition is evaluated, before and now, only where a key has changed that an item in need of it
+    depends on; items that no answer moves are never looked at.
     """
     pairs = (with_previous(versions, ["qid"], ["ts", "seq"], ["answers"], time_bucket("ts"))
              .withColumn("prev_answers", F.col("_prev.answers")).where(F.col("_prev").isNotNull()).drop("_prev"))
+    moved = tpl.visibility_keys()
+    keys = sorted(set().union(*moved.values()))
+    if not keys:
+        return pairs.limit(0).select("qid", "seq", F.lit("").alias("item_id"), F.lit("").alias("event"))
+    changed = {k: f"__changed_{n}" for n, k in enumerate(keys)}
+    pairs = pairs.withColumns({c: ~F.col(tpl.answers)[k].eqNullSafe(F.col("prev_answers")[k]) for k, c in changed.items()})
+    pairs = pairs.where(functools.reduce(lambda a, b: a | b, [F.col(c) for c in changed.values()]))
+
+    def any_changed(of: set[str]):
+        return functools.reduce(lambda a, b: a | b, [F.col(changed[k]) for k in sorted(of)])
+
+    users: dict[str, set[str]] = {}
+    for i, of in moved.items():
+        for condition in tpl.needed_conditions(i):
+            users.setdefault(condition, set()).update(of)
+    gates = {condition: any_changed(of) for condition, of in users.items()}
     before = tpl.over("prev_answers", "p")
-    evaluated = before.with_conditions(tpl.over(tpl.answers, "").with_conditions(pairs))
-    flips = [F.struct(F.lit(i).alias("item_id"), tpl.visible(i).alias("now"), before.visible(i).alias("was"))
-             for i in tpl.order]
-    return (evaluated.select("qid", "seq", F.inline(F.array(*flips)))
-            .where(F.col("now") != F.col("was"))
-            .select("qid", "seq", "item_id", F.when(F.col("now"), "SHOWN").otherwise("HIDDEN").alias("event")))
+    evaluated = before.with_conditions(tpl.over(tpl.answers, "").with_conditions(pairs, gates), gates)
+    flips = [F.when(any_changed(of) & (tpl.visible(i) != before.visible(i)),
+                    F.struct(F.lit(i).alias("item_id"), F.when(tpl.visible(i), "SHOWN").otherwise("HIDDEN").alias("event")))
+             for i, of in moved.items()]
+    return evaluated.select("qid", "seq", F.inline(F.filter(F.array(*flips), lambda f: f.isNotNull())))

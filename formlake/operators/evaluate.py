@@ -291,18 +291,62 @@ class CompiledTemplate(Resolver):
             out[level[i] - 1].append(i)
         return out
 
+    # -- which answers a condition or an item's visibility depends on -------------------------
+    def condition_keys(self) -> dict[str, set[str]]:
+        """Per item with a condition, the answer keys it depends on, through other conditions too."""
+        keys: dict[str, set[str]] = {}
+        for items in self._levels:  # what an item depends on has a lower level
+            for i in items:
+                found: set[str] = set()
+                for ref in references(self.items[i].cond):
+                    target = reference_target(ref)
+                    if ref == "false":
+                        continue
+                    if self.items[target].type in ITEM_KINDS:
+                        if "/value" in ref or not ref.startswith("^"):
+                            found.add(target)
+                    elif not ref.startswith("^"):
+                        found.update(self.children.get(target, []))
+                keys[i] = found.union(*[keys[d] for d in self._cond_deps(i)])
+        return keys
+
+    def needed_conditions(self, item_id: str) -> set[str]:
+        """The items whose conditions an item's visibility needs, directly or through others."""
+        own = [a for a in (item_id, *self.items[item_id].ancestors) if a in self.items and (self.items[a].cond or "").strip()]
+        needed: set[str] = set()
+        while own:
+            i = own.pop()
+            if i not in needed:
+                needed.add(i)
+                own += self._cond_deps(i)
+        return needed
+
+    def visibility_keys(self) -> dict[str, set[str]]:
+        """Per item, the answer keys that can show or hide it; items that no answer moves are left out."""
+        keys = self.condition_keys()
+        moved = {}
+        for i in self.order:
+            own = [a for a in (i, *self.items[i].ancestors) if a in keys]
+            found = set().union(*[keys[a] for a in own])
+            if found and not self.unrolled:
+                moved[i] = found
+        return moved
+
     # -- evaluation -------------------------------------------------------------------------
-    def with_conditions(self, df: DataFrame, gate: Column | None = None) -> DataFrame:
-        """Add one boolean column per item condition, level by level (only where ``gate`` holds)."""
+    def with_conditions(self, df: DataFrame, gate: Column | dict[str, Column] | None = None) -> DataFrame:
+        """Add one boolean column per item condition, level by level (only where ``gate`` holds; a dict
+        of gates adds only its items' conditions)."""
         for items in self._levels:
             cols = {}
             for i in items:
+                if isinstance(gate, dict) and i not in gate:
+                    continue
                 try:
                     c = F.coalesce(compile_condition(self.items[i].cond, self), F.lit(False))
                 except InvalidExpressionError as e:
                     raise TemplateError(f"item {i}: {e}") from None
-                cols[self._cname(i)] = c if gate is None else F.when(gate, c)
-            df = df.withColumns(cols)
+                cols[self._cname(i)] = c if gate is None else F.when(gate[i] if isinstance(gate, dict) else gate, c)
+            df = df.withColumns(cols) if cols else df
         return df
 
     def helper_columns(self) -> list[str]:
