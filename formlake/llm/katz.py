@@ -11,6 +11,7 @@ holds one symbol for all unseen words. Bigrams, the order registered, are kept i
 
 from __future__ import annotations
 
+import math
 import zlib
 from functools import reduce
 
@@ -62,13 +63,21 @@ def _events(rows: DataFrame, order: int) -> DataFrame:
 
 
 def discounts(n: dict[int, int]) -> dict[int, float]:
-    """Good-Turing ratios for counts 1..GT_MAX from the counts of counts; where these give none within (0, 1) for every count, (r - 1/2) / r."""
-    plain = {r: (r - 0.5) / r for r in range(1, GT_MAX + 1)}
-    if any(not n.get(r) for r in range(1, GT_MAX + 2)):
-        return plain
-    a = (GT_MAX + 1) * n[GT_MAX + 1] / n[1]
-    found = {r: ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) for r in plain} if a != 1 else {}
-    return found if found and all(0 < d < 1 for d in found.values()) else plain
+    """Good-Turing ratios for counts 1..GT_MAX from the counts of counts.
+
+    The counts of counts are smoothed first, by a line through their logarithms against those of the
+    counts (least squares), as neighbouring ones of real texts are too uneven to be divided. A falling
+    line steeper than -1 gives ratios within (0, 1) for every count. Only a table whose counts of counts
+    do not fall like that, a few words that all recur, has no Good-Turing estimate: (r - 1/2) / r then.
+    """
+    seen = [(math.log(r), math.log(n[r])) for r in range(1, GT_MAX + 2) if n.get(r)]
+    x, y = (sum(c) / max(len(seen), 1) for c in zip(*seen)) if seen else (0.0, 0.0)
+    spread = sum((a - x) ** 2 for a, _ in seen)
+    power = sum((a - x) * (b - y) for a, b in seen) / spread + 1 if spread else 0.0
+    if power >= 0:
+        return {r: (r - 0.5) / r for r in range(1, GT_MAX + 1)}
+    rest = (GT_MAX + 1) ** power  # share of the mass of counts of one that the larger counts keep
+    return {r: ((1 + 1 / r) ** power - rest) / (1 - rest) for r in range(1, GT_MAX + 1)}
 
 
 def _discounted(counts: DataFrame) -> DataFrame:

@@ -213,8 +213,20 @@ def F_str(name):
     return F.col(name).cast("string").alias("id")
 
 
+def good_turing(counts):
+    """Written apart from the operator: discounted count over count for 1..5, from a fitted line of the counts of counts."""
+    n = Counter(counts)
+    r = np.array([k for k in range(1, 7) if n[k]], float)
+    slope = np.polyfit(np.log(r), np.log([n[int(k)] for k in r]), 1)[0] if len(r) > 1 else 0.0
+    if slope >= -1:
+        return {k: 1 - 0.5 / k for k in range(1, 6)}
+    smooth = {k: k ** slope for k in range(1, 7)}  # the line's height cancels out
+    share = 6 * smooth[6] / smooth[1]
+    return {k: ((k + 1) * smooth[k + 1] / (k * smooth[k]) - share) / (1 - share) for k in range(1, 6)}
+
+
 def katz_truth(corpus):
-    from formlake.llm.katz import discounts, is_training
+    from formlake.llm.katz import is_training
 
     texts = [(i, words_of(lower(t)) + [0]) for i, t in corpus]
     train = [(i, w) for i, w in texts if i is not None and is_training(i)]
@@ -222,7 +234,7 @@ def katz_truth(corpus):
     for _, w in train:
         one.update(w)
         two.update(zip([1] + w, w))
-    d1, d2 = (discounts(Counter(v for v in c.values() if v <= 6)) for c in (one, two))
+    d1, d2 = (good_turing(c.values()) for c in (one, two))
     n, v = sum(one.values()), len(one)
     p1 = {w: c * d1.get(c, 1) / n for w, c in one.items()}
     unseen = 1 - sum(p1.values())
@@ -244,11 +256,32 @@ def katz_truth(corpus):
         yield str(i), None if i is None else not is_training(i), len(w), sum(one[x] > 0 for x in w), n, base, score
 
 
-def test_katz_scores(spark, docs, none, corpus):
+def test_katz_discounts_are_good_turing():
+    import duckdb
+
+    from formlake.llm.katz import discounts
+
+    for name in ("sf0.001", "sf0.01"):
+        one, two = Counter(), Counter()
+        for (text,) in duckdb.sql(f"SELECT text FROM '/root/testdata/{name}/documents.parquet'").fetchall():
+            w = words_of(lower(text)) + [0]
+            one.update(w)
+            two.update(zip([1] + w, w))
+        for counts in (one, two):
+            found = discounts(Counter(c for c in counts.values() if c <= 6))
+            assert found == pytest.approx(good_turing(counts.values()), rel=1e-9)
+            assert found != {r: (r - 0.5) / r for r in found} and all(0 < d < 1 for d in found.values())
+
+
+@pytest.mark.parametrize("zipf", [False, True])
+def test_katz_scores(spark, docs, none, corpus, zipf):
     from formlake.llm import katz
 
     small = [(i, t) for i, t in corpus if len(t or "") < 100_000 and i != 11]
-    df = spark.createDataFrame(small, "doc_id long, text string")
+    if zipf:  # words as in real texts, so that Good-Turing is in effect
+        rng = random.Random(6)
+        small += [(1000 + i, " ".join(f"z{int(rng.paretovariate(0.9))}" for _ in range(80))) for i in range(60)]
+    df = spark.createDataFrame([(i, t, "junk", 1.0) for i, t in small], "doc_id long, text string, w string, p double")
     want = sorted(katz_truth(small), key=str)
     got = sorted(((str(r[0]), *r[1:]) for r in katz.score_texts(df).collect()), key=str)
     assert [g[:5] for g in got] == [w[:5] for w in want]
