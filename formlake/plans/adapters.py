@@ -255,3 +255,16 @@ def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
              F.concat(F.lit("#0000"), F.col("n_nationkey").cast("string"), F.lit("%")), F.concat(F.lit("back\\"), name)]
     terms = F.array(*[F.struct((F.lit(100 * i) + F.col("n_nationkey")).alias("term_id"), k.alias("term")) for i, k in enumerate(kinds)])
     return n.select(F.inline(terms))
+
+
+def review_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One extension per questionnaire of ``order_reviews``: a block after line 1 with a note and a tip on line 1's answer."""
+    def item(kind, name, text, cond=None, **more):
+        fields = {"type": kind, "id": name, "text": text, "cond": cond, **more}
+        return F.struct(*[F.lit(v).cast("string").alias(k) if not hasattr(v, "alias") else v.alias(k) for k, v in fields.items()])
+
+    inside = F.array(item("line", "note", "Reviewer note"), item("tip", "check", "Look at line 1", "q1/value"))
+    block = item("block", "review", "Review", "^l1", insertAfter="l1", items=inside)
+    doc = F.struct(F.lit(1).alias("version"), F.lit("ext").alias("namespace"), F.array(block).alias("extensions"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
+    return lines.select(_qid("T", "l_orderkey").alias("template_id"), F.lit(0).alias("apply_order"), F.to_json(doc).alias("text"))

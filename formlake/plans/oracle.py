@@ -491,6 +491,13 @@ def _review_oracles() -> dict[str, str]:
             UNION ALL SELECT qid, tid, 'l' || n, 3 * n - 2, c, c FROM rt
             UNION ALL SELECT qid, tid, 'q' || n, 3 * n - 1, TRUE, c FROM rt
             UNION ALL SELECT qid, tid, 't' || n, 3 * n, tip, c AND tip FROM rt""",
+        "merged_visibility": head + """, x AS (SELECT *, CASE WHEN n > 1 THEN 3 ELSE 0 END AS d FROM rt)
+            SELECT DISTINCT qid, tid AS template_id, 'o' AS item_id, 0 AS ordinal, TRUE AS shown, TRUE AS visible FROM x
+            UNION ALL SELECT qid, tid, 'l' || n, 3 * n - 2 + d, c, c FROM x
+            UNION ALL SELECT qid, tid, 'q' || n, 3 * n - 1 + d, TRUE, c FROM x
+            UNION ALL SELECT qid, tid, 't' || n, 3 * n + d, tip, c AND tip FROM x
+            UNION ALL SELECT qid, tid, 'ext:' || unnest(['review', 'note', 'check']), unnest([4, 5, 6]), unnest([TRUE, TRUE, v <> '']), unnest([TRUE, TRUE, v <> ''])
+              FROM x WHERE n = 1""",
         "tips_many_templates": head + """SELECT qid, tid AS template_id, 't' || n AS item_id, TRUE AS warn, 'medium' AS severity, CAST(NULL AS VARCHAR) AS name
             FROM rt WHERE c AND tip""",
         "unanswered_many_templates": head + """, u AS (SELECT *, CAST(c AND t <> 'check' AND v = '' AS INTEGER) AS missing FROM rt)

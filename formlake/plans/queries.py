@@ -546,3 +546,10 @@ def search_customers(spark, sf_dir):
     """C1 for a batch that grows with the data: every customer's name, a wildcard in it, against all submissions."""
     words = ad.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("term_id"), F.lower(F.replace("c_name", F.lit("#"), F.lit("_"))).alias("kw"))
     return store.keyword_hits(ad.submissions(spark, sf_dir), words, store.SEARCH_COLUMNS).select("term_id", "qid", "app_name")
+
+
+@query
+def merged_visibility(spark, sf_dir):
+    """F8, D1(b): every order's questionnaire merged with an extension, then evaluated over the order's answers."""
+    items, _ = merge.merge_templates(ad.order_reviews(spark, sf_dir), ad.review_extensions(spark, sf_dir))
+    return bulk.evaluate_many(ad.order_answers(spark, sf_dir), items, "item_visibility", ["qid"])

@@ -175,3 +175,27 @@ def test_export_round_trip_and_diff(spark):
     changed = items.withColumn("text", F.when(F.col("item_id") == "notes", "changed").otherwise(F.col("text")))
     d = {(r.item_id, r.change) for r in template_diff(items, changed.where("item_id <> 'move_raw'")).collect()}
     assert d == {("notes", "changed"), ("move_raw", "removed")}
+
+
+def test_merged_template_is_linted_exported_and_evaluated(spark):
+    """Whatever a flattened template can do: the merge of two extensions, one into the other's block."""
+    from formlake.operators.bulk import evaluate_many
+    from formlake.operators.evaluate import CompiledTemplate, load_items
+    from formlake.operators.export import export_templates, template_diff
+
+    first = _ext(1, [{"type": "block", "id": "nb", "text": "N", "insertAfter": "b1", "cond": "l1/value", "items": [
+        {"type": "checkgroup", "id": "g", "text": "G", "defaultChoice": True, "choices": [{"c1": "One"}, {"c2": "Two"}], "choicesConds": [{"c2": "l1/value"}]}]}], "x")
+    second = _ext(1, [{"type": "tip", "id": "tp", "text": "T", "insertAfter": "x:g", "cond": "x:c1", "warn": "yes", "severity": "high", "name": "n"}], "y")
+    base = spark.createDataFrame([("t", json.dumps(BASE))], "template_id string, text string")
+    ext = spark.createDataFrame([("t", i, e) for i, e in enumerate([first, second])], "template_id string, apply_order int, text string")
+    items, errors = merge_templates(base, ext)
+    assert errors.count() == 0 and lint_templates(items, order=True).count() == 0
+    exported = export_templates(items).withColumnRenamed("json", "text")
+    again = flatten_templates(exported)
+    assert template_diff(items, again).count() == 0
+    columns = ["item_id", "ordinal", "depth", "parent_id", "parent_type", "ancestors", "type", "cond", "version"]
+    assert sorted(map(str, items.select(columns).collect())) == sorted(map(str, again.select(columns).collect()))
+    answers = spark.createDataFrame([(1, {"l1": "a", "x:c1": "checked"}), (2, {"x:c1": "checked"}), (3, {"l1": "a"})], "qid int, answers map<string,string>")
+    want = CompiledTemplate(load_items(again)).active_tips(answers, ["qid"]).collect()
+    got = evaluate_many(answers.selectExpr("qid", "answers", "'t' AS template_id"), items, "active_tips", ["qid"]).drop("template_id").collect()
+    assert [r.qid for r in want] == [1] and got == want
