@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from formlake.functions.text import (answer_file_name, deterministic_token, latest_file_target_name,
                                      template_id_from_path)
+from formlake.operators.requests import global_rank
 from formlake.operators.store import submission_columns
 from formlake.schemas import AUDIT, SUBMISSION
 
@@ -46,8 +47,10 @@ def import_revisions(spark: SparkSession, path: str, admin_user: str = ADMIN_USE
 
     The qid of the directory's first readable file (or a token derived from the directory) is
     forced on all its files; status, login user/mail and the version flag get defaults; the
-    file time becomes the version time, ``seq`` numbers the versions by time and path. Returns ``(log, rejected)`` where ``log`` has the
-    EVENT_LOG schema (``op='import'``) and ``rejected`` lists unreadable files.
+    file time becomes the version time. ``seq`` numbers all files of the import by time and path, so that it
+    is unique across directories, also where two of them name the same qid; unreadable files take a
+    number too. Returns ``(log, rejected)`` where ``log`` has the EVENT_LOG schema (``op='import'``) and
+    ``rejected`` lists unreadable files.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
              .select("path", "modificationTime", F.col("content")))
@@ -65,10 +68,12 @@ def import_revisions(spark: SparkSession, path: str, admin_user: str = ADMIN_USE
                         F.lit("app_status"), F.coalesce(a["app_status"], F.lit("Submitted")),
                         F.lit("login_user"), F.coalesce(a["login_user"], F.lit(admin_user)),
                         F.lit("login_userMail"), F.coalesce(a["login_userMail"], F.lit(admin_mail))))
-    versioned = good.select("path", "modificationTime", F.row_number().over(w).cast("long").alias("seq"),
+    # numbered from the listing alone, without the files' contents
+    place = global_rank(files.select("path", "modificationTime"), ["modificationTime", "path"]).select("path", (F.col("rank") + 1).cast("long").alias("seq"))
+    versioned = good.select("path", "modificationTime",
                             F.when(F.coalesce(a["q_version_0_2"], F.lit("")) == "",
                                    F.map_concat(defaults, F.create_map(F.lit("q_version_0_1"), F.lit("checked"))))
-                            .otherwise(defaults).alias("answers"))
+                            .otherwise(defaults).alias("answers")).join(place, "path")
     cols = submission_columns(versioned, "answers", ts=F.col("modificationTime"),
                               keep=[F.col("seq"), F.lit("import").alias("op"),
                                     F.col("modificationTime").alias("event_ts")])

@@ -57,3 +57,21 @@ def test_snapshot_round_trip(spark, tmp_path):
     assert second > first and files.restore_snapshot(spark, str(tmp_path), second)["Answers"].count() == 0
     back = files.restore_snapshot(spark, str(tmp_path), first)
     assert back["Answers"].collect() == answers.collect() and back["Audit"].count() == 0
+
+
+def test_imported_versions_are_numbered_once(spark, tmp_path):
+    """Several directories, two of which name the same qid: no seq or audit id occurs twice."""
+    from formlake.operators import audit
+
+    for k, qid in enumerate(["Q1", "Q1", "Q2"]):
+        (tmp_path / f"d{k}").mkdir()
+        for v in range(3):
+            f = tmp_path / f"d{k}" / f"v{v}.txt"
+            f.write_text("{" if (k, v) == (2, 1) else json.dumps({"qid": qid, "app_name": f"a{k}{v}"}))
+            os.utime(f, (1_700_000_000 + 10 * v, 1_700_000_000 + 10 * v))  # the same times in every directory
+    log, rejected = files.import_revisions(spark, str(tmp_path))
+    rows = log.select("qid", "seq", "event_ts").collect()
+    assert len(rows) == 8 and len({r.seq for r in rows}) == 8 and rejected.count() == 1
+    assert [r.seq for r in sorted(rows, key=lambda r: (r.event_ts, r.seq))] == sorted(r.seq for r in rows)
+    ids = [r.audit_id for r in audit.audit_log(log).select("audit_id").collect()]
+    assert len(ids) == len(set(ids)) == 6
