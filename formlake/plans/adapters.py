@@ -268,3 +268,13 @@ def review_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.struct(F.lit(1).alias("version"), F.lit("ext").alias("namespace"), F.array(block).alias("extensions"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
     return lines.select(_qid("T", "l_orderkey").alias("template_id"), F.lit(0).alias("apply_order"), F.to_json(doc).alias("text"))
+
+
+def reviewed_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(log, commands)`` from events: signups and views save, clicks and purchases are status commands, errors delete commands."""
+    log = submission_log(spark, sf_dir)
+    save = F.col("app_champion").isin("signup", "view")
+    commands = log.where(~save).select("qid", F.when(F.col("app_champion") == "error", "delete").otherwise("status").alias("command"),
+                                       F.when(F.col("app_champion") == "purchase", "a").otherwise("r").alias("status"),
+                                       F.concat(F.lit("reviewer"), (F.col("seq") % 3).cast("string")).alias("user"), "event_ts", "seq")
+    return log.where(save), commands

@@ -329,6 +329,7 @@ def oracle_sql() -> dict[str, str]:
     q.update(_request_oracles())
     q.update(_template_oracles())
     q.update(_review_oracles())
+    q.update(_command_oracles())
     q.update(_answer_oracles())
     cols = ["app_tid", "app_name", "app_champion", "qid", "app_pid"]
     hit = " OR ".join(f"s.{c} ILIKE '%' || t.term || '%'" for c in cols)
@@ -511,6 +512,38 @@ def _review_oracles() -> dict[str, str]:
             UNION ALL SELECT tid, NULL, 'root', 'expected one root item, found 2' FROM o WHERE ok % 7 = 0"""}
 
 
+COMMANDS = LOG.split("lagged AS")[0].rstrip().rstrip(",") + """,
+cm AS (
+  SELECT e.*, event_type IN ('signup', 'view') AS is_save, event_type = 'error' AS is_del
+  FROM (SELECT log.*, events.event_type FROM log JOIN events ON log.seq = events.event_id) e),
+cb AS (
+  SELECT *, last_value(CASE WHEN is_save THEN seq END IGNORE NULLS) OVER w AS saved_seq,
+    last_value(CASE WHEN is_save THEN TRUE WHEN is_del THEN FALSE END IGNORE NULLS) OVER v AS stood
+  FROM cm WINDOW w AS (PARTITION BY qid ORDER BY event_ts, seq),
+    v AS (PARTITION BY qid ORDER BY event_ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cl AS (
+  SELECT c.qid, c.seq, c.event_ts, c.is_del,
+    CASE WHEN c.is_save OR c.is_del THEN s.app_status WHEN c.event_type = 'purchase' THEN 'Approved' ELSE 'In Review' END AS app_status,
+    CASE WHEN c.is_save OR c.is_del THEN s.user_name ELSE 'reviewer' || c.seq % 3 END AS user_name,
+    CASE WHEN c.is_save OR c.is_del THEN s."timestamp" ELSE c.event_ts END AS "timestamp",
+    CASE WHEN NOT c.is_save AND NOT c.is_del THEN CASE WHEN c.event_type = 'purchase' THEN 'Approved' ELSE 'In Review' END END AS answer_status
+  FROM cb c LEFT JOIN log s ON s.seq = c.saved_seq WHERE c.is_save OR c.stood)
+"""
+
+
+def _command_oracles() -> dict[str, str]:
+    return {
+        "commands_current": _with(COMMANDS) + """SELECT qid, app_status, user_name, "timestamp", seq, answer_status FROM cl
+            QUALIFY row_number() OVER (PARTITION BY qid ORDER BY event_ts DESC, seq DESC) = 1 AND NOT is_del""",
+        "commands_audit": _with(COMMANDS, """p AS (SELECT *, lag(is_del) OVER w AS p_del, lag(app_status) OVER w AS p_status, lag(user_name) OVER w AS p_user,
+              lag("timestamp") OVER w AS p_ts FROM cl WINDOW w AS (PARTITION BY qid ORDER BY event_ts, seq))""") + """
+            SELECT 2 * seq AS audit_id, qid, p_status AS app_status, p_user AS user_name, p_ts AS "timestamp", event_ts AS audit_timestamp FROM p WHERE NOT p_del
+            UNION ALL SELECT 2 * seq + 1, qid, 'DELETED', 'ADMIN', p_ts, event_ts FROM p WHERE NOT p_del AND is_del""",
+        "commands_rejected": _with(COMMANDS) + """SELECT qid, CASE WHEN is_del THEN 'delete' ELSE 'status' END AS command,
+              CASE WHEN event_type = 'purchase' THEN 'a' ELSE 'r' END AS status, 'reviewer' || seq % 3 AS user, event_ts, seq, 500 AS error
+            FROM cb WHERE NOT is_save AND NOT coalesce(stood, FALSE)"""}
+
+
 def _template_oracles() -> dict[str, str]:
     lint_sql = _with(LINES, TOKENS, """lagged_tokens AS (SELECT *, lag(kind) OVER (PARTITION BY tid, item_id ORDER BY pos) AS prev
               FROM tokens)""") + f"""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from formlake.functions.text import action_items, sanitize
 from formlake.functions import conditions
-from formlake.operators import answers, audit, bulk, diff, export, lint, merge, requests, store
+from formlake.operators import answers, audit, bulk, commands, diff, export, lint, merge, requests, store
 from formlake.operators.broadcast import small
 from formlake.schemas import VALUE_TYPES
 from formlake.operators.evaluate import CompiledTemplate, load_items
@@ -553,3 +553,23 @@ def merged_visibility(spark, sf_dir):
     """F8, D1(b): every order's questionnaire merged with an extension, then evaluated over the order's answers."""
     items, _ = merge.merge_templates(ad.order_reviews(spark, sf_dir), ad.review_extensions(spark, sf_dir))
     return bulk.evaluate_many(ad.order_answers(spark, sf_dir), items, "item_visibility", ["qid"])
+
+
+@query
+def commands_current(spark, sf_dir):
+    """The one current row of every submission after status and delete commands were folded into its log."""
+    log, _ = commands.apply_commands(*ad.reviewed_log(spark, sf_dir))
+    return store.current_state(log).select("qid", "app_status", "user_name", "timestamp", "seq", F.from_json("answer", "map<string,string>")["app_status"].alias("answer_status"))
+
+
+@query
+def commands_audit(spark, sf_dir):
+    """The audit rows that the commands leave behind."""
+    log, _ = commands.apply_commands(*ad.reviewed_log(spark, sf_dir))
+    return audit.audit_log(log).select("audit_id", "qid", "app_status", "user_name", "timestamp", "audit_timestamp")
+
+
+@query
+def commands_rejected(spark, sf_dir):
+    """Commands on submissions that were not there at their time."""
+    return commands.apply_commands(*ad.reviewed_log(spark, sf_dir))[1]
