@@ -33,8 +33,8 @@ CHUNK_TOKENS = 1_000_000  # tokens of one piece of text in a task
 BUCKET_TOKENS = 2_500_000  # tokens of a bucket, about
 HEAVY_SHARE = 1 / 50_000  # only words with this share of all tokens can be sliced, so at most 50,000 of them
 END = xxhash.xxh3_64_intdigest(b"\x00 end")
-MERGE_PAIRS = 1_000_000  # bigrams that wait for a merge beyond twice the merged ones
-HELD_BYTES = 64 << 20  # texts' blocks that a bucket keeps at hand while it counts; what exceeds them is joined later
+MERGE_PAIRS = 500_000  # bigrams that wait for a merge beyond twice the merged ones
+HELD_BYTES = 32 << 20  # texts' blocks that a bucket keeps at hand while it counts; what exceeds them is joined later
 _ITEMS = "kind string, bucket int, key long, n long, few long, counts binary, texts array<binary>"
 
 
