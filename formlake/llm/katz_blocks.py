@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_column, drop_table, lower_words, mix64, table
+from .common import WordHashes, binary_column, drop_table, giving_back, lower_words, mix64, table
 
 CHUNK_TOKENS = 1_000_000  # tokens of one piece of text in a task
 BUCKET_TOKENS = 2_500_000  # tokens of a bucket, about
@@ -214,7 +214,7 @@ def frequent_words(rows: DataFrame) -> tuple[int, dict[int, int]]:
         if held:
             yield report()
 
-    found = table(rows.select("text").mapInArrow(run, "w long, n long, word boolean"), "katz-frequent")
+    found = table(rows.select("text").mapInArrow(giving_back(run), "w long, n long, word boolean"), "katz-frequent")
     tokens = found.where("not word").agg(F.sum("n")).first()[0] or 0
     often = found.where("word").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= tokens * HEAVY_SHARE).collect()
     drop_table(found)
@@ -268,7 +268,7 @@ def _text_blocks(rows: DataFrame, heavy, buckets: int, codes: Codes) -> DataFram
                 out[b] = pack_pairs(codes, w, often, u[s], v[s], per[s], _stepped(number, np.cumsum(per[s]) - per[s]), n[e], id_of[here], tag_of[here], train_of[here])
             yield _block_rows(out)
 
-    return rows.select("id", "row", "train", "text").mapInArrow(run, "bucket int, block binary")
+    return rows.select("id", "row", "train", "text").mapInArrow(giving_back(run), "bucket int, block binary")
 
 
 def _by_bucket(batches, columns: list[str]):
@@ -358,7 +358,7 @@ def _count(blocks: DataFrame, buckets: int, gt_max: int, codes: Codes) -> DataFr
                     s = slice(i, i + 100_000)
                     yield _items(kind, bucket, key[s], number[s], less[s])
 
-    return _meet(blocks, buckets).mapInArrow(run, _ITEMS)
+    return _meet(blocks, buckets).mapInArrow(giving_back(run), _ITEMS)
 
 
 class PairModel:
@@ -421,7 +421,7 @@ class PairModel:
                             pa.array(u[first].view(np.int64)), pa.array(np.add.reduceat(n, first).astype(np.int64)),
                             pa.array(np.add.reduceat(discounted(n), first)), pa.array(np.add.reduceat(lower, first))], names=["u", "c", "kept", "below"])
 
-        parts = _meet(both, self.buckets, "kind").mapInArrow(run, "u long, c long, kept double, below double")
+        parts = _meet(both, self.buckets, "kind").mapInArrow(giving_back(run), "u long, c long, kept double, below double")
         total = parts.groupBy("u").agg(F.sum("c").alias("c"), F.sum("kept").alias("kept"), F.sum("below").alias("below"))
         full = F.when(F.col("kept") < F.col("c") - 1e-9, F.col("c")).otherwise(F.col("c") + 1)
         return total.select("u", (F.greatest(1 - F.col("kept") / full, F.lit(1e-12)) / F.greatest(1 - F.col("below"), F.lit(1e-12))).alias("alpha"))
