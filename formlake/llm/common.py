@@ -50,6 +50,13 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def hash_share(key: F.Column, wanted: int, total: int) -> F.Column:
+    """Whether a row is in the sample of about ``wanted`` of ``total`` rows that 64-bit hashes ``key`` choose."""
+    if wanted >= total:
+        return F.lit(True)
+    return key < F.lit((wanted << 64) // total - (1 << 63))
+
+
 def giving_back(run):
     """A task function after whose end the worker's freed memory goes back to the system.
 
