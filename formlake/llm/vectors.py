@@ -23,6 +23,7 @@ THRESHOLD = 0.93
 AXES = 4          # leading principal dimensions of the grid and the boxes
 BLOCK = 512       # vectors of a block
 LEAF = 64         # intervals up to this length are compared directly
+SAFE = (1e-100, 1e100)  # largest components whose squares and their sums neither vanish nor overflow
 MARGIN = 1e-6     # slack of the boxes for rounding; the cosines decide
 
 
@@ -36,9 +37,8 @@ def _points(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Da
                 blob, dim = None, 0
                 if values and not any(v is None for v in values):
                     x = np.array(values, "<f8")
-                    norm = math.sqrt(float(x @ x)) if np.isfinite(x).all() else 0.0
-                    if norm > 0 and math.isfinite(norm):
-                        blob, dim = x.tobytes(), len(x)
+                    if x.any() and np.isfinite(x).all():
+                        blob, dim = _scaled(x).tobytes(), len(x)
                 blobs.append(blob)
                 dims.append(dim)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims, pa.int32()),
@@ -49,6 +49,12 @@ def _points(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Da
     return rows.mapInArrow(run, "vec_id long, label string, dim int, vec binary")
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """``x``, brought to a size whose squares are in range by a power of two where they are not."""
+    top = float(np.abs(x).max())
+    return x if SAFE[0] < top < SAFE[1] else np.ldexp(x, -math.frexp(top)[1])
+
+
 def _unit(blobs: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(blobs), "<f8").reshape(len(blobs), -1)
     return x / np.sqrt((x * x).sum(1))[:, None]
@@ -85,7 +91,7 @@ def _blocks(classes: DataFrame, axes: dict[int, np.ndarray], eps: float) -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, "cell"])
 
     placed = classes.mapInArrow(cells, "label string, rep long, dim int, vec binary, n long, cell array<int>")
-    order = ["label", "dim", *[F.col("cell")[i] for i in range(AXES)], "rep"]
+    order = ["label", "dim", *[F.get("cell", F.lit(i)) for i in range(AXES)], "rep"]
     ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def cut(batches):
