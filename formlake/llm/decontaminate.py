@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_column, gram_hashes, sliding_min
+from .common import WordHashes, binary_column, gram_hashes, sliding_min, table
 
 WINDOW = 10
 GRAM = 5
@@ -198,10 +198,11 @@ def _keys(texts: DataFrame, name: str, lengths: list[int], item: bool) -> DataFr
 def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
     """The way for benchmarks of any size; rows are told apart by id and text."""
     items = items.where("item_text <> ''")
-    lengths = list(range(1, WINDOW))
-    item_keys = _keys(items.select("item_id", F.col("item_text").alias("text")), "item_id", lengths, True).select(
-        "item_id", F.explode("keys").alias("key"))
-    keyed = rows.withColumn("row_key", F.sha2(F.concat_ws("\x00", F.col("doc_id").cast("string"), "text"), 256))
+    keyed_items = table(_keys(items.select("item_id", F.col("item_text").alias("text")), "item_id", list(range(1, WINDOW)), True), "item-keys")
+    short = keyed_items.where((F.col("n_words") > 0) & (F.col("n_words") < WINDOW)).select("n_words").distinct()
+    lengths = sorted(int(r[0]) for r in short.collect())  # at most nine numbers: only these lengths can be met in documents
+    item_keys = keyed_items.select("item_id", F.explode("keys").alias("key"))
+    keyed = rows.withColumn("row_key", F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text"))))
     doc_keys = _keys(keyed.select("row_key", "text"), "row_key", lengths, False)
     pairs = doc_keys.select("row_key", F.explode("keys").alias("key")).join(item_keys, "key").select(
         "row_key", "item_id").distinct()
@@ -216,14 +217,16 @@ def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
                 for _, a, b in Index([(item, text)]).matches(plain_words(blob)):
                     for column, value in zip(out, (key, item, a, b)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()),
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.string()),
                                               pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())],
                                              names=["row_key", "item_id", "a", "b"])
 
-    hits = found.mapInArrow(run, "row_key string, item_id string, a long, b long")
-    per = hits.groupBy("row_key").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(a, b - 1)"))))).cast("long").alias("n_hit"),
-        F.sort_array(F.collect_set("item_id")).alias("ids"))
+    hits = found.mapInArrow(run, "row_key binary, item_id string, a long, b long")
+    spans = F.sort_array(F.collect_set(F.struct("a", "b")))
+    union = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
+                        lambda s, x: F.struct((s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["end"]), F.lit(0))).alias("n"),
+                                              F.greatest(x["b"], s["end"]).alias("end")), lambda s: s["n"])
+    per = hits.groupBy("row_key").agg(union.alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("ids"))
     words = _keys(keyed.select("row_key", "text"), "row_key", [], False).select("row_key", "n_words").distinct()
     return (keyed.select("doc_id", "row_key").join(words, "row_key").join(per, "row_key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
