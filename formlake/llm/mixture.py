@@ -47,9 +47,11 @@ def exponent(shares: DataFrame, *, repetition: float | None = None, entropy: flo
     once. Entropy is in nats and falls as the exponent grows: the largest exponent that still
     reaches the target is meant there. Per step one row for each section comes to the driver.
     """
-    top = shares.agg(F.max("tokens")).first()[0]
+    top, total = shares.agg(F.max("tokens"), F.sum("tokens")).first()
     if not top:
         return 1.0
+    if budget is not None and repetition is not None and budget > repetition * total:
+        raise ValueError(f"a budget of {budget} tokens needs {total} tokens more than {repetition} times")
     share = shares.where("tokens > 0").select((F.col("tokens") / F.lit(float(top))).alias("t"))
     lo, hi = 0.0, 1.0
     for _ in range(STEPS):
@@ -91,7 +93,9 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
     permutation puts first, as long as their running token count stays within the rest of the
     budget. A document without tokens costs nothing and gets a copy more. Null
     sources are mixed as ``<null>``, null texts have no tokens; repeated rows and rows without id
-    are placed like any other (equal rows next to each other).
+    are placed like any other (equal rows next to each other). A budget that no mixture within the
+    repetition limit can fill is a ValueError. Texts of any length are counted whole, an empty table
+    gives no rows, and columns of other names are never read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("source"),
                        _tokens(F.col(text_col)).alias("n_tokens"))
