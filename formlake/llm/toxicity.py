@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_share
+
 SAMPLE_ROWS = 20_000   # labelled training rows used to fit, at most (chosen by hash of the id)
 LEXICON_TERMS = 600    # terms kept, at most
 MIN_DOCS = 5           # labelled documents that a term must occur in
@@ -252,16 +254,15 @@ def learn_lexicon(labelled: DataFrame) -> list[tuple[str, bool]]:
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                   label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic) of at most about ``sample_rows`` labelled rows with crc32(id as text) mod 3 <> 1."""
+    """(text, toxic) of at most about ``sample_rows`` labelled ids with crc32(id as text) mod 3 <> 1, one text of each."""
     usable = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
               .select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
               .where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    n = usable.count()
-    share = min(1.0, sample_rows / max(1, n))
-    picked = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = usable.where(hash_share(F.xxhash64("doc_id"), sample_rows, usable.count()))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id").select("text", "toxic")  # bounded by sample_rows
+    found = texts.join(F.broadcast(picked), "doc_id")  # bounded by sample_rows
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, **names) -> tuple[list[tuple[str, bool]], np.ndarray]:
