@@ -11,6 +11,7 @@ edit distance and context gives the score.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import sys
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import hash_share
 
 SAMPLE_ROWS = 20_000   # labelled training rows used to fit, at most (chosen by hash of the id)
-LEXICON_TERMS = 600    # terms kept, at most
+MIN_RATIO = 10.8       # likelihood ratio of a term over chance (one in a thousand)
 MIN_DOCS = 5           # labelled documents that a term must occur in
 MIN_LOG_ODDS = 2.5
 STEM_LENGTHS = range(4, 9)
@@ -168,10 +169,10 @@ def features(text: str, lexicon: LexiconAutomaton) -> list[float]:
         return [0.0] * len(FEATURES)
     hits = [(i, *found[token]) for i, token in enumerate(tokens) if token in found]
     exact = near = quoted = clustered = 0.0
+    marks = [i for i, token in enumerate(tokens) if token in _QUOTES]
     for j, (i, edits, _) in enumerate(hits):
-        before = sum(t in _QUOTES for t in tokens[max(0, i - WINDOW):i])
-        after = sum(t in _QUOTES for t in tokens[i + 1:i + 1 + WINDOW])
-        if before % 2 and after:
+        before = bisect.bisect(marks, i)
+        if before % 2 and before < len(marks):  # after an open quotation mark, before one that closes it
             quoted += 1
         elif edits == 0:
             exact += 1
@@ -199,7 +200,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
 
 
 def learn_lexicon(labelled: DataFrame) -> list[tuple[str, bool]]:
-    """Terms and stems from rows (text, toxic 0/1); at most LEXICON_TERMS come to the driver."""
+    """Terms and stems from rows (text, toxic 0/1); those come to the driver that occur with toxic rows beyond chance."""
 
     def run(batches):
         counts: tuple[Counter, Counter] = (Counter(), Counter())  # documents by term, of label 0 and 1
@@ -215,7 +216,7 @@ def learn_lexicon(labelled: DataFrame) -> list[tuple[str, bool]]:
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = set(_TOKEN.findall((text or "").lower())) - _QUOTES
-                terms = {w + "$" for w in words if len(w) <= 40}
+                terms = {w + "$" for w in words}
                 for n in STEM_LENGTHS:
                     terms.update([w[:n] for w in words if len(w) >= n])
                 counts[1 if label else 0].update(terms)
@@ -230,9 +231,14 @@ def learn_lexicon(labelled: DataFrame) -> list[tuple[str, bool]]:
     counted = labelled.select("text", F.col("toxic").cast("int")).mapInArrow(run, "term string, toxic int, n long").groupBy("term").agg(
         F.sum(F.col("toxic") * F.col("n")).alias("bad"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    best = (counted.where(F.col("bad") + F.col("good") >= MIN_DOCS).withColumn("odds", odds)
-            .where(F.col("odds") >= MIN_LOG_ODDS)
-            .orderBy(F.desc(F.col("odds") * F.log1p(F.col("bad").cast("double"))), "term").limit(4 * LEXICON_TERMS).collect())
+    n = F.col("bad") + F.col("good")
+
+    def surprise(count: str, rate: float):
+        return F.when(F.col(count) > 0, F.col(count) * F.log(F.col(count) / (n * F.lit(rate)))).otherwise(0.0)
+
+    ratio = 2 * (surprise("bad", bad / (bad + good)) + surprise("good", good / (bad + good)))
+    best = (counted.where(n >= MIN_DOCS).withColumn("odds", odds)
+            .where((F.col("odds") >= MIN_LOG_ODDS) & (ratio >= MIN_RATIO)).collect())  # terms of the sampled rows
     kept: list[tuple[str, bool]] = []
     stems: set[str] = set()
     known = {r["term"]: r for r in best}
@@ -249,7 +255,7 @@ def learn_lexicon(labelled: DataFrame) -> list[tuple[str, bool]]:
                 continue  # nor more than one longer term
             stems.add(term)
         kept.append((term, stem))
-    return sorted(kept, key=lambda t: (-known[t[0] if t[1] else t[0] + "$"]["odds"], t))[:LEXICON_TERMS]
+    return sorted(kept, key=lambda t: (-known[t[0] if t[1] else t[0] + "$"]["odds"], t))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
