@@ -6,6 +6,8 @@ Each function takes and returns ``Column`` objects so it can be used inside any
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -170,6 +172,26 @@ def tracker_filter_link(base: str, project_name) -> Column:
                   F.concat(F.lit(base), F.lit("%22"), _c(project_name), F.lit("%22")))
 
 
+# Characters that Spark's form encoding escapes though a URL component may hold them (fixed values), and its space.
+_UNESCAPED = {"+": "%20", "%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}
+
+
+def url_component(col) -> Column:
+    """Percent-encoded UTF-8 of all but letters, digits and ``- _ . ! ~ * ' ( )``."""
+    out = F.url_encode(_c(col))
+    for escaped, plain in _UNESCAPED.items():
+        out = F.replace(out, F.lit(escaped), F.lit(plain))
+    return out
+
+
+def request_content(pattern: str, *cols) -> Column:
+    """``pattern`` with each ``%s`` replaced by an encoded value; a null value makes it null."""
+    values = [url_component(_c(c).cast("string")) for c in cols]
+    filled = F.format_string(pattern, *values)
+    missing = [v.isNull() for v in values]
+    return F.when(~functools.reduce(lambda a, b: a | b, missing, F.lit(False)), filled)
+
+
 def deterministic_token(col, length: int = 12) -> Column:
     """Stable 12-character upper-case id derived from a value (replaces random ids)."""
     return F.upper(F.substring(F.sha2(_c(col).cast("string"), 256), 1, length))

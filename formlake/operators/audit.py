@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlake.operators.windows import time_bucket, with_next, with_previous
+from formlake.operators.windows import time_bucket, with_next, with_previous, with_row_number
 from formlake.schemas import SUBMISSION_COLUMNS
 
 # Allowed status transitions (from, to); None = new submission. Fixed values of the lifecycle.
@@ -66,6 +66,17 @@ def revisions(audit: DataFrame, current: DataFrame) -> DataFrame:
     return a.unionByName(c)
 
 
+def newest_first(revs: DataFrame) -> DataFrame:
+    """H4: revisions with ``position`` 1 for a submission's newest (by timestamp, ties by revision id), nulls last.
+
+    A submission's revisions are numbered by day, so one with a third of all revisions is split.
+    """
+    back = F.coalesce(-F.unix_micros(F.col("timestamp").cast("timestamp")), F.lit(2**63 - 1))
+    numbered = with_row_number(revs.withColumn("_back", back), ["owner_qid"], ["_back", "revision_id"],
+                               F.floor(F.col("_back") / F.lit(86_400_000_000)), "position")
+    return numbered.drop("_back")
+
+
 def latest_saved(audit: DataFrame, current: DataFrame) -> DataFrame:
     """H3: per qid the newest audit version (by audit_timestamp, audit_id), else the current row."""
     newest = (audit.groupBy("qid")

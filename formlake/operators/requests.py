@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formlake.functions.text import valid_username
+from formlake.functions.text import project_summary, valid_username
 from formlake.operators.windows import with_row_number
 from formlake.session import cut_lineage
 
@@ -174,6 +174,43 @@ def review_notices(log: DataFrame) -> DataFrame:
                         kinds[F.col("app_status")].alias("body_template"))
 
 
+# Texts of the mails, configuration: {} stands for host, qid, qid, project summary and the user's name.
+NOTICE_BODIES = {
+    "MAIL_BODY_DRAFT": 'Your answers to questionnaire <a href="{}{}">{}</a> are saved as a draft. {}{}',
+    "MAIL_BODY_SUBMITTED": 'Questionnaire <a href="{}{}">{}</a> waits for a review.<br />{}<br />Regards, {}',
+    "MAIL_BODY_IN_REVIEW": 'Questionnaire <a href="{}{}">{}</a> is being reviewed. {}{}',
+    "MAIL_BODY_APPROVED": 'Questionnaire <a href="{}{}">{}</a> is approved. {}{}',
+}
+PLACES = 5
+
+
+def notice_bodies(notices: DataFrame, host: str, summary: Column, user: Column,
+                  bodies: dict[str, str] = NOTICE_BODIES) -> DataFrame:
+    """``body`` of each notice, the text of its ``body_template`` with its places filled in order.
+
+    A text with more places than values, or of an unknown name, gives an empty body; a null value is
+    empty. The places are filled by splitting the text, so values that hold ``{}`` are left as they are.
+    """
+    texts = F.create_map(*[x for k, v in bodies.items() for x in (F.lit(k), F.lit(v))])
+    parts = F.split(texts[F.col("body_template")], r"\{\}")
+    values = F.array(F.lit(host), F.col("qid"), F.col("qid"), F.coalesce(summary, F.lit("")), F.coalesce(user, F.lit("")))
+    filled = F.array_join(F.transform(parts, lambda part, i: F.concat(F.when(i > 0, F.get(values, i - 1)).otherwise(F.lit("")), part)), "")
+    return notices.withColumn("body", F.when(F.size(parts) <= PLACES + 1, filled).otherwise(F.lit("")))
+
+
+def review_mails(log: DataFrame, reviewers: list[str], host: str = "", bodies: dict[str, str] = NOTICE_BODIES) -> DataFrame:
+    """A mail per notice of ``review_notices``: subject, body and recipients.
+
+    The project summary comes from the version's own answers; the submitter is the saving user.
+    """
+    summary = project_summary(F.from_json("answer", "map<string,string>"))
+    saved = log.select("qid", "seq", "user_name", summary.alias("_summary"))
+    mails = review_notices(log).join(saved, ["qid", "seq"])
+    mails = notice_bodies(mails, host, F.when(F.col("app_status") == "Submitted", F.col("_summary")),
+                          F.when(F.col("app_status") == "Submitted", F.col("user_name")), bodies)
+    return notice_recipients(mails, reviewers, F.col("user_name")).drop("_summary", "user_name", "body_template")
+
+
 def notice_recipients(notices: DataFrame, reviewers: list[str], submitter: Column) -> DataFrame:
     """Reviewers plus the submitter of each notice."""
     return notices.withColumn("recipients", F.array_union(F.array(*[F.lit(r) for r in reviewers]),

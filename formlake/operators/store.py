@@ -256,6 +256,16 @@ def keyword_hits(rows: DataFrame, words: DataFrame, columns: list[str]) -> DataF
     return rows.withColumn("_gram", F.explode(held(lengths))).join(asked, "_gram").where(hit).select("term_id", *rows.columns)
 
 
+def first_hits(hits: DataFrame, by: list[str], newest: str = "timestamp") -> DataFrame:
+    """H5: of each ``by`` group the one row with the newest ``newest``; ties go to the smallest qid.
+
+    One row of a group leaves a map task, so a term with very many hits is no hot group.
+    """
+    cols = [c for c in hits.columns if c not in by]
+    order = F.struct(F.col(newest).isNull(), -F.unix_micros(F.col(newest).cast("timestamp")), F.col("qid"))
+    return hits.groupBy(*by).agg(F.min_by(F.struct(*cols), order).alias("_hit")).select(*by, "_hit.*")
+
+
 def search_dispatch(current: DataFrame, audit: DataFrame, terms: DataFrame) -> DataFrame:
     """C4 for a table of terms ``(term_id, term)``: ``qid-audit_id`` → revision lookup (C3), a
     single word → wildcard search (C1), anything else → rejected.

@@ -6,7 +6,7 @@ SQL expressions over pivoted answers.
 
 from __future__ import annotations
 
-from formlake.plans.queries import AS_OF, GRID_FILTER, SAVED_CUTOFF
+from formlake.plans.queries import AS_OF, GRID_FILTER, MAIL_HOST, MAIL_REVIEWERS, SAVED_CUTOFF
 from formlake import schemas
 
 SUBS = """
@@ -347,6 +347,32 @@ def oracle_sql() -> dict[str, str]:
         WHERE i NOT IN (6, 7)
         UNION ALL SELECT term_id, 'rejected', NULL, NULL, NULL, 'invalid search term' FROM terms WHERE i IN (6, 7)"""
     q["search_customers"] = _with(SUBS) + """SELECT c_custkey AS term_id, qid, app_name FROM subs JOIN customer ON app_name = c_name"""
+    q["search_first_hits"] = _with(SUBS) + """SELECT term_id, qid, app_status, "timestamp" FROM (SELECT c_custkey AS term_id, subs.*,
+              row_number() OVER (PARTITION BY c_custkey ORDER BY "timestamp" DESC NULLS LAST, qid) AS rn FROM subs JOIN customer ON app_name = c_name) WHERE rn = 1"""
+    q["revisions_newest_first"] = _with(LOG, """rev AS (SELECT qid AS owner_qid, qid || '-' || CAST(audit_id AS VARCHAR) AS revision_id, app_status, "timestamp" FROM audit
+              UNION ALL SELECT qid, qid, app_status, "timestamp" FROM cur)""") + """SELECT owner_qid, revision_id, app_status,
+              row_number() OVER (PARTITION BY owner_qid ORDER BY "timestamp" DESC NULLS LAST, revision_id) AS position FROM rev"""
+    q["encoded_docs"] = """WITH e AS (SELECT doc_id, 'doc=' || doc_id || '&text=' || replace(replace(replace(replace(replace(
+              url_encode(text), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*') AS c FROM documents)
+            SELECT doc_id, length(c) AS n_chars, md5(c) AS content_md5 FROM e"""
+    q["review_mails"] = _with(LOG) + f"""SELECT qid, seq, app_status,
+              'QID: ' || qid || ' : Security Architecture Review for project: ' || app_name AS subject,
+              CASE app_status
+                WHEN 'Draft' THEN 'Your answers to questionnaire ' || link || ' are saved as a draft. '
+                WHEN 'Submitted' THEN 'Questionnaire ' || link || ' waits for a review.<br /><b>Project overview:</b><br /><br /> <br /><br />'
+                  || '<b>Significant changes:</b><br /><br /> <br /><br /><b>Security landscape changes:</b><br /><br /><br />Regards, ' || user_name
+                WHEN 'In Review' THEN 'Questionnaire ' || link || ' is being reviewed. '
+                WHEN 'Approved' THEN 'Questionnaire ' || link || ' is approved. ' END AS body,
+              ['{MAIL_REVIEWERS[0]}', user_name] AS recipients
+            FROM (SELECT *, '<a href="{MAIL_HOST}' || qid || '">' || qid || '</a>' AS link FROM log)
+            WHERE op <> 'delete' AND app_status IN ('Draft', 'Submitted', 'In Review', 'Approved')"""
+    q["risk_levels"] = "WITH RECURSIVE " + ",".join(p.strip() for p in (CHANGES, LOG, SUBS, REVIEWS, f"tips AS ({_tips()})")) + """, w AS (
+              SELECT qid, 'vendor_review' AS template_id, severity FROM tips WHERE warn
+              UNION ALL SELECT qid, tid, 'medium' FROM rt WHERE c AND tip),
+            st AS (SELECT qid, app_status FROM cur UNION ALL SELECT qid, app_status FROM subs),
+            j AS (SELECT w.qid, template_id, coalesce(severity, '') AS severity, coalesce(app_status, 'Deleted') AS app_status FROM w LEFT JOIN st ON w.qid = st.qid)
+            SELECT template_id, severity, app_status, CAST(4 * grouping(template_id) + 2 * grouping(severity) + grouping(app_status) AS INTEGER) AS level,
+              count(*) AS n_warnings, count(DISTINCT qid) AS n_submissions FROM j GROUP BY CUBE (template_id, severity, app_status)"""
     q["error_digest_by_source"] = """WITH l AS (SELECT ts, CASE WHEN event_type = 'error' THEN 'ERROR'
                 WHEN event_type = 'purchase' THEN 'CRITICAL' ELSE 'INFO' END AS level,
               event_type || ' by user ' || CAST(user_id AS VARCHAR) AS message, event_id AS seq,

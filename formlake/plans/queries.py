@@ -12,9 +12,9 @@ from importlib import resources
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlake.functions.text import action_items, sanitize
+from formlake.functions.text import action_items, request_content, sanitize
 from formlake.functions import conditions
-from formlake.operators import answers, audit, bulk, commands, diff, export, lint, merge, requests, store
+from formlake.operators import answers, audit, bulk, commands, diff, export, lint, merge, requests, rollup, store
 from formlake.operators.broadcast import small
 from formlake.schemas import VALUE_TYPES
 from formlake.operators.evaluate import CompiledTemplate, load_items
@@ -32,6 +32,8 @@ GRID_FILTER = "building"
 SAVED_CUTOFF = "2024-01-15 00:00:00"
 AS_OF = "2024-01-20 12:00:00"
 VENDOR_TEMPLATE = "vendor_review"
+MAIL_REVIEWERS = ["reviews@example.com"]
+MAIL_HOST = "https://forms.example.com/?id="
 
 
 def query(fn):
@@ -548,6 +550,47 @@ def search_customers(spark, sf_dir):
     return store.keyword_hits(ad.submissions(spark, sf_dir), words, store.SEARCH_COLUMNS).select("term_id", "qid", "app_name")
 
 
+@query
+def search_first_hits(spark, sf_dir):
+    """H5: the newest submission that each customer's name is found in."""
+    words = ad.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("term_id"), F.lower(F.replace("c_name", F.lit("#"), F.lit("_"))).alias("kw"))
+    found = store.keyword_hits(ad.submissions(spark, sf_dir), words, store.SEARCH_COLUMNS)
+    return store.first_hits(found.select("term_id", "qid", "app_status", "timestamp"), ["term_id"])
+
+
+@query
+def revisions_newest_first(spark, sf_dir):
+    """H4: every submission's revisions, numbered from the newest."""
+    log = ad.submission_log(spark, sf_dir)
+    r = audit.newest_first(audit.revisions(audit.audit_log(log), store.current_state(log)))
+    return r.select("owner_qid", "revision_id", "app_status", F.col("position").cast("long").alias("position"))
+
+
+@query
+def review_mails(spark, sf_dir):
+    """Subject, body and recipients of every notice."""
+    return requests.review_mails(ad.submission_log(spark, sf_dir), MAIL_REVIEWERS, MAIL_HOST)
+
+
+@query
+def encoded_docs(spark, sf_dir):
+    """Every whole document text as a request's content."""
+    content = request_content("doc=%s&text=%s", "doc_id", "text")
+    return ad.table(spark, sf_dir, "documents").select("doc_id", F.length(content).cast("long").alias("n_chars"), F.md5(content).alias("content_md5"))
+
+
+@query
+def risk_levels(spark, sf_dir):
+    """Warnings of all templates on every level of template, severity and status."""
+    answers, tpl = _vendor_answers(spark, sf_dir)
+    own = tpl.active_tips(answers, ["qid"]).select("qid", F.lit(VENDOR_TEMPLATE).alias("template_id"), "severity", "warn")
+    items = flatten_templates(ad.order_reviews(spark, sf_dir))
+    orders = bulk.evaluate_many(ad.order_answers(spark, sf_dir), items, "active_tips", ["qid"]).select(own.columns)
+    status = store.current_state(ad.submission_log(spark, sf_dir)).select("qid", "app_status").unionByName(
+        ad.submissions(spark, sf_dir).select("qid", "app_status"))
+    return rollup.risk_levels(own.unionByName(orders), status)
+
+
 @query
 def merged_visibility(spark, sf_dir):
     """F8, D1(b): every order's questionnaire merged with an extension, then evaluated over the order's answers."""
