@@ -212,48 +212,63 @@ def grid_text_filter(grid: DataFrame, text: str, columns: list[str] | None = Non
     return grid.where(cond)
 
 
-GRAM = 3
+PIECE_LENGTHS = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32]
 
 
-def _grams(text: Column, n: int) -> Column:
-    """All distinct pieces of ``n`` characters; of none the empty piece."""
-    if n == 0:
-        return F.array(F.lit(""))
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+def _grams(text: Column, n: Column | int) -> Column:
+    """All distinct pieces of ``n`` characters."""
+    n = F.lit(n) if isinstance(n, int) else n
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))
     return F.when(F.length(text) >= n, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
 
 
 def keyword_hits(rows: DataFrame, words: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of ``rows`` with the ``term_id`` of every keyword (term_id, kw) that one of ``columns`` contains.
 
-    Case does not matter; ``%`` and ``_`` in a keyword are wildcards. A keyword's literal parts give
-    its trigrams, and its rarest one is looked up among the rows' trigrams with an equi-join; only rows
-    that hold it are compared with the keyword. Of a keyword whose literal parts are all shorter, the
-    longest part takes the trigram's place, and of one without any literal part the empty piece, which
-    every row holds: then all rows are compared, as the result asks for.
+    Case does not matter; ``%`` and ``_`` in a keyword are wildcards. Keywords are compared with the distinct
+    texts of the columns, however many rows hold them. A keyword's pieces of the greatest length in
+    ``PIECE_LENGTHS`` that one of its literal parts reaches are looked up among the texts' pieces, and its rarest
+    one joined; only texts that hold it are compared with the keyword. Hits go back to the rows by their
+    text. A keyword without any literal part asks only for a length, so it needs no text.
     """
-    parts = F.filter(F.split(F.lower("kw"), "[%_]"), lambda p: p != "")
+    wild = F.col("kw").rlike("[%_]")
+    literal = F.when(wild, F.lower(sanitize("kw"))).otherwise(F.lower("kw"))
+    parts = F.filter(F.split(literal, "[%_]"), lambda p: p != "")
     longest = F.array_max(F.transform(parts, F.length))
+    size = F.array_max(F.filter(F.array(*[F.lit(n) for n in PIECE_LENGTHS]), lambda n: n <= longest))
+    blanks = F.when(longest.isNull(), F.length(F.regexp_replace(literal, "[^_]", "")))
     terms = words.where(F.col("kw").isNotNull()).select(
-        "term_id", "kw", F.lower("kw").alias("_kw"), F.lower(like_contains_pattern(F.col("kw"))).alias("_pat"), F.col("kw").rlike("[%_]").alias("_wild"),
-        F.when(longest >= GRAM, F.array_distinct(F.flatten(F.transform(parts, lambda p: _grams(p, GRAM)))))
-        .when(longest > 0, F.slice(F.filter(parts, lambda p: F.length(p) == longest), 1, 1)).otherwise(F.array(F.lit(""))).alias("_grams"))
-    lowered = [F.coalesce(F.lower(c), F.lit("")) for c in columns]
-    lengths = sorted(r[0] for r in terms.select(F.length(F.get("_grams", F.lit(0))).alias("n")).distinct().collect())  # of 0 to GRAM
-
-    def held(lengths: list[int]) -> Column:
-        pieces = [_grams(text, n) for n in lengths for text in (lowered if n else lowered[:1])]
-        return F.array_distinct(F.concat(F.array().cast("array<string>"), *pieces))
-
-    candidates = terms.select("kw", F.explode("_grams").alias("_gram")).distinct()
-    trigrams = candidates.where(F.length("_gram") == GRAM).select("_gram").distinct()
-    counts = rows.select(F.explode(held([n for n in lengths if n == GRAM])).alias("_gram")).join(trigrams, "_gram", "left_semi").groupBy("_gram").agg(
-        F.count(F.lit(1)).alias("_rows"))
-    rarest = candidates.join(counts, "_gram", "left").groupBy("kw").agg(F.min_by("_gram", F.struct(F.coalesce("_rows", F.lit(0)), F.col("_gram"))).alias("_gram"))
-    asked = terms.drop("_grams").join(rarest, "kw").drop("kw")
-    hit = functools.reduce(lambda a, b: a | b, [F.coalesce(F.when(F.col("_wild"), F.like(F.lower(c), F.col("_pat"))).otherwise(
-        F.contains(F.lower(c), F.col("_kw"))), F.lit(False)) for c in columns])
-    return rows.withColumn("_gram", F.explode(held(lengths))).join(asked, "_gram").where(hit).select("term_id", *rows.columns)
+        "term_id", F.lower("kw").alias("_kw"), F.lower(like_contains_pattern(F.col("kw"))).alias("_pat"), wild.alias("_wild"),
+        parts.alias("_parts"), size.alias("_size"), blanks.alias("_blanks"))
+    kinds = terms.select("_size", "_blanks").distinct().collect()  # piece lengths, and lengths asked for by wildcards alone
+    sizes, lengths = sorted(k[0] for k in kinds if k[0] is not None), sorted(k[1] for k in kinds if k[1] is not None)
+    lowered = F.array(*[F.lower(c) for c in columns])
+    texts_of = F.array_distinct(F.filter(lowered, lambda x: x.isNotNull()))
+    out = [rows.limit(0).select(F.lit(None).cast(terms.schema["term_id"].dataType).alias("term_id"), *rows.columns)]
+
+    def hit(text: Column) -> Column:
+        return F.when(F.col("_wild"), F.like(text, F.col("_pat"))).otherwise(F.contains(text, F.col("_kw")))
+
+    if sizes:
+        word = ["_kw", "_pat", "_wild"]
+        asked = terms.where(F.col("_size").isNotNull())
+        candidates = asked.select(*word, F.explode(F.array_distinct(F.flatten(F.transform("_parts", lambda p: _grams(p, F.col("_size")))))).alias("_gram")).distinct()
+        texts = rows.select(F.explode(texts_of).alias("_text")).distinct()
+        pieces = texts.select("_text", F.explode(F.concat(*[_grams(F.col("_text"), n) for n in sizes])).alias("_gram"))
+        held = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+        rarest = candidates.join(held, "_gram", "left").groupBy(*word).agg(
+            F.min_by(F.struct("_gram", "_n"), F.struct(F.coalesce("_n", F.lit(0)), F.col("_gram"))).alias("_r"))
+        rarest = rarest.where(F.col("_r._n").isNotNull()).select(*word, F.col("_r._gram").alias("_gram"))
+        pairs = pieces.join(rarest, "_gram").where(hit(F.col("_text"))).select("_text", *word)
+        # a row comes once for a keyword, by its first column that contains it
+        at = rows.withColumn("_lowered", lowered).select("*", F.posexplode("_lowered").alias("_at", "_text")).where(F.col("_text").isNotNull())
+        found = at.join(pairs, "_text").where(~F.exists(F.slice("_lowered", F.lit(1), F.col("_at")), lambda x: F.coalesce(hit(x), F.lit(False))))
+        out.append(found.join(asked.select("term_id", *word), word).select("term_id", *rows.columns))
+    if lengths:
+        reach = F.array_max(F.transform(texts_of, F.length))
+        fits = rows.select("*", F.explode(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= reach)).alias("_blanks"))
+        out.append(fits.join(terms.select("term_id", "_blanks"), "_blanks").select("term_id", *rows.columns))
+    return functools.reduce(DataFrame.unionByName, out[1:] or out)
 
 
 def first_hits(hits: DataFrame, by: list[str], newest: str = "timestamp") -> DataFrame:

@@ -191,3 +191,28 @@ def test_keyword_hits_use_the_rarest_trigram(spark):
 
     want = sorted((i, r.qid) for i, w in enumerate(words) if w is not None for r in rows.collect() if matches(w, r.a) or matches(w, r.b))
     assert sorted((r.term_id, r.qid) for r in hits.collect()) == want
+
+
+def test_keyword_hits_once_a_row_and_by_long_pieces(spark):
+    """Every row (repeated ones too) comes once a term, as a comparison of all with all says."""
+    import re
+
+    texts = [("customer#000000012", "Q00000000012", "x"), ("customer#000000012", "Q00000000012", "x"), ("Customer#000000121", None, "customer#000000012"),
+             (None, None, None), ("", None, None), ("a%b_c", "AB", "zz"), ("ab", "cab", "dab"), ("line\none", "é" * 40, "x" * 70)]
+    words = [(1, "customer_000000012"), (2, "Customer#000000012"), (3, "ab"), (4, ""), (5, "__"), (6, "%"), (7, "a%c"), (8, "x" * 65), (9, None),
+             (10, "e_o"), (11, "_" * 41), (12, "éé_é"), (2, "AB"), (13, "0000000_2"), (14, "no such text")]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)] + [(0, *texts[0])], "n int, a string, b string, c string")
+    found = store.keyword_hits(rows, spark.createDataFrame(words, "term_id int, kw string"), ["a", "b", "c"])
+
+    def hit(kw, text):
+        if not re.search("[%_]", kw):
+            return kw.lower() in text.lower()
+        return re.search("".join(".*" if x == "%" else "." if x == "_" else re.escape(x) for x in kw.lower()), text.lower(), re.S) is not None
+
+    want = sorted((t, n) for t, kw in words if kw is not None for n, *cells in [(i, *x) for i, x in enumerate(texts)] + [(0, *texts[0])]
+                  if any(x is not None and hit(kw, x) for x in cells))
+    assert sorted((r.term_id, r.n) for r in found.collect()) == want
+    assert found.columns == ["term_id", "n", "a", "b", "c"]
+    # a keyword of nine digits meets the texts that share eight of them, not all that share three
+    many = spark.range(3000).selectExpr("id", "concat('Customer#', lpad(cast(id as string), 9, '0')) as name")
+    assert store.keyword_hits(many, many.selectExpr("id as term_id", "replace(name, '#', '_') as kw"), ["name"]).count() == 3000
