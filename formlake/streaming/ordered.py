@@ -44,9 +44,9 @@ class AuditProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "at long, seq long", _VERSION)
-        self.last = handle.getValueState("last", _VERSION)
-        self.calls = handle.getValueState("calls", "n long")
+        self.held = handle.getListState("held", f"at long, seq long, {_VERSION}")
+        # how often rows came, and the last version that the watermark has passed (nulls if none)
+        self.past = handle.getValueState("past", f"calls long, known boolean, {_VERSION}")
 
     def _rows(self, key, seq: int, before: tuple | None, op: str, version: int, new: bool, at: int):
         live = before is not None and before[0] != "delete"
@@ -61,35 +61,42 @@ class AuditProcessor(StatefulProcessor):
             yield Row(audit_id=2 * seq + 1, at=at, version=version, live=live, **gone)
 
     def handleInputRows(self, key, rows, timerValues):
-        new = set()
+        # state is read and written as a whole: a call a row costs far more than the rows themselves
+        past = self.past.get() if self.past.exists() else None
+        held = {(h[0], h[1]): tuple(h[2:]) for h in self.held.get()} if past else {}
+        new = {}
         for row in rows:
             place = (row["at"], row["seq"])
-            if not self.held.containsKey(place):  # a repeated delivery changes nothing
-                self.held.updateValue(place, tuple(row[f] for f in _FIELDS))
-                new.add(place)
+            if place not in held and place not in new:  # a repeated delivery changes nothing
+                new[place] = tuple(row[f] for f in _FIELDS)
         if not new:
             return
-        version = (self.calls.get()[0] if self.calls.exists() else 0) + 1
-        self.calls.update((version,))
-        places = sorted((p[0], p[1]) for p in self.held.keys())
+        self.held.appendList([(*place, *version) for place, version in new.items()])
+        held.update(new)
+        version = (past[0] if past else 0) + 1
+        last = tuple(past[2:]) if past and past[1] else None
+        self.past.update((version, last is not None, *(last or (None,) * len(_FIELDS))))
+        places = sorted(held)
         self.handle.registerTimer(places[0][0] // 1000 + 1)
         for i, place in enumerate(places):
             # an event is put out if it is new or has a new event right before it
             if place in new or (i and places[i - 1] in new):
-                before = self.held.getValue(places[i - 1]) if i else self.last.get() if self.last.exists() else None
-                op = self.held.getValue(place)[0]
-                yield from self._rows(key, place[1], before and tuple(before), op, version, place in new, place[0])
+                before = held[places[i - 1]] if i else last
+                yield from self._rows(key, place[1], before, held[place][0], version, place in new, place[0])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        places = sorted((p[0], p[1]) for p in self.held.keys())
-        done = [p for p in places if p[0] < passed]
+        held = sorted((tuple(h) for h in self.held.get()), key=lambda h: h[:2])
+        done = [h for h in held if h[0] < passed]
+        rest = held[len(done):]
         if done:
-            self.last.update(tuple(self.held.getValue(done[-1])))
-            for place in done:
-                self.held.removeKey(place)
-        if len(done) < len(places):
-            self.handle.registerTimer(places[len(done)][0] // 1000 + 1)
+            self.past.update((self.past.get()[0], True, *done[-1][2:]))
+            if rest:
+                self.held.put(rest)
+            else:
+                self.held.clear()
+        if rest:
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
         return iter(())
 
 
