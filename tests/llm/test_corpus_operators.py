@@ -207,6 +207,57 @@ def test_token_files(spark, docs, none, corpus):
     assert token_files.token_digest(none, queries.tokenizer_path()).count() == 0
 
 
+def test_chunks_encode_like_the_tokenizer(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from formlake.llm import queries, token_files
+
+    path = queries.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    texts = ["", " ", "\n", "The the THE, the. the!! (the) the's don't ''s s' 's", "Straße ÉCOLE,. \u00c0\u0301 e\u0301 İx ÿ× µ ª",
+             "a<|endoftext|>b <|endoftext|> the<| |> end|>", "tab\there\r\n\x0bx\u00a0y\u2003z\x85w", "3 33 a3 3a, _a_ a_ $$$ ?!",
+             "中文 文字, наука НАУКА! \U0001f600 x\u200d", "word " * 300 + "other&&&", "x" * 500 + "..."]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids + [1], np.uint32) for t in texts]
+    for words, size in ((400_000, 1 << 20), (20, 1 << 20), (0, 1), (400_000, 64)):
+        monkeypatch.setattr(token_files, "CACHE_WORDS", words)
+        monkeypatch.setattr(token_files, "CACHE_CHUNKS", words // 10)
+        monkeypatch.setattr(token_files, "PIECE_BYTES", size)
+        chunks = token_files.Chunks(path)
+        for kind in (pa.string(), pa.large_string()):
+            got = []
+            batch = pa.record_batch([pa.array(texts, kind)], names=["text"])
+            for piece in token_files._pieces([batch.slice(2), batch.slice(0, 0), batch], "text"):
+                ids, ends = chunks.encode(piece.column(0), 1)
+                assert ends[-1] == len(ids)
+                got += np.split(ids, ends[:-1])
+            assert [g.tolist() for g in got] == [w.tolist() for w in want[2:] + want]
+        assert len(chunks.known[0]) <= words and len(chunks.known[2]) == len(chunks.known[0])
+
+
+def test_chunks_give_each_word_to_the_model_once():
+    import pyarrow as pa
+
+    from formlake.llm import queries, token_files
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.calls = inner, []
+
+        def __getattr__(self, name):
+            def call(x, **more):
+                self.calls += [x] if isinstance(x, str) else x
+                return getattr(self.inner, name)(x, **more)
+            return call
+
+    chunks = token_files.Chunks(queries.tokenizer_path())
+    chunks.model, chunks.tokenizer = Counted(chunks.model), Counted(chunks.tokenizer)
+    for _ in range(3):
+        chunks.encode(pa.array(["one two, THREE!! one&&& ***", "Two%%% three two *** one"]), 1)
+    assert sorted(chunks.model.calls) == ["one", "three", "two"]
+    assert sorted(chunks.tokenizer.calls) == sorted(["", ",", "!!", "&&&", "%%%", "***"])
+
+
 def F_str(name):
     from pyspark.sql import functions as F
 
