@@ -132,15 +132,15 @@ def _opened(codes: Codes, block: bytes):
     return codes.words(ur, uh), codes.words(wr, wh), run.astype(np.int64), step.astype(np.int64), more
 
 
-def share_words(codes: Codes, blocks: list[bytes], used: list[np.ndarray]) -> list[bytes]:
-    """``blocks``, whose words are ``used``, with one list of words before them instead of one in each; their order stays."""
-    words = np.unique(np.concatenate(used))
+def share_words(codes: Codes, blocks: list[bytes], words: np.ndarray) -> list[bytes]:
+    """``blocks``, whose words are ``words``, with one list of words before them instead of one in each; their order stays. Empties ``blocks``."""
     order, often = codes.order(words)
     words = words[order]
     own, none = Codes(words), np.zeros(0, np.uint64)
     out = [pack(*codes.coded(words, often))]
-    for block in blocks:
-        u, w, run, step, more = _opened(codes, block)
+    blocks.reverse()
+    while blocks:
+        u, w, run, step, more = _opened(codes, blocks.pop())
         out.append(pack(own.coded(u, len(u))[0], none, run, own.coded(w, len(w))[0], none, step, *more))
     return out
 
@@ -289,13 +289,41 @@ def _meet(df: DataFrame, buckets: int, *order: str) -> DataFrame:
 
 # --- counts ----------------------------------------------------------------------------------
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One entry per bigram."""
-    u, w, n = (np.concatenate(x) for x in zip(*parts))
+class _Distinct:
+    """Distinct words of blocks, united whenever twice as many wait."""
+
+    def __init__(self):
+        self.words, self.waiting, self.held = np.zeros(0, np.uint64), [], 0
+
+    def add(self, *words: np.ndarray) -> None:
+        self.waiting += words
+        self.held += sum(map(len, words))
+        if self.held > 2 * len(self.words) + MERGE_PAIRS:
+            self.united()
+
+    def united(self) -> np.ndarray:
+        self.words = np.unique(np.concatenate((self.words, *self.waiting)))
+        self.waiting, self.held = [], 0
+        return self.words
+
+
+def _merged(parts: tuple[list, list, list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One entry per bigram of ``parts`` (first words, second words, counts), which are emptied on the way."""
+    whole = []
+    for x in parts:
+        whole.append(np.concatenate(x))
+        x.clear()
+    u, w, n = whole
+    del whole
     key = pair_keys(u, w)
     order = np.argsort(key)
     at = _runs(key[order])
-    return u[order[at]], w[order[at]], np.add.reduceat(n[order], at)
+    del key
+    n = np.add.reduceat(n[order], at)
+    at = order[at]
+    del order
+    u = u[at]
+    return u, w[at], n
 
 
 def _in_code_order(codes: Codes, u: np.ndarray, w: np.ndarray):
@@ -324,34 +352,40 @@ def _count(blocks: DataFrame, buckets: int, gt_max: int, codes: Codes) -> DataFr
     are discounted), 'seen' (second words), 'stat' (counts of counts)."""
     def run(batches):
         for bucket, rows in _by_bucket(batches, ["bucket", "block"]):
-            parts, held, texts, used, size = [], 0, [], [], 0
+            parts, merged, held, texts, used, size = ([], [], []), 0, 0, [], _Distinct(), 0
             for _, block in rows:
                 if texts and size + len(block) > HELD_BYTES:
-                    yield _items("late", bucket, [0], [0], [0], None, share_words(codes, texts, used))
-                    texts, used, size = [], [], 0
+                    yield _items("late", bucket, [0], [0], [0], None, share_words(codes, texts, used.united()))
+                    texts, used, size = [], _Distinct(), 0
                 texts.append(block)
                 size += len(block)
                 u, w, run, place, (per, step, n, _, _, train) = _opened(codes, block)
-                used += (u, w)
+                used.add(u, w)
                 u, w, per = np.repeat(u, run), w[_absolute(place, run)], per.astype(np.int64)
                 n = np.add.reduceat(n * train[_absolute(step.astype(np.int64), per)], np.cumsum(per) - per)
                 learned = n > 0
-                parts.append((u[learned], w[learned], n[learned].astype(np.int64)))
-                held += int(learned.sum())
-                if held > 2 * len(parts[0][0]) + MERGE_PAIRS:
-                    parts = [_merged(parts)]
-                    held = len(parts[0][0])
-            texts = share_words(codes, texts, used)
-            if not held:
+                for x, y in zip(parts, (u[learned], w[learned], n[learned].astype(np.int64))):
+                    x.append(y)
+                del u, w, run, place, per, step, n, train, learned
+                held += len(parts[0][-1])
+                if held > 2 * merged + MERGE_PAIRS:
+                    for x, y in zip(parts, _merged(parts)):
+                        x.append(y)
+                    merged = held = len(parts[0][0])
+            learned = _merged(parts) if held else None
+            texts = share_words(codes, texts, used.united())
+            del used
+            if learned is None:
                 yield _items("block", bucket, [0], [0], [0], None, texts)
                 continue
-            u, w, n = _merged(parts)
-            del parts, used
+            u, w, n = learned
+            del learned
             words, often, u, w, sort = _in_code_order(codes, u, w)
             n, at, seen = n[sort], _runs(u), words[_dense(w, len(words))[0]]
             r, many = np.unique(n[n <= gt_max + 1], return_counts=True)
             few = np.add.reduceat((n <= gt_max).astype(np.int64), at)
             yield _items("block", bucket, [0], [0], [0], pack_pairs(codes, words, often, u, w, n), texts)
+            del texts, w, sort
             for kind, key, number, less in (("word", words[u[at]], np.add.reduceat(n, at), few), ("seen", seen, np.zeros(len(seen)), np.zeros(len(seen))),
                                             ("stat", r, many, np.zeros(len(r)))):
                 for i in range(0, len(key), 100_000):
@@ -434,10 +468,10 @@ class PairModel:
         discounted, codes, (big, big_c, big_few), lost = self._discounted(), self.codes, self.whole, self.ratio
 
         def run(batches):
-            for counts, texts in ((c.as_py(), t.as_py()) for batch in batches for c, t in zip(batch.column(0), batch.column(1))):
+            for counts, texts in ((c.as_py(), t.values) for batch in batches for c, t in zip(batch.column(0), batch.column(1))):
                 key, logs, ctx, total, full = _tables(codes, counts, discounted, len(lost) - 2)
-                own = Codes(codes.words(*unpack(texts[0])))
-                for block in texts[1:]:
+                own = Codes(codes.words(*unpack(texts[0].as_py())))
+                for block in (t.as_py() for t in texts[1:]):  # one at a time
                     u, w, per, step, n, ids, tags, _ = unpack_pairs(own, block)
                     per, n = per.astype(np.int64), n.astype(np.float64)
                     first = _runs(u)

@@ -72,3 +72,38 @@ def test_impossible_budget(spark):
         mix_sources(docs, repetition=1.0, budget=1000.0)
     got = mix_sources(docs, repetition=2.0, budget=450.0).collect()
     assert max(r.copies for r in got) <= 2 and abs(sum(r.copies * r.n_tokens for r in got) - 450) <= 6
+
+
+def test_a_worker_keeps_one_operators_state():
+    from formlake.llm import common
+
+    made = []
+
+    def state(name, key):
+        return common.of_worker(name, key, lambda: made.append((name, key)) or len(made))
+
+    def run(batches):
+        yield from batches
+
+    state("a", [1])
+    first = len(made)
+    assert state("a", [1]) == first and list(common.giving_back(run, keep=True)([7])) == [7] and state("a", [1]) == first
+    assert state("b", [1]) == first + 1 and state("a", [1]) == first + 2  # one at a time
+    assert list(common.giving_back(run)([7, 8])) == [7, 8] and state("a", [1]) == first + 3  # another operator ran
+    assert made[-4:] == [("a", [1]), ("b", [1]), ("a", [1]), ("a", [1])]
+
+
+def test_katz_counts_are_merged_in_place(monkeypatch):
+    from formlake.llm import katz_blocks as kb
+
+    u, w, n = (np.array(x) for x in ([5, 5, 9, 5], [1, 2, 1, 1], [1, 2, 3, 4]))
+    parts = ([u[:2].astype(np.uint64), u[2:].astype(np.uint64)], [w[:2].astype(np.uint64), w[2:].astype(np.uint64)], [n[:2], n[2:]])
+    got = kb._merged(parts)
+    assert sorted(zip(*(x.tolist() for x in got))) == [(5, 1, 5), (5, 2, 2), (9, 1, 3)]
+    assert parts == ([], [], [])
+    monkeypatch.setattr(kb, "MERGE_PAIRS", 3)
+    words = kb._Distinct()
+    for i in range(50):
+        words.add(np.arange(4, dtype=np.uint64), np.array([i % 7], np.uint64))
+        assert words.held <= 2 * len(words.words) + 3
+    assert words.united().tolist() == list(range(7))
