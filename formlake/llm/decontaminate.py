@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_column, gram_hashes, sliding_min, table
+from .common import WordHashes, binary_column, giving_back, gram_hashes, sliding_min, table
 
 WINDOW = 10
 GRAM = 5
@@ -170,7 +170,7 @@ def _sent(rows: DataFrame, items: DataFrame) -> DataFrame:
                                               pa.array(out[3], pa.string()), pa.array(out[4], pa.bool_())],
                                              names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return rows.mapInArrow(run, f"doc_id long, {OUT}")
+    return rows.mapInArrow(giving_back(run), f"doc_id long, {OUT}")
 
 
 def _keys(texts: DataFrame, name: str, lengths: list[int], item: bool) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_column, components, lower_words, shingles, table
+from .common import WordHashes, binary_column, components, giving_back, lower_words, shingles, table
 
 POOL = 64
 TREES = 24
@@ -79,7 +79,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()),
                                               pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_id", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sig binary")
+    return docs.mapInArrow(giving_back(run), "doc_id long, n_shingles long, set_id binary, sig binary")
 
 
 def _prefix_keys(rows: DataFrame, depth: int) -> DataFrame:

@@ -19,8 +19,6 @@ from __future__ import annotations
 
 import os
 import string
-import sys
-import types
 import uuid
 import zlib
 from array import array
@@ -34,7 +32,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import giving_back, shared_path, table
+from .common import giving_back, of_worker, shared_path, table
 
 MAGIC = b"S8BSHRD1"
 BLOCK_IDS = 1024
@@ -218,10 +216,7 @@ class Chunks:
     @staticmethod
     def of_worker(path: str) -> Chunks:
         """The encoder that this Python worker keeps from task to task."""
-        kept = sys.modules.setdefault("_token_chunks", types.ModuleType("_token_chunks")).__dict__
-        if path not in kept:
-            kept[path] = Chunks(path)
-        return kept[path]
+        return of_worker("token chunks", path, lambda: Chunks(path))
 
     def _wholes(self, chunks: list[str]) -> list[array]:
         """Ids of chunks that take the whole pipeline."""
@@ -365,7 +360,7 @@ def write_token_shards(docs: DataFrame, directory: str, tokenizer_path: str, *,
 
     manifest_schema = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("path", pa.string()),
                                  ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
-    manifest = table(ordered.mapInArrow(giving_back(write), "part long, shard long, path string, n_docs long, n_tokens long"),
+    manifest = table(ordered.mapInArrow(giving_back(write, keep=True), "part long, shard long, path string, n_docs long, n_tokens long"),
                      "token-manifest")
     files = manifest.select("part", "shard", "path", "n_docs", "n_tokens").orderBy("part", "shard").collect()
     rows, start = [], 0

@@ -14,8 +14,6 @@ from __future__ import annotations
 import bisect
 import math
 import re
-import sys
-import types
 import zlib
 from collections import Counter
 
@@ -24,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share
+from .common import giving_back, hash_share, of_worker
 
 SAMPLE_ROWS = 20_000   # labelled training rows used to fit, at most (chosen by hash of the id)
 MIN_RATIO = 10.8       # likelihood ratio of a term over chance (one in a thousand)
@@ -155,10 +153,7 @@ class LexiconAutomaton:
     @staticmethod
     def of_worker(terms: list[tuple[str, bool]]) -> LexiconAutomaton:
         """The automaton of ``terms`` that this Python worker keeps from task to task (the last one only)."""
-        kept = sys.modules.setdefault("_lexicon_automaton", types.ModuleType("_lexicon_automaton")).__dict__
-        if kept.get("terms") != terms:
-            kept["terms"], kept["automaton"] = terms, LexiconAutomaton(terms)
-        return kept["automaton"]
+        return of_worker("lexicon automaton", terms, lambda: LexiconAutomaton(terms))
 
 
 def features(text: str, lexicon: LexiconAutomaton) -> list[float]:
@@ -302,7 +297,7 @@ def _scan(rows: DataFrame, lexicon: list[tuple[str, bool]], weights: np.ndarray
                                              names=["doc_id", "held_out", "score", "predicted"])
 
     out = "doc_id long, found array<double>" if weights is None else "doc_id long, held_out boolean, score double, predicted int"
-    return rows.select("doc_id", "text").mapInArrow(run, out)
+    return rows.select("doc_id", "text").mapInArrow(giving_back(run, keep=True), out)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
