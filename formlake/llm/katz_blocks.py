@@ -7,8 +7,8 @@ compressed block per piece of text and bucket, not one row per bigram:
 1. blocks of all texts meet in their buckets, and each bucket's training counts are written next to
    its texts' blocks, with the counts of counts, the unigram counts (every word but the end is a
    first word, and the end symbol stands before every text) and the second words of the bucket;
-2. the second words' unigram probabilities come back to the buckets, which gives each context's
-   left-over mass above and below, hence the table of backoff weights;
+2. the second words' unigram probabilities come back to the buckets, one block per bucket and part of
+   the words, which gives each context's left-over mass above and below, hence the table of backoff weights;
 3. texts' blocks are read with their bucket's counts, without a further shuffle: bigrams found add
    their discounted probability to their texts, those not found leave as rows and are joined with
    the backoff weights and the unigram table.
@@ -16,7 +16,6 @@ compressed block per piece of text and bucket, not one row per bigram:
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import reduce
 from itertools import groupby
 
@@ -27,10 +26,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_column, drop_table, giving_back, lower_words, mix64, table
+from .common import binary_column, drop_table, giving_back, mix64, table, text_hashes
 
 CHUNK_TOKENS = 1_000_000  # tokens of one piece of text in a task
 BUCKET_TOKENS = 2_500_000  # tokens of a bucket, about
+PART_TOKENS = 10_000_000  # tokens a part of the words, about: second words meet their probabilities by parts
 HEAVY_SHARE = 1 / 50_000  # only words with this share of all tokens can be sliced, so at most 50,000 of them
 END = xxhash.xxh3_64_intdigest(b"\x00 end")
 MERGE_PAIRS = 500_000  # bigrams that wait for a merge beyond twice the merged ones
@@ -170,10 +170,9 @@ def _slices(batches, rows: int = 500):
 
 def _pieces(batches):
     """(ids, tags, training flags, word hashes with the end symbol after each text) of pieces of at most about CHUNK_TOKENS."""
-    hashes, ids, tags, train, words, held = WordHashes(), [], [], [], [], 0
+    ids, tags, train, words, held = [], [], [], [], 0
     for batch in _slices(batches):
-        for doc, tag, learn, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), binary_column(batch, "text")):
-            w = np.append(hashes.of(lower_words(blob)), np.uint64(END))
+        for doc, tag, learn, w in zip(*(batch.column(i).to_pylist() for i in range(3)), text_hashes(binary_column(batch, "text"), END)):
             if held and held + len(w) > CHUNK_TOKENS:
                 yield ids, tags, train, words
                 ids, tags, train, words, held = [], [], [], [], 0
@@ -193,24 +192,21 @@ def frequent_words(rows: DataFrame) -> tuple[int, dict[int, int]]:
     this way is under half the share, and the result only says where bigrams meet.
     """
     def run(batches):
-        hashes, seen, held = WordHashes(), Counter(), 0
+        seen, held = [], 0
 
         def report():
-            often = [(w, n) for w, n in seen.items() if n >= held * HEAVY_SHARE / 2]
-            keys = np.append(hashes.of([w for w, _ in often]), [np.uint64(END), np.uint64(0)]).astype(np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([n for _, n in often] + [texts, held], pa.int64()),
-                                               pa.array([True] * (len(often) + 1) + [False])], names=["w", "n", "word"])
+            keys, n = np.unique(np.concatenate(seen), return_counts=True)
+            often = (n >= held * HEAVY_SHARE / 2) | (keys == np.uint64(END))
+            return pa.RecordBatch.from_arrays([pa.array(np.append(keys[often], np.uint64(0)).view(np.int64)), pa.array(np.append(n[often], held)),
+                                               pa.array([True] * int(often.sum()) + [False])], names=["w", "n", "word"])
 
-        texts = 0
         for batch in _slices(batches):
-            for blob in binary_column(batch, "text"):
-                words = lower_words(blob)
-                seen.update(words)
-                held += len(words) + 1
-                texts += 1
+            for w in text_hashes(binary_column(batch, "text"), END):
+                seen.append(w)
+                held += len(w)
                 if held > CHUNK_TOKENS:
                     yield report()
-                    seen, held, texts = Counter(), 0, 0
+                    seen, held = [], 0
         if held:
             yield report()
 
@@ -248,17 +244,27 @@ def _text_blocks(rows: DataFrame, heavy, buckets: int, codes: Codes) -> DataFram
     """Per piece and bucket: its bigrams with, for each, the texts it occurs in and how often, and the texts' keys and whether they are learned from."""
     def run(batches):
         for ids, tags, train, words in _pieces(batches):
-            w, often, place, before = _numbered(words, codes)
-            many = len(ids)
-            docs = np.repeat(np.arange(many), [len(x) for x in words])
+            many, sizes = len(ids), [len(x) for x in words]
+            w, often, event, before = _numbered(words, codes)
+            words.clear()  # arrays as long as the piece go as soon as they are used
             # at most CHUNK_TOKENS tokens, or one text alone: three numbers fit into 63 bits
-            event, n = np.unique((before * len(w) + place) * many + docs, return_counts=True)
-            key, doc = np.divmod(event, many)
-            at = _runs(key)
-            u, v = np.divmod(key[at], len(w))
-            per = np.diff(at, append=len(key))
-            bucket = buckets_of(w[u], w[v], heavy, buckets)
+            wide, deep = (len(w) - 1).bit_length(), (many - 1).bit_length()
+            before <<= wide
+            event |= before
+            del before
+            event <<= deep
+            event |= np.repeat(np.arange(many), sizes)
+            event, n = np.unique(event, return_counts=True)
+            n, doc = n.astype(np.int32), (event & ((1 << deep) - 1)).astype(np.int32)
+            event >>= deep
+            at = _runs(event)
+            per = np.diff(at, append=len(event)).astype(np.int32)
+            event = event[at]
+            u, v = (event >> wide).astype(np.int32), (event & ((1 << wide) - 1)).astype(np.int32)
+            del event, at
+            bucket = buckets_of(w[u], w[v], heavy, buckets).astype(np.int32)
             pairs, events = _cuts(bucket, buckets), _cuts(np.repeat(bucket, per), buckets)
+            del bucket
             id_of, tag_of = np.array(ids, np.int64).view(np.uint64), np.array(tags, np.int64).view(np.uint64)
             train_of = np.array(train, np.uint8)
             out = {}
@@ -281,10 +287,15 @@ def _by_bucket(batches, columns: list[str]):
     yield from groupby(rows(), key=lambda r: r[0])
 
 
-def _meet(df: DataFrame, buckets: int, *order: str) -> DataFrame:
-    """One partition per bucket."""
-    df = df.repartitionById(buckets, F.col("bucket"))
-    return df.sortWithinPartitions("bucket", *order) if order else df
+def _meet(df: DataFrame, many: int, by: str, *order: str) -> DataFrame:
+    """One partition per bucket, or what else ``by`` numbers."""
+    df = df.repartitionById(many, F.col(by))
+    return df.sortWithinPartitions(by, *order) if order else df
+
+
+def parts_of(words: np.ndarray, parts: int) -> np.ndarray:
+    """A word's part, as Spark's pmod gives it."""
+    return np.mod(words.view(np.int64), parts)
 
 
 # --- counts ----------------------------------------------------------------------------------
@@ -347,9 +358,9 @@ def _items(kind: str, bucket: int, key, n, few, counts=None, texts=None) -> pa.R
         names=["kind", "bucket", "key", "n", "few", "counts", "texts"])
 
 
-def _count(blocks: DataFrame, buckets: int, gt_max: int, codes: Codes) -> DataFrame:
+def _count(blocks: DataFrame, buckets: int, parts_in_all: int, gt_max: int, codes: Codes) -> DataFrame:
     """Items: 'block' (a bucket's counts and texts), 'late' (further texts of a bucket), 'word' (first word, occurrences, bigrams that
-    are discounted), 'seen' (second words), 'stat' (counts of counts)."""
+    are discounted), 'seen' (a block of second words for each part, in code order), 'stat' (counts of counts)."""
     def run(batches):
         for bucket, rows in _by_bucket(batches, ["bucket", "block"]):
             parts, merged, held, texts, used, size = ([], [], []), 0, 0, [], _Distinct(), 0
@@ -381,18 +392,20 @@ def _count(blocks: DataFrame, buckets: int, gt_max: int, codes: Codes) -> DataFr
             u, w, n = learned
             del learned
             words, often, u, w, sort = _in_code_order(codes, u, w)
-            n, at, seen = n[sort], _runs(u), words[_dense(w, len(words))[0]]
+            n, at, seen = n[sort], _runs(u), _dense(w, len(words))[0]
             r, many = np.unique(n[n <= gt_max + 1], return_counts=True)
             few = np.add.reduceat((n <= gt_max).astype(np.int64), at)
             yield _items("block", bucket, [0], [0], [0], pack_pairs(codes, words, often, u, w, n), texts)
             del texts, w, sort
-            for kind, key, number, less in (("word", words[u[at]], np.add.reduceat(n, at), few), ("seen", seen, np.zeros(len(seen)), np.zeros(len(seen))),
-                                            ("stat", r, many, np.zeros(len(r)))):
+            for part, of in _cuts(parts_of(words[seen], parts_in_all), parts_in_all).items():
+                of = seen[of]
+                yield _items("seen", bucket, [part], [0], [0], pack(*codes.coded(words[of], int(np.searchsorted(of, often)))))
+            for kind, key, number, less in (("word", words[u[at]], np.add.reduceat(n, at), few), ("stat", r, many, np.zeros(len(r)))):
                 for i in range(0, len(key), 100_000):
                     s = slice(i, i + 100_000)
                     yield _items(kind, bucket, key[s], number[s], less[s])
 
-    return _meet(blocks, buckets).mapInArrow(giving_back(run), _ITEMS)
+    return _meet(blocks, buckets, "bucket").mapInArrow(giving_back(run), _ITEMS)
 
 
 class PairModel:
@@ -401,11 +414,12 @@ class PairModel:
     def __init__(self, rows: DataFrame, discounts, gt_max: int):
         tokens, often = frequent_words(rows)
         self.buckets = b = int(max(2 * rows.sparkSession.sparkContext.defaultParallelism, tokens // BUCKET_TOKENS + 1))
+        self.parts = int(max(2 * rows.sparkSession.sparkContext.defaultParallelism, tokens // PART_TOKENS + 1))
         slices = {w: -(-n * 2 * b // tokens) for w, n in often.items() if n * 2 * b > tokens}
         heavy = np.array(sorted(np.uint64(w & (2**64 - 1)) for w in slices), np.uint64)
         self.heavy = heavy, np.array([min(slices[int(w)], b) for w in heavy.view(np.int64)], np.uint64)
         codes = self.codes = Codes(np.array(sorted(often, key=lambda w: (-often[w], w)), np.int64).view(np.uint64))
-        items = self.items = table(_count(_text_blocks(rows, self.heavy, b, codes), b, gt_max, codes), "katz-counts")
+        items = self.items = table(_count(_text_blocks(rows, self.heavy, b, codes), b, self.parts, gt_max, codes), "katz-counts")
         counted = table(items.where("kind = 'word'").groupBy(F.col("key").alias("w")).agg(F.sum("n").alias("c"), F.sum("few").alias("few")), "katz-words")
         ones = discounts({r["c"]: r["count"] for r in counted.where(F.col("c") <= gt_max + 1).groupBy("c").count().collect()})
         twos = discounts({r["key"]: r["n"] for r in items.where("kind = 'stat'").groupBy("key").agg(F.sum("n").alias("n")).collect()})
@@ -428,35 +442,50 @@ class PairModel:
 
     def _weights(self, items: DataFrame) -> DataFrame:
         """Backoff weight of every context: mass left over above by mass left over below."""
-        below = items.where("kind = 'seen'").select("bucket", F.col("key").alias("w")).join(self.words.select("w", "p"), "w")
-        none = F.lit(None)
-        both = below.select("bucket", F.lit(0).alias("kind"), "w", "p", none.cast("binary").alias("block")).unionByName(
-            items.where("kind = 'block' and counts is not null").select(
-                "bucket", F.lit(1).alias("kind"), none.cast("long").alias("w"), none.cast("double").alias("p"), F.col("counts").alias("block")))
-        discounted, codes = self._discounted(), self.codes
+        none, parts, discounted, codes = F.lit(None), self.parts, self._discounted(), self.codes
+        asked = self.words.select(F.pmod("w", F.lit(parts)).cast("int").alias("part"), F.lit(-1).alias("bucket"), "w", "p", none.cast("binary").alias("block")).unionByName(
+            items.where("kind = 'seen'").select(F.col("key").cast("int").alias("part"), "bucket", none.cast("long").alias("w"), none.cast("double").alias("p"),
+                                                F.col("counts").alias("block")))
 
-        def run(batches):
-            words, probs, now = [], [], None
+        def answer(batches):
+            words, probs, now, known = [], [], None, None
             for batch in batches:
-                kinds, bs = batch.column(1).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
-                for at, end in zip(s := _runs(bs), [*s[1:], len(bs)]):
-                    if bs[at] != now:
-                        words, probs, now = [], [], bs[at]
-                    split = int(at + np.searchsorted(kinds[at:end], 1))
+                of, bs = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+                for at, end in zip(s := _runs(of), [*s[1:], len(of)]):
+                    if of[at] != now:
+                        words, probs, now, known = [], [], of[at], None
+                    split = int(at + np.searchsorted(bs[at:end], 0))  # the part's words come first
                     words.append(batch.column(2).slice(at, split - at).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
                     probs.append(batch.column(3).slice(at, split - at).to_numpy(zero_copy_only=False).astype(np.float64))
-                    for block in batch.column(4).slice(split, end - split).to_pylist():
-                        known, p = np.concatenate(words), np.concatenate(probs)
-                        order = np.argsort(known)
-                        u, w, n = unpack_pairs(codes, block)
-                        first = _runs(u)
-                        lower = p[order][np.searchsorted(known[order], w)]
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(u[first].view(np.int64)), pa.array(np.add.reduceat(n, first).astype(np.int64)),
-                            pa.array(np.add.reduceat(discounted(n), first)), pa.array(np.add.reduceat(lower, first))], names=["u", "c", "kept", "below"])
-
-        parts = _meet(both, self.buckets, "kind").mapInArrow(giving_back(run), "u long, c long, kept double, below double")
-        total = parts.groupBy("u").agg(F.sum("c").alias("c"), F.sum("kept").alias("kept"), F.sum("below").alias("below"))
+                    for b, block in zip(bs[split:end].tolist(), batch.column(4).slice(split, end - split)):
+                        if known is None:
+                            known, p = np.concatenate(words), np.concatenate(probs)
+                            order = np.argsort(known)
+                            known, p = known[order], p[order]
+                        found = p[np.searchsorted(known, codes.words(*unpack(block.as_py())))]
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([now], pa.int32()), pa.array(
+                            [zstandard.ZstdCompressor(level=1).compress(found.tobytes())], pa.binary())], names=["bucket", "part", "block"])
+
+        both = _meet(asked, parts, "part", "bucket").mapInArrow(giving_back(answer), "bucket int, part int, block binary").unionByName(
+            items.where("kind = 'block' and counts is not null").select("bucket", F.lit(parts).alias("part"), F.col("counts").alias("block")))
+
+        def run(batches):
+            for _, rows in _by_bucket(batches, ["bucket", "part", "block"]):
+                probs = []
+                for _, part, block in rows:  # the parts' answers, then the counts
+                    if part < parts:
+                        probs.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.float64))
+                        continue
+                    u, w, run, step, (n,) = _opened(codes, block)
+                    lower = np.empty(len(w))
+                    lower[np.argsort(parts_of(w, parts), kind="stable")] = np.concatenate(probs)
+                    first = np.cumsum(run) - run
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(u.view(np.int64)), pa.array(np.add.reduceat(n, first).astype(np.int64)), pa.array(np.add.reduceat(discounted(n), first)),
+                        pa.array(np.add.reduceat(lower[_absolute(step, run)], first))], names=["u", "c", "kept", "below"])
+
+        sums = _meet(both, self.buckets, "bucket", "part").mapInArrow(giving_back(run), "u long, c long, kept double, below double")
+        total = sums.groupBy("u").agg(F.sum("c").alias("c"), F.sum("kept").alias("kept"), F.sum("below").alias("below"))
         full = F.when(F.col("kept") < F.col("c") - 1e-9, F.col("c")).otherwise(F.col("c") + 1)
         return total.select("u", (F.greatest(1 - F.col("kept") / full, F.lit(1e-12)) / F.greatest(1 - F.col("below"), F.lit(1e-12))).alias("alpha"))
 
@@ -501,7 +530,7 @@ class PairModel:
                         yield _part(ids[d], tags[d], [n[gone], zero, zero, zero], pa.array(u[pair[gone]].view(np.int64)), pa.array(w[pair[gone]].view(np.int64)))
 
         parts = table(both.mapInArrow(
-            run, "id long, row long, n long, known long, base double, score double, u long, w long"), "katz-parts")
+            giving_back(run), "id long, row long, n long, known long, base double, score double, u long, w long"), "katz-parts")
         drop_table(self.items)
         backed = parts.where("u is not null").join(self.weights, "u", "left").join(self.words.select("w", "p"), "w", "left").select(
             "id", "row", F.lit(0).cast("long").alias("n"), "known", "base",

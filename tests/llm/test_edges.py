@@ -107,3 +107,40 @@ def test_katz_counts_are_merged_in_place(monkeypatch):
         words.add(np.arange(4, dtype=np.uint64), np.array([i % 7], np.uint64))
         assert words.held <= 2 * len(words.words) + 3
     assert words.united().tolist() == list(range(7))
+
+
+def test_words_are_hashed_whole_texts_at_once(monkeypatch):
+    import random
+
+    from formlake.llm import common
+
+    rng = random.Random(4)
+    pieces = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"a", b"A", b"\x00", "é".encode(), b"\x1c", b"\x85", b"\xa0", b"\xff", b"z"]
+    texts = [b"".join(rng.choices(pieces, k=rng.choice([0, 1, 5, 30, 300]))) for _ in range(300)]
+    texts += [b"q" * n for n in (7, 8, 9, 16, 63, 64, 65, 72, 1000)] + [b"", b" ", b"Q" * 1000 + b" " + b"\x00" * 3, b"\x00" * 2]
+    for together in (1, 50, 1 << 20):
+        monkeypatch.setattr(common, "TOGETHER_BYTES", together)
+        got = list(common.text_hashes(texts, 5))
+        hash_of, word_of = {}, {}
+        for text, h in zip(texts, got, strict=True):
+            words = common.lower_words(text)
+            assert len(h) == len(words) + 1 and h[-1] == 5
+            for word, x in zip(words, h.tolist()):
+                assert hash_of.setdefault(word, x) == x and word_of.setdefault(x, word) == word
+        assert len(hash_of) > 500
+    assert list(common.text_hashes([], 5)) == []
+
+
+def test_katz_second_words_travel_in_blocks(spark):
+    from formlake.llm import katz_blocks as kb
+    from formlake.llm.katz import GT_MAX, discounts
+
+    rows = [(i, i, " ".join(f"w{(i * 37 + j * j) % 900}" for j in range(200)), i % 5 > 0) for i in range(40)]
+    model = kb.PairModel(spark.createDataFrame(rows, "id long, row long, text string, train boolean"), discounts, GT_MAX)
+    seen = model.items.where("kind = 'seen'")
+    blocks = [(r["bucket"], r["key"], kb.Codes.words(model.codes, *kb.unpack(r["counts"]))) for r in seen.collect()]
+    assert len({(b, part) for b, part, _ in blocks}) == len(blocks) <= model.buckets * model.parts
+    assert sum(len(words) for _, _, words in blocks) > 2 * len(blocks)  # not a row for each word
+    assert all((kb.parts_of(words, model.parts) == part).all() for _, part, words in blocks)
+    first = {w for _, _, text, train in rows if train for w in text.split()}
+    assert len({int(w) for _, _, words in blocks for w in words}) == len(first) + 1  # and the end
